@@ -3,14 +3,17 @@
 ``row_number() OVER (ORDER BY ...)`` with no partition would pull every new
 row into one task. Instead:
 
-1. range-partition the new rows by the (total) order and sort each partition;
+1. range-partition the rows by the (total) order and sort each partition;
 2. checkpoint that result into the shared checkpoint folder, so its partition
    boundaries and row order are fixed and survive executor loss;
-3. count rows per partition (one small aggregate: one row per partition);
+3. count the rows to be numbered per partition (one row per partition);
 4. key = base + rows in earlier partitions + position inside the partition.
 
 Only the per-partition counts (bounded by the partition count) and the
-current maximum reach the driver.
+current maximum reach the driver. With ``where``, all rows are checkpointed
+once but only the matching ones are numbered, so callers that also report
+the other rows (rejected requests, unchanged stock) read them from the same
+checkpoint instead of recomputing their inputs.
 """
 
 from __future__ import annotations
@@ -33,31 +36,42 @@ def current_max(existing: DataFrame | None, key: str) -> int:
     return int(value) if value is not None else 0
 
 
-def allocate_keys(new_rows: DataFrame, key: str, order_by: Sequence[str | Column],
+def allocate_keys(rows: DataFrame, key: str, order_by: Sequence[str | Column],
                   existing: DataFrame | None = None, base: int | None = None,
-                  num_partitions: int | None = None) -> DataFrame:
-    """Add ``key`` = base + 1, base + 2, ... to ``new_rows`` in ``order_by`` order.
+                  where: Column | None = None, num_partitions: int | None = None) -> DataFrame:
+    """Number rows ``base + 1, base + 2, ...`` into ``key`` in ``order_by`` order.
 
-    ``order_by`` must be a total order of the new rows (ties would make the
-    numbering depend on the run). ``base`` defaults to the maximum of ``key``
-    in ``existing`` (0 when empty or absent).
+    ``order_by`` must be a total order of the numbered rows (ties would make
+    the numbering depend on the run). ``base`` defaults to the maximum of
+    ``key`` in ``existing`` (0 when empty or absent). With ``where`` only the
+    rows satisfying it are numbered; the others are returned too, keeping
+    their own ``key`` value if they have that column (else NULL).
     """
-    spark = new_rows.sparkSession
+    spark = rows.sparkSession
     start = current_max(existing, key) if base is None else int(base)
     shared_dir(spark)  # make sure the checkpoint folder is set
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (new_rows.repartitionByRange(max(1, n), *order_by)
-                      .sortWithinPartitions(*order_by)
-                      .checkpoint(eager=True))
+    flag = "_alloc"
+    marked = rows.withColumn(flag, F.lit(True) if where is None else F.coalesce(where, F.lit(False)))
+    ranged = (marked.repartitionByRange(max(1, n), *order_by)
+                    .sortWithinPartitions(*order_by)
+                    .checkpoint(eager=True))
+    chosen = ranged.where(F.col(flag))
     pid = F.spark_partition_id()
-    counts = {r["p"]: r["n"] for r in ranged.groupBy(pid.alias("p")).agg(
+    counts = {r["p"]: r["n"] for r in chosen.groupBy(pid.alias("p")).agg(
         F.count(F.lit(1)).alias("n")).collect()}
-    parts = ranged.rdd.getNumPartitions()
     offsets, running = [], start
-    for p in range(parts):
+    for p in range(ranged.rdd.getNumPartitions()):
         offsets.append(running)
         running += counts.get(p, 0)
     offset = F.element_at(F.array(*[F.lit(o).cast("bigint") for o in offsets]),
                           (pid + 1).cast("int"))
+    # evaluated above the filter: counts only the chosen rows of the partition
     position = F.monotonically_increasing_id() - F.shiftleft(pid.cast("bigint"), _SHIFT)
-    return ranged.withColumn(key, (offset + position + 1).cast("bigint"))
+    numbered = chosen.withColumn(key, (offset + position + 1).cast("bigint")).drop(flag)
+    if where is None:
+        return numbered
+    others = ranged.where(~F.col(flag)).drop(flag)
+    if key not in others.columns:
+        others = others.withColumn(key, F.lit(None).cast("bigint"))
+    return numbered.unionByName(others.select(*numbered.columns))

@@ -87,11 +87,12 @@ INVENTORY_COLUMNS = ["inventory_id", "product_id", "location_id", "h_bin_num", "
                      "quantity", "parcel_qty", "halstan_code"]
 
 
-def apply_deltas(inventory: DataFrame, deltas: DataFrame) -> DataFrame:
+def apply_deltas(inventory: DataFrame, deltas: DataFrame, assign_ids: bool = True) -> DataFrame:
     """Stock -= delta per (product, location).
 
     A row is created for every key the changes touch, even when the summed
-    delta is 0; new rows get inventory ids above the current maximum.
+    delta is 0; new rows get inventory ids above the current maximum (left
+    NULL with ``assign_ids=False`` when only quantities are needed).
     """
     net = net_deltas(deltas)
     inv = inventory.withColumn("_have", F.lit(True))
@@ -100,10 +101,11 @@ def apply_deltas(inventory: DataFrame, deltas: DataFrame) -> DataFrame:
            - F.coalesce(F.col("net_delta"), F.lit(0))).cast("int")
     updated = joined.select(*[F.col(c) for c in INVENTORY_COLUMNS if c != "quantity"],
                             qty.alias("quantity"), F.col("_have"))
-    kept = updated.where(F.col("_have").isNotNull()).select(*INVENTORY_COLUMNS)
-    fresh = updated.where(F.col("_have").isNull()).drop("inventory_id", "_have")
-    fresh = allocate_keys(fresh, "inventory_id", KEY, existing=inventory)
-    return kept.unionByName(fresh.select(*INVENTORY_COLUMNS))
+    if not assign_ids:
+        return updated.select(*INVENTORY_COLUMNS)
+    keyed = allocate_keys(updated, "inventory_id", KEY, existing=inventory,
+                          where=F.col("_have").isNull())
+    return keyed.select(*INVENTORY_COLUMNS)
 
 
 def reconcile(opening: DataFrame, ledger: DataFrame, inventory: DataFrame) -> DataFrame:

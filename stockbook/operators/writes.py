@@ -55,18 +55,16 @@ def create_orders(requests: DataFrame, orders: DataFrame, customers: DataFrame,
     checked = V.validate_keys(requests, "customer_id", "customer_id")
     checked = checked.join(_known(customers, "customer_id", "_kc"), "customer_id", "left")
     checked = _add_reason(checked, [(F.col("_kc").isNull(), "unknown customer")])
-    ok = checked.where(F.col("reason").isNull()).select("seq", "customer_id")
-    new = allocate_keys(ok, "order_id", ["seq"], existing=orders)
+    keyed = allocate_keys(checked.select("seq", "customer_id", "reason"), "order_id", ["seq"],
+                          existing=orders, where=F.col("reason").isNull())
+    new = keyed.where(F.col("reason").isNull())
     null_s = F.lit(None).cast("string")
     new_orders = new.select(
         "order_id", _date(today).alias("order_date"), "customer_id",
         F.lit(None).cast("date").alias("inv_pull_date"), null_s.alias("billing_address"),
         null_s.alias("billing_country"), null_s.alias("billing_street"),
         null_s.alias("billing_zip"))
-    report = (new.select("seq", "customer_id", "order_id", F.lit(None).cast("string").alias("reason"))
-              .unionByName(checked.where(F.col("reason").isNotNull()).select(
-                  "seq", "customer_id", F.lit(None).cast("bigint").alias("order_id"), "reason")))
-    return new_orders, report
+    return new_orders, keyed.select("seq", "customer_id", "order_id", "reason")
 
 
 # ------------------------------------------------------------------ W3
@@ -90,9 +88,11 @@ def add_order_lines(requests: DataFrame, lines: DataFrame, products: DataFrame,
                                     (F.col("_kp").isNull(), "unknown product"),
                                     (F.col("_kl").isNull(), "unknown location")])
     cols = ["order_id", "product_id", "product_price", "quantity", "fulfilled_from_location_id"]
-    ok = checked.where(F.col("reason").isNull()).select("seq", *cols)
-    new = allocate_keys(ok, "order_line_id", ["seq"], existing=lines)
-    new = X.with_line_total(new)
+    accepted = F.col("reason").isNull()
+    keyed = allocate_keys(checked.select("seq", *cols, "reason"), "order_line_id", ["seq"],
+                          existing=lines, where=accepted)
+    keyed = keyed.withColumn("line_total", F.when(accepted, X.line_total()))
+    new = keyed.where(accepted)
     new_lines = new.select("order_line_id", *cols, "line_total")
     nl, ni = F.lit(None).cast("bigint"), F.lit(None).cast("int")
     feed = new.select("seq", F.lit("INSERT").alias("op"), "order_id",
@@ -100,11 +100,7 @@ def add_order_lines(requests: DataFrame, lines: DataFrame, products: DataFrame,
                       F.col("product_id").alias("new_product"),
                       F.col("fulfilled_from_location_id").alias("new_location"),
                       F.col("quantity").alias("new_qty"))
-    report = (new.select("seq", "order_line_id", *cols, "line_total",
-                         F.lit(None).cast("string").alias("reason"))
-              .unionByName(checked.where(F.col("reason").isNotNull()).select(
-                  "seq", F.lit(None).cast("bigint").alias("order_line_id"), *cols,
-                  F.lit(None).cast(S.MONEY).alias("line_total"), "reason")))
+    report = keyed.select("seq", "order_line_id", *cols, "line_total", "reason")
     return new_lines, feed, report
 
 
@@ -116,14 +112,10 @@ def add_customers(requests: DataFrame, customers: DataFrame) -> tuple[DataFrame,
     Returns (new customer rows, report(seq, customer_id, reason)).
     """
     checked = V.validate_customers(requests)
-    ok, bad = V.split_valid(checked)
-    new = allocate_keys(ok, "customer_id", ["seq"], existing=customers)
-    rows = new.select("customer_id", *V.CUSTOMER_FIELDS)
-    report = (new.select("seq", "customer_id", "first_name", "last_name",
-                         F.lit(None).cast("string").alias("reason"))
-              .unionByName(bad.select("seq", F.lit(None).cast("bigint").alias("customer_id"),
-                                      "first_name", "last_name", "reason")))
-    return rows, report
+    keyed = allocate_keys(checked, "customer_id", ["seq"], existing=customers,
+                          where=F.col("reason").isNull())
+    rows = keyed.where(F.col("reason").isNull()).select("customer_id", *V.CUSTOMER_FIELDS)
+    return rows, keyed.select("seq", "customer_id", "first_name", "last_name", "reason")
 
 
 # ------------------------------------------------------------------ W5-W7
@@ -157,17 +149,14 @@ def add_products(requests: DataFrame, products: DataFrame, category: DataFrame
     category_count, reason)).
     """
     reqs = requests.drop("product_id") if "product_id" in requests.columns else requests
-    forms = _product_forms(reqs, category)
-    ok = forms.where(F.col("reason").isNull())
-    new = allocate_keys(ok, "product_id", ["seq"], existing=products)
+    forms = _product_forms(reqs, category).drop("_unknown")
+    keyed = allocate_keys(forms, "product_id", ["seq"], existing=products,
+                          where=F.col("reason").isNull())
+    new = keyed.where(F.col("reason").isNull())
     rows = new.select("product_id", *PRODUCT_FIELDS)
     links = _links(new, category)
-    report = (new.select("seq", "product_id", "title",
-                         F.size("categories").cast("int").alias("category_count"),
-                         F.lit(None).cast("string").alias("reason"))
-              .unionByName(forms.where(F.col("reason").isNotNull()).select(
-                  "seq", F.lit(None).cast("bigint").alias("product_id"), "title",
-                  F.size("categories").cast("int").alias("category_count"), "reason")))
+    report = keyed.select("seq", "product_id", "title",
+                          F.size("categories").cast("int").alias("category_count"), "reason")
     return rows, links, report
 
 
@@ -213,7 +202,8 @@ def replace_categories(requests: DataFrame, products: DataFrame, junction: DataF
 
 # ------------------------------------------------------------------ W8 / W9
 
-def _upsert_stock(inventory: DataFrame, fold: DataFrame, overwrite_place: bool) -> DataFrame:
+def _upsert_stock(inventory: DataFrame, fold: DataFrame, overwrite_place: bool,
+                  assign_ids: bool = True) -> DataFrame:
     """Full outer join of folded requests with stock on (product, location)."""
     inv = inventory.withColumn("_have", F.lit(True))
     f = fold.withColumn("_req", F.lit(True))
@@ -229,13 +219,16 @@ def _upsert_stock(inventory: DataFrame, fold: DataFrame, overwrite_place: bool)
     after = j.select("inventory_id", *KEY, bin_.alias("h_bin_num"), rack.alias("h_rack_num"),
                      qty.alias("quantity"), "parcel_qty", code.alias("halstan_code"),
                      "_have", "_first")
-    kept = after.where(F.col("_have").isNotNull()).select(*INVENTORY_COLUMNS)
-    fresh = after.where(F.col("_have").isNull()).drop("inventory_id", "_have")
-    fresh = allocate_keys(fresh, "inventory_id", ["_first"], existing=inventory)
-    return kept.unionByName(fresh.select(*INVENTORY_COLUMNS))
+    if not assign_ids:
+        return after.select(*INVENTORY_COLUMNS)
+    # new rows are numbered in order of their first request; (_first, key)
+    # is a total order that also spreads the unchanged rows over partitions
+    keyed = allocate_keys(after, "inventory_id", ["_first", *KEY], existing=inventory,
+                          where=F.col("_have").isNull())
+    return keyed.select(*INVENTORY_COLUMNS)
 
 
-def replenish(requests: DataFrame, inventory: DataFrame) -> DataFrame:
+def replenish(requests: DataFrame, inventory: DataFrame, assign_ids: bool = True) -> DataFrame:
     """Upsert validated replenishments (seq, product_id, location_id,
     quantity, h_bin_num, h_rack_num, halstan_code) into stock.
 
@@ -250,7 +243,7 @@ def replenish(requests: DataFrame, inventory: DataFrame) -> DataFrame:
         F.max_by("h_rack_num", "seq").alias("_rack"),
         F.max_by("halstan_code", code_seq).alias("_code"),
         F.min("seq").alias("_first"))
-    return _upsert_stock(inventory, fold, overwrite_place=True)
+    return _upsert_stock(inventory, fold, overwrite_place=True, assign_ids=assign_ids)
 
 
 def undo_replenish(undo_ids: DataFrame, replenish_log: DataFrame,

@@ -448,10 +448,10 @@ def stock_reconcile(spark: SparkSession, d: str) -> DataFrame:
     feed and the (unlogged) replenishments: the keys that do not add up."""
     t = _t(spark, d)
     dl = deltas(t)
-    after_feed = L.apply_deltas(t.inventory, dl)
+    after_feed = L.apply_deltas(t.inventory, dl, assign_ids=False)
     checked = V.validate_replenish(t.replenish_requests, t.music_product, t.location)
     ok, _ = V.split_valid(checked)
-    actual = W.replenish(ok, after_feed)
+    actual = W.replenish(ok, after_feed, assign_ids=False)
     return L.reconcile(t.inventory, L.ledger_rows(dl, MOVEMENT_DATE), actual)
 
 
