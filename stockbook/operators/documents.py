@@ -87,11 +87,14 @@ def invoice_text(orders: DataFrame, customers: DataFrame, lines: DataFrame,
         (10, lit(head_row)),
         (11, lit(rule)),
     ]
-    entries = F.array(*[F.struct(lit(k).cast("bigint").alias("line_key"), t.alias("text"))
-                        for k, t in header_parts])
-    header = doc.select("order_id", F.explode(entries).alias("e")).select(
-        "order_id", lit(0).alias("section"), "e.line_key", "e.text"
-    ).where(F.col("text").isNotNull())
+    # header (section 0) and footer (section 2) come from one pass over doc
+    total_line = F.concat(lit(" " * (TOTAL_LABEL_WIDTH - len("TOTAL")) + "TOTAL "),
+                          _right(_money(F.col("total")), MONEY_WIDTH))
+    parts = [(0, k, t) for k, t in header_parts] + [(2, 0, lit(rule)), (2, 1, total_line)]
+    entries = F.array(*[F.struct(lit(sec).alias("section"), lit(k).cast("bigint").alias("line_key"),
+                                 t.alias("text")) for sec, k, t in parts])
+    framing = doc.select("order_id", F.explode(entries).alias("e")).select(
+        "order_id", "e.section", "e.line_key", "e.text").where(F.col("text").isNotNull())
 
     items = invoice_items(lines, products)
     title = F.col("title")
@@ -104,13 +107,6 @@ def invoice_text(orders: DataFrame, customers: DataFrame, lines: DataFrame,
     body = items.select("order_id", lit(1).alias("section"),
                         F.col("order_line_id").alias("line_key"), item_text.alias("text"))
 
-    footer_parts = F.array(
-        F.struct(lit(0).cast("bigint").alias("line_key"), lit(rule).alias("text")),
-        F.struct(lit(1).cast("bigint").alias("line_key"),
-                 F.concat(lit(" " * (TOTAL_LABEL_WIDTH - len("TOTAL")) + "TOTAL "),
-                          _right(_money(F.col("total")), MONEY_WIDTH)).alias("text")))
-    footer = doc.select("order_id", F.explode(footer_parts).alias("e")).select(
-        "order_id", lit(2).alias("section"), "e.line_key", "e.text")
-    return header.unionByName(body).unionByName(footer).select(
+    return framing.unionByName(body).select(
         "order_id", F.col("section").cast("int").alias("section"),
         F.col("line_key").cast("bigint").alias("line_key"), "text")

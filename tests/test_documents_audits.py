@@ -76,3 +76,17 @@ def test_audits_find_planted_violations(spark):
     ln = C.audit_lengths(spark.createDataFrame([("x" * 14,), ("ok",)], "isbn string"),
                          {"isbn": 13}, "music_product").collect()[0]
     assert (ln.max_length, ln.limit, ln.too_long) == (14, 13, 1)
+
+
+def test_audit_foreign_keys_many_at_once(spark):
+    child = spark.createDataFrame([(1, 10, 7), (2, 11, None), (3, 99, 8), (4, 99, 9)],
+                                  "id bigint, a bigint, b bigint")
+    pa = spark.createDataFrame([(10,), (11,)], "k bigint")
+    pb = spark.createDataFrame([(7,), (8,)], "k bigint")
+    tables = {"c": child, "pa": pa, "pb": pb}
+    fks = [("c", "a", "pa", "k"), ("c", "b", "pb", "k")]
+    got = {(r.column_name, r.parent_table, r.key_value, r.row_count)
+           for r in C.audit_foreign_keys(tables, fks).collect()}
+    assert got == {("a", "pa", "99", 2), ("b", "pb", "9", 1)}
+    single = {(r.key_value, r.row_count) for r in C.audit_fk(child, "a", pa, "k", "c", "pa").collect()}
+    assert single == {("99", 2)}
