@@ -4,8 +4,12 @@
 row into one task. Instead:
 
 1. range-partition the rows by the (total) order and sort each partition;
-2. checkpoint that result into the shared checkpoint folder, so its partition
-   boundaries and row order are fixed and survive executor loss;
+   the input is persisted (memory and disk) meanwhile, so the sampling pass
+   of the range partitioner and the shuffle read it once; lost blocks are
+   recomputed from lineage;
+2. checkpoint that result into the shared checkpoint folder: the sampled
+   range bounds differ from job to job, so the partitioning must be frozen
+   before rows are counted and numbered (this also survives executor loss);
 3. count the rows to be numbered per partition (one row per partition);
 4. key = base + rows in earlier partitions + position inside the partition.
 
@@ -22,6 +26,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from stockbook.session import shared_dir
 
@@ -50,18 +55,22 @@ def allocate_keys(rows: DataFrame, key: str, order_by: Sequence[str | Column],
     spark = rows.sparkSession
     start = current_max(existing, key) if base is None else int(base)
     shared_dir(spark)  # make sure the checkpoint folder is set
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(1, num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
     flag = "_alloc"
     marked = rows.withColumn(flag, F.lit(True) if where is None else F.coalesce(where, F.lit(False)))
-    ranged = (marked.repartitionByRange(max(1, n), *order_by)
-                    .sortWithinPartitions(*order_by)
-                    .checkpoint(eager=True))
+    marked = marked.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        # an explicit partition count is kept as is by AQE (never coalesced)
+        ranged = (marked.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by)
+                  .checkpoint(eager=True))
+    finally:
+        marked.unpersist()
     chosen = ranged.where(F.col(flag))
     pid = F.spark_partition_id()
     counts = {r["p"]: r["n"] for r in chosen.groupBy(pid.alias("p")).agg(
         F.count(F.lit(1)).alias("n")).collect()}
     offsets, running = [], start
-    for p in range(ranged.rdd.getNumPartitions()):
+    for p in range(n):
         offsets.append(running)
         running += counts.get(p, 0)
     offset = F.element_at(F.array(*[F.lit(o).cast("bigint") for o in offsets]),
