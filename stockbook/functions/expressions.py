@@ -44,9 +44,14 @@ def _c(col: ColumnLike) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+# The characters Python's str.strip() removes, derived from str.isspace().
+PY_WHITESPACE = "".join(ch for ch in map(chr, range(0x110000)) if ch.isspace())
+
+
 def strip(col: ColumnLike) -> Column:
-    """Remove leading/trailing white space (Spark's trim only removes blanks)."""
-    return F.regexp_replace(_c(col), r"^\s+|\s+$", "")
+    """Python's str.strip(): remove leading/trailing white space of every kind
+    (Spark's one-argument trim only removes blanks). A set trim, no regex."""
+    return F.btrim(_c(col), F.lit(PY_WHITESPACE))
 
 
 def is_blank(col: ColumnLike) -> Column:
