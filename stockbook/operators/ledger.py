@@ -133,6 +133,19 @@ def reconcile(opening: DataFrame, ledger: DataFrame, inventory: DataFrame) -> Da
     return out.where(F.col("difference") != 0)
 
 
+MAX_PREFIX_LENGTHS = 4096
+
+
+def _staged_lengths(staged: DataFrame) -> list[int] | None:
+    """Distinct lengths of the normalised staged titles, if there are at most
+    MAX_PREFIX_LENGTHS of them (checked); None means "expand every prefix"."""
+    rows = (staged.select(F.length("_norm").alias("n")).where(F.col("n") > 0).distinct()
+            .limit(MAX_PREFIX_LENGTHS + 1).collect())
+    if len(rows) > MAX_PREFIX_LENGTHS:
+        return None
+    return sorted(r["n"] for r in rows)
+
+
 def resolve_staging(staging: DataFrame, products: DataFrame) -> DataFrame:
     """Find the product of each staged stock row.
 
@@ -154,9 +167,13 @@ def resolve_staging(staging: DataFrame, products: DataFrame) -> DataFrame:
     by_code = F.when(F.col("_code_n") == 1, F.col("_code_pid"))
 
     norm = products.select("product_id", X.normalise_title("title").alias("_t"))
+    lengths = _staged_lengths(staged)
+    if lengths is None:
+        cut = F.sequence(F.lit(1), F.length("_t"))
+    else:  # only prefixes as long as some staged title can ever match
+        cut = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("_t"))
     prefixes = (norm.where(F.length("_t") > 0)
-                .select("product_id", F.explode(F.sequence(F.lit(1), F.length("_t"))).alias("_n"),
-                        "_t")
+                .select("product_id", F.explode(cut).alias("_n"), "_t")
                 .select("product_id", F.expr("substring(_t, 1, _n)").alias("_norm"))
                 .groupBy("_norm").agg(F.count(F.lit(1)).alias("_title_n"),
                                      F.min("product_id").alias("_title_pid")))

@@ -56,13 +56,27 @@ def run_ledger_stream(changes: DataFrame, movement_date, sink: str | None = None
     return f"{sink}/data"
 
 
-def run_stock_stream(changes: DataFrame, sink: str | None = None) -> str:
-    """Run X2 until the available input is processed; returns the sink path."""
+def run_stock_stream(changes: DataFrame, sink: str | None = None,
+                     opening: DataFrame | None = None) -> str:
+    """Run X2 until the available input is processed; returns the sink path.
+
+    With ``opening`` (stock rows), each micro-batch's updated keys are joined
+    to the opening quantities inside ``foreachBatch`` and written with the
+    current stock ``quantity = opening - net_delta``.
+    """
     spark = changes.sparkSession
     sink = sink or scratch_path(spark, "stock-stream")
     data = f"{sink}/data"
+    base = None
+    if opening is not None:
+        base = opening.groupBy("product_id", "location_id").agg(
+            F.sum("quantity").cast("bigint").alias("_open"))
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
+        if base is not None:
+            batch = batch.join(base, ["product_id", "location_id"], "left").select(
+                "product_id", "location_id", "net_delta",
+                (F.coalesce("_open", F.lit(0)) - F.col("net_delta")).cast("int").alias("quantity"))
         (batch.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
          .write.mode("overwrite").parquet(f"{data}/batch={batch_id}"))
 
@@ -74,7 +88,10 @@ def run_stock_stream(changes: DataFrame, sink: str | None = None) -> str:
 
 
 def read_stock_stream(spark: SparkSession, data: str) -> DataFrame:
-    """Latest running delta per key from the per-batch update files."""
+    """Latest running delta (and current stock, when written) per key from the
+    per-batch update files."""
     updates = spark.read.parquet(data)
-    return updates.groupBy("product_id", "location_id").agg(
-        F.max_by("net_delta", "batch_id").alias("net_delta"))
+    aggs = [F.max_by("net_delta", "batch_id").alias("net_delta")]
+    if "quantity" in updates.columns:
+        aggs.append(F.max_by("quantity", "batch_id").alias("quantity"))
+    return updates.groupBy("product_id", "location_id").agg(*aggs)

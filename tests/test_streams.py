@@ -58,3 +58,22 @@ def test_stream_results_equal_batch(spark, tmp_dir):
     want = {(r.product_id, r.location_id): r.net_delta
             for r in L.net_deltas(L.change_delta(batch_feed)).collect()}
     assert got == want
+
+
+def test_stream_stock_with_opening_equals_batch_apply(spark, tmp_dir):
+    from tests import seed
+    src = os.path.join(tmp_dir, "src")
+    os.makedirs(src)
+    _write_event_files(src, n_files=2, per_file=30, seed=11)
+    opening = seed.inventory_df(spark, [(1, 1, 2, None, None, 40, None, None),
+                                        (2, 3, 1, None, None, 9, None, None)])
+    stream = X.read_change_stream(spark, src, "events-*.parquet", B.stream_feed_source)
+    data = X.run_stock_stream(stream, sink=os.path.join(tmp_dir, "stock"), opening=opening)
+    got = {(r.product_id, r.location_id): r.quantity for r in X.read_stock_stream(spark, data).collect()}
+    batch_feed = B.stream_feed_source(spark, spark.read.schema(X.EVENTS_SCHEMA).parquet(
+        *[os.path.join(src, f"events-{i}.parquet") for i in range(2)]))
+    want = {(r.product_id, r.location_id): r.quantity
+            for r in L.apply_deltas(opening, L.change_delta(batch_feed)).collect()}
+    # keys untouched by the stream keep their opening stock and are not rewritten
+    assert {k: v for k, v in want.items() if k in got} == got
+    assert set(want) - set(got) <= {(1, 2), (3, 1)}
