@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockbook.functions import expressions as X
+from stockbook.sources.schemas import MONEY as MONEY_T
 
 
 def _first_failure(checks: Sequence[tuple[Column, str]]) -> Column:
@@ -47,33 +48,69 @@ def validate_keys(raw: DataFrame, raw_col: str, out_col: str,
     return raw.select(*keep, X.parse_int(raw_col).alias(out_col), reason.alias("reason"))
 
 
+_INT_RE = X._INT_PATTERN
+_DEC_RE = X._DEC_PATTERN
+
+
+def _stripped(raw: DataFrame, fields: Sequence[str], keep: Sequence[str] = ("seq",)) -> DataFrame:
+    """One projection that strips every field once (``_s_<field>``)."""
+    return raw.select(*keep, *[X.strip(c).alias(f"_s_{c}") for c in fields])
+
+
+def _s(c: str) -> Column:
+    return F.col(f"_s_{c}")
+
+
+def _blank(c: str) -> Column:
+    return F.coalesce(_s(c) == F.lit(""), F.lit(True))
+
+
+def _int_ok(c: str) -> Column:
+    return F.coalesce(_s(c).rlike(_INT_RE), F.lit(False))
+
+
+def _int_value(c: str, ok: Column, dtype: str = "bigint") -> Column:
+    return F.when(ok, F.regexp_replace(_s(c), "_", "").try_cast(dtype))
+
+
 def validate_order_lines(raw: DataFrame) -> DataFrame:
     """V1: raw add-line requests (order_id, product_id, quantity, price,
-    location_id as text) -> typed columns + reason."""
-    price_none = F.lower(X.strip("price")) == F.lit("none")
+    location_id as text) -> typed columns + reason.
+
+    Three narrow projections: strip each field once, test each pattern once,
+    then pick the first failing check from plain boolean columns.
+    """
+    ints = ["order_id", "product_id", "quantity", "location_id"]
+    st = _stripped(raw, [*ints, "price"]).withColumn(
+        "_p", X.strip(F.regexp_replace(_s("price"), "[$,]", "")))
+    flags = st.select(
+        "*", *[_int_ok(c).alias(f"_ok_{c}") for c in ints],
+        F.coalesce(F.col("_p").rlike(_DEC_RE), F.lit(False)).alias("_ok_price"))
+    typed = flags.select(
+        "*",
+        _int_value("order_id", F.col("_ok_order_id")).alias("order_id"),
+        _int_value("product_id", F.col("_ok_product_id")).alias("product_id"),
+        _int_value("quantity", F.col("_ok_quantity"), "int").alias("quantity"),
+        F.when(F.col("_ok_price"), F.regexp_replace("_p", "_", "").try_cast(MONEY_T))
+         .alias("product_price"),
+        _int_value("location_id", F.col("_ok_location_id")).alias("fulfilled_from_location_id"))
     reason = _first_failure([
-        (X.is_blank("order_id"), "order_id required"),
-        (X.is_blank("product_id"), "product_id required"),
-        (X.is_blank("quantity"), "quantity required"),
-        (X.is_blank("price"), "price required"),
-        (price_none, "price not set in catalogue"),
-        (X.is_blank("location_id"), "location_id required"),
-        (~X.parses_as_int("order_id"), "order_id not an integer"),
-        (~X.parses_as_int("product_id"), "product_id not an integer"),
-        (~X.parses_as_int("quantity"), "quantity not an integer"),
-        (~X.parses_as_number("price"), "price not a number"),
-        (~X.parses_as_int("location_id"), "location_id not an integer"),
-        (X.clean_price("price").isNull(), "price out of range"),
-        (X.parse_int("quantity", "int").isNull(), "quantity out of range"),
+        (_blank("order_id"), "order_id required"),
+        (_blank("product_id"), "product_id required"),
+        (_blank("quantity"), "quantity required"),
+        (_blank("price"), "price required"),
+        (F.lower(_s("price")) == F.lit("none"), "price not set in catalogue"),
+        (_blank("location_id"), "location_id required"),
+        (~F.col("_ok_order_id"), "order_id not an integer"),
+        (~F.col("_ok_product_id"), "product_id not an integer"),
+        (~F.col("_ok_quantity"), "quantity not an integer"),
+        (~F.col("_ok_price"), "price not a number"),
+        (~F.col("_ok_location_id"), "location_id not an integer"),
+        (F.col("product_price").isNull(), "price out of range"),
+        (F.col("quantity").isNull(), "quantity out of range"),
     ])
-    return raw.select(
-        "seq",
-        X.parse_int("order_id").alias("order_id"),
-        X.parse_int("product_id").alias("product_id"),
-        X.parse_int("quantity", "int").alias("quantity"),
-        X.clean_price("price").alias("product_price"),
-        X.parse_int("location_id").alias("fulfilled_from_location_id"),
-        reason.alias("reason"))
+    return typed.select("seq", "order_id", "product_id", "quantity", "product_price",
+                        "fulfilled_from_location_id", reason.alias("reason"))
 
 
 CUSTOMER_FIELDS: tuple[str, ...] = ("first_name", "last_name", "email_addr", "phone",
@@ -102,26 +139,37 @@ TRUE_WORDS: tuple[str, ...] = ("true", "t", "1", "yes", "y", "on")
 
 def validate_products(raw: DataFrame) -> DataFrame:
     """V3: product form -> typed product columns (+ ``categories`` array when
-    the request carries a ';'-separated ``categories`` text) and reason."""
-    checks: list[tuple[Column, str]] = [(X.is_blank("title"), "title required")]
-    for c in PRODUCT_INT_FIELDS:
-        checks.append((~X.is_blank(c) & ~X.parses_as_int(c), f"{c} not an integer"))
-    checks += [(~X.is_blank(c) & X.parse_int(c, "int").isNull(), f"{c} out of range")
+    the request carries a ';'-separated ``categories`` text) and reason.
+
+    Every field is stripped once and every integer pattern tested once."""
+    fields = ["title", *PRODUCT_TEXT_FIELDS, *PRODUCT_CHOICE_FIELDS, *PRODUCT_INT_FIELDS,
+              *PRODUCT_FLAG_FIELDS]
+    keep = [c for c in ("seq", "product_id") if c in raw.columns]
+    extra = ["categories"] if "categories" in raw.columns else []
+    st = _stripped(raw, fields, keep=[*keep, *extra])
+    flags = st.select("*", *[_int_ok(c).alias(f"_ok_{c}") for c in PRODUCT_INT_FIELDS])
+    typed = flags.select("*", *[
+        F.when(_blank(c), F.lit(None).cast("int"))
+         .otherwise(_int_value(c, F.col(f"_ok_{c}"), "int")).alias(f"_v_{c}")
+        for c in PRODUCT_INT_FIELDS])
+    checks: list[tuple[Column, str]] = [(_blank("title"), "title required")]
+    checks += [(~_blank(c) & ~F.col(f"_ok_{c}"), f"{c} not an integer") for c in PRODUCT_INT_FIELDS]
+    checks += [(~_blank(c) & F.col(f"_v_{c}").isNull(), f"{c} out of range")
                for c in PRODUCT_INT_FIELDS]
-    cols = [X.strip("title").alias("title")]
-    cols += [X.blank_to_null(c).alias(c) for c in PRODUCT_TEXT_FIELDS]
-    cols += [X.choice_to_null(c).alias(c) for c in PRODUCT_CHOICE_FIELDS]
-    cols += [F.when(X.is_blank(c), F.lit(None).cast("int"))
-             .otherwise(X.parse_int(c, "int")).alias(c) for c in PRODUCT_INT_FIELDS]
-    cols += [F.coalesce(F.lower(X.strip(c)).isin(*TRUE_WORDS), F.lit(False)).alias(c)
+    cols = [_s("title").alias("title")]
+    cols += [F.when(_s(c) == F.lit(""), F.lit(None).cast("string")).otherwise(_s(c)).alias(c)
+             for c in PRODUCT_TEXT_FIELDS]
+    cols += [F.when(_s(c).isin("", X.NONE_CHOICE), F.lit(None).cast("string"))
+             .otherwise(_s(c)).alias(c) for c in PRODUCT_CHOICE_FIELDS]
+    cols += [F.col(f"_v_{c}").alias(c) for c in PRODUCT_INT_FIELDS]
+    cols += [F.coalesce(F.lower(_s(c)).isin(*TRUE_WORDS), F.lit(False)).alias(c)
              for c in PRODUCT_FLAG_FIELDS]
-    if "categories" in raw.columns:
+    if extra:
         names = F.transform(F.split(F.coalesce(F.col("categories"), F.lit("")), ";"),
-                            lambda s: X.strip(s))
-        cols.append(F.array_distinct(F.filter(names, lambda s: s != F.lit("")))
+                            lambda v: X.strip(v))
+        cols.append(F.array_distinct(F.filter(names, lambda v: v != F.lit("")))
                     .alias("categories"))
-    keep = [c for c in ("seq", "product_id") if c in raw.columns]
-    return raw.select(*keep, *cols, _first_failure(checks).alias("reason"))
+    return typed.select(*keep, *cols, _first_failure(checks).alias("reason"))
 
 
 def validate_replenish(raw: DataFrame, products: DataFrame,

@@ -37,8 +37,26 @@ LOCATIONS: list[tuple[int, str]] = [
 LONG_TITLE_MIDDLE = " - complete edition with full score and all parts"
 
 
+# Declared schemas of the driver's test tables (never inferred: no footer
+# reads for schema discovery, and a changed file type fails loudly).
+RAW_SCHEMAS: dict[str, str] = {
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int,"
+            " p_retailprice double",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double,"
+                " c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,"
+              " o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int,"
+                " l_quantity double, l_extendedprice double, l_discount double, l_tax double,"
+                " l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string,"
+              " value double, props string",
+}
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spark.read.schema(RAW_SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def category(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
