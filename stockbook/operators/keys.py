@@ -14,10 +14,10 @@ row into one task. Instead:
 4. key = base + rows in earlier partitions + position inside the partition.
 
 Only the per-partition counts (bounded by the partition count) and the
-current maximum reach the driver. With ``where``, all rows are checkpointed
-once but only the matching ones are numbered, so callers that also report
+current maximum reach the driver. With ``where``, callers that also return
 the other rows (rejected requests, unchanged stock) read them from the same
-checkpoint instead of recomputing their inputs.
+checkpoint instead of recomputing their inputs; with ``few=True`` the rows
+that keep their key are frozen without being shuffled at all.
 """
 
 from __future__ import annotations
@@ -43,29 +43,38 @@ def current_max(existing: DataFrame | None, key: str) -> int:
 
 def allocate_keys(rows: DataFrame, key: str, order_by: Sequence[str | Column],
                   existing: DataFrame | None = None, base: int | None = None,
-                  where: Column | None = None, num_partitions: int | None = None) -> DataFrame:
+                  where: Column | None = None, few: bool = False,
+                  num_partitions: int | None = None) -> DataFrame:
     """Number rows ``base + 1, base + 2, ...`` into ``key`` in ``order_by`` order.
 
-    ``order_by`` must be a total order of the numbered rows (ties would make
-    the numbering depend on the run). ``base`` defaults to the maximum of
-    ``key`` in ``existing`` (0 when empty or absent). With ``where`` only the
-    rows satisfying it are numbered; the others are returned too, keeping
-    their own ``key`` value if they have that column (else NULL).
+    ``order_by`` must be a total order of the rows (ties would make the
+    numbering depend on the run). ``base`` defaults to the maximum of ``key``
+    in ``existing`` (0 when empty or absent). With ``where`` only the rows
+    satisfying it are numbered; the others are returned too, keeping their own
+    ``key`` value if they have that column (else NULL).
+
+    ``few=True`` says that only a small part of the rows is numbered (new stock
+    rows among existing ones): all rows are then checkpointed as they are and
+    only the numbered ones are range partitioned. Otherwise (request batches,
+    mostly accepted) all rows are range partitioned and checkpointed once.
     """
     spark = rows.sparkSession
     start = current_max(existing, key) if base is None else int(base)
     shared_dir(spark)  # make sure the checkpoint folder is set
     n = max(1, num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
     flag = "_alloc"
-    marked = rows.withColumn(flag, F.lit(True) if where is None else F.coalesce(where, F.lit(False)))
-    marked = marked.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        # an explicit partition count is kept as is by AQE (never coalesced)
-        ranged = (marked.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by)
-                  .checkpoint(eager=True))
-    finally:
-        marked.unpersist()
-    chosen = ranged.where(F.col(flag))
+    others = None
+    if where is None:
+        chosen = _frozen_range(rows, order_by, n)
+    elif few:
+        fixed = rows.withColumn(flag, F.coalesce(where, F.lit(False))).checkpoint(eager=True)
+        chosen = _frozen_range(fixed.where(F.col(flag)).drop(flag), order_by, n)
+        others = fixed.where(~F.col(flag)).drop(flag)
+    else:
+        ranged = _frozen_range(rows.withColumn(flag, F.coalesce(where, F.lit(False))),
+                               order_by, n)
+        chosen = ranged.where(F.col(flag)).drop(flag)
+        others = ranged.where(~F.col(flag)).drop(flag)
     pid = F.spark_partition_id()
     counts = {r["p"]: r["n"] for r in chosen.groupBy(pid.alias("p")).agg(
         F.count(F.lit(1)).alias("n")).collect()}
@@ -75,12 +84,22 @@ def allocate_keys(rows: DataFrame, key: str, order_by: Sequence[str | Column],
         running += counts.get(p, 0)
     offset = F.element_at(F.array(*[F.lit(o).cast("bigint") for o in offsets]),
                           (pid + 1).cast("int"))
-    # evaluated above the filter: counts only the chosen rows of the partition
+    # evaluated above the filter: counts only the chosen rows of a partition
     position = F.monotonically_increasing_id() - F.shiftleft(pid.cast("bigint"), _SHIFT)
-    numbered = chosen.withColumn(key, (offset + position + 1).cast("bigint")).drop(flag)
-    if where is None:
+    numbered = chosen.withColumn(key, (offset + position + 1).cast("bigint"))
+    if others is None:
         return numbered
-    others = ranged.where(~F.col(flag)).drop(flag)
     if key not in others.columns:
         others = others.withColumn(key, F.lit(None).cast("bigint"))
     return numbered.unionByName(others.select(*numbered.columns))
+
+
+def _frozen_range(rows: DataFrame, order_by: Sequence[str | Column], n: int) -> DataFrame:
+    """Range partition + sort, checkpointed so the partitioning is fixed."""
+    cached = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        # an explicit partition count is kept as is by AQE (never coalesced)
+        return (cached.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by)
+                .checkpoint(eager=True))
+    finally:
+        cached.unpersist()

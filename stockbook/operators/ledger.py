@@ -104,7 +104,7 @@ def apply_deltas(inventory: DataFrame, deltas: DataFrame, assign_ids: bool = Tru
     if not assign_ids:
         return updated.select(*INVENTORY_COLUMNS)
     keyed = allocate_keys(updated, "inventory_id", KEY, existing=inventory,
-                          where=F.col("_have").isNull())
+                          where=F.col("_have").isNull(), few=True)
     return keyed.select(*INVENTORY_COLUMNS)
 
 

@@ -224,7 +224,7 @@ def _upsert_stock(inventory: DataFrame, fold: DataFrame, overwrite_place: bool,
     # new rows are numbered in order of their first request; (_first, key)
     # is a total order that also spreads the unchanged rows over partitions
     keyed = allocate_keys(after, "inventory_id", ["_first", *KEY], existing=inventory,
-                          where=F.col("_have").isNull())
+                          where=F.col("_have").isNull(), few=True)
     return keyed.select(*INVENTORY_COLUMNS)
 
 

@@ -199,12 +199,17 @@ def test_append_fills_defaults_and_publish_versions(spark, tmp_dir):
     assert spark.read.parquet(v2).count() == 1
 
 
-def test_allocate_keys_stable_when_range_bounds_are_sampled(spark):
+import pytest  # noqa: E402
+
+
+@pytest.mark.parametrize("few", [False, True])
+def test_allocate_keys_stable_when_range_bounds_are_sampled(spark, few):
     # large enough that the range partitioner samples (not takes) its bounds
     n = 300_000
     df = (spark.range(0, n, numPartitions=8)
           .select(((F.col("id") * 7919) % n).alias("seq"), (F.col("id") % 2 == 0).alias("ok")))
-    out = allocate_keys(df, "k", ["seq"], base=100, where=F.col("ok"), num_partitions=16)
+    out = allocate_keys(df, "k", ["seq"], base=100, where=F.col("ok"), few=few,
+                        num_partitions=16)
     chosen = out.where(F.col("ok")).select("seq", "k").toPandas().sort_values("seq")
     assert len(chosen) == n // 2
     assert list(chosen["k"]) == list(range(101, 101 + len(chosen)))
