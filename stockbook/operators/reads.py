@@ -13,7 +13,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from stockbook.functions import expressions as X
 from stockbook.sources.schemas import TOTAL
@@ -270,9 +269,3 @@ def sort_rows(df: DataFrame, *cols: str) -> DataFrame:
     """O1: total sort (binary string order); add a key column to break ties."""
     return df.orderBy(*cols)
 
-
-def empty_like(df: DataFrame) -> DataFrame:
-    return df.sparkSession.createDataFrame([], df.schema)
-
-
-__all__ = [n for n in dir() if not n.startswith("_") and n not in {"T", "F", "X"}]

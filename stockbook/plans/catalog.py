@@ -39,9 +39,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
-def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
-    return fn
+def query(fn: Query | None = None, *, name: str | None = None):
+    """Register a query under its function name (or ``name``)."""
+    def register(f: Query) -> Query:
+        QUERIES[name or f.__name__] = f
+        return f
+    return register(fn) if fn is not None else register
 
 
 class Tables:
@@ -256,8 +259,8 @@ def sort_rows(spark: SparkSession, d: str) -> DataFrame:
 
 # ------------------------------------------------------------- W
 
-@query
-def allocate_keys_(spark: SparkSession, d: str) -> DataFrame:
+@query(name="allocate_keys")
+def allocate_line_keys(spark: SparkSession, d: str) -> DataFrame:
     """Line ids for every add-line request, above the current maximum."""
     t = _t(spark, d)
     keyed = allocate_keys(t.raw_order_line_requests.select("seq"), "order_line_id", ["seq"],
@@ -265,8 +268,6 @@ def allocate_keys_(spark: SparkSession, d: str) -> DataFrame:
     return keyed.select("seq", "order_line_id")
 
 
-QUERIES["allocate_keys"] = QUERIES.pop("allocate_keys_")
-
 
 @query
 def create_orders(spark: SparkSession, d: str) -> DataFrame:
