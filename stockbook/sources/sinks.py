@@ -15,13 +15,34 @@ from pyspark.sql import functions as F
 
 from stockbook.sources.schemas import TABLES
 
-# Column defaults of the model.
+# Constant column defaults of the model.
 DEFAULTS: dict[str, dict[str, object]] = {
     "order_line": {"quantity": 1},
     "inventory": {"quantity": 0},
 }
 
 
+def defaults_for(name: str, now: object | Column | None = None,
+                 today: object | Column | None = None) -> dict[str, object | Column]:
+    """All defaults of a table: the constants above plus the time defaults
+    (movement_date = now, order_date = today). Pass ``now`` / ``today`` to make
+    a run repeatable; otherwise the query's current time is used."""
+    out: dict[str, object | Column] = dict(DEFAULTS.get(name, {}))
+    if name == "inventory_movement":
+        out["movement_date"] = _as_column(now, "timestamp_ntz", F.localtimestamp())
+    if name == "orders":
+        out["order_date"] = _as_column(today, "date", F.current_date())
+    return out
+
+
+def _as_column(value: object | Column | None, dtype: str, default: Column) -> Column:
+    if value is None:
+        return default
+    if isinstance(value, Column):
+        return value
+    return F.lit(str(value)).cast(dtype)
+
+
 def with_defaults(df: DataFrame, defaults: Mapping[str, object | Column]) -> DataFrame:
     """Fill NULLs of the given columns with their defaults (literal or column)."""
     out = []
@@ -46,7 +67,7 @@ def append_to(batch: DataFrame, path: str, name: str,
               defaults: Mapping[str, object | Column] | None = None) -> None:
     """S2 to storage: ``write.mode('append')`` with the model schema."""
     cols = [f.name for f in TABLES[name].fields]
-    with_defaults(batch.select(*cols), defaults or DEFAULTS.get(name, {})).write.mode(
+    with_defaults(batch.select(*cols), defaults or defaults_for(name)).write.mode(
         "append").parquet(path)
 
 

@@ -213,3 +213,16 @@ def test_allocate_keys_stable_when_range_bounds_are_sampled(spark, few):
     chosen = out.where(F.col("ok")).select("seq", "k").toPandas().sort_values("seq")
     assert len(chosen) == n // 2
     assert list(chosen["k"]) == list(range(101, 101 + len(chosen)))
+
+
+def test_time_defaults(spark):
+    from stockbook.sources.schemas import MOVEMENT, ORDERS
+    led = spark.createDataFrame([(1, 5, 1, None, 2, "sale", None, "order 1")], MOVEMENT.simpleString()
+                                .replace("struct<", "").rstrip(">").replace(":", " "))
+    out = sinks.with_defaults(led, sinks.defaults_for("inventory_movement",
+                                                      now="2025-12-06 10:00:00")).collect()[0]
+    assert str(out.movement_date) == "2025-12-06 10:00:00"
+    o = spark.createDataFrame([(1, None, 2, None, None, None, None, None)], ORDERS)
+    r = sinks.with_defaults(o, sinks.defaults_for("orders")).collect()[0]
+    assert r.order_date is not None
+    assert sinks.defaults_for("order_line") == {"quantity": 1}
