@@ -140,6 +140,21 @@ def in_category(products: DataFrame, junction: DataFrame, category: DataFrame,
     return products.join(members, "product_id", "left_semi")
 
 
+def customer_orders_lines(customers: DataFrame, orders: DataFrame,
+                          lines: DataFrame) -> DataFrame:
+    """J5 (helper): customer LEFT JOIN orders LEFT JOIN order lines, keeping
+    customers without orders and orders without lines (one row per line).
+
+    A2 does not need this row-level form (it aggregates lines per order
+    first); it is the direct form the two-level result is checked against.
+    """
+    o = orders.select("order_id", "customer_id")
+    return (customers.select("customer_id", "first_name", "last_name")
+            .join(o, "customer_id", "left")
+            .join(X.with_line_total(lines).select("order_id", "order_line_id", "line_total"),
+                  "order_id", "left"))
+
+
 # ------------------------------------------------------------ A: aggregates
 
 def _order_sums(lines: DataFrame) -> DataFrame:

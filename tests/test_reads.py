@@ -31,9 +31,7 @@ def test_customer_order_summary_golden(spark):
 def test_customer_summary_two_level_equals_count_distinct(spark):
     customers, orders, lines = (seed.customers_df(spark), seed.orders_df(spark),
                                 seed.lines_df(spark))
-    from stockbook.functions.expressions import with_line_total
-    direct = (customers.join(orders, "customer_id", "left")
-              .join(with_line_total(lines), "order_id", "left")
+    direct = (R.customer_orders_lines(customers, orders, lines)
               .groupBy("customer_id").agg(F.countDistinct("order_id").alias("n"),
                                           F.coalesce(F.sum("line_total"), F.lit(0)).alias("s")))
     a = {r.customer_id: (r.n, Decimal(r.s)) for r in direct.collect()}
