@@ -71,59 +71,54 @@ def _s(c: Column) -> Column:
     return c.cast("string")
 
 
-def product_title(p_partkey: Column, p_name: Column) -> Column:
-    middle = F.when(p_partkey % 5 == 0, F.lit(LONG_TITLE_MIDDLE)).otherwise(F.lit(""))
-    return F.concat(p_name, middle, F.lit(" No. "), _s(p_partkey))
-
-
 def _location_of(suppkey: Column) -> Column:
     return F.when(suppkey % 11 == 0, F.lit(None).cast("bigint")).otherwise(1 + suppkey % 4)
 
 
+# The projections below are Spark SQL expressions: one parse per column on the
+# JVM side instead of hundreds of small Python-to-JVM calls per binding.
+_TITLE_SQL = ("concat(p_name, CASE WHEN p_partkey % 5 = 0 THEN '" + LONG_TITLE_MIDDLE
+              + "' ELSE '' END, ' No. ', CAST(p_partkey AS STRING))")
+_TOTAL_SQL = ("((p_size % 12 + 1) * 60 + p_partkey % 60"
+              " + CASE WHEN 1 + p_size % 3 >= 2 THEN (p_size % 7 + 2) * 60 + 30 ELSE 0 END"
+              " + CASE WHEN 1 + p_size % 3 >= 3 THEN (p_partkey % 9 + 1) * 60 + 5 ELSE 0 END)")
+_LOC_SQL = "CASE WHEN l_suppkey % 11 = 0 THEN CAST(NULL AS BIGINT) ELSE 1 + l_suppkey % 4 END"
+_CODE_SQL = "CASE WHEN p_partkey % 2 = 0 THEN concat('W', CAST(p_partkey AS STRING)) END"
+
+
 def music_product(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _read(spark, sf_dir, "part")
-    k, size = F.col("p_partkey"), F.col("p_size")
-    n = 1 + size % 3
-    m1 = F.concat(_s(size % 12 + 1), F.lit(":"), F.lpad(_s(k % 60), 2, "0"))
-    m2 = F.concat(_s(size % 7 + 2), F.lit(":30"))
-    m3 = F.concat(_s(k % 9 + 1), F.lit(":05"))
-    listing = F.concat(
-        F.lit("["), m1,
-        F.when(n >= 2, F.concat(F.lit("; "), m2)).otherwise(F.lit("")),
-        F.when(n >= 3, F.concat(F.lit("; "), m3)).otherwise(F.lit("")),
-        F.lit("]"))
-    has_duration = k % 29 != 0
-    total = ((size % 12 + 1) * 60 + k % 60
-             + F.when(n >= 2, (size % 7 + 2) * 60 + 30).otherwise(0)
-             + F.when(n >= 3, (k % 9 + 1) * 60 + 5).otherwise(0))
-    stored_seconds = total + F.when(k % 13 == 0, 60).otherwise(0)
-    formatted = F.concat(_s(F.floor(total / 60)), F.lit(":"), F.lpad(_s(total % 60), 2, "0"))
-    null_s = F.lit(None).cast("string")
-    return p.select(
-        k.alias("product_id"),
-        product_title(k, F.col("p_name")).alias("title"),
-        F.when(has_duration, listing).alias("duration"),
-        F.when(has_duration, n).cast("int").alias("no_of_movements"),
-        F.when(has_duration, stored_seconds).cast("int").alias("duration_seconds"),
-        F.when(has_duration & (k % 17 != 0), formatted).alias("duration_formatted"),
-        F.when(k % 23 != 0, F.concat(F.lit("$"), _s(F.col("p_retailprice").cast(S.MONEY)),
-                                     F.lit(" "))).alias("price"),
-        null_s.alias("ismn"),
-        (k % 37 == 0).alias("is_duplicate"),
-        k.cast("int").alias("work_id"),
-        (size < 10).alias("not_difficult"),
-        F.lit(False).alias("rentable"),
-        F.when(k % 2 == 0, F.concat(F.lit("W"), _s(k))).alias("halstan_code"),
-        F.col("p_brand").alias("composer"),
-        F.when(size % 10 == 0, F.concat(F.lit("Editor "), F.col("p_brand"))).alias("librettist_1"),
-        null_s.alias("librettist_2"),
-        F.when(size % 3 == 0, F.lit("print")).when(size % 3 == 1, F.lit("audio"))
-         .alias("media"),
-        null_s.alias("sheet_music_plus_sku"),
-        null_s.alias("score_type"),
-        (F.lit(1950) + size).cast("int").alias("publication_year"),
-        null_s.alias("isbn"),
-        F.col("p_type").alias("product_type"),
+    no_duration = "p_partkey % 29 = 0"
+    return _read(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS product_id",
+        f"{_TITLE_SQL} AS title",
+        f"""CASE WHEN NOT ({no_duration}) THEN concat(
+              '[', CAST(p_size % 12 + 1 AS STRING), ':', lpad(CAST(p_partkey % 60 AS STRING), 2, '0'),
+              CASE WHEN 1 + p_size % 3 >= 2 THEN concat('; ', CAST(p_size % 7 + 2 AS STRING), ':30') ELSE '' END,
+              CASE WHEN 1 + p_size % 3 >= 3 THEN concat('; ', CAST(p_partkey % 9 + 1 AS STRING), ':05') ELSE '' END,
+              ']') END AS duration""",
+        f"CAST(CASE WHEN NOT ({no_duration}) THEN 1 + p_size % 3 END AS INT) AS no_of_movements",
+        f"""CAST(CASE WHEN NOT ({no_duration}) THEN {_TOTAL_SQL}
+              + CASE WHEN p_partkey % 13 = 0 THEN 60 ELSE 0 END END AS INT) AS duration_seconds""",
+        f"""CASE WHEN NOT ({no_duration}) AND p_partkey % 17 <> 0 THEN concat(
+              CAST({_TOTAL_SQL} div 60 AS STRING), ':', lpad(CAST({_TOTAL_SQL} % 60 AS STRING), 2, '0'))
+              END AS duration_formatted""",
+        """CASE WHEN p_partkey % 23 <> 0 THEN
+              concat('$', CAST(CAST(p_retailprice AS DECIMAL(10,2)) AS STRING), ' ') END AS price""",
+        "CAST(NULL AS STRING) AS ismn",
+        "p_partkey % 37 = 0 AS is_duplicate",
+        "CAST(p_partkey AS INT) AS work_id",
+        "p_size < 10 AS not_difficult",
+        "false AS rentable",
+        f"{_CODE_SQL} AS halstan_code",
+        "p_brand AS composer",
+        "CASE WHEN p_size % 10 = 0 THEN concat('Editor ', p_brand) END AS librettist_1",
+        "CAST(NULL AS STRING) AS librettist_2",
+        "CASE WHEN p_size % 3 = 0 THEN 'print' WHEN p_size % 3 = 1 THEN 'audio' END AS media",
+        "CAST(NULL AS STRING) AS sheet_music_plus_sku",
+        "CAST(NULL AS STRING) AS score_type",
+        "CAST(1950 + p_size AS INT) AS publication_year",
+        "CAST(NULL AS STRING) AS isbn",
+        "p_type AS product_type",
     )
 
 
@@ -139,30 +134,29 @@ def product_category_junction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _read(spark, sf_dir, "customer")
     n = _read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    k = F.col("c_custkey")
-    return c.join(n, c.c_nationkey == n.n_nationkey, "left").select(
-        k.alias("customer_id"),
-        F.when(k % 7 != 0, F.col("c_mktsegment")).alias("first_name"),
-        F.col("c_name").alias("last_name"),
-        F.concat(F.lit("c"), _s(k), F.lit("@example.com")).alias("email_addr"),
-        F.when(k % 3 != 0, F.concat(F.lit("555-"), F.lpad(_s(k % 10000), 4, "0"))).alias("phone"),
-        F.concat(_s(k), F.lit(" Main Street")).alias("street_address"),
-        F.concat(F.lit("Town "), _s(F.col("c_nationkey"))).alias("town"),
-        F.when(k % 9 == 0, F.lit("")).otherwise(F.lpad(_s(k % 100000), 5, "0")).alias("zip"),
-        F.col("n_name").alias("country"),
+    return c.join(n, c.c_nationkey == n.n_nationkey, "left").selectExpr(
+        "c_custkey AS customer_id",
+        "CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment END AS first_name",
+        "c_name AS last_name",
+        "concat('c', CAST(c_custkey AS STRING), '@example.com') AS email_addr",
+        "CASE WHEN c_custkey % 3 <> 0 THEN concat('555-', lpad(CAST(c_custkey % 10000 AS STRING), 4, '0')) END AS phone",
+        "concat(CAST(c_custkey AS STRING), ' Main Street') AS street_address",
+        "concat('Town ', CAST(c_nationkey AS STRING)) AS town",
+        "CASE WHEN c_custkey % 9 = 0 THEN '' ELSE lpad(CAST(c_custkey % 100000 AS STRING), 5, '0') END AS zip",
+        "n_name AS country",
     )
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _read(spark, sf_dir, "orders")
-    null_s = F.lit(None).cast("string")
-    return o.select(
-        F.col("o_orderkey").alias("order_id"),
-        F.col("o_orderdate").cast("date").alias("order_date"),
-        F.when(F.col("o_custkey") % 10 != 0, F.col("o_custkey")).alias("customer_id"),
-        F.lit(None).cast("date").alias("inv_pull_date"),
-        null_s.alias("billing_address"), null_s.alias("billing_country"),
-        null_s.alias("billing_street"), null_s.alias("billing_zip"),
+    return _read(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS order_id",
+        "CAST(o_orderdate AS DATE) AS order_date",
+        "CASE WHEN o_custkey % 10 <> 0 THEN o_custkey END AS customer_id",
+        "CAST(NULL AS DATE) AS inv_pull_date",
+        "CAST(NULL AS STRING) AS billing_address",
+        "CAST(NULL AS STRING) AS billing_country",
+        "CAST(NULL AS STRING) AS billing_street",
+        "CAST(NULL AS STRING) AS billing_zip",
     )
 
 
@@ -190,13 +184,13 @@ def _line_id(df_orderkey: Column, linenumber: Column) -> Column:
 
 def order_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = line_versions(spark, sf_dir).where(F.col("version") == F.col("n_versions"))
-    return v.select(
-        _line_id(F.col("l_orderkey"), F.col("l_linenumber")).alias("order_line_id"),
-        F.col("l_orderkey").alias("order_id"),
-        F.col("l_partkey").alias("product_id"),
-        F.col("l_extendedprice").cast(S.MONEY).alias("product_price"),
-        F.col("l_quantity").cast("int").alias("quantity"),
-        _location_of(F.col("l_suppkey")).alias("fulfilled_from_location_id"),
+    return v.selectExpr(
+        "l_orderkey * 10 + l_linenumber AS order_line_id",
+        "l_orderkey AS order_id",
+        "l_partkey AS product_id",
+        "CAST(l_extendedprice AS DECIMAL(10,2)) AS product_price",
+        "CAST(l_quantity AS INT) AS quantity",
+        f"{_LOC_SQL} AS fulfilled_from_location_id",
     )
 
 
@@ -238,38 +232,31 @@ def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Opening stock: location 1 for most products, location 2 for some."""
     p = _read(spark, sf_dir, "part")
-    k, size = F.col("p_partkey"), F.col("p_size")
-    code = F.when(k % 2 == 0, F.concat(F.lit("W"), _s(k)))
-
-    def at(loc: int, qty: Column, rack: Column) -> DataFrame:
-        return p.select(
-            (k * 10 + loc).alias("inventory_id"), k.alias("product_id"),
-            F.lit(loc).cast("bigint").alias("location_id"),
-            _s(size % 9).alias("h_bin_num"), rack.alias("h_rack_num"),
-            qty.cast("int").alias("quantity"),
-            (1 + size % 3).cast("int").alias("parcel_qty"),
-            code.alias("halstan_code"))
-
-    first = at(1, size * 10, F.lit(None).cast("string")).where(k % 3 != 0)
-    second = at(2, size, F.concat(F.lit("R"), _s(size % 4))).where(k % 4 == 0)
+
+    def at(loc: int, qty: str, rack: str) -> DataFrame:
+        return p.selectExpr(
+            f"p_partkey * 10 + {loc} AS inventory_id", "p_partkey AS product_id",
+            f"CAST({loc} AS BIGINT) AS location_id", "CAST(p_size % 9 AS STRING) AS h_bin_num",
+            f"{rack} AS h_rack_num", f"CAST({qty} AS INT) AS quantity",
+            "CAST(1 + p_size % 3 AS INT) AS parcel_qty", f"{_CODE_SQL} AS halstan_code")
+
+    first = at(1, "p_size * 10", "CAST(NULL AS STRING)").where("product_id % 3 <> 0")
+    second = at(2, "p_size", "concat('R', CAST(p_size % 4 AS STRING))").where("product_id % 4 = 0")
     return first.unionByName(second)
 
 
 def replenish_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw replenishment requests (all text) from the events table."""
-    e = _read(spark, sf_dir, "events").where(F.col("event_type") != "error")
-    eid, et = F.col("event_id"), F.col("event_type")
-    pid = (F.when(eid % 97 == 0, F.lit("abc")).when(eid % 89 == 0, F.lit(""))
-           .otherwise(_s(F.col("user_id") * 14)))
-    return e.select(
-        eid.alias("seq"),
-        pid.alias("product_id"),
-        _s(1 + eid % 4).alias("location_id"),
-        F.when(eid % 83 == 0, F.lit(" ")).otherwise(
-            _s(F.floor(F.col("value")).cast("int"))).alias("quantity"),
-        F.when(et == "view", F.lit(None).cast("string")).otherwise(et).alias("bin"),
-        F.when(et == "click", F.concat(F.lit("R"), _s(eid % 7))).alias("rack"),
-        F.when(et == "signup", F.concat(F.lit("S"), _s(F.col("user_id")))).alias("code"),
+    return _read(spark, sf_dir, "events").where("event_type <> 'error'").selectExpr(
+        "event_id AS seq",
+        """CASE WHEN event_id % 97 = 0 THEN 'abc' WHEN event_id % 89 = 0 THEN ''
+                ELSE CAST(user_id * 14 AS STRING) END AS product_id""",
+        "CAST(1 + event_id % 4 AS STRING) AS location_id",
+        """CASE WHEN event_id % 83 = 0 THEN ' '
+                ELSE CAST(CAST(floor(value) AS INT) AS STRING) END AS quantity""",
+        "CASE WHEN event_type = 'view' THEN CAST(NULL AS STRING) ELSE event_type END AS bin",
+        "CASE WHEN event_type = 'click' THEN concat('R', CAST(event_id % 7 AS STRING)) END AS rack",
+        "CASE WHEN event_type = 'signup' THEN concat('S', CAST(user_id AS STRING)) END AS code",
     )
 
 
@@ -281,71 +268,57 @@ def undo_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_order_line_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One raw (all text) add-line request per lineitem row, some malformed."""
-    v = line_versions(spark, sf_dir)
-    k = F.col("l_partkey") % 40
-    ok, pk = F.col("l_orderkey"), F.col("l_partkey")
-
-    def pick(default: Column, cases: dict[int, Column]) -> Column:
-        expr = None
-        for value, out in cases.items():
-            expr = (F.when(k == value, out) if expr is None else expr.when(k == value, out))
-        return expr.otherwise(default)
-
-    lit = F.lit
-    return v.select(
-        (_line_id(ok, F.col("l_linenumber")) * 16 + F.col("version")).alias("seq"),
-        pick(_s(ok), {0: lit(""), 1: lit("abc"), 2: lit("12.5"),
-                      3: F.concat(lit(" "), _s(ok), lit(" ")),
-                      19: _s(ok + 100000000)}).alias("order_id"),
-        pick(_s(pk), {4: lit(""), 5: lit("abc"), 6: F.concat(lit("+"), _s(pk)),
-                      20: _s(pk + 100000000)}).alias("product_id"),
-        pick(_s(F.col("l_quantity").cast("int")),
-             {7: lit(""), 8: lit("12.5"), 9: lit("1_000"), 10: lit(" 7 ")}).alias("quantity"),
-        pick(F.concat(lit("$"), _s(F.col("l_extendedprice").cast(S.MONEY))),
-             {11: lit(""), 12: lit("none"), 13: lit("NONE"), 14: lit("$1,004.50 "),
-              15: lit("abc")}).alias("price"),
-        pick(_s(1 + F.col("l_suppkey") % 4),
-             {16: lit(""), 17: lit("abc"), 18: lit("5")}).alias("location_id"),
+    return line_versions(spark, sf_dir).selectExpr(
+        "(l_orderkey * 10 + l_linenumber) * 16 + version AS seq",
+        """CASE l_partkey % 40 WHEN 0 THEN '' WHEN 1 THEN 'abc' WHEN 2 THEN '12.5'
+             WHEN 3 THEN concat(' ', CAST(l_orderkey AS STRING), ' ')
+             WHEN 19 THEN CAST(l_orderkey + 100000000 AS STRING)
+             ELSE CAST(l_orderkey AS STRING) END AS order_id""",
+        """CASE l_partkey % 40 WHEN 4 THEN '' WHEN 5 THEN 'abc'
+             WHEN 6 THEN concat('+', CAST(l_partkey AS STRING))
+             WHEN 20 THEN CAST(l_partkey + 100000000 AS STRING)
+             ELSE CAST(l_partkey AS STRING) END AS product_id""",
+        """CASE l_partkey % 40 WHEN 7 THEN '' WHEN 8 THEN '12.5' WHEN 9 THEN '1_000'
+             WHEN 10 THEN ' 7 ' ELSE CAST(CAST(l_quantity AS INT) AS STRING) END AS quantity""",
+        """CASE l_partkey % 40 WHEN 11 THEN '' WHEN 12 THEN 'none' WHEN 13 THEN 'NONE'
+             WHEN 14 THEN '$1,004.50 ' WHEN 15 THEN 'abc'
+             ELSE concat('$', CAST(CAST(l_extendedprice AS DECIMAL(10,2)) AS STRING)) END AS price""",
+        """CASE l_partkey % 40 WHEN 16 THEN '' WHEN 17 THEN 'abc' WHEN 18 THEN '5'
+             ELSE CAST(1 + l_suppkey % 4 AS STRING) END AS location_id""",
     )
 
 
 def staging(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplier stock list: rows matching by code, by a re-typed title, or not at all."""
     p = _read(spark, sf_dir, "part")
-    k, size = F.col("p_partkey"), F.col("p_size")
-
-    def rows(kind: int, title: Column, code: Column) -> DataFrame:
-        return p.select(
-            title.alias("title_raw"), code.alias("halstan_code"),
-            (size * 3).cast("int").alias("quantity"), (1 + size % 4).cast("int").alias("parcel_qty"),
-            _s(size % 5).alias("h_bin_num"), F.lit(None).cast("string").alias("rack_num"),
-            (k * 10 + kind).alias("staging_id"), F.lit(None).cast("bigint").alias("product_id"))
-
-    by_code = rows(1, F.col("p_name"), F.concat(F.lit("W"), _s(k))).where(k % 2 == 0)
-    retyped = F.concat(F.lit("  "),
-                       F.regexp_replace(F.upper(product_title(k, F.col("p_name"))), " ", "  "),
-                       F.lit(" "))
-    by_title = rows(2, retyped, F.lit(None).cast("string")).where(k % 5 == 1)
-    unknown = rows(3, F.concat(F.lit("Unlisted item "), _s(k)),
-                   F.concat(F.lit("Z"), _s(k))).where(k % 7 == 3)
+
+    def rows(kind: int, title: str, code: str, keep: str) -> DataFrame:
+        return p.where(keep).selectExpr(
+            f"{title} AS title_raw", f"{code} AS halstan_code",
+            "CAST(p_size * 3 AS INT) AS quantity", "CAST(1 + p_size % 4 AS INT) AS parcel_qty",
+            "CAST(p_size % 5 AS STRING) AS h_bin_num", "CAST(NULL AS STRING) AS rack_num",
+            f"p_partkey * 10 + {kind} AS staging_id", "CAST(NULL AS BIGINT) AS product_id")
+
+    by_code = rows(1, "p_name", "concat('W', CAST(p_partkey AS STRING))", "p_partkey % 2 = 0")
+    by_title = rows(2, f"concat('  ', replace(upper({_TITLE_SQL}), ' ', '  '), ' ')",
+                    "CAST(NULL AS STRING)", "p_partkey % 5 = 1")
+    unknown = rows(3, "concat('Unlisted item ', CAST(p_partkey AS STRING))",
+                   "concat('Z', CAST(p_partkey AS STRING))", "p_partkey % 7 = 3")
     return by_code.unionByName(by_title).unionByName(unknown)
 
 
 def customer_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw new-customer requests (all text), some without any name."""
-    c = _read(spark, sf_dir, "customer")
-    k = F.col("c_custkey")
-    return c.select(
-        k.alias("seq"),
-        F.when(k % 7 == 0, F.lit("")).otherwise(F.concat(F.lit(" "), F.col("c_mktsegment"))
-                                                ).alias("first_name"),
-        F.when(k % 5 == 0, F.lit("  ")).otherwise(F.col("c_name")).alias("last_name"),
-        F.concat(F.lit("new"), _s(k), F.lit("@example.com")).alias("email_addr"),
-        F.lit("").alias("phone"),
-        F.concat(_s(k), F.lit(" High Street ")).alias("street_address"),
-        F.concat(F.lit("Town "), _s(F.col("c_nationkey"))).alias("town"),
-        F.lit("").alias("zip"),
-        F.lit("USA").alias("country"),
+    return _read(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS seq",
+        "CASE WHEN c_custkey % 7 = 0 THEN '' ELSE concat(' ', c_mktsegment) END AS first_name",
+        "CASE WHEN c_custkey % 5 = 0 THEN '  ' ELSE c_name END AS last_name",
+        "concat('new', CAST(c_custkey AS STRING), '@example.com') AS email_addr",
+        "'' AS phone",
+        "concat(CAST(c_custkey AS STRING), ' High Street ') AS street_address",
+        "concat('Town ', CAST(c_nationkey AS STRING)) AS town",
+        "'' AS zip",
+        "'USA' AS country",
     )
 
 
@@ -364,41 +337,37 @@ def product_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Used both as new products (W5) and as edits of existing ids (W6/W7).
     """
-    p = _read(spark, sf_dir, "part")
-    k, size = F.col("p_partkey"), F.col("p_size")
-    cats = (F.when(size % 6 == 0, F.lit(""))
-            .when(size % 6 == 1, F.lit("Winds"))
-            .when(size % 6 == 2, F.lit("Opera;Strings"))
-            .when(size % 6 == 3, F.lit("Keyboard;Other;Winds"))
-            .when(size % 6 == 4, F.lit("Orchestral and Chamber works"))
-            .otherwise(F.lit("Strings;Percussion")))
-    return p.select(
-        k.alias("seq"),
+    return _read(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS seq",
         # the id an edit applies to; a few point past the catalogue
-        _s(F.when(k % 11 == 0, k + 100000000).otherwise(k)).alias("product_id"),
-        F.when(k % 19 == 0, F.lit("  ")).otherwise(
-            F.concat(F.col("p_name"), F.lit(" (2nd ed.)"))).alias("title"),
-        F.lit("").alias("duration"),
-        F.when(k % 23 == 0, F.lit("many")).otherwise(_s(1 + size % 3)).alias("no_of_movements"),
-        F.when(k % 3 == 0, F.lit("")).otherwise(_s(size * 60)).alias("duration_seconds"),
-        F.lit("").alias("duration_formatted"),
-        F.concat(F.lit("$"), _s(F.col("p_retailprice").cast(S.MONEY))).alias("price"),
-        F.lit("").alias("ismn"),
-        F.when(k % 2 == 0, F.lit("true")).otherwise(F.lit("false")).alias("is_duplicate"),
-        F.when(k % 29 == 0, F.lit("x1")).otherwise(_s(k)).alias("work_id"),
-        F.lit("false").alias("not_difficult"),
-        F.when(size % 2 == 0, F.lit("true")).otherwise(F.lit("")).alias("rentable"),
-        F.concat(F.lit("W"), _s(k)).alias("halstan_code"),
-        F.when(size % 4 == 0, F.lit("(None)")).otherwise(F.col("p_brand")).alias("composer"),
-        F.lit("(None)").alias("librettist_1"),
-        F.lit("").alias("librettist_2"),
-        F.when(size % 3 == 0, F.lit("print")).otherwise(F.lit("(None)")).alias("media"),
-        F.lit("").alias("sheet_music_plus_sku"),
-        F.lit("(None)").alias("score_type"),
-        F.when(k % 31 == 0, F.lit("19 84")).otherwise(_s(1990 + size % 30)).alias("publication_year"),
-        F.lit("").alias("isbn"),
-        F.col("p_type").alias("product_type"),
-        cats.alias("categories"),
+        """CAST(CASE WHEN p_partkey % 11 = 0 THEN p_partkey + 100000000 ELSE p_partkey END
+                AS STRING) AS product_id""",
+        "CASE WHEN p_partkey % 19 = 0 THEN '  ' ELSE concat(p_name, ' (2nd ed.)') END AS title",
+        "'' AS duration",
+        """CASE WHEN p_partkey % 23 = 0 THEN 'many'
+                ELSE CAST(1 + p_size % 3 AS STRING) END AS no_of_movements""",
+        "CASE WHEN p_partkey % 3 = 0 THEN '' ELSE CAST(p_size * 60 AS STRING) END AS duration_seconds",
+        "'' AS duration_formatted",
+        "concat('$', CAST(CAST(p_retailprice AS DECIMAL(10,2)) AS STRING)) AS price",
+        "'' AS ismn",
+        "CASE WHEN p_partkey % 2 = 0 THEN 'true' ELSE 'false' END AS is_duplicate",
+        "CASE WHEN p_partkey % 29 = 0 THEN 'x1' ELSE CAST(p_partkey AS STRING) END AS work_id",
+        "'false' AS not_difficult",
+        "CASE WHEN p_size % 2 = 0 THEN 'true' ELSE '' END AS rentable",
+        "concat('W', CAST(p_partkey AS STRING)) AS halstan_code",
+        "CASE WHEN p_size % 4 = 0 THEN '(None)' ELSE p_brand END AS composer",
+        "'(None)' AS librettist_1",
+        "'' AS librettist_2",
+        "CASE WHEN p_size % 3 = 0 THEN 'print' ELSE '(None)' END AS media",
+        "'' AS sheet_music_plus_sku",
+        "'(None)' AS score_type",
+        """CASE WHEN p_partkey % 31 = 0 THEN '19 84'
+                ELSE CAST(1990 + p_size % 30 AS STRING) END AS publication_year""",
+        "'' AS isbn",
+        "p_type AS product_type",
+        """CASE p_size % 6 WHEN 0 THEN '' WHEN 1 THEN 'Winds' WHEN 2 THEN 'Opera;Strings'
+             WHEN 3 THEN 'Keyboard;Other;Winds' WHEN 4 THEN 'Orchestral and Chamber works'
+             ELSE 'Strings;Percussion' END AS categories""",
     )
 
 
