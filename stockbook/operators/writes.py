@@ -161,12 +161,13 @@ def add_products(requests: DataFrame, products: DataFrame, category: DataFrame
 
 
 def latest_product_edits(requests: DataFrame, category: DataFrame) -> DataFrame:
-    """Accepted edit forms, one per product id: the one with the highest seq."""
-    keyed = V.validate_keys(requests.withColumnRenamed("product_id", "_raw_pid"),
-                            "_raw_pid", "product_id").withColumnRenamed("reason", "_key_reason")
-    forms = _product_forms(keyed.drop("product_id"), category)
-    forms = forms.join(keyed.select("seq", "product_id", "_key_reason"), "seq")
-    forms = forms.where(F.col("reason").isNull() & F.col("_key_reason").isNull())
+    """Accepted edit forms, one per product id: the one with the highest seq.
+
+    The raw id travels through form validation, so the key is validated on the
+    same rows (no join of the batch with itself)."""
+    forms = _product_forms(requests, category).withColumnRenamed("reason", "_form_reason")
+    forms = V.validate_keys(forms, "product_id", "product_id")
+    forms = forms.where(F.col("reason").isNull() & F.col("_form_reason").isNull())
     payload = F.struct(*PRODUCT_FIELDS, "categories")
     latest = forms.groupBy("product_id").agg(F.max_by(payload, "seq").alias("_p"),
                                              F.max("seq").alias("seq"))
