@@ -67,7 +67,7 @@ def allocate_keys(rows: DataFrame, key: str, order_by: Sequence[str | Column],
     if where is None:
         chosen = _frozen_range(rows, order_by, n)
     elif few:
-        fixed = rows.withColumn(flag, F.coalesce(where, F.lit(False))).checkpoint(eager=True)
+        fixed = _checkpoint_once(rows.withColumn(flag, F.coalesce(where, F.lit(False))))
         chosen = _frozen_range(fixed.where(F.col(flag)).drop(flag), order_by, n)
         others = fixed.where(~F.col(flag)).drop(flag)
     else:
@@ -94,6 +94,16 @@ def allocate_keys(rows: DataFrame, key: str, order_by: Sequence[str | Column],
     return numbered.unionByName(others.select(*numbered.columns))
 
 
+def _checkpoint_once(rows: DataFrame) -> DataFrame:
+    """Reliable checkpoint that computes ``rows`` once: an eager checkpoint of an
+    unpersisted DataFrame runs one job to count and recomputes it to write."""
+    cached = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return cached.checkpoint(eager=True)
+    finally:
+        cached.unpersist()
+
+
 def _frozen_range(rows: DataFrame, order_by: Sequence[str | Column], n: int) -> DataFrame:
     """Range partition + sort, checkpointed so the partitioning is fixed."""
     cached = rows.persist(StorageLevel.MEMORY_AND_DISK)
