@@ -42,23 +42,34 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+def _conf_checkpoint_dir(spark: SparkSession) -> str | None:
+    try:
+        return spark.conf.get(_CHECKPOINT_KEY, None) or None
+    except Exception:  # noqa: BLE001 - some session kinds refuse unknown keys
+        return None
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables and checkpoints.
 
     Taken from ``spark.checkpoint.dir`` when the cluster sets it; otherwise a
     fresh local folder is created once per session and registered as the
-    checkpoint dir (tests and single-machine runs only).
+    checkpoint dir (tests and single-machine runs only). Sessions without a
+    local SparkContext (Spark Connect) use the configured folder as is.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect has no SparkContext
+        sc = None
+    if sc is None:
+        configured = _conf_checkpoint_dir(spark)
+        if not configured:
+            raise RuntimeError(f"set {_CHECKPOINT_KEY} to a shared folder for this session")
+        return configured
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = sc.getConf().get(_CHECKPOINT_KEY, None)
-    if not configured:
-        try:
-            configured = spark.conf.get(_CHECKPOINT_KEY)
-        except Exception:  # noqa: BLE001 - unset key raises in some versions
-            configured = None
+    configured = sc.getConf().get(_CHECKPOINT_KEY, None) or _conf_checkpoint_dir(spark)
     if not configured:
         configured = tempfile.mkdtemp(prefix="stockbook-ckpt-")
     sc.setCheckpointDir(configured)
