@@ -94,3 +94,24 @@ def publish(df: DataFrame, table_root: str) -> str:
 def current_version(spark: SparkSession, table_root: str) -> str:
     """The folder ``publish`` last pointed to."""
     return spark.read.text(f"{table_root.rstrip('/')}/_CURRENT").first()[0]
+
+
+def publish_tables(tables: Mapping[str, DataFrame], root: str) -> str:
+    """S4 for several tables that must change together (e.g. stock and ledger):
+    all are written below one new version folder, then one pointer write makes
+    them current at once. Returns the version folder."""
+    if not tables:
+        raise ValueError("nothing to publish")
+    spark = next(iter(tables.values())).sparkSession
+    version = f"{root.rstrip('/')}/v-{uuid.uuid4().hex}"
+    for name, df in tables.items():
+        df.write.mode("error").parquet(f"{version}/{name}")
+    spark.createDataFrame([(version,)], "path string").coalesce(1).write.mode(
+        "overwrite").text(f"{root.rstrip('/')}/_CURRENT")
+    return version
+
+
+def current_tables(spark: SparkSession, root: str, names: list[str]) -> dict[str, DataFrame]:
+    """The tables of the version ``publish_tables`` last pointed to."""
+    version = current_version(spark, root)
+    return {n: spark.read.parquet(f"{version}/{n}") for n in names}

@@ -226,3 +226,18 @@ def test_time_defaults(spark):
     r = sinks.with_defaults(o, sinks.defaults_for("orders")).collect()[0]
     assert r.order_date is not None
     assert sinks.defaults_for("order_line") == {"quantity": 1}
+
+
+def test_publish_tables_switches_together(spark, tmp_dir):
+    from stockbook.operators import ledger as L
+    inv = seed.inventory_df(spark, [(1, 44, 1, None, None, 5, None, None)])
+    feed = seed.feed_df(spark, [(1, "INSERT", 13, None, None, None, 44, 1, 2)])
+    d = L.change_delta(feed)
+    root = f"{tmp_dir}/state"
+    v1 = sinks.publish_tables({"inventory": L.apply_deltas(inv, d),
+                               "inventory_movement": L.movement_ledger(d, "2025-12-06 00:00:00")},
+                              root)
+    cur = sinks.current_tables(spark, root, ["inventory", "inventory_movement"])
+    assert sinks.current_version(spark, root) == v1
+    assert [r.quantity for r in cur["inventory"].collect()] == [3]
+    assert [(r.movement_type, r.quantity) for r in cur["inventory_movement"].collect()] == [("sale", 2)]
