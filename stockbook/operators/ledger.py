@@ -167,7 +167,7 @@ def resolve_staging(staging: DataFrame, products: DataFrame) -> DataFrame:
     by_code = F.when(F.col("_code_n") == 1, F.col("_code_pid"))
 
     norm = products.select("product_id", X.normalise_title("title").alias("_t"))
-    lengths = _staged_lengths(staged)
+    lengths = _staged_lengths(staging.select(X.normalise_title("title_raw").alias("_norm")))
     if lengths is None:
         cut = F.sequence(F.lit(1), F.length("_t"))
     else:  # only prefixes as long as some staged title can ever match
