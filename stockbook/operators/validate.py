@@ -175,23 +175,32 @@ def validate_products(raw: DataFrame) -> DataFrame:
 def validate_replenish(raw: DataFrame, products: DataFrame,
                        locations: DataFrame | None = None) -> DataFrame:
     """V4: product, location and quantity required and integers; the product
-    (and, when given, the location) must exist."""
-    pid = X.parse_int("product_id")
-    loc = X.parse_int("location_id")
-    typed = raw.select(
-        "seq", F.col("product_id").alias("_raw_p"), F.col("location_id").alias("_raw_l"),
-        F.col("quantity").alias("_raw_q"),
-        pid.alias("product_id"), loc.alias("location_id"),
-        X.parse_int("quantity", "int").alias("quantity"),
-        X.blank_to_null("bin").alias("h_bin_num"), X.blank_to_null("rack").alias("h_rack_num"),
-        X.blank_to_null("code").alias("halstan_code"))
+    (and, when given, the location) must exist.
+
+    Fields are stripped and tested once; only two flags (missing, not an
+    integer) travel through the existence joins, not the raw texts."""
+    ints = ["product_id", "location_id", "quantity"]
+    st = _stripped(raw, [*ints, "bin", "rack", "code"])
+    flags = st.select("*", *[_int_ok(c).alias(f"_ok_{c}") for c in ints])
+
+    def to_null(c: str) -> Column:
+        return F.when(_s(c) == F.lit(""), F.lit(None).cast("string")).otherwise(_s(c))
+
+    typed = flags.select(
+        "seq",
+        _int_value("product_id", F.col("_ok_product_id")).alias("product_id"),
+        _int_value("location_id", F.col("_ok_location_id")).alias("location_id"),
+        _int_value("quantity", F.col("_ok_quantity"), "int").alias("quantity"),
+        to_null("bin").alias("h_bin_num"), to_null("rack").alias("h_rack_num"),
+        to_null("code").alias("halstan_code"),
+        (_blank("product_id") | _blank("location_id") | _blank("quantity")).alias("_missing"),
+        (~F.col("_ok_product_id") | ~F.col("_ok_location_id") | ~F.col("_ok_quantity"))
+        .alias("_not_int"))
     known_p = products.select("product_id").distinct().withColumn("_kp", F.lit(True))
     typed = typed.join(known_p, "product_id", "left")
     checks = [
-        (X.is_blank("_raw_p") | X.is_blank("_raw_l") | X.is_blank("_raw_q"),
-         "product_id, location_id and quantity required"),
-        (~X.parses_as_int("_raw_p") | ~X.parses_as_int("_raw_l") | ~X.parses_as_int("_raw_q"),
-         "product_id, location_id and quantity must be integers"),
+        (F.col("_missing"), "product_id, location_id and quantity required"),
+        (F.col("_not_int"), "product_id, location_id and quantity must be integers"),
         (F.col("quantity").isNull(), "quantity out of range"),
         (F.col("_kp").isNull(), "unknown product"),
     ]
