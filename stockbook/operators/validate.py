@@ -32,22 +32,6 @@ def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ok, bad
 
 
-def validate_keys(raw: DataFrame, raw_col: str, out_col: str,
-                  label: str | None = None) -> DataFrame:
-    """V7: a key field must be present and an integer.
-
-    Adds the typed key as ``out_col`` (replacing a column of that name) and
-    ``reason``; both are computed from the raw text column.
-    """
-    name = label or out_col
-    reason = _first_failure([
-        (X.is_blank(raw_col), f"{name} required"),
-        (~X.parses_as_int(raw_col), f"{name} not an integer"),
-    ])
-    keep = [F.col(c) for c in raw.columns if c not in (out_col, "reason")]
-    return raw.select(*keep, X.parse_int(raw_col).alias(out_col), reason.alias("reason"))
-
-
 _INT_RE = X._INT_PATTERN
 _DEC_RE = X._DEC_PATTERN
 
@@ -73,6 +57,25 @@ def _int_value(c: str, ok: Column, dtype: str = "bigint") -> Column:
     return F.when(ok, F.regexp_replace(_s(c), "_", "").try_cast(dtype))
 
 
+def validate_keys(raw: DataFrame, raw_col: str, out_col: str,
+                  label: str | None = None) -> DataFrame:
+    """V7: a key field must be present and an integer.
+
+    Adds the typed key as ``out_col`` (replacing a column of that name) and
+    ``reason``; both are computed from the raw text column.
+    """
+    name = label or out_col
+    keep = [c for c in raw.columns if c not in (out_col, "reason")]
+    st = raw.select(*keep, X.strip(raw_col).alias("_s_key"))
+    flags = st.select("*", _int_ok("key").alias("_ok_key"))
+    reason = _first_failure([
+        (_blank("key"), f"{name} required"),
+        (~F.col("_ok_key"), f"{name} not an integer"),
+    ])
+    return flags.select(*keep, _int_value("key", F.col("_ok_key")).alias(out_col),
+                        reason.alias("reason"))
+
+
 def validate_order_lines(raw: DataFrame) -> DataFrame:
     """V1: raw add-line requests (order_id, product_id, quantity, price,
     location_id as text) -> typed columns + reason.
