@@ -59,12 +59,29 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(RAW_SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _literal_table(spark: SparkSession, rows: list[tuple], schema) -> DataFrame:
+    """A small fixed table as an inline VALUES relation: its exact size is known
+    to the optimizer, so joins with it are broadcast when planned (a
+    DataFrame built from a Python list is an RDD of unknown size)."""
+    def sql(v: object) -> str:
+        if v is None:
+            return "NULL"
+        if isinstance(v, int):
+            return str(v)
+        return "'" + str(v).replace("'", "''") + "'"
+
+    body = ", ".join("(" + ", ".join(sql(v) for v in r) + ")" for r in rows)
+    names = [f.name for f in schema.fields]
+    df = spark.sql(f"SELECT * FROM VALUES {body} AS t({', '.join(names)})")
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
 def category(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
-    return spark.createDataFrame(CATEGORIES, S.CATEGORY)
+    return _literal_table(spark, CATEGORIES, S.CATEGORY)
 
 
 def location(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
-    return spark.createDataFrame(LOCATIONS, S.LOCATION)
+    return _literal_table(spark, LOCATIONS, S.LOCATION)
 
 
 def _s(c: Column) -> Column:
