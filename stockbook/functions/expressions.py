@@ -92,11 +92,21 @@ def parses_as_number(col: ColumnLike) -> Column:
     return F.coalesce(clean_price_text(col).rlike(_DEC_PATTERN), F.lit(False))
 
 
+def decimal_from_text(text: ColumnLike) -> Column:
+    """Number text (already matching the decimal pattern) -> DECIMAL(10,2).
+
+    Plain decimals are parsed exactly (half-up rounding). Text with an
+    exponent goes through a double first, as Python's float() does: a direct
+    cast rejects forms such as '0E38' whose exponent exceeds the scale."""
+    t = F.regexp_replace(_c(text), "_", "")
+    return (F.when(t.rlike("[eE]"), t.try_cast("double").try_cast(MONEY))
+            .otherwise(t.try_cast(MONEY)))
+
+
 def clean_price(col: ColumnLike) -> Column:
     """V5: price text -> DECIMAL(10,2); NULL when not a number or too large."""
     s = clean_price_text(col)
-    return F.when(s.rlike(_DEC_PATTERN),
-                  F.regexp_replace(s, "_", "").try_cast(MONEY))
+    return F.when(s.rlike(_DEC_PATTERN), decimal_from_text(s))
 
 
 def line_total(price: ColumnLike = "product_price", qty: ColumnLike = "quantity") -> Column:

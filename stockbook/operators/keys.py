@@ -31,6 +31,9 @@ from pyspark.storagelevel import StorageLevel
 from stockbook.session import shared_dir
 
 _SHIFT = 33  # monotonically_increasing_id puts the partition index above bit 33
+# Target rows per range partition when the count is not given: bounded task
+# size at any scale, no crowd of empty tasks for small batches.
+ROWS_PER_RANGE = 1_000_000
 
 
 def current_max(existing: DataFrame | None, key: str) -> int:
@@ -61,18 +64,19 @@ def allocate_keys(rows: DataFrame, key: str, order_by: Sequence[str | Column],
     spark = rows.sparkSession
     start = current_max(existing, key) if base is None else int(base)
     shared_dir(spark)  # make sure the checkpoint folder is set
-    n = max(1, num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n_max = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     flag = "_alloc"
     others = None
     if where is None:
-        chosen = _frozen_range(rows, order_by, n)
+        chosen, n = _frozen_range(rows, order_by, n_max, num_partitions)
     elif few:
         fixed = _checkpoint_once(rows.withColumn(flag, F.coalesce(where, F.lit(False))))
-        chosen = _frozen_range(fixed.where(F.col(flag)).drop(flag), order_by, n)
+        chosen, n = _frozen_range(fixed.where(F.col(flag)).drop(flag), order_by, n_max,
+                                  num_partitions)
         others = fixed.where(~F.col(flag)).drop(flag)
     else:
-        ranged = _frozen_range(rows.withColumn(flag, F.coalesce(where, F.lit(False))),
-                               order_by, n)
+        ranged, n = _frozen_range(rows.withColumn(flag, F.coalesce(where, F.lit(False))),
+                                  order_by, n_max, num_partitions)
         chosen = ranged.where(F.col(flag)).drop(flag)
         others = ranged.where(~F.col(flag)).drop(flag)
     pid = F.spark_partition_id()
@@ -104,12 +108,23 @@ def _checkpoint_once(rows: DataFrame) -> DataFrame:
         cached.unpersist()
 
 
-def _frozen_range(rows: DataFrame, order_by: Sequence[str | Column], n: int) -> DataFrame:
-    """Range partition + sort, checkpointed so the partitioning is fixed."""
+def _frozen_range(rows: DataFrame, order_by: Sequence[str | Column], n_max: int,
+                  n: int | None = None) -> tuple[DataFrame, int]:
+    """Range partition + sort, checkpointed so the partitioning is fixed.
+
+    Without an explicit ``n`` the partition count is about one per
+    ROWS_PER_RANGE rows, at most ``n_max``; counting is cheap because the rows
+    are persisted for the range sampling anyway. Returns (rows, partitions).
+    """
     cached = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        if n is None:
+            total = cached.count()
+            n = min(n_max, max(1, -(-total // ROWS_PER_RANGE)))
+        n = max(1, int(n))
         # an explicit partition count is kept as is by AQE (never coalesced)
-        return (cached.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by)
-                .checkpoint(eager=True))
+        ranged = (cached.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by)
+                  .checkpoint(eager=True))
     finally:
         cached.unpersist()
+    return ranged, n

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockbook.functions import expressions as X
-from stockbook.sources.schemas import MONEY as MONEY_T
 
 
 def _first_failure(checks: Sequence[tuple[Column, str]]) -> Column:
@@ -94,7 +93,7 @@ def validate_order_lines(raw: DataFrame) -> DataFrame:
         _int_value("order_id", F.col("_ok_order_id")).alias("order_id"),
         _int_value("product_id", F.col("_ok_product_id")).alias("product_id"),
         _int_value("quantity", F.col("_ok_quantity"), "int").alias("quantity"),
-        F.when(F.col("_ok_price"), F.regexp_replace("_p", "_", "").try_cast(MONEY_T))
+        F.when(F.col("_ok_price"), X.decimal_from_text("_p"))
          .alias("product_price"),
         _int_value("location_id", F.col("_ok_location_id")).alias("fulfilled_from_location_id"))
     reason = _first_failure([

@@ -60,3 +60,10 @@ def test_strip_matches_python(spark):
     df = spark.createDataFrame([(s,) for s in samples], "s string")
     got = [r.t for r in df.select(X.strip("s").alias("t")).collect()]
     assert got == [s.strip() for s in samples]
+
+
+def test_exponent_prices(spark):
+    samples = ["0E38", "1e3", "1.5e-3", "2.5E1", "1e400", "$1_0e1"]
+    df = spark.createDataFrame([(s,) for s in samples], "s string")
+    got = [r.p for r in df.select(X.clean_price("s").alias("p")).collect()]
+    assert got == [py_price(s) for s in samples]
