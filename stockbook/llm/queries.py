@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stockbook.llm import decontaminate, iforest, line_runs, pieces, token_store
+from stockbook.llm import dart_minhash, decontaminate, iforest, line_runs, pieces, token_store
 from stockbook.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,12 @@ def op4_token_frames(spark, sf_dir):
                                         tokenizer_path("word_bpe_49k.json"))
 
 
+@query
+def op5_dart_minhash(spark, sf_dir):
+    """Near-duplicate class of every document."""
+    return dart_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_decontaminate(spark, sf_dir):
     """Benchmark windows in all documents."""
