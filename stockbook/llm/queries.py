@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stockbook.llm import dart_minhash, decontaminate, iforest, line_runs, pieces, token_store
+from stockbook.llm import dart_minhash, decontaminate, iforest, line_runs, pieces, radix_windows, token_store
 from stockbook.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,3 +93,9 @@ def op8_pieces(spark, sf_dir):
 def op9_isolation_forest(spark, sf_dir):
     """Rule statistics and verdict of all documents."""
     return iforest.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op10_radix_windows(spark, sf_dir):
+    """Repeated 400-byte windows of all documents."""
+    return radix_windows.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
