@@ -10,7 +10,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stockbook.llm import dart_minhash, decontaminate, iforest, line_runs, pieces, radix_windows, token_store
+from stockbook.llm import (
+    arc_warc,
+    dart_minhash,
+    decontaminate,
+    iforest,
+    language,
+    line_runs,
+    pieces,
+    radix_windows,
+    token_store,
+    toxicity,
+)
 from stockbook.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +67,25 @@ def query(fn: Query) -> Query:
     return run
 
 
+@query
+def op1_language_codes(spark, sf_dir):
+    """Language of every document."""
+    return language.identify_held_out(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_toxic_segments(spark, sf_dir):
+    """Toxicity of every document."""
+    return toxicity.score_held_out(table(spark, sf_dir, "documents"),
+                                   table(spark, sf_dir, "labels")).drop("passages")
+
+
+@query
+def op3_arc_to_warc(spark, sf_dir):
+    """Pages as ARC, converted to WARC files, read back."""
+    return arc_warc.round_trip(arc_warc.arc_of_pages(table(spark, sf_dir, "pages")))
+
+
 @query
 def op4_token_frames(spark, sf_dir):
     """Token files of all documents, read back."""
