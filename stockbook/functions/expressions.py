@@ -149,14 +149,16 @@ def normalise_title(col: ColumnLike) -> Column:
 
 
 def duration_parts(col: ColumnLike) -> Column:
-    """'[8:00; 7:30]' -> array of per-movement seconds (NULL entries if malformed)."""
+    """'[8:00; 7:30]' -> array of per-movement seconds (NULL entries if malformed
+    or beyond 64 bits)."""
     body = F.regexp_replace(_c(col), r"^\s*\[|\]\s*$", "")
     parts = F.filter(F.split(body, ";"), lambda p: strip(p) != F.lit(""))
 
     def seconds(p: Column) -> Column:
         units = F.split(strip(p), ":")
-        return F.aggregate(units, F.lit(0),
-                           lambda acc, u: acc * F.lit(60) + strip(u).try_cast("int"))
+        zero, sixty = F.lit(0).cast("bigint"), F.lit(60).cast("bigint")
+        return F.aggregate(units, zero, lambda acc, u: F.try_add(
+            F.try_multiply(acc, sixty), strip(u).try_cast("bigint")))
 
     return F.transform(parts, seconds)
 

@@ -22,25 +22,24 @@ def audit_unique(df: DataFrame, cols: Sequence[str], table: str,
     """Duplicated keys (and, for primary keys, NULL keys).
 
     Output: table_name, key_value, problem ('duplicate' / 'null key'), row_count.
-    With ``nulls_distinct`` (unique constraints) rows with a NULL key part are
+    One scan: the rows are counted per key, NULLs included, and the counts of
+    the keys with a NULL part are summed up. With ``nulls_distinct`` (unique constraints) rows with a NULL key part are
     ignored, as NULLs never collide.
     """
-    any_null = None
+    any_null = F.lit(False)
     for c in cols:
-        cond = F.col(c).isNull()
-        any_null = cond if any_null is None else any_null | cond
-    present = df.where(~any_null)
-    dups = present.groupBy(*cols).agg(F.count(F.lit(1)).alias("row_count")).where(
-        F.col("row_count") > 1).select(
-        F.lit(table).alias("table_name"), _key_text(cols).alias("key_value"),
-        F.lit("duplicate").alias("problem"), F.col("row_count").cast("bigint"))
+        any_null = any_null | F.col(c).isNull()
+    counted = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).select(
+        F.when(any_null, F.lit(None)).otherwise(_key_text(cols)).alias("key_value"),
+        F.when(any_null, F.lit("null key")).when(F.col("n") > 1, F.lit("duplicate")).alias("problem"),
+        "n")
     if nulls_distinct:
-        return dups
-    nulls = df.where(any_null).agg(F.count(F.lit(1)).alias("row_count")).where(
-        F.col("row_count") > 0).select(
-        F.lit(table).alias("table_name"), F.lit(None).cast("string").alias("key_value"),
-        F.lit("null key").alias("problem"), F.col("row_count").cast("bigint"))
-    return dups.unionByName(nulls)
+        found = counted.where(F.col("problem") == "duplicate")
+    else:
+        found = (counted.where(F.col("problem").isNotNull()).groupBy("key_value", "problem")
+                 .agg(F.sum("n").alias("n")))
+    return found.select(F.lit(table).alias("table_name"), "key_value", "problem",
+                        F.col("n").cast("bigint").alias("row_count"))
 
 
 def audit_fk(child: DataFrame, col: str, parent: DataFrame, pcol: str,

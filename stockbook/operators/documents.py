@@ -22,14 +22,17 @@ NO_NAME = "(no name)"
 
 
 def invoice_items(lines: DataFrame, products: DataFrame) -> DataFrame:
-    """Item rows of every invoice (J1 without the order filter)."""
-    return R.order_lines_detail(lines, products)
+    """Item rows of every invoice (J1 without the order filter, unsorted)."""
+    return R.line_titles(lines, products)
 
 
 def invoices(orders: DataFrame, customers: DataFrame, lines: DataFrame,
              products: DataFrame) -> DataFrame:
     """One header row per order with line count and total (0 without lines)."""
-    items = invoice_items(lines, products)
+    return _with_sums(orders, customers, invoice_items(lines, products))
+
+
+def _with_sums(orders: DataFrame, customers: DataFrame, items: DataFrame) -> DataFrame:
     sums = items.groupBy("order_id").agg(F.count(F.lit(1)).alias("_n"),
                                          F.sum("line_total").alias("_t"))
     head = R.order_header(orders, customers).join(sums, "order_id", "left")
@@ -66,7 +69,8 @@ def invoice_text(orders: DataFrame, customers: DataFrame, lines: DataFrame,
     Section 0 is the header (line_key 0..11, empty parts skipped), section 1
     the items (line_key = order_line_id), section 2 the rule and total.
     """
-    doc = invoices(orders, customers, lines, products)
+    items = invoice_items(lines, products)
+    doc = _with_sums(orders, customers, items)
     name = F.concat_ws(" ", _nonempty(F.col("first_name")), _nonempty(F.col("last_name")))
     city = F.concat_ws(", ", _nonempty(F.col("town")), _nonempty(F.col("zip")))
     rule = "-" * RULE_WIDTH
@@ -96,7 +100,6 @@ def invoice_text(orders: DataFrame, customers: DataFrame, lines: DataFrame,
     framing = doc.select("order_id", F.explode(entries).alias("e")).select(
         "order_id", "e.section", "e.line_key", "e.text").where(F.col("text").isNotNull())
 
-    items = invoice_items(lines, products)
     title = F.col("title")
     short = F.when(F.length(title) > TITLE_WIDTH,
                    F.concat(F.substring(title, 1, TITLE_CUT), lit("..."))).otherwise(title)

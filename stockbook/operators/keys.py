@@ -3,37 +3,26 @@
 ``row_number() OVER (ORDER BY ...)`` with no partition would pull every new
 row into one task. Instead:
 
-1. range-partition the rows by the (total) order and sort each partition;
-   the input is persisted (memory and disk) meanwhile, so the sampling pass
-   of the range partitioner and the shuffle read it once; lost blocks are
-   recomputed from lineage;
-2. checkpoint that result into the shared checkpoint folder: the sampled
-   range bounds differ from job to job, so the partitioning must be frozen
-   before rows are counted and numbered (this also survives executor loss);
-3. count the rows to be numbered per partition (one row per partition);
-4. key = base + rows in earlier partitions + position inside the partition.
-
-Only the per-partition counts (bounded by the partition count) and the
-current maximum reach the driver. With ``where``, callers that also return
-the other rows (rejected requests, unchanged stock) read them from the same
-checkpoint instead of recomputing their inputs; with ``few=True`` the rows
-that keep their key are frozen without being shuffled at all.
+1. one small aggregate counts the rows and, when they are worth more than one
+   bucket, a second one takes quantiles of the leading order column; their
+   number grows with the rows and has no upper bound;
+2. the quantiles are literals of a bucket column, so a row's bucket depends on
+   its own values only, in whatever job it is computed;
+3. rows are counted per bucket and the counts summed up in bucket order (one
+   row per bucket);
+4. key = base + rows in earlier buckets + row_number within the bucket.
+
+Nothing is written or persisted. Any bounds give the same keys: they only
+decide how evenly the work is dealt.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
-
-from stockbook.session import shared_dir
-
-_SHIFT = 33  # monotonically_increasing_id puts the partition index above bit 33
-# Target rows per range partition when the count is not given: bounded task
-# size at any scale, no crowd of empty tasks for small batches.
-ROWS_PER_RANGE = 1_000_000
 
 
 def current_max(existing: DataFrame | None, key: str) -> int:
@@ -44,87 +33,73 @@ def current_max(existing: DataFrame | None, key: str) -> int:
     return int(value) if value is not None else 0
 
 
-def allocate_keys(rows: DataFrame, key: str, order_by: Sequence[str | Column],
+def quantile_bounds(rows: DataFrame, lead: Column, buckets: int) -> list[int]:
+    """At most ``buckets - 1`` ascending values that cut ``lead`` into even parts."""
+    if buckets < 2:
+        return []
+    shares = F.lit([i / buckets for i in range(1, buckets)])
+    found = rows.agg(F.percentile_approx(lead, shares, max(10_000, 20 * buckets)).alias("q")
+                     ).first()["q"]
+    return sorted(set(found or []))
+
+
+def _longs(values: Sequence[int]) -> str:
+    return "array(" + ", ".join(f"{v}L" if v > -2**63 else "-9223372036854775807L"
+                                for v in values) + ")"
+
+
+def bucket_of(lead: Column, bounds: Sequence[int]) -> Column:
+    """Number of ``bounds`` below ``lead`` (0 for NULL), found in two steps of
+    about the square root of their count each."""
+    if not bounds:
+        return F.lit(0)
+    step = math.isqrt(len(bounds) - 1) + 1
+    parts = [bounds[i:i + step] for i in range(0, len(bounds), step)]
+
+    def below(values: Column) -> Column:
+        return F.size(F.filter(values, lambda b: b < lead))
+
+    tops = F.expr(_longs([p[-1] for p in parts[:-1]])) if len(parts) > 1 else None
+    which = below(tops) if tops is not None else F.lit(0)
+    inner = F.expr("array(" + ", ".join(_longs(p) for p in parts) + ")")
+    place = which * step + below(F.element_at(inner, which + 1))
+    return F.when(lead.isNull(), F.lit(0)).otherwise(place)
+
+
+def allocate_keys(rows: DataFrame, key: str, order_by: Sequence[str],
                   existing: DataFrame | None = None, base: int | None = None,
-                  where: Column | None = None, few: bool = False,
-                  num_partitions: int | None = None) -> DataFrame:
+                  where: Column | None = None, buckets: int | None = None,
+                  rows_per_bucket: int = 1_000_000) -> DataFrame:
     """Number rows ``base + 1, base + 2, ...`` into ``key`` in ``order_by`` order.
 
     ``order_by`` must be a total order of the rows (ties would make the
-    numbering depend on the run). ``base`` defaults to the maximum of ``key``
-    in ``existing`` (0 when empty or absent). With ``where`` only the rows
-    satisfying it are numbered; the others are returned too, keeping their own
-    ``key`` value if they have that column (else NULL).
-
-    ``few=True`` says that only a small part of the rows is numbered (new stock
-    rows among existing ones): all rows are then checkpointed as they are and
-    only the numbered ones are range partitioned. Otherwise (request batches,
-    mostly accepted) all rows are range partitioned and checkpointed once.
+    numbering depend on the run) whose first column is an integer. ``base``
+    defaults to the maximum of ``key`` in ``existing`` (0 when empty or
+    absent). With ``where`` only the rows satisfying it are numbered; the
+    others are returned too, keeping their own ``key`` value if they have that
+    column (else NULL). ``buckets`` overrides one per ``rows_per_bucket`` rows.
     """
-    spark = rows.sparkSession
     start = current_max(existing, key) if base is None else int(base)
-    shared_dir(spark)  # make sure the checkpoint folder is set
-    n_max = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    flag = "_alloc"
-    others = None
-    if where is None:
-        chosen, n = _frozen_range(rows, order_by, n_max, num_partitions)
-    elif few:
-        fixed = _checkpoint_once(rows.withColumn(flag, F.coalesce(where, F.lit(False))))
-        chosen, n = _frozen_range(fixed.where(F.col(flag)).drop(flag), order_by, n_max,
-                                  num_partitions)
-        others = fixed.where(~F.col(flag)).drop(flag)
+    lead = F.col(order_by[0]).cast("bigint")
+    chosen = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
+    if buckets is None:
+        total = rows.agg(F.count(F.when(chosen, F.lit(1))).alias("n")).first()["n"]
+        buckets = -(-total // rows_per_bucket)
+    picked = rows if where is None else rows.where(chosen)
+    bounds = quantile_bounds(picked, lead, buckets)
+    placed = rows.withColumn("_take", chosen).withColumn("_bucket", bucket_of(lead, bounds))
+    own = F.col(key) if key in rows.columns else F.lit(None).cast("bigint")
+    within = Window.partitionBy("_bucket").orderBy(F.col("_take").desc(), *order_by)
+    position = F.row_number().over(within)
+    if bounds:
+        counts = placed.where("_take").groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+        earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = counts.select(F.col("_bucket"),
+                                F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+        placed = placed.withColumn("_pos", position).join(offsets, "_bucket", "left")
+        number = F.col("_before") + F.col("_pos")
     else:
-        ranged, n = _frozen_range(rows.withColumn(flag, F.coalesce(where, F.lit(False))),
-                                  order_by, n_max, num_partitions)
-        chosen = ranged.where(F.col(flag)).drop(flag)
-        others = ranged.where(~F.col(flag)).drop(flag)
-    pid = F.spark_partition_id()
-    counts = {r["p"]: r["n"] for r in chosen.groupBy(pid.alias("p")).agg(
-        F.count(F.lit(1)).alias("n")).collect()}
-    offsets, running = [], start
-    for p in range(n):
-        offsets.append(running)
-        running += counts.get(p, 0)
-    offset = F.element_at(F.array(*[F.lit(o).cast("bigint") for o in offsets]),
-                          (pid + 1).cast("int"))
-    # evaluated above the filter: counts only the chosen rows of a partition
-    position = F.monotonically_increasing_id() - F.shiftleft(pid.cast("bigint"), _SHIFT)
-    numbered = chosen.withColumn(key, (offset + position + 1).cast("bigint"))
-    if others is None:
-        return numbered
-    if key not in others.columns:
-        others = others.withColumn(key, F.lit(None).cast("bigint"))
-    return numbered.unionByName(others.select(*numbered.columns))
-
-
-def _checkpoint_once(rows: DataFrame) -> DataFrame:
-    """Reliable checkpoint that computes ``rows`` once: an eager checkpoint of an
-    unpersisted DataFrame runs one job to count and recomputes it to write."""
-    cached = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return cached.checkpoint(eager=True)
-    finally:
-        cached.unpersist()
-
-
-def _frozen_range(rows: DataFrame, order_by: Sequence[str | Column], n_max: int,
-                  n: int | None = None) -> tuple[DataFrame, int]:
-    """Range partition + sort, checkpointed so the partitioning is fixed.
-
-    Without an explicit ``n`` the partition count is about one per
-    ROWS_PER_RANGE rows, at most ``n_max``; counting is cheap because the rows
-    are persisted for the range sampling anyway. Returns (rows, partitions).
-    """
-    cached = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        if n is None:
-            total = cached.count()
-            n = min(n_max, max(1, -(-total // ROWS_PER_RANGE)))
-        n = max(1, int(n))
-        # an explicit partition count is kept as is by AQE (never coalesced)
-        ranged = (cached.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by)
-                  .checkpoint(eager=True))
-    finally:
-        cached.unpersist()
-    return ranged, n
+        placed = placed.withColumn("_pos", position)
+        number = F.col("_pos")
+    value = F.when(F.col("_take"), F.lit(start) + number).otherwise(own).cast("bigint")
+    return placed.withColumn(key, value).drop("_take", "_bucket", "_pos", "_before")

@@ -3,18 +3,21 @@
 T1 turns each change of an order line into (product, location, delta);
 T2 writes one ledger row per non-zero delta; T3 applies the summed deltas to
 stock. Because addition commutes, T3 needs no ordering: a partial aggregation
-per (product, location) followed by one full outer join with the stock table.
+per (product, location) joined to the stock table; only the keys that the stock
+table lacks become new, numbered rows.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockbook.functions import expressions as X
+from stockbook.operators.joins import left_join_present
 from stockbook.operators.keys import allocate_keys
+from stockbook.session import scratch_path
 
 KEY = ["product_id", "location_id"]
 
@@ -95,17 +98,17 @@ def apply_deltas(inventory: DataFrame, deltas: DataFrame, assign_ids: bool = Tru
     NULL with ``assign_ids=False`` when only quantities are needed).
     """
     net = net_deltas(deltas)
-    inv = inventory.withColumn("_have", F.lit(True))
-    joined = inv.join(net, KEY, "full")
-    qty = (F.coalesce(F.col("quantity").cast("bigint"), F.lit(0))
-           - F.coalesce(F.col("net_delta"), F.lit(0))).cast("int")
-    updated = joined.select(*[F.col(c) for c in INVENTORY_COLUMNS if c != "quantity"],
-                            qty.alias("quantity"), F.col("_have"))
-    if not assign_ids:
-        return updated.select(*INVENTORY_COLUMNS)
-    keyed = allocate_keys(updated, "inventory_id", KEY, existing=inventory,
-                          where=F.col("_have").isNull(), few=True)
-    return keyed.select(*INVENTORY_COLUMNS)
+    joined = inventory.join(net, KEY, "left")
+    qty = (F.col("quantity").cast("bigint") - F.coalesce(F.col("net_delta"), F.lit(0))).cast("int")
+    kept = joined.select(*[qty.alias(c) if c == "quantity" else F.col(c) for c in INVENTORY_COLUMNS])
+    text = F.lit(None).cast("string")
+    new = net.join(inventory.select(*KEY), KEY, "left_anti").select(
+        F.lit(None).cast("bigint").alias("inventory_id"), *KEY, text.alias("h_bin_num"),
+        text.alias("h_rack_num"), (-F.col("net_delta")).cast("int").alias("quantity"),
+        F.lit(None).cast("int").alias("parcel_qty"), text.alias("halstan_code"))
+    if assign_ids:
+        new = allocate_keys(new, "inventory_id", KEY, existing=inventory)
+    return kept.unionByName(new.select(*INVENTORY_COLUMNS))
 
 
 def reconcile(opening: DataFrame, ledger: DataFrame, inventory: DataFrame) -> DataFrame:
@@ -133,17 +136,47 @@ def reconcile(opening: DataFrame, ledger: DataFrame, inventory: DataFrame) -> Da
     return out.where(F.col("difference") != 0)
 
 
-MAX_PREFIX_LENGTHS = 4096
+_AFTER = "~"  # sorts behind every character of a normalised title
 
 
-def _staged_lengths(staged: DataFrame) -> list[int] | None:
-    """Distinct lengths of the normalised staged titles, if there are at most
-    MAX_PREFIX_LENGTHS of them (checked); None means "expand every prefix"."""
-    rows = (staged.select(F.length("_norm").alias("n")).where(F.col("n") > 0).distinct()
-            .limit(MAX_PREFIX_LENGTHS + 1).collect())
-    if len(rows) > MAX_PREFIX_LENGTHS:
-        return None
-    return sorted(r["n"] for r in rows)
+def _matching_titles(texts: DataFrame, titles: DataFrame) -> DataFrame:
+    """(_norm, _title_n, _title_pid): number of titles that begin with each text
+    of ``texts`` (_norm, distinct), and the product if it is a single one.
+
+    Titles and texts are sorted together. The titles that begin with a text are
+    one contiguous range, from the text itself to the text with a last
+    character behind it, so their number is a difference of two ranks, and the
+    single match is the title at the first rank. Equal titles are one row with
+    a weight. Ranks are cumulative weights within range partitions, which are
+    written once (the range partitioner draws its bounds anew in every job),
+    plus the weights of the partitions before.
+    """
+    spark = titles.sparkSession
+    weights = titles.where(F.length("_t") > 0).groupBy("_t").agg(
+        F.count(F.lit(1)).alias("w"), F.min("product_id").alias("pid"))
+    none = F.lit(None).cast("bigint")
+    keyed = weights.select(F.col("_t").alias("text"), F.lit(1).alias("kind"), "w", "pid",
+                           F.lit(None).cast("string").alias("_norm"))
+    for kind, at in ((0, F.col("_norm")), (2, F.concat("_norm", F.lit(_AFTER)))):
+        keyed = keyed.unionByName(texts.select(at.alias("text"), F.lit(kind).alias("kind"),
+                                               F.lit(0).cast("bigint").alias("w"), none.alias("pid"), "_norm"))
+    path = scratch_path(spark, "staged-titles")
+    (keyed.repartitionByRange("text", "kind").withColumn("part", F.spark_partition_id())
+     .write.parquet(path))
+    placed = spark.read.schema("text string, kind int, w bigint, pid bigint, _norm string, part int"
+                               ).parquet(path)
+    before = Window.partitionBy("part").orderBy("text", "kind").rowsBetween(
+        Window.unboundedPreceding, -1)
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy("part").agg(F.sum("w").alias("_total")).select(
+        "part", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_start"))
+    ranked = placed.withColumn("_in", F.coalesce(F.sum("w").over(before), F.lit(0))).join(
+        totals, "part").withColumn("rank", F.col("_start") + F.col("_in"))
+    spans = ranked.where(F.col("kind") != 1).groupBy("_norm").agg(
+        F.min("rank").alias("rank"), (F.max("rank") - F.min("rank")).alias("_title_n"))
+    single = spans.where(F.col("_title_n") == 1).join(
+        ranked.where(F.col("kind") == 1).select("rank", F.col("pid").alias("_title_pid")), "rank")
+    return single.select("_norm", "_title_n", "_title_pid")
 
 
 def resolve_staging(staging: DataFrame, products: DataFrame) -> DataFrame:
@@ -152,33 +185,25 @@ def resolve_staging(staging: DataFrame, products: DataFrame) -> DataFrame:
     Pass 1: the staged code equals the code of exactly one product.
     Pass 2 (rows pass 1 left open): the staged title, lower-cased and reduced
     to ASCII letters and digits, is a prefix of exactly one product title
-    treated alike. Titles are expanded into their prefixes and aggregated per
-    prefix (count, one product) before the equi-join, so a popular prefix
-    costs one aggregate row, never a pair per product.
-    Rows with no or several candidates are quarantined.
+    treated alike; see ``_matching_titles``. Rows without a code or without a
+    title skip the join of that pass. Rows with no or several candidates are
+    quarantined.
     """
     code = X.blank_to_null("halstan_code")
     codes = (products.select(code.alias("_code"), "product_id")
              .where(F.col("_code").isNotNull())
              .groupBy("_code").agg(F.count(F.lit(1)).alias("_code_n"),
                                   F.min("product_id").alias("_code_pid")))
-    staged = staging.withColumn("_code", code).withColumn("_norm", X.normalise_title("title_raw"))
-    staged = staged.join(codes, "_code", "left")
+    norm = X.normalise_title("title_raw")
+    staged = staging.withColumn("_code", code).withColumn(
+        "_norm", F.when(F.length(norm) > 0, norm))
+    staged = left_join_present(staged, codes, "_code")
     by_code = F.when(F.col("_code_n") == 1, F.col("_code_pid"))
-
-    norm = products.select("product_id", X.normalise_title("title").alias("_t"))
-    lengths = _staged_lengths(staging.select(X.normalise_title("title_raw").alias("_norm")))
-    if lengths is None:
-        cut = F.sequence(F.lit(1), F.length("_t"))
-    else:  # only prefixes as long as some staged title can ever match
-        cut = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("_t"))
-    prefixes = (norm.where(F.length("_t") > 0)
-                .select("product_id", F.explode(cut).alias("_n"), "_t")
-                .select("product_id", F.expr("substring(_t, 1, _n)").alias("_norm"))
-                .groupBy("_norm").agg(F.count(F.lit(1)).alias("_title_n"),
-                                     F.min("product_id").alias("_title_pid")))
-    staged = staged.join(prefixes, "_norm", "left")
-    by_title = F.when((F.length("_norm") > 0) & (F.col("_title_n") == 1), F.col("_title_pid"))
+    open_ = by_code.isNull()
+    texts = staged.where(open_ & F.col("_norm").isNotNull()).select("_norm").distinct()
+    titles = products.select("product_id", X.normalise_title("title").alias("_t"))
+    staged = left_join_present(staged, _matching_titles(texts, titles), "_norm", present=open_)
+    by_title = F.col("_title_pid")
     match = (F.when(by_code.isNotNull(), F.lit("code"))
              .when(by_title.isNotNull(), F.lit("title")))
     cols = [c for c in staging.columns if c != "product_id"]
@@ -207,20 +232,26 @@ def staging_to_inventory(resolved: DataFrame, location_id: int = 1) -> DataFrame
 
 
 def normalise_duration(products: DataFrame) -> DataFrame:
-    """T8: '[8:00; 7:30; 7:00]' -> 3 movements, 1350 s, '22:30'; ``consistent``
-    tells whether the stored columns agree (a NULL stored value is not a
-    disagreement)."""
+    """T8: '[8:00; 7:30; 7:00]' -> 3 movements, 1350 s, '22:30'.
+
+    ``malformed`` marks texts with a part that is no time (or does not fit):
+    their seconds are NULL and they are not ``consistent``. Otherwise
+    ``consistent`` tells whether the stored columns agree (a NULL stored value
+    is not a disagreement).
+    """
     parts = X.duration_parts("duration")
-    total = F.aggregate(parts, F.lit(0), lambda a, x: a + x)
+    # try_add: neither a NULL part nor a huge sum stops the job
+    total = F.aggregate(parts, F.lit(0).cast("bigint"), lambda a, x: F.try_add(a, x))
     d = products.where(F.col("duration").isNotNull()).select(
         "product_id", "duration", "no_of_movements", "duration_seconds", "duration_formatted",
-        F.size(parts).cast("int").alias("movements"), total.cast("int").alias("seconds"))
+        F.size(parts).cast("int").alias("movements"), total.alias("seconds"))
     d = d.withColumn("formatted", X.format_seconds("seconds"))
+    d = d.withColumn("malformed", F.col("seconds").isNull())
 
     def agrees(stored: str, computed: str) -> Column:
         return F.col(stored).isNull() | F.coalesce(F.col(stored) == F.col(computed), F.lit(False))
 
-    ok = (agrees("no_of_movements", "movements") & agrees("duration_seconds", "seconds")
-          & agrees("duration_formatted", "formatted"))
-    return d.select("product_id", "duration", "movements", "seconds", "formatted",
+    ok = (~F.col("malformed") & agrees("no_of_movements", "movements")
+          & agrees("duration_seconds", "seconds") & agrees("duration_formatted", "formatted"))
+    return d.select("product_id", "duration", "movements", "seconds", "formatted", "malformed",
                     ok.alias("consistent"))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockbook.functions import expressions as X
+from stockbook.operators.joins import left_join_present
 from stockbook.sources.schemas import TOTAL
 
 
@@ -76,7 +77,7 @@ def lookup(keys: DataFrame, table: DataFrame, key: str, cols: Sequence[str],
 
     checked = validate_keys(keys, raw_key, key)
     right = table.select(F.col(key), F.lit(True).alias("_hit"), *[F.col(c) for c in cols])
-    joined = checked.join(right, key, "left")
+    joined = left_join_present(checked, right, key)
     return joined.select(
         "seq", key,
         F.coalesce(F.col("_hit"), F.lit(False)).alias("found"),
@@ -90,20 +91,26 @@ def lookup(keys: DataFrame, table: DataFrame, key: str, cols: Sequence[str],
 def order_lines_detail(lines: DataFrame, products: DataFrame,
                        order_ids: DataFrame | None = None) -> DataFrame:
     """Lines with product titles, optionally only for some orders, by line id."""
+    return line_titles(lines, products, order_ids).orderBy("order_line_id")
+
+
+def line_titles(lines: DataFrame, products: DataFrame,
+                order_ids: DataFrame | None = None) -> DataFrame:
+    """J1 without the final order (what other operators build on)."""
     lines = X.with_line_total(lines)
     if order_ids is not None:
-        lines = lines.join(order_ids.select("order_id"), "order_id", "left_semi")
+        lines = lines.join(order_ids.select("order_id").distinct(), "order_id", "left_semi")
     detail = lines.join(products.select("product_id", "title"), "product_id")
     return detail.select("order_line_id", "order_id", "title", "product_id", "quantity",
-                         "product_price", "line_total").orderBy("order_line_id")
+                         "product_price", "line_total")
 
 
 def order_header(orders: DataFrame, customers: DataFrame) -> DataFrame:
     """Order with its bill-to customer; orders without customer are kept."""
     cust = customers.select("customer_id", "first_name", "last_name", "street_address",
                             "town", "zip", "country")
-    return orders.select("order_id", "order_date", "customer_id").join(
-        cust, "customer_id", "left").select(
+    return left_join_present(orders.select("order_id", "order_date", "customer_id"),
+                             cust, "customer_id").select(
         "order_id", "order_date", "customer_id", "first_name", "last_name",
         "street_address", "town", "zip", "country")
 
@@ -204,7 +211,7 @@ def product_search(products: DataFrame, inv: DataFrame, junction: DataFrame,
     found = apply_filters(products, {"composer": composer, "media": media,
                                      "product_type": product_type})
     found = in_category(found, junction, category, category_name)
-    stock = inv.groupBy("product_id").agg(F.sum("quantity").alias("_qty"))
+    stock = inv.join(found.select("product_id"), "product_id", "left_semi").groupBy("product_id").agg(F.sum("quantity").alias("_qty"))
     out = found.select("product_id", "title", "composer", "media", "product_type",
                        "price").join(stock, "product_id", "left")
     return out.select("product_id", "title", "composer", "media", "product_type", "price",
@@ -256,6 +263,7 @@ def with_category_rank(junction: DataFrame) -> DataFrame:
     return junction.withColumn("category_rank", X.category_rank("category_id"))
 
 
+# The product columns of the view with the primary category.
 PRIMARY_CATEGORY_COLUMNS: tuple[str, ...] = (
     "product_id", "title", "duration", "no_of_movements", "duration_seconds",
     "duration_formatted", "price", "ismn", "is_duplicate", "work_id", "not_difficult",

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockbook.functions import expressions as X
+from stockbook.operators.joins import left_join_present
 
 
 def _first_failure(checks: Sequence[tuple[Column, str]]) -> Column:
@@ -58,7 +59,7 @@ def _int_value(c: str, ok: Column, dtype: str = "bigint") -> Column:
 
 def validate_keys(raw: DataFrame, raw_col: str, out_col: str,
                   label: str | None = None) -> DataFrame:
-    """V7: a key field must be present and an integer.
+    """V7: a key field must be present, an integer, and fit 64 bits.
 
     Adds the typed key as ``out_col`` (replacing a column of that name) and
     ``reason``; both are computed from the raw text column.
@@ -67,12 +68,13 @@ def validate_keys(raw: DataFrame, raw_col: str, out_col: str,
     keep = [c for c in raw.columns if c not in (out_col, "reason")]
     st = raw.select(*keep, X.strip(raw_col).alias("_s_key"))
     flags = st.select("*", _int_ok("key").alias("_ok_key"))
+    typed = flags.select("*", _int_value("key", F.col("_ok_key")).alias("_v_key"))
     reason = _first_failure([
         (_blank("key"), f"{name} required"),
         (~F.col("_ok_key"), f"{name} not an integer"),
+        (F.col("_v_key").isNull(), f"{name} out of range"),
     ])
-    return flags.select(*keep, _int_value("key", F.col("_ok_key")).alias(out_col),
-                        reason.alias("reason"))
+    return typed.select(*keep, F.col("_v_key").alias(out_col), reason.alias("reason"))
 
 
 def validate_order_lines(raw: DataFrame) -> DataFrame:
@@ -110,6 +112,9 @@ def validate_order_lines(raw: DataFrame) -> DataFrame:
         (~F.col("_ok_location_id"), "location_id not an integer"),
         (F.col("product_price").isNull(), "price out of range"),
         (F.col("quantity").isNull(), "quantity out of range"),
+        (F.col("order_id").isNull(), "order_id out of range"),
+        (F.col("product_id").isNull(), "product_id out of range"),
+        (F.col("fulfilled_from_location_id").isNull(), "location_id out of range"),
     ])
     return typed.select("seq", "order_id", "product_id", "quantity", "product_price",
                         "fulfilled_from_location_id", reason.alias("reason"))
@@ -176,11 +181,14 @@ def validate_products(raw: DataFrame) -> DataFrame:
 
 def validate_replenish(raw: DataFrame, products: DataFrame,
                        locations: DataFrame | None = None) -> DataFrame:
-    """V4: product, location and quantity required and integers; the product
-    (and, when given, the location) must exist.
-
-    Fields are stripped and tested once; only two flags (missing, not an
-    integer) travel through the existence joins, not the raw texts."""
+    """V4: product, location and quantity required; the product must be a known
+    one (an id that is no integer or does not fit 64 bits is not); location
+    and quantity must be integers in range; the location, when its table is
+    given, must exist. Checked in this order: the product is looked up before
+    the numbers are read.
+
+    Fields are stripped and tested once; only flags travel through the
+    existence joins, not the raw texts. Unusable keys skip the joins."""
     ints = ["product_id", "location_id", "quantity"]
     st = _stripped(raw, [*ints, "bin", "rack", "code"])
     flags = st.select("*", *[_int_ok(c).alias(f"_ok_{c}") for c in ints])
@@ -196,19 +204,19 @@ def validate_replenish(raw: DataFrame, products: DataFrame,
         to_null("bin").alias("h_bin_num"), to_null("rack").alias("h_rack_num"),
         to_null("code").alias("halstan_code"),
         (_blank("product_id") | _blank("location_id") | _blank("quantity")).alias("_missing"),
-        (~F.col("_ok_product_id") | ~F.col("_ok_location_id") | ~F.col("_ok_quantity"))
-        .alias("_not_int"))
+        (~F.col("_ok_location_id") | ~F.col("_ok_quantity")).alias("_not_int"))
     known_p = products.select("product_id").distinct().withColumn("_kp", F.lit(True))
-    typed = typed.join(known_p, "product_id", "left")
+    typed = left_join_present(typed, known_p, "product_id")
     checks = [
         (F.col("_missing"), "product_id, location_id and quantity required"),
-        (F.col("_not_int"), "product_id, location_id and quantity must be integers"),
-        (F.col("quantity").isNull(), "quantity out of range"),
         (F.col("_kp").isNull(), "unknown product"),
+        (F.col("_not_int"), "location_id and quantity must be integers"),
+        (F.col("location_id").isNull(), "location_id out of range"),
+        (F.col("quantity").isNull(), "quantity out of range"),
     ]
     if locations is not None:
         known_l = locations.select("location_id").distinct().withColumn("_kl", F.lit(True))
-        typed = typed.join(known_l, "location_id", "left")
+        typed = left_join_present(typed, known_l, "location_id")
         checks.append((F.col("_kl").isNull(), "unknown location"))
     return typed.select("seq", "product_id", "location_id", "quantity", "h_bin_num",
                         "h_rack_num", "halstan_code", _first_failure(checks).alias("reason"))

@@ -11,13 +11,14 @@ before the shuffle.
 from __future__ import annotations
 
 import datetime as _dt
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockbook.functions import expressions as X
 from stockbook.operators import validate as V
+from stockbook.operators.joins import left_join_present
 from stockbook.operators.keys import allocate_keys
 from stockbook.operators.ledger import INVENTORY_COLUMNS
 from stockbook.sources import schemas as S
@@ -53,7 +54,7 @@ def create_orders(requests: DataFrame, orders: DataFrame, customers: DataFrame,
     Returns (new order rows, report(seq, customer_id, order_id, reason)).
     """
     checked = V.validate_keys(requests, "customer_id", "customer_id")
-    checked = checked.join(_known(customers, "customer_id", "_kc"), "customer_id", "left")
+    checked = left_join_present(checked, _known(customers, "customer_id", "_kc"), "customer_id")
     checked = _add_reason(checked, [(F.col("_kc").isNull(), "unknown customer")])
     keyed = allocate_keys(checked.select("seq", "customer_id", "reason"), "order_id", ["seq"],
                           existing=orders, where=F.col("reason").isNull())
@@ -78,10 +79,15 @@ def add_order_lines(requests: DataFrame, lines: DataFrame, products: DataFrame,
     failure, or an order / product / location that does not exist.
     """
     checked = V.validate_order_lines(requests)
-    checked = (checked.join(_known(orders, "order_id", "_ko"), "order_id", "left")
-                      .join(_known(products, "product_id", "_kp"), "product_id", "left")
-                      .join(_known(locations, "location_id", "_kl", "fulfilled_from_location_id"),
-                            "fulfilled_from_location_id", "left"))
+    usable = checked.where(F.col("reason").isNull())  # their keys are not NULL
+    known = (usable.join(_known(orders, "order_id", "_ko"), "order_id", "left")
+                   .join(_known(products, "product_id", "_kp"), "product_id", "left")
+                   .join(_known(locations, "location_id", "_kl", "fulfilled_from_location_id"),
+                         "fulfilled_from_location_id", "left"))
+    flag = F.lit(None).cast("boolean")
+    rejected = checked.where(F.col("reason").isNotNull()).select(
+        "*", flag.alias("_ko"), flag.alias("_kp"), flag.alias("_kl"))
+    checked = known.unionByName(rejected)
     fits = (F.col("product_price") * F.col("quantity")).try_cast(S.MONEY).isNotNull()
     checked = _add_reason(checked, [(~fits, "line total out of range"),
                                     (F.col("_ko").isNull(), "unknown order"),
@@ -160,73 +166,92 @@ def add_products(requests: DataFrame, products: DataFrame, category: DataFrame
     return rows, links, report
 
 
-def latest_product_edits(requests: DataFrame, category: DataFrame) -> DataFrame:
-    """Accepted edit forms, one per product id: the one with the highest seq.
+def judged_product_edits(requests: DataFrame, products: DataFrame,
+                         category: DataFrame) -> DataFrame:
+    """Every edit request with its fate: all form columns, product_id, reason and status.
 
-    The raw id travels through form validation, so the key is validated on the
-    same rows (no join of the batch with itself)."""
+    status: 'rejected' (see reason: the form first, then the id), 'not found',
+    'superseded' (a later accepted edit of the same product in the batch) or
+    'updated'. The raw id travels through form validation, so the key is
+    validated on the same rows (no join of the batch with itself).
+    """
     forms = _product_forms(requests, category).withColumnRenamed("reason", "_form_reason")
     forms = V.validate_keys(forms, "product_id", "product_id")
-    forms = forms.where(F.col("reason").isNull() & F.col("_form_reason").isNull())
-    payload = F.struct(*PRODUCT_FIELDS, "categories")
-    latest = forms.groupBy("product_id").agg(F.max_by(payload, "seq").alias("_p"),
-                                             F.max("seq").alias("seq"))
-    return latest.select("product_id", "seq", "_p.*")
+    forms = forms.withColumn("reason", F.coalesce("_form_reason", "reason")).drop("_form_reason")
+    good = F.col("reason").isNull()
+    # the last accepted edit of each product: a partial aggregation, no window
+    last = forms.where(good).groupBy("product_id").agg(F.max("seq").alias("_last"))
+    last = last.join(_known(products, "product_id", "_hit"), "product_id", "left")
+    forms = left_join_present(forms, last, "product_id", present=good)
+    status = (F.when(~good, F.lit("rejected")).when(F.col("_hit").isNull(), F.lit("not found"))
+              .when(F.col("seq") < F.col("_last"), F.lit("superseded")).otherwise(F.lit("updated")))
+    return forms.withColumn("status", status).drop("_last", "_hit", "_unknown")
+
+
+def edit_report(judged: DataFrame) -> DataFrame:
+    """One answer per request (seq, product_id, status, reason)."""
+    return judged.select("seq", "product_id", "status", "reason")
 
 
 def update_products(requests: DataFrame, products: DataFrame, category: DataFrame
                     ) -> tuple[DataFrame, DataFrame]:
     """Replace all non-key columns of matched products (NULL overwrites).
 
-    Returns (products after the update, report(product_id, status)).
+    Returns (products after the update, report(seq, product_id, status, reason)).
     """
-    edits = latest_product_edits(requests, category)
-    new_vals = edits.select("product_id", *[F.col(c).alias(f"_n_{c}") for c in PRODUCT_FIELDS],
-                            F.lit(True).alias("_hit"))
+    judged = judged_product_edits(requests, products, category)
+    new_vals = judged.where(F.col("status") == "updated").select(
+        "product_id", *[F.col(c).alias(f"_n_{c}") for c in PRODUCT_FIELDS], F.lit(True).alias("_hit"))
     joined = products.join(new_vals, "product_id", "left")
     after = joined.select("product_id", *[
         F.when(F.col("_hit"), F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c)
         for c in PRODUCT_FIELDS])
-    from stockbook.operators.reads import update_report
-    return after, update_report(edits, products, "product_id")
+    return after, edit_report(judged)
 
 
 def replace_categories(requests: DataFrame, products: DataFrame, junction: DataFrame,
-                       category: DataFrame) -> DataFrame:
+                       category: DataFrame) -> tuple[DataFrame, DataFrame]:
     """For each updated (existing) product, drop all links and insert the
-    chosen set; an empty choice leaves the product without categories."""
-    edits = latest_product_edits(requests, category).join(
-        products.select("product_id"), "product_id", "left_semi")
+    chosen set; an empty choice leaves the product without categories.
+
+    Returns (links after the change, report(seq, product_id, status, reason)).
+    """
+    judged = judged_product_edits(requests, products, category)
+    edits = judged.where(F.col("status") == "updated")
     kept = junction.join(edits.select("product_id"), "product_id", "left_anti")
-    return kept.select("product_id", "category_id").unionByName(_links(edits, category))
+    after = kept.select("product_id", "category_id").unionByName(_links(edits, category))
+    return after, edit_report(judged)
 
 
 # ------------------------------------------------------------------ W8 / W9
 
 def _upsert_stock(inventory: DataFrame, fold: DataFrame, overwrite_place: bool,
                   assign_ids: bool = True) -> DataFrame:
-    """Full outer join of folded requests with stock on (product, location)."""
-    inv = inventory.withColumn("_have", F.lit(True))
+    """Stock with the folded requests of each (product, location) applied.
+
+    Existing rows keep their id (left join); only the requests that hit no row
+    become new rows, which alone are numbered, in order of their first request.
+    """
     f = fold.withColumn("_req", F.lit(True))
-    j = inv.join(f, KEY, "full")
-    qty = (F.coalesce(F.col("quantity").cast("bigint"), F.lit(0))
-           + F.coalesce(F.col("_add"), F.lit(0))).cast("int")
+    j = inventory.join(f, KEY, "left")
+    qty = (F.col("quantity").cast("bigint") + F.coalesce(F.col("_add"), F.lit(0))).cast("int")
     if overwrite_place:
         bin_ = F.when(F.col("_req"), F.col("_bin")).otherwise(F.col("h_bin_num"))
         rack = F.when(F.col("_req"), F.col("_rack")).otherwise(F.col("h_rack_num"))
         code = F.coalesce(F.col("_code"), F.col("halstan_code"))
+        new_place = [F.col("_bin"), F.col("_rack"), F.col("_code")]
     else:
         bin_, rack, code = F.col("h_bin_num"), F.col("h_rack_num"), F.col("halstan_code")
-    after = j.select("inventory_id", *KEY, bin_.alias("h_bin_num"), rack.alias("h_rack_num"),
-                     qty.alias("quantity"), "parcel_qty", code.alias("halstan_code"),
-                     "_have", "_first")
-    if not assign_ids:
-        return after.select(*INVENTORY_COLUMNS)
-    # new rows are numbered in order of their first request; (_first, key)
-    # is a total order that also spreads the unchanged rows over partitions
-    keyed = allocate_keys(after, "inventory_id", ["_first", *KEY], existing=inventory,
-                          where=F.col("_have").isNull(), few=True)
-    return keyed.select(*INVENTORY_COLUMNS)
+        new_place = [F.lit(None).cast("string")] * 3
+    kept = j.select("inventory_id", *KEY, bin_.alias("h_bin_num"), rack.alias("h_rack_num"),
+                    qty.alias("quantity"), "parcel_qty", code.alias("halstan_code"))
+    new = fold.join(inventory.select(*KEY), KEY, "left_anti").select(
+        F.lit(None).cast("bigint").alias("inventory_id"), *KEY, new_place[0].alias("h_bin_num"),
+        new_place[1].alias("h_rack_num"), F.col("_add").cast("int").alias("quantity"),
+        F.lit(None).cast("int").alias("parcel_qty"), new_place[2].alias("halstan_code"), "_first")
+    if assign_ids:
+        new = allocate_keys(new, "inventory_id", ["_first", *KEY], existing=inventory)
+    return kept.unionByName(new.select(*INVENTORY_COLUMNS))
 
 
 def replenish(requests: DataFrame, inventory: DataFrame, assign_ids: bool = True) -> DataFrame:
@@ -268,15 +293,18 @@ def delete_lines(ids: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame
     Returns (remaining lines, change feed keyed by the line id).
     """
     keys = ids.select("order_line_id").distinct()
-    gone = lines.join(keys, "order_line_id", "left_semi")
-    remaining = lines.join(keys, "order_line_id", "left_anti")
+    return (lines.join(keys, "order_line_id", "left_anti"),
+            delete_feed(lines.join(keys, "order_line_id", "left_semi")))
+
+
+def delete_feed(gone: DataFrame) -> DataFrame:
+    """DELETE changes of removed order lines, keyed by the line id."""
     nl, ni = F.lit(None).cast("bigint"), F.lit(None).cast("int")
-    feed = gone.select(F.col("order_line_id").alias("seq"), F.lit("DELETE").alias("op"),
+    return gone.select(F.col("order_line_id").alias("seq"), F.lit("DELETE").alias("op"),
                        "order_id", F.col("product_id").alias("old_product"),
                        F.col("fulfilled_from_location_id").alias("old_location"),
                        F.col("quantity").alias("old_qty"), nl.alias("new_product"),
                        nl.alias("new_location"), ni.alias("new_qty"))
-    return remaining, feed
 
 
 def delete_orders(ids: DataFrame, orders: DataFrame, lines: DataFrame
@@ -286,10 +314,9 @@ def delete_orders(ids: DataFrame, orders: DataFrame, lines: DataFrame
     Returns (remaining orders, remaining lines, DELETE feed of the lines).
     """
     keys = ids.select("order_id").distinct()
-    remaining_orders = orders.join(keys, "order_id", "left_anti")
-    doomed = lines.join(keys, "order_id", "left_semi").select("order_line_id")
-    remaining_lines, feed = delete_lines(doomed, lines)
-    return remaining_orders, remaining_lines, feed
+    return (orders.join(keys, "order_id", "left_anti"),
+            lines.join(keys, "order_id", "left_anti"),
+            delete_feed(lines.join(keys, "order_id", "left_semi")))
 
 
 def delete_customers(ids: DataFrame, customers: DataFrame, orders: DataFrame
@@ -298,29 +325,35 @@ def delete_customers(ids: DataFrame, customers: DataFrame, orders: DataFrame
     keys = ids.select("customer_id").distinct()
     remaining = customers.join(keys, "customer_id", "left_anti")
     hit = keys.withColumn("_gone", F.lit(True))
-    after = orders.join(hit, "customer_id", "left").select(
+    after = left_join_present(orders, hit, "customer_id").select(
         *[F.when(F.col("_gone"), F.lit(None).cast("bigint")).otherwise(F.col(c)).alias(c)
           if c == "customer_id" else F.col(c) for c in orders.columns])
     return remaining, after
 
 
-def split_deletable(ids: DataFrame, key: str,
-                    references: Sequence[tuple[str, DataFrame, str]]
-                    ) -> tuple[DataFrame, DataFrame]:
+def deletable(ids: DataFrame, key: str,
+              references: Sequence[tuple[str, DataFrame, str]]) -> DataFrame:
     """Deletions refused while a row elsewhere still refers to the key.
 
-    ``references`` = [(table name, table, referring column)]. Returns
-    (deletable ids, refused ids with ``referenced_by``: the referring tables).
+    ``references`` = [(table name, table, referring column)]; a table may be
+    named for several columns. Returns (key, referenced_by, deletable):
+    ``referenced_by`` lists the referring tables in the given order. All
+    references are reduced to one row per key before the single join.
     """
-    out = ids.select(key).distinct()
-    flags = []
-    for i, (name, table, col) in enumerate(references):
-        flag = f"_r{i}"
-        refs = table.select(F.col(col).alias(key)).where(F.col(key).isNotNull()).distinct()
-        out = out.join(refs.withColumn(flag, F.lit(name)), key, "left")
-        flags.append(F.col(flag))
-    by = F.concat_ws(",", *flags)
-    out = out.select(key, by.alias("referenced_by"))
-    ok = out.where(F.col("referenced_by") == "").select(key)
-    refused = out.where(F.col("referenced_by") != "")
-    return ok, refused
+    names = list(dict.fromkeys(n for n, _, _ in references))
+    refs = None
+    for name, table, col in references:
+        part = table.where(F.col(col).isNotNull()).select(F.col(col).alias(key), F.lit(name).alias("_t"))
+        refs = part if refs is None else refs.unionByName(part)
+    hits = refs.groupBy(key).agg(*[F.max(F.when(F.col("_t") == n, F.lit(n))).alias(f"_r{i}")
+                                   for i, n in enumerate(names)])
+    out = ids.select(key).distinct().join(hits, key, "left").select(
+        key, F.concat_ws(",", *[F.col(f"_r{i}") for i in range(len(names))]).alias("referenced_by"))
+    return out.withColumn("deletable", F.col("referenced_by") == "")
+
+
+def restricting_references(tables: Mapping[str, DataFrame], parent: str
+                           ) -> list[tuple[str, DataFrame, str]]:
+    """The references of the model that forbid deleting rows of ``parent``."""
+    return [(child, tables[child], col) for child, col, p, _, action in S.FOREIGN_KEYS
+            if p == parent and action == "restrict"]

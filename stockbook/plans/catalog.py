@@ -31,6 +31,8 @@ MOVEMENT_DATE = "2024-01-01 00:00:00"
 TODAY = "2024-01-02"
 SEARCH = {"category_name": "Opera", "composer": "", "media": "print",
           "product_type": "(Any type)"}
+SEARCH_COMPOSER = {"category_name": "(Any category)", "composer": "Brand#3", "media": "",
+                   "product_type": None}
 FILTERS = {"composer": "Brand#1", "media": "(Any media)", "product_type": "SMALL"}
 SEMI_CATEGORY = "Strings"
 BIG_LINE_QTY = 48
@@ -113,6 +115,24 @@ def lookup_by_key(spark: SparkSession, d: str) -> DataFrame:
                     ["title", "price", "composer"])
 
 
+@query
+def lookup_customer(spark: SparkSession, d: str) -> DataFrame:
+    """customer lookups by (raw) id with all contact fields."""
+    t = _t(spark, d)
+    return R.lookup(t.order_requests, t.customer, "customer_id", list(V.CUSTOMER_FIELDS),
+                    raw_key="customer_id")
+
+
+@query
+def lookup_product_form(spark: SparkSession, d: str) -> DataFrame:
+    """F1 + J4: product lookups by (raw) id with every field and the category names."""
+    t = _t(spark, d)
+    named = R.product_categories(t.music_product, t.product_category_junction, t.category).select(
+        "product_id", _arr_text("categories", "|").alias("categories"))
+    full = t.music_product.join(named, "product_id", "left")
+    return R.lookup(t.lookup_requests, full, "product_id", [*W.PRODUCT_FIELDS, "categories"])
+
+
 @query
 def null_to_blank(spark: SparkSession, d: str) -> DataFrame:
     """customer rows in display form (NULL shown as '')."""
@@ -151,6 +171,13 @@ def order_lines_detail(spark: SparkSession, d: str) -> DataFrame:
     return R.order_lines_detail(t.order_line, t.music_product)
 
 
+@query
+def order_lines_of_orders(spark: SparkSession, d: str) -> DataFrame:
+    """J1 for given orders only."""
+    t = _t(spark, d)
+    return R.order_lines_detail(t.order_line, t.music_product, t.order_line_lookups)
+
+
 @query
 def order_header(spark: SparkSession, d: str) -> DataFrame:
     t = _t(spark, d)
@@ -199,6 +226,21 @@ def product_search(spark: SparkSession, d: str) -> DataFrame:
                             t.category, **SEARCH)
 
 
+@query
+def product_search_composer(spark: SparkSession, d: str) -> DataFrame:
+    """A3 with a composer and no category."""
+    t = _t(spark, d)
+    return R.product_search(t.music_product, t.inventory, t.product_category_junction,
+                            t.category, **SEARCH_COMPOSER)
+
+
+@query
+def product_search_all(spark: SparkSession, d: str) -> DataFrame:
+    """A3 with nothing set: the whole catalogue with its stock."""
+    t = _t(spark, d)
+    return R.product_search(t.music_product, t.inventory, t.product_category_junction, t.category)
+
+
 @query
 def facet_values(spark: SparkSession, d: str) -> DataFrame:
     t = _t(spark, d)
@@ -268,7 +310,6 @@ def allocate_line_keys(spark: SparkSession, d: str) -> DataFrame:
     return keyed.select("seq", "order_line_id")
 
 
-
 @query
 def create_orders(spark: SparkSession, d: str) -> DataFrame:
     t = _t(spark, d)
@@ -276,12 +317,34 @@ def create_orders(spark: SparkSession, d: str) -> DataFrame:
     return report
 
 
+@query
+def create_orders_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The new order rows."""
+    t = _t(spark, d)
+    return W.create_orders(t.order_requests, t.orders, t.customer, TODAY)[0]
+
+
 @query
 def add_order_lines(spark: SparkSession, d: str) -> DataFrame:
     t = _t(spark, d)
-    _, _, report = W.add_order_lines(t.raw_order_line_requests, t.order_line,
-                                     t.music_product, t.orders, t.location)
-    return report
+    return _added_lines(t)[2]
+
+
+def _added_lines(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return W.add_order_lines(t.raw_order_line_requests, t.order_line, t.music_product,
+                             t.orders, t.location)
+
+
+@query
+def add_order_lines_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The new order lines."""
+    return _added_lines(_t(spark, d))[0]
+
+
+@query
+def add_order_lines_feed(spark: SparkSession, d: str) -> DataFrame:
+    """The INSERT changes of the new lines."""
+    return _added_lines(_t(spark, d))[1]
 
 
 @query
@@ -294,8 +357,21 @@ def add_customers(spark: SparkSession, d: str) -> DataFrame:
 @query
 def add_products(spark: SparkSession, d: str) -> DataFrame:
     t = _t(spark, d)
-    _, _, report = W.add_products(t.product_requests, t.music_product, t.category)
-    return report
+    return W.add_products(t.product_requests, t.music_product, t.category)[2]
+
+
+@query
+def add_products_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The new products."""
+    t = _t(spark, d)
+    return W.add_products(t.product_requests, t.music_product, t.category)[0]
+
+
+@query
+def add_products_links(spark: SparkSession, d: str) -> DataFrame:
+    """The category links of the new products."""
+    t = _t(spark, d)
+    return W.add_products(t.product_requests, t.music_product, t.category)[1]
 
 
 @query
@@ -305,11 +381,26 @@ def update_products(spark: SparkSession, d: str) -> DataFrame:
     return after
 
 
+@query
+def update_products_report(spark: SparkSession, d: str) -> DataFrame:
+    """What became of each edit request."""
+    t = _t(spark, d)
+    return W.update_products(t.product_requests, t.music_product, t.category)[1]
+
+
 @query
 def replace_categories(spark: SparkSession, d: str) -> DataFrame:
     t = _t(spark, d)
     return W.replace_categories(t.product_requests, t.music_product,
-                                t.product_category_junction, t.category)
+                                t.product_category_junction, t.category)[0]
+
+
+@query
+def replace_categories_report(spark: SparkSession, d: str) -> DataFrame:
+    """What became of each edit request."""
+    t = _t(spark, d)
+    return W.replace_categories(t.product_requests, t.music_product,
+                                t.product_category_junction, t.category)[1]
 
 
 def _replenished(t: Tables) -> tuple[DataFrame, DataFrame]:
@@ -341,13 +432,36 @@ def delete_lines(spark: SparkSession, d: str) -> DataFrame:
     return feed
 
 
+@query
+def delete_lines_remaining(spark: SparkSession, d: str) -> DataFrame:
+    """The lines that stay."""
+    t = _t(spark, d)
+    ids = t.order_line.where(F.col("quantity") >= BIG_LINE_QTY).select("order_line_id")
+    return W.delete_lines(ids, t.order_line)[0]
+
+
 @query
 def cascade_delete_orders(spark: SparkSession, d: str) -> DataFrame:
     """Delete orders without a customer; the DELETE changes of their lines."""
     t = _t(spark, d)
+    return _deleted_orders(t)[2]
+
+
+def _deleted_orders(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     ids = t.orders.where(F.col("customer_id").isNull()).select("order_id")
-    _, _, feed = W.delete_orders(ids, t.orders, t.order_line)
-    return feed
+    return W.delete_orders(ids, t.orders, t.order_line)
+
+
+@query
+def cascade_delete_remaining_orders(spark: SparkSession, d: str) -> DataFrame:
+    """The orders that stay."""
+    return _deleted_orders(_t(spark, d))[0].select("order_id", "order_date", "customer_id")
+
+
+@query
+def cascade_delete_remaining_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The lines that stay."""
+    return _deleted_orders(_t(spark, d))[1]
 
 
 @query
@@ -359,16 +473,28 @@ def null_customer_on_delete(spark: SparkSession, d: str) -> DataFrame:
     return after.select("order_id", "customer_id")
 
 
+@query
+def delete_customers_remaining(spark: SparkSession, d: str) -> DataFrame:
+    """The customers that stay."""
+    t = _t(spark, d)
+    ids = t.customer.where(F.col("first_name").isNull()).select("customer_id")
+    return W.delete_customers(ids, t.customer, t.orders)[0]
+
+
 @query
 def restrict_delete(spark: SparkSession, d: str) -> DataFrame:
-    """Which products could be deleted, and what refers to the others."""
+    """Which products, categories and locations could be deleted, and what
+    refers to the others."""
     t = _t(spark, d)
-    refs = [("order_line", t.order_line, "product_id"),
-            ("inventory", t.inventory, "product_id"),
-            ("product_category_junction", t.product_category_junction, "product_id")]
-    ok, refused = W.split_deletable(t.music_product.select("product_id"), "product_id", refs)
-    return (ok.select("product_id", F.lit("").alias("referenced_by"))
-            .unionByName(refused).withColumn("deletable", F.col("referenced_by") == ""))
+    m = _model(t)
+    m["inventory_movement"] = L.ledger_rows(deltas(t), MOVEMENT_DATE)  # its ids do not matter
+    parts = []
+    for parent in ("music_product", "category", "location"):
+        key = S.PRIMARY_KEYS[parent][0]
+        judged = W.deletable(m[parent].select(key), key, W.restricting_references(m, parent))
+        parts.append(judged.select(F.lit(parent).alias("table_name"), F.col(key).alias("key_value"),
+                                   "referenced_by", "deletable"))
+    return _union(parts)
 
 
 # ------------------------------------------------------------- V
@@ -482,6 +608,13 @@ def invoice_documents(spark: SparkSession, d: str) -> DataFrame:
     return D.invoices(t.orders, t.customer, t.order_line, t.music_product)
 
 
+@query
+def invoice_items(spark: SparkSession, d: str) -> DataFrame:
+    """The item rows of all invoices."""
+    t = _t(spark, d)
+    return D.invoice_items(t.order_line, t.music_product)
+
+
 @query
 def invoice_text(spark: SparkSession, d: str) -> DataFrame:
     t = _t(spark, d)
@@ -491,6 +624,7 @@ def invoice_text(spark: SparkSession, d: str) -> DataFrame:
 # ------------------------------------------------------------- C
 
 def _model(t: Tables) -> dict[str, DataFrame]:
+    """The stored tables; the ledger is added by the queries that need it."""
     return {
         "category": t.category, "customer": t.customer, "orders": t.orders,
         "order_line": t.order_line, "music_product": t.music_product,
@@ -499,6 +633,11 @@ def _model(t: Tables) -> dict[str, DataFrame]:
     }
 
 
+def _all_tables(t: Tables) -> dict[str, DataFrame]:
+    """All ten tables, the ledger with its allocated ids."""
+    return _model(t) | {"inventory_movement": L.movement_ledger(deltas(t), MOVEMENT_DATE)}
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
@@ -508,9 +647,8 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 @query
 def audit_primary_keys(spark: SparkSession, d: str) -> DataFrame:
-    t = _t(spark, d)
-    m = _model(t)
-    return _union([C.audit_unique(df, S.PRIMARY_KEYS[n], n) for n, df in m.items()])
+    m = _all_tables(_t(spark, d))
+    return _union([C.audit_unique(m[n], cols, n) for n, cols in S.PRIMARY_KEYS.items()])
 
 
 @query
@@ -532,18 +670,14 @@ def audit_foreign_keys(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def audit_not_null(spark: SparkSession, d: str) -> DataFrame:
-    t = _t(spark, d)
-    m = _model(t)
-    return _union([C.audit_not_null(df, S.NOT_NULL[n], n) for n, df in m.items()
-                   if S.NOT_NULL[n]])
+    m = _all_tables(_t(spark, d))
+    return _union([C.audit_not_null(m[n], cols, n) for n, cols in S.NOT_NULL.items() if cols])
 
 
 @query
 def audit_lengths(spark: SparkSession, d: str) -> DataFrame:
-    t = _t(spark, d)
-    m = _model(t)
-    return _union([C.audit_lengths(m[n], lim, n) for n, lim in S.VARCHAR_LIMITS.items()
-                   if n in m])
+    m = _all_tables(_t(spark, d))
+    return _union([C.audit_lengths(m[n], lim, n) for n, lim in S.VARCHAR_LIMITS.items()])
 
 
 # ------------------------------------------------------------- X

@@ -26,13 +26,13 @@ SELECT * FROM (VALUES (1::BIGINT, 'Winds'), (2, 'Keyboard'), (3, 'Strings'), (4,
   (5, 'Orchestral and Chamber works'), (6, 'Other')) t(category_id, category_name)"""
 
 BINDINGS["b_location"] = """
-SELECT * FROM (VALUES (1::BIGINT, 'Printer UK'), (2, 'Shop UK'), (3, 'Store US'),
-  (4, 'Basement US')) t(location_id, location_name)"""
+SELECT CAST(r_regionkey + 1 AS BIGINT) AS location_id, r_name AS location_name FROM region"""
 
 BINDINGS["b_music_product"] = f"""
 SELECT p_partkey AS product_id,
   {_TITLE} AS title,
-  CASE WHEN p_partkey % 29 = 0 THEN NULL ELSE
+  CASE WHEN p_partkey % 101 = 7 THEN '[x:00]' WHEN p_partkey % 107 = 5 THEN '[99999999:00]'
+    WHEN p_partkey % 29 = 0 THEN NULL ELSE
     '[' || CAST(p_size % 12 + 1 AS VARCHAR) || ':' || lpad(CAST(p_partkey % 60 AS VARCHAR), 2, '0')
     || CASE WHEN 1 + p_size % 3 >= 2 THEN '; ' || CAST(p_size % 7 + 2 AS VARCHAR) || ':30' ELSE '' END
     || CASE WHEN 1 + p_size % 3 >= 3 THEN '; ' || CAST(p_partkey % 9 + 1 AS VARCHAR) || ':05' ELSE '' END
@@ -98,10 +98,10 @@ WINDOW w AS (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate, l_partke
   l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus)"""
 
 BINDINGS["b_order_line"] = f"""
-SELECT l_orderkey * 10 + l_linenumber AS order_line_id, l_orderkey AS order_id,
+SELECT (l_orderkey * 10 + l_linenumber) * 16 + version AS order_line_id, l_orderkey AS order_id,
   l_partkey AS product_id, CAST(l_extendedprice AS DECIMAL(10,2)) AS product_price,
   CAST(l_quantity AS INTEGER) AS quantity, {_LOC} AS fulfilled_from_location_id
-FROM b_line_versions WHERE version = n_versions"""
+FROM b_line_versions"""
 
 BINDINGS["b_change_src"] = f"""
 SELECT l_orderkey, l_linenumber, version, n_versions, l_returnflag,
@@ -138,13 +138,15 @@ FROM part WHERE p_partkey % 4 = 0"""
 BINDINGS["b_replenish_requests"] = """
 SELECT event_id AS seq,
   CASE WHEN event_id % 97 = 0 THEN 'abc' WHEN event_id % 89 = 0 THEN ''
+       WHEN event_id % 73 = 0 THEN '99999999999999999999'
        ELSE CAST(user_id * 14 AS VARCHAR) END AS product_id,
-  CAST(1 + event_id % 4 AS VARCHAR) AS location_id,
-  CASE WHEN event_id % 83 = 0 THEN ' ' ELSE CAST(CAST(floor(value) AS INTEGER) AS VARCHAR) END AS quantity,
+  CASE WHEN event_id % 79 = 0 THEN '99999999999999999999' WHEN event_id % 67 = 0 THEN 'x'
+       WHEN event_id % 61 = 0 THEN '9' ELSE CAST(1 + event_id % 4 AS VARCHAR) END AS location_id,
+  CASE WHEN event_id % 83 = 0 THEN ' ' WHEN event_id % 71 = 0 THEN '9999999999' ELSE CAST(CAST(floor(value) AS INTEGER) AS VARCHAR) END AS quantity,
   CASE WHEN event_type = 'view' THEN NULL ELSE event_type END AS bin,
   CASE WHEN event_type = 'click' THEN 'R' || CAST(event_id % 7 AS VARCHAR) END AS rack,
   CASE WHEN event_type = 'signup' THEN 'S' || CAST(user_id AS VARCHAR) END AS code
-FROM events WHERE event_type <> 'error'"""
+FROM events"""
 
 BINDINGS["b_undo_requests"] = """
 SELECT event_id - 1 AS replenish_seq FROM events WHERE event_type = 'error'"""
@@ -153,36 +155,30 @@ BINDINGS["b_raw_order_line_requests"] = """
 SELECT (l_orderkey * 10 + l_linenumber) * 16 + version AS seq,
   CASE l_partkey % 40 WHEN 0 THEN '' WHEN 1 THEN 'abc' WHEN 2 THEN '12.5'
     WHEN 3 THEN ' ' || CAST(l_orderkey AS VARCHAR) || ' '
-    WHEN 19 THEN CAST(l_orderkey + 100000000 AS VARCHAR)
+    WHEN 19 THEN CAST(l_orderkey + 100000000 AS VARCHAR) WHEN 21 THEN '99999999999999999999'
     ELSE CAST(l_orderkey AS VARCHAR) END AS order_id,
   CASE l_partkey % 40 WHEN 4 THEN '' WHEN 5 THEN 'abc' WHEN 6 THEN '+' || CAST(l_partkey AS VARCHAR)
-    WHEN 20 THEN CAST(l_partkey + 100000000 AS VARCHAR)
+    WHEN 20 THEN CAST(l_partkey + 100000000 AS VARCHAR) WHEN 22 THEN '99999999999999999999'
     ELSE CAST(l_partkey AS VARCHAR) END AS product_id,
   CASE l_partkey % 40 WHEN 7 THEN '' WHEN 8 THEN '12.5' WHEN 9 THEN '1_000' WHEN 10 THEN ' 7 '
     ELSE CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) END AS quantity,
   CASE l_partkey % 40 WHEN 11 THEN '' WHEN 12 THEN 'none' WHEN 13 THEN 'NONE'
     WHEN 14 THEN '$1,004.50 ' WHEN 15 THEN 'abc'
     ELSE '$' || CAST(CAST(l_extendedprice AS DECIMAL(10,2)) AS VARCHAR) END AS price,
-  CASE l_partkey % 40 WHEN 16 THEN '' WHEN 17 THEN 'abc' WHEN 18 THEN '5'
-    ELSE CAST(1 + l_suppkey % 4 AS VARCHAR) END AS location_id
+  CASE l_partkey % 40 WHEN 16 THEN '' WHEN 17 THEN 'abc' WHEN 18 THEN '9'
+    WHEN 23 THEN '99999999999999999999' ELSE CAST(1 + l_suppkey % 4 AS VARCHAR) END AS location_id
 FROM b_line_versions"""
 
 BINDINGS["b_staging"] = f"""
-SELECT p_name AS title_raw, 'W' || CAST(p_partkey AS VARCHAR) AS halstan_code,
+SELECT CASE kind WHEN 3 THEN 'Unlisted item ' || CAST(p_partkey AS VARCHAR)
+    WHEN 2 THEN '  ' || replace(upper({_TITLE}), ' ', '  ') || ' ' ELSE p_name END AS title_raw,
+  CASE kind WHEN 1 THEN 'W' || CAST(p_partkey AS VARCHAR) WHEN 3 THEN 'Z' || CAST(p_partkey AS VARCHAR)
+    END AS halstan_code,
   CAST(p_size * 3 AS INTEGER) AS quantity, CAST(1 + p_size % 4 AS INTEGER) AS parcel_qty,
   CAST(p_size % 5 AS VARCHAR) AS h_bin_num, CAST(NULL AS VARCHAR) AS rack_num,
-  p_partkey * 10 + 1 AS staging_id, CAST(NULL AS BIGINT) AS product_id
-FROM part WHERE p_partkey % 2 = 0
-UNION ALL
-SELECT '  ' || replace(upper({_TITLE}), ' ', '  ') || ' ', CAST(NULL AS VARCHAR),
-  CAST(p_size * 3 AS INTEGER), CAST(1 + p_size % 4 AS INTEGER), CAST(p_size % 5 AS VARCHAR),
-  CAST(NULL AS VARCHAR), p_partkey * 10 + 2, CAST(NULL AS BIGINT)
-FROM part WHERE p_partkey % 5 = 1
-UNION ALL
-SELECT 'Unlisted item ' || CAST(p_partkey AS VARCHAR), 'Z' || CAST(p_partkey AS VARCHAR),
-  CAST(p_size * 3 AS INTEGER), CAST(1 + p_size % 4 AS INTEGER), CAST(p_size % 5 AS VARCHAR),
-  CAST(NULL AS VARCHAR), p_partkey * 10 + 3, CAST(NULL AS BIGINT)
-FROM part WHERE p_partkey % 7 = 3"""
+  p_partkey * 10 + kind AS staging_id, CAST(NULL AS BIGINT) AS product_id
+FROM (SELECT *, CASE WHEN p_partkey % 7 = 3 THEN 3 WHEN p_partkey % 2 = 0 THEN 1
+        WHEN p_partkey % 3 = 0 THEN 4 ELSE 2 END AS kind FROM part)"""
 
 BINDINGS["b_customer_requests"] = """
 SELECT c_custkey AS seq,
@@ -197,12 +193,17 @@ BINDINGS["b_order_requests"] = """
 SELECT event_id AS seq,
   CASE WHEN event_id % 13 = 0 THEN '' WHEN event_id % 17 = 0 THEN 'abc'
        WHEN event_id % 19 = 0 THEN CAST(user_id + 100000000 AS VARCHAR)
+       WHEN event_id % 23 = 0 THEN '99999999999999999999'
        ELSE CAST(user_id AS VARCHAR) END AS customer_id
-FROM events WHERE event_type = 'purchase'"""
+FROM events"""
+
+BINDINGS["b_order_line_lookups"] = "SELECT user_id AS order_id FROM events"
 
 BINDINGS["b_product_requests"] = """
 SELECT p_partkey AS seq,
-  CAST(CASE WHEN p_partkey % 11 = 0 THEN p_partkey + 100000000 ELSE p_partkey END AS VARCHAR) AS product_id,
+  CASE WHEN p_partkey % 41 = 0 THEN 'abc' WHEN p_partkey % 43 = 0 THEN '99999999999999999999'
+    ELSE CAST(CASE WHEN p_partkey % 11 = 0 THEN p_partkey + 100000000
+      WHEN p_partkey % 13 = 5 THEN p_partkey - 1 ELSE p_partkey END AS VARCHAR) END AS product_id,
   CASE WHEN p_partkey % 19 = 0 THEN '  ' ELSE p_name || ' (2nd ed.)' END AS title,
   '' AS duration,
   CASE WHEN p_partkey % 23 = 0 THEN 'many' ELSE CAST(1 + p_size % 3 AS VARCHAR) END AS no_of_movements,
@@ -227,17 +228,17 @@ SELECT p_partkey AS seq,
 FROM part"""
 
 BINDINGS["b_stream_feed"] = """
-SELECT event_id AS seq,
-  CASE event_type WHEN 'purchase' THEN 'INSERT' WHEN 'view' THEN 'UPDATE' ELSE 'DELETE' END AS op,
-  event_id AS order_id,
-  CASE WHEN event_type = 'purchase' THEN NULL ELSE user_id END AS old_product,
-  CASE WHEN event_type = 'purchase' THEN NULL ELSE CAST(1 + event_id % 4 AS BIGINT) END AS old_location,
-  CASE event_type WHEN 'purchase' THEN NULL WHEN 'view' THEN 1
-    ELSE CAST(floor(value) AS INTEGER) END AS old_qty,
-  CASE WHEN event_type = 'error' THEN NULL ELSE user_id END AS new_product,
-  CASE WHEN event_type = 'error' THEN NULL ELSE CAST(1 + event_id % 4 AS BIGINT) END AS new_location,
-  CASE WHEN event_type = 'error' THEN NULL ELSE CAST(floor(value) AS INTEGER) END AS new_qty
-FROM events WHERE event_type IN ('purchase', 'view', 'error')"""
+SELECT event_id AS seq, op, event_id AS order_id,
+  CASE WHEN op <> 'INSERT' THEN user_id END AS old_product,
+  CASE WHEN op <> 'INSERT' THEN place END AS old_location,
+  CASE WHEN op <> 'INSERT' THEN CASE event_type WHEN 'view' THEN 1 ELSE q END END AS old_qty,
+  CASE WHEN op <> 'DELETE' THEN user_id END AS new_product,
+  CASE WHEN op <> 'DELETE' AND event_type <> 'signup' THEN place END AS new_location,
+  CASE WHEN op <> 'DELETE' THEN CASE event_type WHEN 'click' THEN 1 ELSE q END END AS new_qty
+FROM (SELECT event_id, user_id, event_type, CAST(1 + event_id % 4 AS BIGINT) AS place,
+        CAST(floor(value) AS INTEGER) AS q,
+        CASE WHEN event_type IN ('purchase', 'signup') THEN 'INSERT' WHEN event_type = 'error'
+          THEN 'DELETE' ELSE 'UPDATE' END AS op FROM events)"""
 
 
 # Reusable oracle fragments built on the bindings (same semantics as the

@@ -9,24 +9,35 @@ tests) do we create one ourselves.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
+_scratch: list[str] = []
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "stockbook") -> SparkSession:
-    """Build (or reuse) a session with the settings every job here assumes."""
+    """Build (or reuse) a session with the settings every job here assumes.
+
+    The number of shuffle partitions and the driver's memory are the cluster's
+    own unless asked for; only a local master gets small ones by default.
+    """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    parts = shuffle_partitions or int(os.environ.get("STOCKBOOK_SHUFFLE_PARTITIONS", "8"))
+    local = bool(master) and master.startswith("local") and not master.startswith("local-cluster")
+    parts = shuffle_partitions or os.environ.get("STOCKBOOK_SHUFFLE_PARTITIONS") or (8 if local else None)
+    if parts:
+        builder = builder.config("spark.sql.shuffle.partitions", str(parts))
+    memory = os.environ.get("STOCKBOOK_DRIVER_MEMORY") or ("16g" if local else None)
+    if memory:
+        builder = builder.config("spark.driver.memory", memory)
     builder = (
         builder
-        .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -36,7 +47,6 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         .config("spark.sql.ansi.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", os.environ.get("STOCKBOOK_DRIVER_MEMORY", "16g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     spark = builder.getOrCreate()
@@ -54,10 +64,11 @@ def _conf_checkpoint_dir(spark: SparkSession) -> str | None:
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables and checkpoints.
 
-    Taken from ``spark.checkpoint.dir`` when the cluster sets it; otherwise a
-    fresh local folder is created once per session and registered as the
-    checkpoint dir (tests and single-machine runs only). Sessions without a
-    local SparkContext (Spark Connect) use the configured folder as is.
+    Taken from ``spark.checkpoint.dir`` when the cluster sets it. Only a local
+    master without that setting gets a fresh local folder, once per session
+    (tests and single-machine runs); elsewhere a missing setting is an error.
+    Sessions without a local SparkContext (Spark Connect) use the configured
+    folder as is.
     """
     try:
         sc = spark.sparkContext
@@ -73,12 +84,32 @@ def shared_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get(_CHECKPOINT_KEY, None) or _conf_checkpoint_dir(spark)
     if not configured:
+        if not re.match(r"local($|\[)", sc.master):
+            raise RuntimeError(f"set {_CHECKPOINT_KEY} to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="stockbook-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new, unique path below the shared folder (never reused)."""
-    base = shared_dir(spark).rstrip("/")
-    return f"{base}/{label}-{uuid.uuid4().hex}"
+    """A new, unique path below the shared folder (never reused).
+
+    ``clear_scratch`` deletes what was made this way.
+    """
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the scratch paths of this process; returns how many there were.
+
+    To be called when no DataFrame that reads them is needed any more. Uses the
+    file system of each path, so it works for any shared storage.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    n = len(_scratch)
+    while _scratch:
+        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n

@@ -26,13 +26,8 @@ CATEGORIES: list[tuple[int, str]] = [
     (6, "Other"),
 ]
 
-# Stock locations (ids 1-4); names are neutral placeholders.
-LOCATIONS: list[tuple[int, str]] = [
-    (1, "Printer UK"),
-    (2, "Shop UK"),
-    (3, "Store US"),
-    (4, "Basement US"),
-]
+# A number text that no key type holds.
+HUGE = "99999999999999999999"
 
 LONG_TITLE_MIDDLE = " - complete edition with full score and all parts"
 
@@ -49,6 +44,7 @@ RAW_SCHEMAS: dict[str, str] = {
     "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int,"
                 " l_quantity double, l_extendedprice double, l_discount double, l_tax double,"
                 " l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "region": "r_regionkey int, r_name string",
     "nation": "n_nationkey int, n_name string, n_regionkey int",
     "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string,"
               " value double, props string",
@@ -80,8 +76,10 @@ def category(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
     return _literal_table(spark, CATEGORIES, S.CATEGORY)
 
 
-def location(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
-    return _literal_table(spark, LOCATIONS, S.LOCATION)
+def location(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One stock location per region; lines and stock use the first four."""
+    return _read(spark, sf_dir, "region").selectExpr(
+        "CAST(r_regionkey + 1 AS BIGINT) AS location_id", "r_name AS location_name")
 
 
 def _s(c: Column) -> Column:
@@ -108,7 +106,8 @@ def music_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "part").selectExpr(
         "p_partkey AS product_id",
         f"{_TITLE_SQL} AS title",
-        f"""CASE WHEN NOT ({no_duration}) THEN concat(
+        f"""CASE WHEN p_partkey % 101 = 7 THEN '[x:00]' WHEN p_partkey % 107 = 5 THEN '[99999999:00]'
+              WHEN NOT ({no_duration}) THEN concat(
               '[', CAST(p_size % 12 + 1 AS STRING), ':', lpad(CAST(p_partkey % 60 AS STRING), 2, '0'),
               CASE WHEN 1 + p_size % 3 >= 2 THEN concat('; ', CAST(p_size % 7 + 2 AS STRING), ':30') ELSE '' END,
               CASE WHEN 1 + p_size % 3 >= 3 THEN concat('; ', CAST(p_partkey % 9 + 1 AS STRING), ':05') ELSE '' END,
@@ -140,6 +139,7 @@ def music_product(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def product_category_junction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of most products; every tenth has none, to have uncategorised products."""
     p = _read(spark, sf_dir, "part").where(F.col("p_partkey") % 10 != 0)
     a = p.select(F.col("p_partkey").alias("product_id"),
                  (1 + F.col("p_partkey") % 6).cast("bigint").alias("category_id"))
@@ -195,14 +195,10 @@ def line_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
               .withColumn("first_partkey", F.first("l_partkey").over(w)))
 
 
-def _line_id(df_orderkey: Column, linenumber: Column) -> Column:
-    return df_orderkey * 10 + linenumber
-
-
 def order_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = line_versions(spark, sf_dir).where(F.col("version") == F.col("n_versions"))
-    return v.selectExpr(
-        "l_orderkey * 10 + l_linenumber AS order_line_id",
+    """Every lineitem row is a line of its own."""
+    return line_versions(spark, sf_dir).selectExpr(
+        "(l_orderkey * 10 + l_linenumber) * 16 + version AS order_line_id",
         "l_orderkey AS order_id",
         "l_partkey AS product_id",
         "CAST(l_extendedprice AS DECIMAL(10,2)) AS product_price",
@@ -213,7 +209,9 @@ def order_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """INSERT for a line's first version, UPDATE for each later one, and a
-    DELETE after the last version when it is a returned line ('R')."""
+    DELETE after the last version when it is a returned line ('R').
+
+    A version yields one or two changes, so lineitem is scanned once."""
     v = line_versions(spark, sf_dir)
     w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("version")
     k = F.col("l_suppkey")
@@ -225,9 +223,9 @@ def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = (v.withColumn("prev_p", F.lag("p").over(w))
           .withColumn("prev_loc", F.lag("loc").over(w))
           .withColumn("prev_q", F.lag("q").over(w)))
-    line_id = _line_id(F.col("l_orderkey"), F.col("l_linenumber"))
+    line_id = F.col("l_orderkey") * 10 + F.col("l_linenumber")
     nl, ni = F.lit(None).cast("bigint"), F.lit(None).cast("int")
-    upserts = v.select(
+    upsert = F.struct(
         (line_id * 16 + F.col("version")).alias("seq"),
         F.when(F.col("version") == 1, F.lit("INSERT")).otherwise(F.lit("UPDATE")).alias("op"),
         F.col("l_orderkey").alias("order_id"),
@@ -235,19 +233,21 @@ def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("prev_q").alias("old_qty"),
         F.col("p").alias("new_product"), F.col("loc").alias("new_location"),
         F.col("q").alias("new_qty"))
-    deletes = v.where((F.col("version") == F.col("n_versions"))
-                      & (F.col("l_returnflag") == "R")).select(
+    delete = F.struct(
         (line_id * 16 + F.col("n_versions") + 1).alias("seq"),
         F.lit("DELETE").alias("op"),
         F.col("l_orderkey").alias("order_id"),
         F.col("p").alias("old_product"), F.col("loc").alias("old_location"),
         F.col("q").alias("old_qty"),
         nl.alias("new_product"), nl.alias("new_location"), ni.alias("new_qty"))
-    return upserts.unionByName(deletes)
+    gone = (F.col("version") == F.col("n_versions")) & (F.col("l_returnflag") == "R")
+    changes = F.when(gone, F.array(upsert, delete)).otherwise(F.array(upsert))
+    return v.select(F.explode(changes).alias("c")).select("c.*")
 
 
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Opening stock: location 1 for most products, location 2 for some."""
+    """Opening stock: location 1 for most products, location 2 for some; the
+    others have none, so that changes must create their rows."""
     p = _read(spark, sf_dir, "part")
 
     def at(loc: int, qty: str, rack: str) -> DataFrame:
@@ -263,13 +263,15 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def replenish_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw replenishment requests (all text) from the events table."""
-    return _read(spark, sf_dir, "events").where("event_type <> 'error'").selectExpr(
+    """Raw replenishment requests (all text), one per event."""
+    return _read(spark, sf_dir, "events").selectExpr(
         "event_id AS seq",
-        """CASE WHEN event_id % 97 = 0 THEN 'abc' WHEN event_id % 89 = 0 THEN ''
+        f"""CASE WHEN event_id % 97 = 0 THEN 'abc' WHEN event_id % 89 = 0 THEN ''
+                WHEN event_id % 73 = 0 THEN '{HUGE}'
                 ELSE CAST(user_id * 14 AS STRING) END AS product_id""",
-        "CAST(1 + event_id % 4 AS STRING) AS location_id",
-        """CASE WHEN event_id % 83 = 0 THEN ' '
+        f"""CASE WHEN event_id % 79 = 0 THEN '{HUGE}' WHEN event_id % 67 = 0 THEN 'x'
+                WHEN event_id % 61 = 0 THEN '9' ELSE CAST(1 + event_id % 4 AS STRING) END AS location_id""",
+        """CASE WHEN event_id % 83 = 0 THEN ' ' WHEN event_id % 71 = 0 THEN '9999999999'
                 ELSE CAST(CAST(floor(value) AS INT) AS STRING) END AS quantity""",
         "CASE WHEN event_type = 'view' THEN CAST(NULL AS STRING) ELSE event_type END AS bin",
         "CASE WHEN event_type = 'click' THEN concat('R', CAST(event_id % 7 AS STRING)) END AS rack",
@@ -290,38 +292,44 @@ def raw_order_line_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         """CASE l_partkey % 40 WHEN 0 THEN '' WHEN 1 THEN 'abc' WHEN 2 THEN '12.5'
              WHEN 3 THEN concat(' ', CAST(l_orderkey AS STRING), ' ')
              WHEN 19 THEN CAST(l_orderkey + 100000000 AS STRING)
+             WHEN 21 THEN '99999999999999999999'
              ELSE CAST(l_orderkey AS STRING) END AS order_id""",
         """CASE l_partkey % 40 WHEN 4 THEN '' WHEN 5 THEN 'abc'
              WHEN 6 THEN concat('+', CAST(l_partkey AS STRING))
              WHEN 20 THEN CAST(l_partkey + 100000000 AS STRING)
+             WHEN 22 THEN '99999999999999999999'
              ELSE CAST(l_partkey AS STRING) END AS product_id""",
         """CASE l_partkey % 40 WHEN 7 THEN '' WHEN 8 THEN '12.5' WHEN 9 THEN '1_000'
              WHEN 10 THEN ' 7 ' ELSE CAST(CAST(l_quantity AS INT) AS STRING) END AS quantity""",
         """CASE l_partkey % 40 WHEN 11 THEN '' WHEN 12 THEN 'none' WHEN 13 THEN 'NONE'
              WHEN 14 THEN '$1,004.50 ' WHEN 15 THEN 'abc'
              ELSE concat('$', CAST(CAST(l_extendedprice AS DECIMAL(10,2)) AS STRING)) END AS price""",
-        """CASE l_partkey % 40 WHEN 16 THEN '' WHEN 17 THEN 'abc' WHEN 18 THEN '5'
+        """CASE l_partkey % 40 WHEN 16 THEN '' WHEN 17 THEN 'abc' WHEN 18 THEN '9'
+             WHEN 23 THEN '99999999999999999999'
              ELSE CAST(1 + l_suppkey % 4 AS STRING) END AS location_id""",
     )
 
 
 def staging(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Supplier stock list: rows matching by code, by a re-typed title, or not at all."""
-    p = _read(spark, sf_dir, "part")
-
-    def rows(kind: int, title: str, code: str, keep: str) -> DataFrame:
-        return p.where(keep).selectExpr(
-            f"{title} AS title_raw", f"{code} AS halstan_code",
-            "CAST(p_size * 3 AS INT) AS quantity", "CAST(1 + p_size % 4 AS INT) AS parcel_qty",
-            "CAST(p_size % 5 AS STRING) AS h_bin_num", "CAST(NULL AS STRING) AS rack_num",
-            f"p_partkey * 10 + {kind} AS staging_id", "CAST(NULL AS BIGINT) AS product_id")
-
-    by_code = rows(1, "p_name", "concat('W', CAST(p_partkey AS STRING))", "p_partkey % 2 = 0")
-    by_title = rows(2, f"concat('  ', replace(upper({_TITLE_SQL}), ' ', '  '), ' ')",
-                    "CAST(NULL AS STRING)", "p_partkey % 5 = 1")
-    unknown = rows(3, "concat('Unlisted item ', CAST(p_partkey AS STRING))",
-                   "concat('Z', CAST(p_partkey AS STRING))", "p_partkey % 7 = 3")
-    return by_code.unionByName(by_title).unionByName(unknown)
+    """Supplier stock list, one row per part: found by its code, by a re-typed
+    title, by the beginning of a title (of one product or of several), or not
+    at all."""
+    kind = ("CASE WHEN p_partkey % 7 = 3 THEN 3 WHEN p_partkey % 2 = 0 THEN 1"
+            " WHEN p_partkey % 3 = 0 THEN 4 ELSE 2 END")
+    return _read(spark, sf_dir, "part").selectExpr("*", f"{kind} AS kind").selectExpr(
+        f"""CASE kind WHEN 1 THEN p_name WHEN 3 THEN concat('Unlisted item ', CAST(p_partkey AS STRING))
+              WHEN 4 THEN p_name
+              ELSE concat('  ', replace(upper({_TITLE_SQL}), ' ', '  '), ' ') END AS title_raw""",
+        """CASE kind WHEN 1 THEN concat('W', CAST(p_partkey AS STRING))
+              WHEN 3 THEN concat('Z', CAST(p_partkey AS STRING)) END AS halstan_code""",
+        "CAST(p_size * 3 AS INT) AS quantity", "CAST(1 + p_size % 4 AS INT) AS parcel_qty",
+        "CAST(p_size % 5 AS STRING) AS h_bin_num", "CAST(NULL AS STRING) AS rack_num",
+        "p_partkey * 10 + kind AS staging_id", "CAST(NULL AS BIGINT) AS product_id")
+
+
+def order_line_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders whose lines are asked for: one request per event."""
+    return _read(spark, sf_dir, "events").selectExpr("user_id AS order_id")
 
 
 def customer_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -340,11 +348,12 @@ def customer_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw new-order requests (customer id as text) from purchase events."""
-    e = _read(spark, sf_dir, "events").where(F.col("event_type") == "purchase")
+    """Raw new-order requests (customer id as text), one per event."""
+    e = _read(spark, sf_dir, "events")
     eid = F.col("event_id")
     cust = (F.when(eid % 13 == 0, F.lit("")).when(eid % 17 == 0, F.lit("abc"))
             .when(eid % 19 == 0, _s(F.col("user_id") + 100000000))
+            .when(eid % 23 == 0, F.lit(HUGE))
             .otherwise(_s(F.col("user_id"))))
     return e.select(eid.alias("seq"), cust.alias("customer_id"))
 
@@ -356,9 +365,12 @@ def product_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     return _read(spark, sf_dir, "part").selectExpr(
         "p_partkey AS seq",
-        # the id an edit applies to; a few point past the catalogue
-        """CAST(CASE WHEN p_partkey % 11 = 0 THEN p_partkey + 100000000 ELSE p_partkey END
-                AS STRING) AS product_id""",
+        # the id an edit applies to: a few point past the catalogue, at the product
+        # before (an earlier edit of which is superseded), or are no usable id
+        f"""CASE WHEN p_partkey % 41 = 0 THEN 'abc' WHEN p_partkey % 43 = 0 THEN '{HUGE}'
+                ELSE CAST(CASE WHEN p_partkey % 11 = 0 THEN p_partkey + 100000000
+                               WHEN p_partkey % 13 = 5 THEN p_partkey - 1 ELSE p_partkey END AS STRING)
+                END AS product_id""",
         "CASE WHEN p_partkey % 19 = 0 THEN '  ' ELSE concat(p_name, ' (2nd ed.)') END AS title",
         "'' AS duration",
         """CASE WHEN p_partkey % 23 = 0 THEN 'many'
@@ -389,22 +401,25 @@ def product_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_feed_source(spark: SparkSession, events: DataFrame) -> DataFrame:
-    """Order-line changes carried by events (batch or streaming DataFrame)."""
+    """Order-line changes carried by events (batch or streaming DataFrame):
+    purchase inserts, signup inserts without a location, view and click update,
+    error deletes."""
     t = F.col("event_type")
     q = F.floor(F.col("value")).cast("int")
     nl, ni = F.lit(None).cast("bigint"), F.lit(None).cast("int")
     prod, loc = F.col("user_id"), (1 + F.col("event_id") % 4).cast("bigint")
-    return events.where(t.isin("purchase", "view", "error")).select(
+    insert, delete = t.isin("purchase", "signup"), t == "error"
+    return events.select(
         F.col("event_id").alias("seq"),
-        F.when(t == "purchase", F.lit("INSERT")).when(t == "view", F.lit("UPDATE"))
-         .otherwise(F.lit("DELETE")).alias("op"),
+        F.when(insert, F.lit("INSERT")).when(delete, F.lit("DELETE"))
+         .otherwise(F.lit("UPDATE")).alias("op"),
         F.col("event_id").alias("order_id"),
-        F.when(t == "purchase", nl).otherwise(prod).alias("old_product"),
-        F.when(t == "purchase", nl).otherwise(loc).alias("old_location"),
-        F.when(t == "purchase", ni).when(t == "view", F.lit(1)).otherwise(q).alias("old_qty"),
-        F.when(t == "error", nl).otherwise(prod).alias("new_product"),
-        F.when(t == "error", nl).otherwise(loc).alias("new_location"),
-        F.when(t == "error", ni).otherwise(q).alias("new_qty"),
+        F.when(insert, nl).otherwise(prod).alias("old_product"),
+        F.when(insert, nl).otherwise(loc).alias("old_location"),
+        F.when(insert, ni).when(t == "view", F.lit(1)).otherwise(q).alias("old_qty"),
+        F.when(delete, nl).otherwise(prod).alias("new_product"),
+        F.when(delete | (t == "signup"), nl).otherwise(loc).alias("new_location"),
+        F.when(delete, ni).when(t == "click", F.lit(1)).otherwise(q).alias("new_qty"),
     )
 
 
@@ -414,6 +429,7 @@ def lookup_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("event_type")
     key = (F.when(t == "error", F.lit(""))
            .when((t == "click") & (F.col("event_id") % 5 == 0), F.lit("abc"))
+           .when((t == "signup") & (F.col("event_id") % 5 == 1), F.lit(HUGE))
            .otherwise(_s(F.col("user_id") * 14)))
     return e.select(F.col("event_id").alias("seq"), key.alias("key"))
 

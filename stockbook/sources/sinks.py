@@ -1,8 +1,7 @@
 """Appending, bulk loading and publishing table versions.
 
 Parquet has no MERGE, so a changed table is written as a new version folder
-and published by writing a small pointer file last; readers resolve the
-pointer. A job never overwrites the folder it is reading from.
+and published by adding a small numbered pointer last; readers take the highest. A job never overwrites the folder it is reading from.
 """
 
 from __future__ import annotations
@@ -77,23 +76,42 @@ def bulk_load(df: DataFrame, path: str, name: str) -> None:
     df.select(*cols).write.mode("append").parquet(path)
 
 
+_POINTERS = "pointers"
+
+
+def _pointers(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema("n bigint, version string").json(f"{root.rstrip('/')}/{_POINTERS}")
+
+
+def _point_to(spark: SparkSession, root: str, version: str) -> None:
+    """Add a pointer row with the next number. Nothing is overwritten: the new
+    file appears when Spark commits it, and readers take the highest number,
+    so they see the old or the new version at any moment."""
+    folder = f"{root.rstrip('/')}/{_POINTERS}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    last = 0
+    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        last = _pointers(spark, root).agg(F.max("n").alias("n")).first()["n"] or 0
+    spark.createDataFrame([(last + 1, version)], "n bigint, version string").coalesce(1).write.mode(
+        "append").json(folder)
+
+
 def publish(df: DataFrame, table_root: str) -> str:
     """Write ``df`` as a new version under ``table_root`` and point to it.
 
-    Returns the version folder. The pointer (``_CURRENT``) is written after the
-    data, so readers see either the old or the new version, never a mix.
+    Returns the version folder. The pointer is written after the data, so
+    readers see either the old or the new version, never a mix. One writer at
+    a time: two that publish at once would number their pointers alike.
     """
-    spark = df.sparkSession
     version = f"{table_root.rstrip('/')}/v-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(version)
-    spark.createDataFrame([(version,)], "path string").coalesce(1).write.mode(
-        "overwrite").text(f"{table_root.rstrip('/')}/_CURRENT")
+    _point_to(df.sparkSession, table_root, version)
     return version
 
 
 def current_version(spark: SparkSession, table_root: str) -> str:
     """The folder ``publish`` last pointed to."""
-    return spark.read.text(f"{table_root.rstrip('/')}/_CURRENT").first()[0]
+    return _pointers(spark, table_root).agg(F.max_by("version", "n").alias("v")).first()["v"]
 
 
 def publish_tables(tables: Mapping[str, DataFrame], root: str) -> str:
@@ -106,8 +124,7 @@ def publish_tables(tables: Mapping[str, DataFrame], root: str) -> str:
     version = f"{root.rstrip('/')}/v-{uuid.uuid4().hex}"
     for name, df in tables.items():
         df.write.mode("error").parquet(f"{version}/{name}")
-    spark.createDataFrame([(version,)], "path string").coalesce(1).write.mode(
-        "overwrite").text(f"{root.rstrip('/')}/_CURRENT")
+    _point_to(spark, root, version)
     return version
 
 

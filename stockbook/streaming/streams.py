@@ -37,12 +37,15 @@ def stream_stock(changes: DataFrame) -> DataFrame:
         F.sum("delta").cast("bigint").alias("net_delta"))
 
 
-def read_change_stream(spark: SparkSession, source_dir: str, file_glob: str, to_feed) -> DataFrame:
+def read_change_stream(spark: SparkSession, source_dir: str, file_glob: str, to_feed,
+                       max_files_per_trigger: int | None = None) -> DataFrame:
     """Stream the parquet files of ``source_dir`` matching ``file_glob`` and map
-    them to the change-feed schema with ``to_feed(spark, df)``."""
-    raw = (spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", file_glob)
-           .option("maxFilesPerTrigger", 1).parquet(source_dir))
-    return to_feed(spark, raw)
+    them to the change-feed schema with ``to_feed(spark, df)``. By default a
+    micro-batch takes all files that are there."""
+    reader = spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", file_glob)
+    if max_files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return to_feed(spark, reader.parquet(source_dir))
 
 
 def run_ledger_stream(changes: DataFrame, movement_date, sink: str | None = None) -> str:
@@ -69,8 +72,14 @@ def run_stock_stream(changes: DataFrame, sink: str | None = None,
     data = f"{sink}/data"
     base = None
     if opening is not None:
-        base = opening.groupBy("product_id", "location_id").agg(
-            F.sum("quantity").cast("bigint").alias("_open"))
+        # summed up and written once, not in every micro-batch
+        opened = f"{sink}/opening"
+        opening.groupBy("product_id", "location_id").agg(
+            F.sum("quantity").cast("bigint").alias("_open")).write.mode("overwrite").parquet(opened)
+        base = spark.read.schema("product_id bigint, location_id bigint, _open bigint").parquet(opened)
+    # an empty first part: readers find the folder and its columns without input
+    spark.createDataFrame([], _update_schema(opening is not None)).write.mode("overwrite").parquet(
+        f"{data}/batch=-1")
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         if base is not None:
@@ -87,10 +96,27 @@ def run_stock_stream(changes: DataFrame, sink: str | None = None,
     return data
 
 
+def _update_schema(with_stock: bool) -> str:
+    stock = "quantity int, " if with_stock else ""
+    return f"product_id bigint, location_id bigint, net_delta bigint, {stock}batch_id bigint"
+
+
+def compact_stock_stream(spark: SparkSession, data: str) -> str:
+    """Write the latest row of every key to a new folder, which can be read in
+    place of the whole history of a finished run. Returns that folder."""
+    latest = read_stock_stream(spark, data)
+    path = scratch_path(spark, "stock-stream-compact")
+    out = latest.withColumn("batch_id", F.lit(0).cast("bigint"))
+    out.where(F.lit(False)).write.parquet(f"{path}/batch=-1")
+    out.write.parquet(f"{path}/batch=0")
+    return path
+
+
 def read_stock_stream(spark: SparkSession, data: str) -> DataFrame:
     """Latest running delta (and current stock, when written) per key from the
     per-batch update files."""
-    updates = spark.read.parquet(data)
+    columns = spark.read.parquet(f"{data}/batch=-1").columns
+    updates = spark.read.schema(_update_schema("quantity" in columns)).parquet(data)
     aggs = [F.max_by("net_delta", "batch_id").alias("net_delta")]
     if "quantity" in updates.columns:
         aggs.append(F.max_by("quantity", "batch_id").alias("quantity"))
