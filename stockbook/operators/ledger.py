@@ -98,6 +98,11 @@ def apply_deltas(inventory: DataFrame, deltas: DataFrame, assign_ids: bool = Tru
     NULL with ``assign_ids=False`` when only quantities are needed).
     """
     net = net_deltas(deltas)
+    if not assign_ids:  # nothing to number: one join gives the old and the new rows
+        both = inventory.join(net, KEY, "full")
+        qty = (F.coalesce(F.col("quantity").cast("bigint"), F.lit(0))
+               - F.coalesce(F.col("net_delta"), F.lit(0))).cast("int")
+        return both.select(*[qty.alias(c) if c == "quantity" else F.col(c) for c in INVENTORY_COLUMNS])
     joined = inventory.join(net, KEY, "left")
     qty = (F.col("quantity").cast("bigint") - F.coalesce(F.col("net_delta"), F.lit(0))).cast("int")
     kept = joined.select(*[qty.alias(c) if c == "quantity" else F.col(c) for c in INVENTORY_COLUMNS])
@@ -106,8 +111,7 @@ def apply_deltas(inventory: DataFrame, deltas: DataFrame, assign_ids: bool = Tru
         F.lit(None).cast("bigint").alias("inventory_id"), *KEY, text.alias("h_bin_num"),
         text.alias("h_rack_num"), (-F.col("net_delta")).cast("int").alias("quantity"),
         F.lit(None).cast("int").alias("parcel_qty"), text.alias("halstan_code"))
-    if assign_ids:
-        new = allocate_keys(new, "inventory_id", KEY, existing=inventory)
+    new = allocate_keys(new, "inventory_id", KEY, existing=inventory)
     return kept.unionByName(new.select(*INVENTORY_COLUMNS))
 
 

@@ -233,25 +233,27 @@ def _upsert_stock(inventory: DataFrame, fold: DataFrame, overwrite_place: bool,
     become new rows, which alone are numbered, in order of their first request.
     """
     f = fold.withColumn("_req", F.lit(True))
-    j = inventory.join(f, KEY, "left")
-    qty = (F.col("quantity").cast("bigint") + F.coalesce(F.col("_add"), F.lit(0))).cast("int")
+    old = F.coalesce(F.col("quantity").cast("bigint"), F.lit(0))
+    qty = (old + F.coalesce(F.col("_add"), F.lit(0))).cast("int")
     if overwrite_place:
         bin_ = F.when(F.col("_req"), F.col("_bin")).otherwise(F.col("h_bin_num"))
         rack = F.when(F.col("_req"), F.col("_rack")).otherwise(F.col("h_rack_num"))
         code = F.coalesce(F.col("_code"), F.col("halstan_code"))
-        new_place = [F.col("_bin"), F.col("_rack"), F.col("_code")]
     else:
         bin_, rack, code = F.col("h_bin_num"), F.col("h_rack_num"), F.col("halstan_code")
-        new_place = [F.lit(None).cast("string")] * 3
-    kept = j.select("inventory_id", *KEY, bin_.alias("h_bin_num"), rack.alias("h_rack_num"),
-                    qty.alias("quantity"), "parcel_qty", code.alias("halstan_code"))
-    new = fold.join(inventory.select(*KEY), KEY, "left_anti").select(
-        F.lit(None).cast("bigint").alias("inventory_id"), *KEY, new_place[0].alias("h_bin_num"),
-        new_place[1].alias("h_rack_num"), F.col("_add").cast("int").alias("quantity"),
-        F.lit(None).cast("int").alias("parcel_qty"), new_place[2].alias("halstan_code"), "_first")
-    if assign_ids:
-        new = allocate_keys(new, "inventory_id", ["_first", *KEY], existing=inventory)
-    return kept.unionByName(new.select(*INVENTORY_COLUMNS))
+
+    def rows(joined: DataFrame, *more: str) -> DataFrame:
+        return joined.select("inventory_id", *KEY, bin_.alias("h_bin_num"), rack.alias("h_rack_num"),
+                             qty.alias("quantity"), "parcel_qty", code.alias("halstan_code"), *more)
+
+    if not assign_ids:  # nothing to number: one join gives the old and the new rows
+        return rows(inventory.join(f, KEY, "full")).select(*INVENTORY_COLUMNS)
+    blank = [F.lit(None).cast(x.dataType).alias(x.name) for x in inventory.schema.fields
+             if x.name not in KEY]
+    new = rows(f.join(inventory.select(*KEY), KEY, "left_anti").select("*", *blank), "_first")
+    new = allocate_keys(new, "inventory_id", ["_first", *KEY], existing=inventory)
+    return rows(inventory.join(f, KEY, "left")).select(*INVENTORY_COLUMNS).unionByName(
+        new.select(*INVENTORY_COLUMNS))
 
 
 def replenish(requests: DataFrame, inventory: DataFrame, assign_ids: bool = True) -> DataFrame:

@@ -29,12 +29,13 @@ LINES = [
     (21, 21, 78, D("13.00"), 1, 1), (22, 22, 69, D("11.00"), 1, 1), (23, 22, 69, D("11.00"), 1, 1),
 ]
 
+# Invented people; the ids are what the orders above refer to.
 CUSTOMERS = [
-    (1, "Ann", "Able", "ann@example.com", "555-0001", "1 First St", "Alpha, ME", "00001", "USA"),
-    (2, "Bob", "Baker", "bob@example.com", "555-0002", "2 Second St", "Beta, ME", "00002", "USA"),
-    (3, "Cy", "Cole", "cy@example.com", "555-0003", "3 Third St", "Gamma, CA", "00003", "USA"),
-    (4, "Di", "Dunn", "di@example.com", "555-0004", "4 Fourth St", "Delta, CA", "00004", "USA"),
-    (5, "Ed", "Eddy", "ed@example.com", "555-0005", "street", "Eta, NV", "", "USA"),
+    (1, "Orla", None, "orla@example.org", None, "Lime Kiln Lane 40", "Norrvik", "N-1180", "Norland"),
+    (2, None, "Pemberly", None, "+00 17 2244", None, "Old Harbour", None, "Norland"),
+    (3, "Tavi", "Okonjo-Reyes", "t.o@example.org", "+00 90 1", "Mill Row 7b", None, "55-2", None),
+    (4, "Wen", "Sato", None, None, None, None, None, None),
+    (5, "Ezra", "Quill", "quill@example.org", "", "", "Saltmarsh", "9", "Sudland"),
 ]
 
 
@@ -72,6 +73,10 @@ def feed_df(spark, rows):
     return spark.createDataFrame(rows, S.CHANGE_FEED)
 
 
+def locations_df(spark):
+    return spark.createDataFrame([(1, "Front shelf"), (2, "Attic"), (3, "Van"), (4, "Annex")], S.LOCATION)
+
+
 def inventory_df(spark, rows):
     """rows: (inventory_id, product_id, location_id, bin, rack, quantity, parcel, code)."""
     return spark.createDataFrame(rows, S.INVENTORY)

@@ -17,7 +17,7 @@ from tests import seed
 
 def test_audits_are_empty_after_write_jobs(spark):
     orders, lines, customers = seed.orders_df(spark), seed.lines_df(spark), seed.customers_df(spark)
-    products, locations, category = (seed.products_for_lines(spark), B.location(spark),
+    products, locations, category = (seed.products_for_lines(spark), seed.locations_df(spark),
                                      B.category(spark))
     inventory = seed.inventory_df(spark, [(1, 44, 1, None, None, 5, None, None),
                                           (2, 76, 1, None, None, 3, None, None)])

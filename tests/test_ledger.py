@@ -10,33 +10,6 @@ from tests import seed
 MOVED = "2025-12-04 00:00:00"
 
 
-def replay(feed_rows, stock):
-    """Row-by-row reference semantics of the order-line trigger."""
-    stock = dict(stock)
-    ledger = []
-    for seq, op, oid, op_, ol, oq, np_, nl, nq in sorted(feed_rows):
-        if op == "INSERT":
-            loc, prod, old, new = nl, np_, 0, nq
-        elif op == "UPDATE":
-            loc = nl if nl is not None else ol
-            prod = np_ if np_ is not None else op_
-            old = oq if oq is not None else 0
-            new = nq if nq is not None else 0
-        else:
-            loc, prod, old, new = ol, op_, oq, 0
-        delta = new - old
-        if loc is None or prod is None:
-            continue
-        stock[(prod, loc)] = stock.get((prod, loc), 0) - delta
-        if delta != 0:
-            kind = ("sale" if op == "INSERT" and delta > 0 else
-                    "sale_adjust_increase" if op == "UPDATE" and delta > 0 else
-                    "sale_adjust_decrease" if op == "UPDATE" and delta < 0 else
-                    "sale_cancel" if op == "DELETE" else "sale")
-            ledger.append((seq, prod, loc, abs(delta), kind, f"order {oid}"))
-    return stock, ledger
-
-
 def _inserts_from_seed():
     return [(lid, "INSERT", oid, None, None, None, pid, loc, qty)
             for lid, oid, pid, _, qty, loc in seed.LINES]
@@ -82,38 +55,55 @@ def test_trigger_oddities(spark):
     assert after == {(1, 1): 10, (2, 1): -2, (3, 2): -3, (4, 1): 2, (5, 1): -1, (6, 3): 0}
 
 
-def _random_feed(rng, n):
-    rows = []
-    for seq in range(1, n + 1):
-        op = rng.choice(["INSERT", "UPDATE", "DELETE"])
-        p = lambda: rng.choice([1, 2, 3, None] if op == "UPDATE" else [1, 2, 3])
-        loc = lambda: rng.choice([1, 2, None])
-        q = lambda: rng.randint(-2, 6)
-        if op == "INSERT":
-            rows.append((seq, op, seq % 7, None, None, None, p(), loc(), q()))
-        elif op == "UPDATE":
-            rows.append((seq, op, seq % 7, p(), loc(), q(), p(), loc(), q()))
-        else:
-            rows.append((seq, op, seq % 7, p(), loc(), q(), None, None, None))
-    return rows
+# One change each: what it posts to the ledger (product, place, amount, kind) and to stock.
+CASES = [
+    # (op, old image, new image) -> ledger entry or None, ((product, place), stock change) or None
+    (("INSERT", (None, None, None), (1, 1, 4)), (1, 1, 4, "sale"), ((1, 1), -4)),
+    (("INSERT", (None, None, None), (1, 1, -3)), (1, 1, 3, "sale"), ((1, 1), 3)),
+    (("INSERT", (None, None, None), (1, 1, 0)), None, ((1, 1), 0)),
+    (("INSERT", (None, None, None), (1, None, 4)), None, None),
+    (("UPDATE", (1, 1, 2), (1, 1, 5)), (1, 1, 3, "sale_adjust_increase"), ((1, 1), -3)),
+    (("UPDATE", (1, 1, 5), (1, 1, 2)), (1, 1, 3, "sale_adjust_decrease"), ((1, 1), 3)),
+    (("UPDATE", (1, 1, 5), (2, 2, 5)), None, ((2, 2), 0)),
+    (("UPDATE", (1, 1, 5), (2, 2, 6)), (2, 2, 1, "sale_adjust_increase"), ((2, 2), -1)),
+    (("UPDATE", (1, 1, 5), (None, None, 6)), (1, 1, 1, "sale_adjust_increase"), ((1, 1), -1)),
+    (("UPDATE", (1, None, 5), (1, None, 6)), None, None),
+    (("UPDATE", (1, 1, None), (1, 1, 6)), (1, 1, 6, "sale_adjust_increase"), ((1, 1), -6)),
+    (("UPDATE", (1, 1, 6), (1, 1, None)), (1, 1, 6, "sale_adjust_decrease"), ((1, 1), 6)),
+    (("DELETE", (1, 1, 5), (None, None, None)), (1, 1, 5, "sale_cancel"), ((1, 1), 5)),
+    (("DELETE", (1, 1, -5), (None, None, None)), (1, 1, 5, "sale_cancel"), ((1, 1), -5)),
+    (("DELETE", (1, 1, 0), (None, None, None)), None, ((1, 1), 0)),
+    (("DELETE", (None, 1, 5), (None, None, None)), None, None),
+]
+
+
+def test_each_kind_of_change(spark):
+    feed = seed.feed_df(spark, [(k, op, 9, *old, *new) for k, ((op, old, new), _, _) in enumerate(CASES, 1)])
+    d = L.change_delta(feed)
+    posted = {r.seq: (r.product_id, r.from_location_id, r.quantity, r.movement_type)
+              for r in L.ledger_rows(d, MOVED).collect()}
+    assert posted == {k: entry for k, (_, entry, _) in enumerate(CASES, 1) if entry}
+    moved = {r.seq: ((r.product_id, r.location_id), -r.delta) for r in d.collect()}
+    assert moved == {k: change for k, (_, _, change) in enumerate(CASES, 1) if change}
 
 
-def test_batch_equals_row_by_row_replay(spark):
+def test_random_batches_keep_the_invariants(spark):
     rng = random.Random(7)
-    for trial in range(3):
-        rows = _random_feed(rng, 150)
-        opening = {(1, 1): 50, (2, 2): 5}
-        exp_stock, exp_ledger = replay(rows, opening)
-        inv = seed.inventory_df(spark, [(i + 1, p, l, None, None, q, None, None)
-                                        for i, ((p, l), q) in enumerate(opening.items())])
-        d = L.change_delta(seed.feed_df(spark, rows))
-        got_stock = {(r.product_id, r.location_id): r.quantity
-                     for r in L.apply_deltas(inv, d).collect()}
-        assert got_stock == exp_stock
-        got_ledger = sorted((r.seq, r.product_id, r.from_location_id, r.quantity,
-                             r.movement_type, r.reference)
-                            for r in L.ledger_rows(d, MOVED).collect())
-        assert got_ledger == sorted(exp_ledger)
+    rows, want = [], {(1, 1): 50, (2, 2): 5}
+    for seq in range(1, 400):  # any mix of the cases above adds up, in any order
+        (op, old, new), _, change = rng.choice(CASES)
+        rows.append((seq, op, seq % 7, *old, *new))
+        if change:
+            want[change[0]] = want.get(change[0], 0) + change[1]
+    rng.shuffle(rows)
+    inv = seed.inventory_df(spark, [(1, 1, 1, None, None, 50, None, None), (2, 2, 2, None, None, 5, None, None)])
+    d = L.change_delta(seed.feed_df(spark, rows))
+    after = L.apply_deltas(inv, d).collect()
+    assert {(r.product_id, r.location_id): r.quantity for r in after} == want
+    assert len({r.inventory_id for r in after}) == len(after)
+    ledger = L.ledger_rows(d, MOVED)
+    assert ledger.where("quantity <= 0").count() == 0
+    assert ledger.count() == d.where("delta <> 0").count()
 
 
 def test_new_stock_rows_get_dense_ids(spark):
@@ -176,11 +166,37 @@ def test_normalise_duration(spark):
         (31, "y", {"duration": "[0:55]", "no_of_movements": 1, "duration_seconds": 55}),
         (5, "z", {"duration": "[1:02:03]", "duration_seconds": 10}),
         (6, "w"),
+        (7, "v", {"duration": "[99999999:00]"}),
+        (8, "u", {"duration": "[x:00]"}),
+        (9, "t", {"duration": "[1:00; 99999999999999999999:00]"}),
     ])
     got = {r.product_id: (r.movements, r.seconds, r.formatted, r.consistent)
            for r in L.normalise_duration(products).collect()}
     assert got == {44: (3, 1350, "22:30", True), 31: (1, 55, "0:55", True),
-                   5: (1, 3723, "62:03", False)}
+                   5: (1, 3723, "62:03", False), 7: (1, 5999999940, "99999999:00", True),
+                   8: (1, None, None, False), 9: (2, None, None, False)}
+    bad = L.normalise_duration(products).where("malformed").collect()
+    assert {r.product_id for r in bad} == {8, 9}
+
+
+def test_titles_that_begin_alike(spark):
+    """Equal titles, a title that is the beginning of others, hot beginnings, characters in order."""
+    titles = ["Ab", "Abc", "Abc", "abd 1", "ABD 2", "b", "zz9", "zz", "", "???", "a0", "9"]
+    titles += [f"hot start {i:03d}" for i in range(60)]
+    products = seed.products_df(spark, list(enumerate(titles, 1)))
+    asked = ["ab", "abc", "abd", "abd1", "b", "z", "zz", "zz9", "", "!", "hot start 0", "hot start 017",
+             "hot", "a", "9", "c", "abc", None]
+    staging = _staging(spark, [(t, None, 1, 1, None, None, k, None) for k, t in enumerate(asked)])
+
+    def norm(t):
+        return "".join(c for c in (t or "").lower() if c in "abcdefghijklmnopqrstuvwxyz0123456789")
+
+    want = {}
+    for k, t in enumerate(asked):
+        hits = [i for i, x in enumerate(titles, 1) if norm(t) and norm(x).startswith(norm(t))]
+        want[k] = hits[0] if len(hits) == 1 else None
+    got = {r.staging_id: r.product_id for r in L.resolve_staging(staging, products).collect()}
+    assert got == want
 
 
 def test_net_deltas_skew_uses_partial_aggregation(spark):

@@ -7,6 +7,7 @@ rounded half away from zero). Random texts are checked against that.
 
 from __future__ import annotations
 
+import math
 from decimal import ROUND_HALF_UP, Decimal, InvalidOperation
 
 from hypothesis import given, settings
@@ -26,12 +27,13 @@ def py_int(s: str):
 
 
 def py_price(s: str):
-    clean = s.replace("$", "").replace(",", "").strip()
+    """What a price field means: its characters but for currency signs and commas, as a number."""
+    kept = "".join(c for c in s if c not in "$,").strip()
     try:
-        f = float(clean)
+        f = float(kept)
     except ValueError:
         return None
-    if f != f or f in (float("inf"), float("-inf")) or clean.lower() in ("nan", "inf"):
+    if not math.isfinite(f):
         return None
     try:
         d = Decimal(format(f, ".15g")).quantize(Decimal("0.01"), rounding=ROUND_HALF_UP)

@@ -11,6 +11,8 @@ import os
 
 import pytest
 
+from stockbook.plans.catalog import QUERIES
+
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test data not present")
 
@@ -20,8 +22,11 @@ STREAMING = {"stream_movement_ledger", "stream_stock_delta"}
 
 
 def _keys():
-    from __spark_entry__ import queries
-    return sorted(k for k in queries() if k not in STREAMING)
+    return sorted(k for k in QUERIES if k not in STREAMING)
+
+
+def _count(plan: str, what: str) -> int:
+    return sum(what in line for line in plan.splitlines())
 
 
 def _plan(df) -> str:
@@ -58,3 +63,46 @@ def test_aggregations_are_partial_before_shuffle(spark):
     # DISTINCT: a map-side HashAggregate before the shuffle and a final one after
     plan = _plan(queries()["facet_values"](spark, SF))
     assert plan.count("HashAggregate(keys=[facet") >= 2
+
+
+def test_plans_reach_down_to_the_scans(spark):
+    """Nothing hides the inputs: key allocation leaves no checkpoint in the plan."""
+    for name in ("movement_ledger", "create_orders", "add_order_lines", "replenish_stock"):
+        plan = _plan(QUERIES[name](spark, SF))
+        assert "Scan parquet" in plan and "Exchange" in plan, name
+
+
+def _initial(df) -> str:
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_change_feed_reads_lineitem_once(spark):
+    assert _count(_initial(QUERIES["change_delta"](spark, SF)), "l_orderkey") >= 1
+    for name, most in (("change_delta", 1), ("movement_ledger", 1), ("stock_reconcile", 2)):
+        plan = _initial(QUERIES[name](spark, SF))
+        assert 1 <= _count(plan, "lineitem.parquet") <= most, name
+
+
+def test_printed_invoices_are_not_sorted_globally(spark):
+    assert "rangepartitioning" not in _plan(QUERIES["invoice_text"](spark, SF))
+
+
+def test_primary_key_audit_scans_a_table_once(spark):
+    plan = _initial(QUERIES["audit_primary_keys"](spark, SF))
+    assert _count(plan, "orders.parquet") == 1 and _count(plan, "customer.parquet") == 1
+
+
+def test_stock_is_filtered_before_it_is_summed(spark):
+    assert "LeftSemi" in _plan(QUERIES["product_search"](spark, SF))
+
+
+def test_cascade_deletes_by_order(spark):
+    plan = _initial(QUERIES["cascade_delete_orders"](spark, SF))
+    assert _count(plan, "lineitem.parquet") == 1
+
+
+def test_null_keys_skip_the_join(spark):
+    for name in ("order_header", "null_customer_on_delete", "lookup_by_key", "create_orders",
+                 "add_order_lines", "validate_replenish", "resolve_staging"):
+        plan = _initial(QUERIES[name](spark, SF))
+        assert "Union" in plan, name

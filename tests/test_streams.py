@@ -21,7 +21,7 @@ def _write_event_files(folder: str, n_files: int, per_file: int, seed: int = 5)
             rows["event_id"].append(eid)
             rows["ts"].append(dt.datetime(2024, 1, 1) + dt.timedelta(seconds=eid))
             rows["user_id"].append(rng.randint(0, 5))
-            rows["event_type"].append(rng.choice(["purchase", "view", "error", "click"]))
+            rows["event_type"].append(rng.choice(["purchase", "view", "error", "click", "signup"]))
             rows["value"].append(rng.uniform(0, 9))
             rows["props"].append("{}")
             eid += 1
@@ -49,15 +49,28 @@ def test_stream_results_equal_batch(spark, tmp_dir):
                                                   "2024-01-01 00:00:00").collect())
     assert got == want and len(got) > 0
 
-    stream = X.read_change_stream(spark, src, "events-*.parquet", B.stream_feed_source)
+    stream = X.read_change_stream(spark, src, "events-*.parquet", B.stream_feed_source,
+                                  max_files_per_trigger=1)
     data = X.run_stock_stream(stream, sink=os.path.join(tmp_dir, "stock"))
     batches = {r.batch_id for r in spark.read.parquet(data).select("batch_id").collect()}
-    assert len(batches) == 3  # one micro-batch per file
+    assert len(batches) == 3  # one micro-batch per file, because asked for
     got = {(r.product_id, r.location_id): r.net_delta
            for r in X.read_stock_stream(spark, data).collect()}
     want = {(r.product_id, r.location_id): r.net_delta
             for r in L.net_deltas(L.change_delta(batch_feed)).collect()}
     assert got == want
+    small = X.compact_stock_stream(spark, data)
+    assert {(r.product_id, r.location_id): r.net_delta
+            for r in X.read_stock_stream(spark, small).collect()} == want
+    assert spark.read.parquet(small).count() == len(want)
+
+
+def test_stream_without_input(spark, tmp_dir):
+    src = os.path.join(tmp_dir, "src")
+    os.makedirs(src)
+    stream = X.read_change_stream(spark, src, "events-*.parquet", B.stream_feed_source)
+    data = X.run_stock_stream(stream, sink=os.path.join(tmp_dir, "stock"))
+    assert X.read_stock_stream(spark, data).count() == 0
 
 
 def test_stream_stock_with_opening_equals_batch_apply(spark, tmp_dir):

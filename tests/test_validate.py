@@ -3,7 +3,6 @@ from __future__ import annotations
 from decimal import Decimal
 
 from stockbook.operators import validate as V
-from stockbook.sources import bindings as B
 from tests import seed
 
 
@@ -29,13 +28,17 @@ def test_validate_order_lines_first_failure_wins(spark):
         ("1", "2", "3", "4", "1e1"),
         ("1", "2", "3", "nan", "1"),
         ("1", "2", "3", "123456789.00", "1"),
+        ("9" * 20, "2", "3", "4", "1"),
+        ("1", "9" * 20, "3", "4", "1"),
+        ("1", "2", "3", "4", "9" * 20),
     ]
     got = [r.reason for r in V.validate_order_lines(_raw_lines(spark, rows)).orderBy("seq").collect()]
     assert got == ["order_id required", "product_id required", "quantity required",
                    "price required", "price not set in catalogue", "location_id required",
                    "order_id not an integer", "product_id not an integer",
                    "quantity not an integer", "price not a number",
-                   "location_id not an integer", "price not a number", "price out of range"]
+                   "location_id not an integer", "price not a number", "price out of range",
+                   "order_id out of range", "product_id out of range", "location_id out of range"]
 
 
 def test_validate_order_lines_python_int_and_float_forms(spark):
@@ -100,18 +103,28 @@ def test_validate_replenish_and_keys(spark):
         (3, "x", "2", "5", None, None, None),
         (4, "9", "2", "5", None, None, None),
         (5, "1", "7", "5", None, None, None),
+        (6, "7", "2", "abc", None, None, None),       # the product is looked up first
+        (7, "1", "9" * 20, "5", None, None, None),
+        (8, "1", "2", "9" * 12, None, None, None),
+        (9, "1", "2", "abc", None, None, None),
     ], "seq bigint, product_id string, location_id string, quantity string, bin string,"
        " rack string, code string")
-    out = {r.seq: r for r in V.validate_replenish(raw, products, B.location(spark)).collect()}
+    out = {r.seq: r for r in V.validate_replenish(raw, products, seed.locations_df(spark)).collect()}
     assert (out[1].product_id, out[1].location_id, out[1].quantity, out[1].h_bin_num,
             out[1].h_rack_num, out[1].reason) == (1, 2, 5, "b", None, None)
     assert out[2].reason == "product_id, location_id and quantity required"
-    assert out[3].reason == "product_id, location_id and quantity must be integers"
-    assert out[4].reason == "unknown product"
+    assert out[3].reason == out[4].reason == out[6].reason == "unknown product"
     assert out[5].reason == "unknown location"
-    keys = spark.createDataFrame([(1, " 42 "), (2, None), (3, "4.0")], "seq bigint, k string")
+    assert out[7].reason == "location_id out of range"
+    assert out[8].reason == "quantity out of range"
+    assert out[9].reason == "location_id and quantity must be integers"
+    open_ = {r.seq: r.reason for r in V.validate_replenish(raw, products).collect()}
+    assert open_[7] == "location_id out of range" and open_[5] is None
+    keys = spark.createDataFrame([(1, " 42 "), (2, None), (3, "4.0"), (4, "9" * 20)],
+                                 "seq bigint, k string")
     got = {r.seq: (r.k, r.reason) for r in V.validate_keys(keys, "k", "k").collect()}
-    assert got == {1: (42, None), 2: (None, "k required"), 3: (None, "k not an integer")}
+    assert got == {1: (42, None), 2: (None, "k required"), 3: (None, "k not an integer"),
+                   4: (None, "k out of range")}
 
 
 def test_clean_text_and_price(spark):

@@ -7,7 +7,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from stockbook.operators import writes as W
-from stockbook.operators.keys import allocate_keys
+from stockbook.operators.keys import allocate_keys, bucket_of
 from stockbook.sources import bindings as B
 from stockbook.sources import sinks
 from tests import seed
@@ -18,15 +18,32 @@ def test_allocate_keys_dense_in_order_across_partitions(spark):
     seqs = rng.sample(range(1, 100000), 997)
     df = spark.createDataFrame([(s, s % 3) for s in seqs], "seq bigint, g int").repartition(7)
     existing = spark.createDataFrame([(41,), (17,)], "id bigint")
-    out = allocate_keys(df, "id", ["seq"], existing=existing, num_partitions=5).collect()
-    got = sorted((r.seq, r.id) for r in out)
-    assert [i for _, i in got] == list(range(42, 42 + 997))
+    for buckets in (1, 3, 50):  # the buckets only deal the work
+        out = allocate_keys(df, "id", ["seq"], existing=existing, buckets=buckets)
+        assert out.columns == ["seq", "g", "id"]
+        got = sorted((r.seq, r.id) for r in out.collect())
+        assert [i for _, i in got] == list(range(42, 42 + 997))
+
+
+def test_allocate_keys_without_rows_and_with_ties_in_the_leading_column(spark):
+    df = spark.createDataFrame([(i % 4, i) for i in range(200)], "a bigint, b bigint")
+    out = allocate_keys(df, "id", ["a", "b"], base=0, buckets=6).collect()
+    assert [r.id for r in sorted(out, key=lambda r: (r.a, r.b))] == list(range(1, 201))
+    assert allocate_keys(df.limit(0), "id", ["a", "b"], base=0).count() == 0
+
+
+def test_bucket_of_equals_counting_the_bounds_below(spark):
+    rng = random.Random(1)
+    for n in (1, 2, 5, 50, 211):
+        bounds = sorted(set(rng.sample(range(1000), n)))
+        got = spark.range(-1, 1001).select("id", bucket_of(F.col("id"), bounds).alias("b")).collect()
+        assert all(r.b == sum(x < r.id for x in bounds) for r in got)
 
 
 def test_allocate_keys_where_numbers_only_chosen_rows(spark):
     df = spark.createDataFrame([(i, i % 4 == 0, 1000 + i) for i in range(1, 60)],
                                "seq bigint, ok boolean, id bigint")
-    out = allocate_keys(df, "id", ["seq"], base=0, where=F.col("ok"), num_partitions=3).collect()
+    out = allocate_keys(df, "id", ["seq"], base=0, where=F.col("ok"), buckets=3).collect()
     chosen = sorted((r.seq, r.id) for r in out if r.ok)
     assert [i for _, i in chosen] == list(range(1, len(chosen) + 1))
     assert all(r.id == 1000 + r.seq for r in out if not r.ok)
@@ -100,14 +117,20 @@ def test_update_products_null_overwrites_and_latest_wins(spark):
         (2, "1", "Second edit", "(None)", "", "", "Opera"),
         (3, "9", "Missing", "Q", "", "", ""),
         (4, "2", " ", "Q", "", "", ""),  # rejected: no title
+        (5, "x", "T", "Q", "", "", ""),
+        (6, "99999999999999999999", "T", "Q", "", "", ""),
     ])
     after, report = W.update_products(req, products, B.category(spark))
     got = {r.product_id: (r.title, r.composer, r.media, r.no_of_movements) for r in after.collect()}
     assert got == {1: ("Second edit", None, None, None), 2: ("Old two", "B", None, None)}
-    assert {r.product_id: r.status for r in report.collect()} == {1: "updated", 9: "not found"}
-    links = W.replace_categories(req, products, spark.createDataFrame(
+    answers = {1: ("superseded", None), 2: ("updated", None), 3: ("not found", None),
+               4: ("rejected", "title required"), 5: ("rejected", "product_id not an integer"),
+               6: ("rejected", "product_id out of range")}
+    assert {r.seq: (r.status, r.reason) for r in report.collect()} == answers
+    links, report = W.replace_categories(req, products, spark.createDataFrame(
         [(1, 1), (1, 2), (2, 3)], "product_id bigint, category_id bigint"), B.category(spark))
     assert sorted((r.product_id, r.category_id) for r in links.collect()) == [(1, 4), (2, 3)]
+    assert {r.seq: (r.status, r.reason) for r in report.collect()} == answers
 
 
 def test_add_products_rejects_unknown_category(spark):
@@ -146,7 +169,7 @@ def test_create_orders_and_customers(spark):
 
 def test_add_order_lines_feed_and_rejects(spark):
     orders, lines = seed.orders_df(spark), seed.lines_df(spark)
-    products, locations = seed.products_for_lines(spark), B.location(spark)
+    products, locations = seed.products_for_lines(spark), seed.locations_df(spark)
     raw = spark.createDataFrame([
         (1, "13", "44", "2", "$9.50 ", "1"),
         (2, "13", "44", "2", "none", "1"),
@@ -179,9 +202,25 @@ def test_deletes_cascade_set_null_and_restrict(spark):
     assert remaining.count() == 4
     assert after.where(F.col("customer_id").isNull()).count() == 5
     prods = spark.createDataFrame([(44,), (500,)], "product_id bigint")
-    ok, refused = W.split_deletable(prods, "product_id", [("order_line", lines, "product_id")])
-    assert [r.product_id for r in ok.collect()] == [500]
-    assert [(r.product_id, r.referenced_by) for r in refused.collect()] == [(44, "order_line")]
+    out = W.deletable(prods, "product_id", [("order_line", lines, "product_id")])
+    assert sorted(map(tuple, out.collect())) == [(44, "order_line", False), (500, "", True)]
+
+
+def test_delete_protection_uses_every_restricting_reference(spark):
+    from stockbook.sources import schemas as S
+    tables = {n: spark.createDataFrame([], s) for n, s in S.TABLES.items()}
+    assert sum(len(W.restricting_references(tables, p)) for p in S.TABLES) == 9
+    tables["inventory_movement"] = spark.createDataFrame(
+        [(1, 70, 3, 4, 1, "sale", None, None)], "movement_id bigint, product_id bigint,"
+        " from_location_id bigint, to_location_id bigint, quantity int, movement_type string,"
+        " movement_date timestamp_ntz, reference string")
+    ids = spark.createDataFrame([(3,), (4,), (5,)], "location_id bigint")
+    out = W.deletable(ids, "location_id", W.restricting_references(tables, "location"))
+    assert sorted(map(tuple, out.collect())) == [
+        (3, "inventory_movement", False), (4, "inventory_movement", False), (5, "", True)]
+    prods = spark.createDataFrame([(70,)], "product_id bigint")
+    only = W.deletable(prods, "product_id", W.restricting_references(tables, "music_product"))
+    assert only.first().deletable is False
 
 
 def test_append_fills_defaults_and_publish_versions(spark, tmp_dir):
@@ -197,19 +236,27 @@ def test_append_fills_defaults_and_publish_versions(spark, tmp_dir):
     v2 = sinks.publish(spark.read.parquet(v1).where("quantity > 1"), f"{tmp_dir}/order_line")
     assert v2 != v1 and sinks.current_version(spark, f"{tmp_dir}/order_line") == v2
     assert spark.read.parquet(v2).count() == 1
+    # nothing is overwritten: the older pointer is still there
+    assert spark.read.json(f"{tmp_dir}/order_line/pointers").count() == 2
 
 
-import pytest  # noqa: E402
+def test_store_and_read_with_the_declared_schema(spark, tmp_dir):
+    from stockbook.sources.schemas import ORDER_LINE, read_table
+    lines = seed.lines_df(spark)
+    path = f"{tmp_dir}/order_line"
+    sinks.bulk_load(lines.limit(5).withColumn("extra", F.lit(1)), path, "order_line")
+    batch = lines.limit(2).withColumn("quantity", F.lit(None).cast("int"))
+    sinks.append_to(batch, path, "order_line")
+    back = read_table(spark, tmp_dir, "order_line")
+    assert back.columns == [f.name for f in ORDER_LINE.fields] and back.count() == 7
+    assert back.where("quantity IS NULL").count() == 0
 
 
-@pytest.mark.parametrize("few", [False, True])
-def test_allocate_keys_stable_when_range_bounds_are_sampled(spark, few):
-    # large enough that the range partitioner samples (not takes) its bounds
+def test_allocate_keys_many_rows(spark):
     n = 300_000
     df = (spark.range(0, n, numPartitions=8)
           .select(((F.col("id") * 7919) % n).alias("seq"), (F.col("id") % 2 == 0).alias("ok")))
-    out = allocate_keys(df, "k", ["seq"], base=100, where=F.col("ok"), few=few,
-                        num_partitions=16)
+    out = allocate_keys(df, "k", ["seq"], base=100, where=F.col("ok"), rows_per_bucket=10_000)
     chosen = out.where(F.col("ok")).select("seq", "k").toPandas().sort_values("seq")
     assert len(chosen) == n // 2
     assert list(chosen["k"]) == list(range(101, 101 + len(chosen)))
