@@ -53,3 +53,42 @@ SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit
        coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
+# Near-duplicates: all pairs that share a shingle, then the smallest document reached.
+ORACLE["op5_dart_minhash"] = rf"""
+WITH RECURSIVE dw AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS w FROM documents),
+sh AS (
+  SELECT doc_id, array_to_string(w[i:i + 4], ' ') AS s, count(*) AS c
+  FROM dw, generate_series(1, greatest(1, len(w) - 4)) AS g(i) WHERE len(w) > 0 GROUP BY ALL
+  UNION ALL SELECT doc_id, chr(1) || t, 1 FROM dw WHERE len(w) = 0 AND t <> ''),
+n AS (SELECT doc_id, sum(c) AS n FROM sh GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.c, b.c)) AS shared
+  FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+  WHERE shared * 18 >= (x.n + y.n) * 8),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a)
+SELECT dw.doc_id, least(dw.doc_id, coalesce(m, dw.doc_id)) AS class_id,
+       CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles
+FROM dw LEFT JOIN n USING (doc_id)
+LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a) USING (doc_id)"""
+
+# Base 32 of a SHA-1: five bits at a time, from the two hexadecimal digits that hold them.
+ORACLE["op3_arc_to_warc"] = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) || '0' AS x FROM pages),
+d AS (
+  SELECT *, max(page_id) OVER (PARTITION BY h) AS top,
+    array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((
+      ((strpos('0123456789abcdef', substr(x, CAST(5 * i // 4 + 1 AS BIGINT), 1)) - 1) * 16
+       + strpos('0123456789abcdef', substr(x, CAST(5 * i // 4 + 2 AS BIGINT), 1)) - 1)
+      // CAST(pow(2, 3 - (5 * i) % 4) AS BIGINT)) % 32), 1)), '') AS digest
+  FROM p)
+SELECT page_id, octet_length(encode(h)) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id < top THEN top END AS refers_to
+FROM d"""
