@@ -122,6 +122,21 @@ def hot_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str = "ro
     return salted.join(spread, [*keys, "__salt"], how).drop("__salt")
 
 
+def split_by_keys(rows: DataFrame, keys: DataFrame, cols: list[str],
+                  buckets: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
+    """(rows that may have a key in ``keys``, rows that have none), without a shuffle.
+
+    The buckets that the keys hash to are broadcast: ``buckets`` numbers at most,
+    however many keys there are. The first part still has to be joined; it is
+    small where few rows have a key. Read ``keys`` from a written table.
+    """
+    at = F.pmod(F.xxhash64(*cols), F.lit(buckets))
+    used = F.broadcast(keys.select(at.alias("__at")).distinct())
+    marked = rows.withColumn("__at", at)
+    return (marked.join(used, "__at", "left_semi").drop("__at"),
+            marked.join(used, "__at", "left_anti").drop("__at"))
+
+
 def segments(lengths: np.ndarray) -> np.ndarray:
     """Start offsets of consecutive segments with the given lengths."""
     out = np.zeros(len(lengths) + 1, dtype=np.int64)

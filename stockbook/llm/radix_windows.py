@@ -13,7 +13,12 @@ for a run of neighbouring suffixes:
 2. the second digit is the text under the whole run. Runs that agree in it are
    groups of equal windows already, copies of any number being settled here;
 3. where runs agree in the first digit but not in the second, one run of each
-   kind is opened, and the third digit is each window's full text.
+   kind is opened into pieces of ``PIECE`` windows, dealt by their distance to
+   the minimizer. The third digit of a piece is the text that all its windows
+   share, the fourth the text under the whole piece; as above, pieces that are
+   alone in the third go, those that agree in the fourth are settled;
+4. of what is left, one piece of each kind is opened, and the fifth digit is
+   each window's full text.
 
 Digits are compared by 64-bit hashes; a group is told by two of them (128 bits).
 Long texts are cut into blocks of windows, so a task's memory is bounded by the
@@ -34,11 +39,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockbook.llm.common import hot_join, stored
+from stockbook.llm.common import hot_join, segments, split_by_keys, stored
 from stockbook.llm.dart_minhash import mix
 
 DEPTH, DIGIT = 400, 160
 BLOCK = 1 << 18  # windows of a text that are looked at together
+PIECE = 16
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
@@ -49,12 +55,12 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_UP = _powers(_BASE, BLOCK + DEPTH + 1)
-_DOWN = _powers(pow(_BASE, -1, 1 << 64), BLOCK + DEPTH + 1)
+_UP = _powers(_BASE, BLOCK + 4 * DEPTH + 1)
+_DOWN = _powers(pow(_BASE, -1, 1 << 64), BLOCK + 4 * DEPTH + 1)
 
 
 class Hashes:
-    """Hash of any stretch of ``data`` (at most BLOCK + DEPTH bytes)."""
+    """Hash of any stretch of ``data`` (a block and the windows that begin in it)."""
 
     def __init__(self, data: np.ndarray):
         n = len(data)
@@ -82,7 +88,7 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def runs_of(text: bytes, depth: int = DEPTH, digit: int = DIGIT):
-    """(first digit, second digit, first window, last window) of every run of a text."""
+    """(first digit, second digit, first window, last window, minimizer) of every run of a text."""
     data = np.frombuffer(text, np.uint8)
     out = []
     for at in range(0, len(data) - depth + 1, BLOCK):
@@ -97,15 +103,35 @@ def runs_of(text: bytes, depth: int = DEPTH, digit: int = DIGIT):
         hi = np.concatenate((lo[1:] - 1, [len(anchor) - 1]))
         anchor = anchor[lo]
         shape = ((hi - lo).astype(np.uint64) << np.uint64(32)) | (anchor - lo).astype(np.uint64)
-        out.append((grams[anchor], mix(h.of(lo, hi + depth) ^ mix(shape)), lo + at, hi + at))
+        out.append((grams[anchor], mix(h.of(lo, hi + depth) ^ mix(shape)), lo + at, hi + at,
+                    anchor + at))
     if not out:
-        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))
+        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def window_digits(text: bytes, lo: int, hi: int, depth: int = DEPTH) -> np.ndarray:
-    """Third digit of the windows ``lo`` .. ``hi``."""
-    return Hashes(np.frombuffer(text, np.uint8)[lo:hi + depth]).all(depth)
+def pieces_of(text: bytes, lo: np.ndarray, hi: np.ndarray, anchor: np.ndarray, width: int,
+              depth: int = DEPTH):
+    """The runs cut into pieces of ``width`` windows, counted from the minimizer:
+    (run, piece, third digit, fourth digit, first window, last window)."""
+    data, out = np.frombuffer(text, np.uint8), []
+    for block in np.unique(lo // BLOCK):
+        mine = np.flatnonzero(lo // BLOCK == block)
+        base = int(block) * BLOCK
+        h = Hashes(data[base:base + BLOCK + 4 * depth])
+        near, far = anchor[mine] - hi[mine], anchor[mine] - lo[mine]  # distances to the minimizer
+        count = far // width - near // width + 1
+        run = np.repeat(mine, count)
+        first = np.repeat(near // width, count)
+        piece = first + np.arange(len(run)) - np.repeat(segments(count)[:-1], count)
+        start = np.maximum(anchor[run] - piece * width - width + 1, lo[run]) - base
+        end = np.minimum(anchor[run] - piece * width, hi[run]) - base
+        core = anchor[run] - piece * width - base  # the last window of the full piece begins here
+        shape = ((anchor[run] - base - start).astype(np.uint64) << np.uint64(32)) | (
+            end - start).astype(np.uint64)
+        out.append((run, piece, h.of(core, core + depth - width + 1),
+                    mix(h.of(start, end + depth) ^ mix(shape)), start + base, end + base))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -120,7 +146,7 @@ def _i64(x: np.ndarray) -> pa.Array:
 
 
 def _runs(rows: DataFrame, depth: int, digit: int) -> DataFrame:
-    names = ["k1", "k2", "g", "f", "lo", "hi"]
+    names = ["k1", "k2", "g", "f", "lo", "hi", "a"]
 
     def run(batches):
         for b in batches:
@@ -129,53 +155,73 @@ def _runs(rows: DataFrame, depth: int, digit: int) -> DataFrame:
             size = [len(r[0]) for r in found]
             cols = [np.repeat(k1, size), np.repeat(k2, size),
                     *(np.concatenate([r[i] for r in found]) if found else np.zeros(0, np.int64)
-                      for i in range(4))]
+                      for i in range(5))]
             yield pa.RecordBatch.from_arrays([_i64(c) for c in cols], names=names)
 
     return rows.where(F.octet_length("text") >= depth).select("k1", "k2", "text").mapInArrow(
         run, ", ".join(f"{c} bigint" for c in names))
 
 
-def _opened(rows: DataFrame, chosen: DataFrame, depth: int) -> DataFrame:
-    """(k1, k2, g, w, at, settled): every window of the chosen runs with its third digit."""
-    per_row = chosen.groupBy("k1", "k2").agg(
-        F.collect_list(F.struct("g", "lo", "hi", "settled")).alias("runs"))
-    both = rows.select("k1", "k2", "text").join(per_row, ["k1", "k2"])
+def _opened(rows: DataFrame, chosen: DataFrame, width: int, depth: int) -> DataFrame:
+    """The pieces of the chosen runs: (k1, k2, g, f, lo, hi, a, settled), where g
+    now stands for the run's first digit with the piece and its third digit, f
+    for the fourth."""
+    per_row = stored(chosen.groupBy("k1", "k2").agg(
+        F.collect_list(F.struct("g", "lo", "hi", "a", "settled")).alias("runs")), "radix-chosen")
+    maybe, _ = split_by_keys(rows, per_row, ["k1", "k2"])
+    both = maybe.select("k1", "k2", "text").join(per_row, ["k1", "k2"])
 
     def run(batches):
         for b in batches:
+            out = []
             for k1, k2, text, runs in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for r in runs:
-                    w = window_digits(text, r["lo"], r["hi"], depth)
-                    n = len(w)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, v), pa.int64()) for v in (k1, k2, r["g"])]
-                        + [_i64(w), _i64(np.arange(r["lo"], r["hi"] + 1)),
-                           pa.array(np.full(n, r["settled"]), pa.bool_())],
-                        names=["k1", "k2", "g", "w", "at", "settled"])
-
-    return both.mapInArrow(
-        run, "k1 bigint, k2 bigint, g bigint, w bigint, at bigint, settled boolean")
+                g, lo, hi, a, settled = (np.array([r[c] for r in runs])
+                                         for c in ("g", "lo", "hi", "a", "settled"))
+                of, piece, core, whole, start, end = pieces_of(text, lo, hi, a, width, depth)
+                key = mix(g[of].view(np.uint64) + mix(piece.astype(np.uint64))) ^ core
+                n = len(of)
+                out.append((np.full(n, k1), np.full(n, k2), mix(key), whole, start, end, a[of],
+                            settled[of]))
+            if out:
+                cols = [np.concatenate(c) for c in zip(*out, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [*(_i64(c) for c in cols[:7]), pa.array(cols[7], pa.bool_())],
+                    names=["k1", "k2", "g", "f", "lo", "hi", "a", "settled"])
+
+    return stored(both.mapInArrow(
+        run, "k1 bigint, k2 bigint, g bigint, f bigint, lo bigint, hi bigint, a bigint, settled boolean"),
+        "radix-piece")
+
+
+def _pass(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One pass over runs or pieces (k1, k2, g, f, lo, hi, a, settled).
+
+    Returns (k1, k2, lo, hi) of those not settled before whose whole text f
+    occurs twice, and, from the groups of equal g with different f, one of each
+    kind to be opened.
+    """
+    first = stored(items.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("f").alias("f0"),
+                                          F.max("f").alias("f1")).where(F.col("n") > 1)
+                   .select("g", "n", (F.col("f0") != F.col("f1")).alias("mixed")), "radix-first")
+    live = stored(hot_join(items, first, ["g"], rows="n", how="inner"), "radix-live")
+    second = stored(live.groupBy("g", "f").agg(
+        F.count(F.lit(1)).alias("n"), F.first("mixed").alias("mixed"), F.max("settled").alias("settled"),
+        F.min(F.struct("k1", "k2", "lo", "hi", "a")).alias("r")), "radix-second")
+    again = second.where(F.col("n") > 1)
+    whole = hot_join(live.where(~F.col("settled")).drop("mixed", "settled"), again.select("g", "f", "n"),
+                     ["g", "f"], rows="n", how="inner").select("k1", "k2", "lo", "hi")
+    chosen = second.where("mixed").select("r.*", "g", (F.col("settled") | (F.col("n") > 1)).alias("settled"))
+    return whole, chosen
 
 
 def repeated_windows(rows: DataFrame, depth: int = DEPTH, digit: int = DIGIT) -> DataFrame:
     """(k1, k2, lo, hi): runs of starts of windows that occur elsewhere too."""
-    runs = stored(_runs(rows, depth, digit), "radix-run")
-    first = stored(runs.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("f").alias("f0"),
-                                         F.max("f").alias("f1")).where(F.col("n") > 1)
-                   .select("g", "n", (F.col("f0") != F.col("f1")).alias("mixed")), "radix-first")
-    live = stored(hot_join(runs, first, ["g"], rows="n", how="inner"), "radix-live")
-    second = stored(live.groupBy("g", "f").agg(
-        F.count(F.lit(1)).alias("n"), F.first("mixed").alias("mixed"),
-        F.min(F.struct("k1", "k2", "lo", "hi")).alias("r")), "radix-second")
-    whole = hot_join(live.drop("mixed"), second.where(F.col("n") > 1).select("g", "f", "n"),
-                     ["g", "f"], rows="n", how="inner").select("k1", "k2", "lo", "hi")
-    chosen = second.where("mixed").select("r.*", "g", (F.col("n") > 1).alias("settled"))
-    windows = stored(_opened(rows, chosen, depth), "radix-window")
-    third = stored(windows.groupBy("g", "w").agg(F.count(F.lit(1)).alias("n"))
-                   .where(F.col("n") > 1), "radix-third")
-    single = hot_join(windows.where(~F.col("settled")), third, ["g", "w"], rows="n", how="inner")
-    return whole.unionByName(single.select("k1", "k2", F.col("at").alias("lo"), F.col("at").alias("hi")))
+    runs = stored(_runs(rows, depth, digit), "radix-run").withColumn("settled", F.lit(False))
+    found, chosen = _pass(runs)
+    more, chosen = _pass(_opened(rows, chosen, min(PIECE, depth), depth))
+    windows = _opened(rows, chosen, 1, depth)  # a piece of one window: g and f say the same
+    last, _ = _pass(windows)
+    return found.unionByName(more).unionByName(last)
 
 
 def cut(text: bytes, runs: list, depth: int) -> tuple[int, int, bytes]:
@@ -194,9 +240,12 @@ def cut(text: bytes, runs: list, depth: int) -> tuple[int, int, bytes]:
 def remove_repeats(docs: DataFrame, depth: int = DEPTH, digit: int = DIGIT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept), one row per row of ``docs``."""
     rows = _rows(docs)
-    per_row = (repeated_windows(rows, depth, digit).groupBy("k1", "k2")
-               .agg(F.collect_set(F.struct("lo", "hi")).alias("runs")))
-    both = rows.join(per_row, ["k1", "k2"], "left").select("doc_id", "text", "runs")
+    per_row = stored(repeated_windows(rows, depth, digit).groupBy("k1", "k2")
+                     .agg(F.collect_set(F.struct("lo", "hi")).alias("runs")), "radix-marks")
+    maybe, clean = split_by_keys(rows, per_row, ["k1", "k2"])
+    none = F.lit(None).cast(per_row.schema["runs"].dataType).alias("runs")
+    both = (maybe.join(per_row, ["k1", "k2"], "left").select("doc_id", "text", "runs")
+            .unionByName(clean.select("doc_id", "text", none)))
 
     def run(batches):
         for b in batches:
