@@ -106,17 +106,20 @@ def hot_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str = "ro
 
     ``right[rows]`` counts the left rows of each key. Keys above 1/HOT_SHARE
     of the total are salted on the left and repeated on the right; at most
-    HOT_SHARE keys can be that frequent, which bounds the broadcast list. The
-    column ``rows`` is dropped. ``right`` should be a written table: it is read
-    three times.
+    HOT_SHARE keys can be that frequent, so the driver may hold the hashes that
+    tell them. The column ``rows`` is dropped. ``right`` should be a written
+    table: it is read three times.
     """
     total = right.agg(F.sum(rows).alias("n")).first()["n"] or 0
-    hot = F.col(rows) * HOT_SHARE > F.lit(int(total))
-    hot_keys = right.where(hot).select(*keys).withColumn("__hot", F.lit(True))
-    flagged = left.join(F.broadcast(hot_keys), keys, "left")
-    salted = flagged.withColumn("__salt", F.when(
-        F.col("__hot"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)))
-        .otherwise(F.lit(0)).cast("int")).drop("__hot")
+    name = F.xxhash64(*keys)
+    often = right.where(F.col(rows) * HOT_SHARE > F.lit(int(total)))
+    hashes = [r.h for r in often.select(name.alias("h")).collect()]
+    if not hashes:
+        return left.join(right.drop(rows), keys, how)
+    hot = name.isin(hashes)
+    salted = left.withColumn("__salt", F.when(
+        hot, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)))
+        .otherwise(F.lit(0)).cast("int"))
     spread = right.withColumn("__salt", F.explode(F.when(
         hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop(rows)
     return salted.join(spread, [*keys, "__salt"], how).drop("__salt")

@@ -14,12 +14,19 @@ no band with probability 3e-6. Documents with equal shingles are one node, so
 copies never meet each other. Candidates are checked on the shingle sets
 themselves. A bucket of many nodes is not expanded into its pairs:
 
-1. each node is compared with the pivot (smallest node) it shares most bands with;
-2. as long as a bucket holds nodes of different components, 1, 2, 4, ... of its
-   nodes are compared with the others and leave it.
-
-A bucket is left only when its nodes are in one component or all have been
-compared, so no link between components is lost.
+1. what a node alone holds (among all nodes that share a band with another) is
+   in no other set, so with u such regions of n the overlap with any node is at
+   most n - u. That bounds the similarity of a pair from four numbers, and of a
+   node with anything in its bucket; what can't reach the threshold goes;
+2. each node is compared with the pivot (smallest node) it shares most bands with;
+3. nodes that share a bucket with another component, and may have a partner
+   there, form groups (connected by their buckets). Small groups are compared
+   pair by pair where a bucket is shared. Large ones are dealt into blocks of
+   ``BLOCK`` nodes; a task compares two blocks by their common regions and gives
+   out only the links between components.
+
+No bucket is left with two nodes that could be similar and were neither
+compared nor joined otherwise, so no link between components is lost.
 
 Defined results: classes are the connected components of similarity >=
 ``threshold``; ``class_id`` is the smallest doc_id. A text of one to four words
@@ -37,13 +44,21 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockbook.llm.common import hot_join, map_docs, segments, stored, word_bytes
+from stockbook.llm.common import (
+    hot_join,
+    map_docs,
+    segments,
+    split_by_keys,
+    stored,
+    word_bytes,
+)
 
 SHINGLE, BANDS, ROWS = 5, 24, 4
 THRESHOLD_TENTHS = 8
+SMALL, BLOCK = 32, 256  # nodes of a group that is compared by pairs; nodes of a block
 
 _G = np.uint64(0x9E3779B97F4A7C15)
 
@@ -185,14 +200,110 @@ def _similar(pairs: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
             .where(shared * (10 + tenths) >= both * tenths).select("a", "b"))
 
 
+def _alone(sets: DataFrame) -> DataFrame:
+    """(node, u): regions of each node that no other node of ``sets`` holds."""
+    return (sets.select("node", F.explode("regions").alias("r")).groupBy("r")
+            .agg(F.min("node").alias("node"), F.max("node").alias("other"))
+            .where(F.col("node") == F.col("other")).groupBy("node").agg(F.count(F.lit(1)).alias("u")))
+
+
+def _may_reach(overlap: Column, together: Column, tenths: int) -> Column:
+    """Whether ``overlap`` common regions of two sets of ``together`` in sum are enough."""
+    return overlap * (10 + tenths) >= together * tenths
+
+
 def _pairs(met: DataFrame, tenths: int) -> DataFrame:
-    """(a, b, bands) with a < b of nodes that met a pivot and may be similar by their sizes."""
+    """(a, b, bands) with a < b of nodes that met a pivot and may be similar."""
+    most = F.least(F.col("n") - F.col("u"), F.col("pn") - F.col("pu"))
     return (met.where((F.col("node") != F.col("pivot"))
-                      & (F.least("n", "pn") * 10 >= F.greatest("n", "pn") * tenths))
+                      & _may_reach(most, F.col("n") + F.col("pn"), tenths))
             .groupBy(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
             .agg(F.count(F.lit(1)).alias("bands")))
 
 
+def _pivot(struct: str) -> list[Column]:
+    return ["band", "h", F.col(f"{struct}.node").alias("pivot"), F.col(f"{struct}.n").alias("pn"),
+            F.col(f"{struct}.u").alias("pu")]
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, comp) after the components that ``links`` (a, b) join became one."""
+    left = labels.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
+    right = labels.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
+    between = (links.join(left, "a").join(right, "b").where(F.col("ca") != F.col("cb"))
+               .select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    new = components(between).select(F.col("node").alias("comp"), F.col("comp").alias("into"))
+    return stored(labels.join(new, "comp", "left").select("node", F.coalesce("into", "comp").alias("comp")),
+                  "dart-label")
+
+
+def _open(members: DataFrame, labels: DataFrame, tenths: int) -> DataFrame:
+    """The entries of buckets with nodes of different components that may have a
+    partner there."""
+    comp = members.join(labels, "node")
+    mixed = (comp.groupBy("band", "h").agg(
+        F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("least"),
+        F.count(F.lit(1)).alias("members")).where(F.col("low") != F.col("high")).drop("low", "high"))
+    own = F.col("n") - F.col("u")
+    live = hot_join(comp, stored(mixed, "dart-mixed"), ["band", "h"], rows="members", how="inner").where(
+        _may_reach(own, F.col("n") + F.greatest("least", own), tenths))
+    return stored(live.drop("least"), "dart-open")
+
+
+def _block_links(group, tenths: int):
+    """Links between the two blocks of a unit (or inside one), as (a, b) rows."""
+    import pandas as pd
+
+    nodes, comp = group["node"].to_numpy(), group["comp"].to_numpy()
+    side = group["block"].to_numpy()
+    sizes = np.array([len(r) for r in group["regions"]], np.int64)
+    flat = np.concatenate(list(group["regions"])) if len(group) else np.zeros(0, np.int32)
+    owner = np.repeat(np.arange(len(group)), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    cut = np.flatnonzero(np.diff(flat)) + 1
+    starts, ends = np.concatenate(([0], cut)), np.concatenate((cut, [len(flat)]))
+    common = np.zeros((len(group), len(group)), np.int32)
+    for lo, hi in zip(starts.tolist(), ends.tolist(), strict=True):
+        if hi - lo > 1:
+            at = owner[lo:hi]
+            common[at[:, None], at] += 1
+    near = common * (10 + tenths) >= (sizes[:, None] + sizes[None, :]) * tenths
+    near &= comp[:, None] != comp[None, :]
+    if (side != side[0]).any():  # blocks meet themselves in a unit of their own
+        near &= side[:, None] != side[None, :]
+    i, j = np.nonzero(np.triu(near, 1))
+    return pd.DataFrame({"a": np.minimum(nodes[i], nodes[j]), "b": np.maximum(nodes[i], nodes[j])})
+
+
+def _group_links(live: DataFrame, sets: DataFrame, compared: DataFrame, tenths: int) -> DataFrame:
+    """The links (a, b) between components among the open entries."""
+    first = live.groupBy("band", "h").agg(F.min("node").alias("b"))
+    near = live.join(first, ["band", "h"]).where(F.col("node") != F.col("b"))
+    groups = components(near.select(F.col("node").alias("a"), "b")).withColumnRenamed("comp", "grp")
+    sized = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("m"))
+    groups = stored(groups.join(sized, "grp"), "dart-group")
+
+    small = live.join(groups.where(F.col("m") <= SMALL).select("node"), "node", "left_semi")
+    other = small.select("band", "h", F.col("node").alias("pivot"), F.col("n").alias("pn"),
+                         F.col("u").alias("pu"), F.col("comp").alias("pc"))
+    met = small.join(other, ["band", "h"]).where(
+        (F.col("node") < F.col("pivot")) & (F.col("comp") != F.col("pc")))
+    pairs = stored(_pairs(met, tenths).select("a", "b").join(compared, ["a", "b"], "left_anti"), "dart-pair")
+    links = _similar(pairs, sets, tenths)
+
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    big = (live.select("node", "comp").distinct()
+           .join(groups.where(F.col("m") > SMALL), "node").join(sets, "node")
+           .withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+           .withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1))))
+    units = big.select("grp", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"),
+                       "node", "comp", "block", "regions")
+    more = units.groupBy("grp", "x", "y").applyInPandas(
+        lambda g: _block_links(g, tenths), "a bigint, b bigint")
+    return links.unionByName(more)
+
+
 def near_duplicates(docs: DataFrame, tenths: int = THRESHOLD_TENTHS) -> DataFrame:
     """(doc_id, class_id, n_shingles), one row per row of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
@@ -202,47 +313,26 @@ def near_duplicates(docs: DataFrame, tenths: int = THRESHOLD_TENTHS) -> DataFram
                    .agg(F.min("doc_id").alias("node"), F.first("n").alias("n"),
                         F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies")),
                    "dart-node")
-    banded = nodes.select("node", "n", F.posexplode("bands").alias("band", "h"))
-    buckets = stored(banded.groupBy("band", "h").agg(
-        F.count(F.lit(1)).alias("members"), F.min(F.struct("node", "n")).alias("p"))
-        .where(F.col("members") > 1), "dart-bucket")
-    members = stored(hot_join(banded, buckets.drop("p"), ["band", "h"], rows="members", how="inner"),
-                     "dart-member")
-    first = buckets.select("band", "h", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"))
-
-    wanted = members.select(F.col("node").alias("k")).distinct()
-    texts = docs.join(wanted, docs.doc_id == wanted.k, "left_semi")
+    banded = nodes.select("node", F.posexplode("bands").alias("band", "h"))
+    buckets = stored(banded.groupBy("band", "h").agg(F.count(F.lit(1)).alias("members"))
+                     .where(F.col("members") > 1), "dart-bucket")
+    entries = stored(hot_join(banded, buckets, ["band", "h"], rows="members", how="inner"), "dart-entry")
+    wanted = stored(entries.select(F.col("node").alias("doc_id")).distinct(), "dart-wanted")
+    texts = split_by_keys(docs, wanted, ["doc_id"])[0].join(wanted, "doc_id", "left_semi")
     sets = stored(_region_sets(texts), "dart-region")
-
-    best = (_pairs(members.join(first, ["band", "h"]), tenths).groupBy("b")
-            .agg(F.max(F.struct("bands", F.negative("a").alias("a"))).alias("m"))
-            .select((-F.col("m.a")).alias("a"), "b"))
-    compared = stored(best, "dart-pair")
-    links = stored(_similar(compared, sets, tenths), "dart-link")
-    labels = components(links)
-    live, width = members, 1
-    while True:
-        comp = F.coalesce("comp", "node")
-        open_ = (live.drop("comp").join(labels, "node", "left").withColumn("comp", comp))
-        mixed = (open_.groupBy("band", "h").agg(F.min("comp").alias("low"), F.max("comp").alias("high"),
-                                                F.count(F.lit(1)).alias("members"))
-                 .where(F.col("low") != F.col("high")).drop("low", "high"))
-        live = stored(hot_join(open_, stored(mixed, "dart-mixed"), ["band", "h"], rows="members",
-                               how="inner"), "dart-open")
-        if live.isEmpty():
-            break
-        pivots = stored(live.groupBy("band", "h", F.pmod(F.xxhash64("node"), F.lit(width)).alias("s"))
-                        .agg(F.min(F.struct("node", "n", "comp")).alias("p"))
-                        .select("band", "h", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"),
-                                F.col("p.comp").alias("pc")), "dart-pivot")
-        new = _pairs(live.join(pivots, ["band", "h"]).where(F.col("comp") != F.col("pc")), tenths)
-        new = stored(new.select("a", "b").join(compared, ["a", "b"], "left_anti"), "dart-pair")
-        compared = compared.union(new)
-        links = links.union(stored(_similar(new, sets, tenths), "dart-link"))
-        labels = components(links)
-        live = live.join(pivots.select("band", "h", F.col("pivot").alias("node")),
-                         ["band", "h", "node"], "left_anti")
-        width *= 2
+    measured = stored(sets.select("node", F.size("regions").alias("n")).distinct()
+                      .join(_alone(sets), "node", "left")
+                      .select("node", "n", F.coalesce("u", F.lit(0)).alias("u")), "dart-size")
+    members = stored(entries.join(measured, "node"), "dart-member")
+
+    first = members.groupBy("band", "h").agg(F.min(F.struct("node", "n", "u")).alias("p")).select(*_pivot("p"))
+    compared = stored(_pairs(members.join(first, ["band", "h"]), tenths).groupBy("b")
+                      .agg(F.max(F.struct("bands", F.negative("a").alias("a"))).alias("m"))
+                      .select((-F.col("m.a")).alias("a"), "b"), "dart-pair")
+    labels = measured.select("node", F.col("node").alias("comp")).distinct()
+    labels = _merged(stored(labels, "dart-label"), _similar(compared, sets, tenths))
+    live = _open(members, labels, tenths)
+    labels = _merged(labels, stored(_group_links(live, sets, compared, tenths), "dart-link"))
 
     named = (nodes.join(labels, "node", "left")
              .select("c1", "c2", F.coalesce("comp", "node").alias("class_id"), "copies"))
@@ -258,6 +348,9 @@ def near_duplicates(docs: DataFrame, tenths: int = THRESHOLD_TENTHS) -> DataFram
 def keep_one(docs: DataFrame, tenths: int = THRESHOLD_TENTHS) -> DataFrame:
     """The documents, all columns, without those whose class has a smaller doc_id."""
     classes = near_duplicates(docs, tenths)
-    gone = (classes.where(F.col("class_id") < F.col("doc_id"))
-            .select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    gone = stored(classes.where(F.col("class_id") < F.col("doc_id")).select("doc_id").distinct(),
+                  "dart-gone")
+    typed = docs.withColumn("__id", F.col("doc_id").cast("bigint"))
+    gone = gone.withColumnRenamed("doc_id", "__id")
+    maybe, kept = split_by_keys(typed, gone, ["__id"])
+    return kept.unionByName(maybe.join(gone, "__id", "left_anti").select(*typed.columns)).drop("__id")

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from stockbook.llm import dart_minhash as M
 from tests.llm import corpus
@@ -71,6 +72,22 @@ def test_many_near_copies_are_one_class_without_all_pairs(spark):
     assert {r.class_id for r in out.collect()} == {0}
 
 
+def scattered(rng, n=90):
+    """Copies of one text with few to many edits: some are alone, the others one class."""
+    base = corpus.words(rng, 120)
+    return [(i, edited(rng, base, rng.randrange(0, 9))) for i in range(n)]
+
+
+@pytest.mark.parametrize("small,block", [(32, 256), (2, 7), (10**6, 5)])
+def test_groups_in_blocks_or_by_pairs(spark, monkeypatch, small, block):
+    monkeypatch.setattr(M, "SMALL", small)
+    monkeypatch.setattr(M, "BLOCK", block)
+    rows = scattered(random.Random(12))
+    got = {r.doc_id: r.class_id for r in M.near_duplicates(corpus.frame(spark, rows)).collect()}
+    assert got == brute(rows)
+    assert 1 < len(set(got.values())) < len(rows)
+
+
 def test_dissimilar_nodes_of_a_bucket_are_all_compared(spark):
     """Two pairs that share a bucket with a foreign pivot must still be linked."""
     rng = random.Random(2)
