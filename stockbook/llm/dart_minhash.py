@@ -10,8 +10,9 @@ gives about ``k (ln k + 4)`` of them, however many shingles there are, and
 farther when a coordinate is still empty.
 
 24 bands of 4 coordinates make the candidates: a pair of similarity 0.8 shares
-no band with probability 3e-6. Documents with equal shingles are one node, so
-copies never meet each other. Candidates are checked on the shingle sets
+no band with probability 3e-6. Documents with equal shingles are one node (numbered
+when the nodes are written, so that a repeated doc_id has a node for each of its
+texts), and copies never meet each other. Candidates are checked on the shingle sets
 themselves. A bucket of many nodes is not expanded into its pairs:
 
 1. what a node alone holds (among all nodes that share a band with another) is
@@ -33,8 +34,9 @@ Defined results: classes are the connected components of similarity >=
 is one shingle; a text without words but not empty is its own only shingle;
 null and empty texts are alone. Rows with a null doc_id have no class (and
 stay, in ``keep_one``). Rows that repeat a doc_id are one document: what is
-similar to one of them is in the class, and they stay or go together. Other
-columns are ignored or passed on.
+similar to one of them is in the class, all of them (also null and empty ones)
+have that class, and they stay or go together. Other columns are ignored or
+passed on.
 """
 
 from __future__ import annotations
@@ -139,6 +141,13 @@ def band_hashes(signature: np.ndarray) -> np.ndarray:
     return out
 
 
+def _multiset(s: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit sums that name a multiset of shingles."""
+    if not len(s):
+        return 0, 0
+    return tuple(int(mix(x).sum(dtype=np.uint64).view(np.int64)) for x in (s, s ^ _G))
+
+
 def _sketches(docs: DataFrame) -> DataFrame:
     """(doc_id, c1, c2, n, bands) of the documents with an id; c1, c2 name the multiset."""
     def run(ids, texts, _):
@@ -146,8 +155,9 @@ def _sketches(docs: DataFrame) -> DataFrame:
         for data in texts:
             s = shingles(data)
             sizes.append(len(s))
-            c1.append(int(mix(s).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
-            c2.append(int(mix(s ^ _G).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
+            a, b = _multiset(s)
+            c1.append(a)
+            c2.append(b)
             if len(s):
                 bands.append(band_hashes(dart_signature(*regions(s), BANDS * ROWS)).view(np.int64))
             else:
@@ -161,16 +171,52 @@ def _sketches(docs: DataFrame) -> DataFrame:
                     "doc_id bigint, c1 bigint, c2 bigint, n bigint, bands array<bigint>")
 
 
-def _region_sets(docs: DataFrame) -> DataFrame:
-    """(node, regions): distinct 32-bit names of the unit regions of each text."""
+def _regions_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, c1, c2, regions): distinct 32-bit names of the unit regions of each text."""
     def run(ids, texts, _):
-        sets = [np.unique((regions(shingles(t))[0] >> np.uint64(32)).astype(np.uint32).view(np.int32))
-                for t in texts]
+        c1, c2, sets = [], [], []
+        for t in texts:
+            s = shingles(t)
+            a, b = _multiset(s)
+            c1.append(a)
+            c2.append(b)
+            sets.append(np.unique((regions(s)[0] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
         offsets = segments(np.array([len(x) for x in sets], np.int64)).astype(np.int32)
         flat = np.concatenate(sets) if sets else np.zeros(0, np.int32)
-        return {"node": ids, "regions": pa.ListArray.from_arrays(offsets, pa.array(flat))}
-
-    return map_docs(docs, run, "node bigint, regions array<int>")
+        return {"doc_id": ids, "c1": c1, "c2": c2,
+                "regions": pa.ListArray.from_arrays(offsets, pa.array(flat))}
+
+    return map_docs(docs, run, "doc_id bigint, c1 bigint, c2 bigint, regions array<int>")
+
+
+def _region_sets(docs: DataFrame, wanted: DataFrame, again: DataFrame | None) -> DataFrame:
+    """(node, regions), one row per node of ``wanted`` (node, doc_id, c1, c2).
+
+    A doc_id that is not in ``again`` has one text; the texts of the others are
+    told apart by their multisets.
+    """
+    once = wanted if again is None else wanted.join(again, "doc_id", "left_anti")
+    texts = (split_by_keys(docs, wanted, ["doc_id"])[0].join(once.select("doc_id", "node"), "doc_id")
+             .select(F.col("node").alias("doc_id"), "text"))
+    sets = _regions_of(texts).select(F.col("doc_id").alias("node"), "regions")
+    if again is None:
+        return sets
+    often = stored(wanted.join(again, "doc_id", "left_semi"), "dart-often")
+    texts = split_by_keys(docs, often, ["doc_id"])[0].join(again, "doc_id", "left_semi")
+    found = _regions_of(texts).groupBy("c1", "c2").agg(F.first("regions").alias("regions"))
+    return sets.unionByName(found.join(often, ["c1", "c2"]).select("node", "regions"))
+
+
+def _same_document(sketches: DataFrame, nodes: DataFrame, again: DataFrame) -> DataFrame:
+    """The links (a, b) of the nodes that hold texts of one doc_id."""
+    texts = (sketches.where(F.col("n") > 0).join(again, "doc_id", "left_semi")
+             .select("doc_id", "c1", "c2").distinct())
+    held = stored(texts.join(nodes.select("c1", "c2", "node"), ["c1", "c2"]).select("doc_id", "node"),
+                  "dart-held")
+    first = stored(held.groupBy("doc_id").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("rows"))
+                   .where(F.col("rows") > 1), "dart-first")
+    links = hot_join(held, first, ["doc_id"], how="inner").where(F.col("a") != F.col("node"))
+    return stored(links.select("a", F.col("node").alias("b")).distinct(), "dart-same")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -308,19 +354,23 @@ def near_duplicates(docs: DataFrame, tenths: int = THRESHOLD_TENTHS) -> DataFram
     """(doc_id, class_id, n_shingles), one row per row of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     sketches = stored(_sketches(docs), "dart-sketch")
-    # one node for each multiset of shingles, named by its smallest document
+    again = stored(sketches.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("n") == 0, F.lit(1))).alias("blank"))
+        .where(F.col("rows") > 1), "dart-again")
+    repeated = None if again.isEmpty() else again.select("doc_id")
+    # one node for each multiset of shingles
     nodes = stored(sketches.where(F.col("n") > 0).groupBy("c1", "c2")
-                   .agg(F.min("doc_id").alias("node"), F.first("n").alias("n"),
-                        F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies")),
-                   "dart-node")
+                   .agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"),
+                        F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies"))
+                   .withColumn("node", F.monotonically_increasing_id()), "dart-node")
     banded = nodes.select("node", F.posexplode("bands").alias("band", "h"))
     buckets = stored(banded.groupBy("band", "h").agg(F.count(F.lit(1)).alias("members"))
                      .where(F.col("members") > 1), "dart-bucket")
     entries = stored(hot_join(banded, buckets, ["band", "h"], rows="members", how="inner"), "dart-entry")
-    wanted = stored(entries.select(F.col("node").alias("doc_id")).distinct(), "dart-wanted")
-    texts = split_by_keys(docs, wanted, ["doc_id"])[0].join(wanted, "doc_id", "left_semi")
-    sets = stored(_region_sets(texts), "dart-region")
-    measured = stored(sets.select("node", F.size("regions").alias("n")).distinct()
+    wanted = stored(nodes.join(entries.select("node").distinct(), "node", "left_semi")
+                    .select("node", "doc_id", "c1", "c2"), "dart-wanted")
+    sets = stored(_region_sets(docs, wanted, repeated), "dart-region")
+    measured = stored(sets.select("node", F.size("regions").alias("n"))
                       .join(_alone(sets), "node", "left")
                       .select("node", "n", F.coalesce("u", F.lit(0)).alias("u")), "dart-size")
     members = stored(entries.join(measured, "node"), "dart-member")
@@ -329,16 +379,32 @@ def near_duplicates(docs: DataFrame, tenths: int = THRESHOLD_TENTHS) -> DataFram
     compared = stored(_pairs(members.join(first, ["band", "h"]), tenths).groupBy("b")
                       .agg(F.max(F.struct("bands", F.negative("a").alias("a"))).alias("m"))
                       .select((-F.col("m.a")).alias("a"), "b"), "dart-pair")
-    labels = measured.select("node", F.col("node").alias("comp")).distinct()
-    labels = _merged(stored(labels, "dart-label"), _similar(compared, sets, tenths))
+    names, links = measured.select("node"), _similar(compared, sets, tenths)
+    if repeated is not None:
+        same = _same_document(sketches, nodes, repeated)
+        names = names.union(same.select("a")).union(same.select("b")).distinct()
+        links = links.unionByName(same)
+    labels = _merged(stored(names.withColumn("comp", F.col("node")), "dart-label"), links)
     live = _open(members, labels, tenths)
     labels = _merged(labels, stored(_group_links(live, sets, compared, tenths), "dart-link"))
 
-    named = (nodes.join(labels, "node", "left")
-             .select("c1", "c2", F.coalesce("comp", "node").alias("class_id"), "copies"))
+    placed = stored(nodes.join(labels, "node", "left").select(
+        "c1", "c2", "doc_id", "copies", F.coalesce("comp", "node").alias("comp")), "dart-placed")
+    lowest = stored(placed.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("rows"))
+                    .where(F.col("rows") > 1), "dart-lowest")
+    named = hot_join(placed, lowest, ["comp"]).select(
+        "c1", "c2", F.coalesce("class_id", "doc_id").alias("class_id"), "copies")
     found = hot_join(sketches.where(F.col("n") > 0).select("doc_id", "n", "c1", "c2"),
                      stored(named, "dart-named"), ["c1", "c2"], rows="copies", how="left")
-    alone = sketches.where(F.col("n") == 0).select("doc_id", "n", F.col("doc_id").alias("class_id"))
+    alone = sketches.where(F.col("n") == 0).select("doc_id", "n")
+    if repeated is None:
+        alone = alone.withColumn("class_id", F.col("doc_id"))
+    else:  # blank rows of an id that also has a text
+        mixed = again.where((F.col("blank") > 0) & (F.col("blank") < F.col("rows")))
+        known = (found.join(mixed.select("doc_id", F.col("blank").alias("blanks")), "doc_id")
+                 .groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.first("blanks").alias("rows")))
+        alone = (hot_join(alone, stored(known, "dart-known"), ["doc_id"])
+                 .select("doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id")))
     without = docs.where(F.col("doc_id").isNull()).select(
         "doc_id", F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("bigint").alias("class_id"))
     return (found.select("doc_id", "n", "class_id").unionByName(alone).unionByName(without)

@@ -101,6 +101,51 @@ def test_dissimilar_nodes_of_a_bucket_are_all_compared(spark):
     assert got == brute(rows)
 
 
+def brute_of_texts(rows):
+    """As ``brute``, with the rows of an id as one document that has all their texts."""
+    class_of = brute([(k, t) for k, (_, t) in enumerate(rows)])
+    parent = {i: i for i, _ in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for k, (i, _) in enumerate(rows):
+        a, b = find(i), find(rows[class_of[k]][0])
+        parent[max(a, b)] = min(a, b)
+    return {i: find(i) for i in parent}
+
+
+def rows_that_repeat_ids():
+    rng = random.Random(31)
+    first, third = corpus.words(rng, 104), corpus.words(rng, 80)
+    rows = [(7, first), (7, corpus.words(rng, 204)), (3, edited(rng, first, 1)),  # text 1 of 7 is near 3
+            (20, third), (21, third), (21, corpus.words(rng, 50)),  # 21 has a copy of 20, and is not smallest
+            (19, "x " + third + " y"), (19, None), (19, ""), (30, None), (30, None)]
+    meet = [corpus.words(rng, 90) for _ in range(2)]  # 42 has both, the smallest ids are others
+    rows += [(40, meet[0]), (41, meet[1]), (42, meet[0]), (42, meet[1]), (42, meet[1])]
+    rows += [(50, corpus.words(rng, 70)) for _ in range(6)]  # only its own texts
+    rows += [(60 + k, edited(rng, rows[-1][1], 1)) for k in range(3)]
+    return rows
+
+
+@pytest.mark.parametrize("small,block", [(32, 256), (2, 7)])
+def test_ids_with_different_texts(spark, monkeypatch, small, block):
+    monkeypatch.setattr(M, "SMALL", small)
+    monkeypatch.setattr(M, "BLOCK", block)
+    rows = rows_that_repeat_ids()
+    rng = random.Random(6)
+    rows += [(100 + i % 40, t) for i, (_, t) in enumerate(scattered(rng, 70))]
+    docs = corpus.frame(spark, rows)
+    got = M.near_duplicates(docs).select("doc_id", "class_id").collect()
+    want = brute_of_texts(rows)
+    assert sorted((r.doc_id, r.class_id) for r in got) == sorted((i, want[i]) for i, _ in rows)
+    assert want[7] == 3 and want[42] == 40 and want[41] == 40
+    kept = sorted(r.doc_id for r in M.keep_one(docs).collect())
+    assert kept == sorted(i for i, _ in rows if want[i] == i)
+
+
 def test_signature_agreement_estimates_weighted_similarity():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 2**63, 300).astype(np.uint64)
