@@ -101,14 +101,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, n: int,
 
 
 def hot_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str = "rows",
-             how: str = "left", salts: int = 64) -> DataFrame:
+             how: str = "left", salts: int = 64, by: list[str] | None = None) -> DataFrame:
     """Join ``left`` to ``right`` (one row per key) with hot keys dealt over ``salts`` tasks.
 
     ``right[rows]`` counts the left rows of each key. Keys above 1/HOT_SHARE
     of the total are salted on the left and repeated on the right; at most
     HOT_SHARE keys can be that frequent, so the driver may hold the hashes that
     tell them. The column ``rows`` is dropped. ``right`` should be a written
-    table: it is read three times.
+    table: it is read three times. The salt is a row's place in its partition,
+    which a lost task repeats only if ``left`` reads written tables; where
+    ``left`` comes out of a shuffle, ``by`` names the columns that tell the rows
+    of a key apart, and the salt is made of their values.
     """
     total = right.agg(F.sum(rows).alias("n")).first()["n"] or 0
     name = F.xxhash64(*keys)
@@ -117,8 +120,8 @@ def hot_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str = "ro
     if not hashes:
         return left.join(right.drop(rows), keys, how)
     hot = name.isin(hashes)
-    salted = left.withColumn("__salt", F.when(
-        hot, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)))
+    told = F.xxhash64(*by) if by else F.xxhash64(F.monotonically_increasing_id())
+    salted = left.withColumn("__salt", F.when(hot, F.pmod(told, F.lit(salts)))
         .otherwise(F.lit(0)).cast("int"))
     spread = right.withColumn("__salt", F.explode(F.when(
         hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop(rows)

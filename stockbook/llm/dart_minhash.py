@@ -291,7 +291,8 @@ def _open(members: DataFrame, labels: DataFrame, tenths: int) -> DataFrame:
         F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("least"),
         F.count(F.lit(1)).alias("members")).where(F.col("low") != F.col("high")).drop("low", "high"))
     own = F.col("n") - F.col("u")
-    live = hot_join(comp, stored(mixed, "dart-mixed"), ["band", "h"], rows="members", how="inner").where(
+    live = hot_join(comp, stored(mixed, "dart-mixed"), ["band", "h"], rows="members", how="inner",
+                    by=["node"]).where(
         _may_reach(own, F.col("n") + F.greatest("least", own), tenths))
     return stored(live.drop("least"), "dart-open")
 

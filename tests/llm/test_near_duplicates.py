@@ -146,6 +146,23 @@ def test_ids_with_different_texts(spark, monkeypatch, small, block):
     assert kept == sorted(i for i, _ in rows if want[i] == i)
 
 
+def test_salt_of_open_entries_is_made_of_their_values(spark, monkeypatch):
+    """Rows of a hot bucket that come out of a shuffle keep their salt in a repeated task."""
+    plans, write = [], M.stored
+
+    def watched(df, label):
+        plans.append((label, df._jdf.queryExecution().optimizedPlan().toString()))
+        return write(df, label)
+
+    monkeypatch.setattr(M, "stored", watched)
+    members = spark.range(300).selectExpr("id as node", "0 as band", "7L as h", "100 as n", "0L as u")
+    labels = spark.range(300).selectExpr("id as node", "id as comp")
+    live = M._open(members, labels, 8)
+    assert sorted(r.node for r in live.collect()) == list(range(300))
+    plan = dict(plans)["dart-open"]
+    assert "__salt" in plan and "monotonically_increasing_id" not in plan
+
+
 def test_signature_agreement_estimates_weighted_similarity():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 2**63, 300).astype(np.uint64)
