@@ -24,7 +24,7 @@ themselves. A bucket of many nodes is not expanded into its pairs:
    there, form groups (connected by their buckets). Small groups are compared
    pair by pair where a bucket is shared. Large ones are dealt into blocks of
    ``BLOCK`` nodes; a task compares two blocks by their common regions and gives
-   out only the links between components.
+   out a spanning forest of the links between components (fewer than its nodes).
 
 No bucket is left with two nodes that could be similar and were neither
 compared nor joined otherwise, so no link between components is lost.
@@ -297,8 +297,30 @@ def _open(members: DataFrame, labels: DataFrame, tenths: int) -> DataFrame:
     return stored(live.drop("least"), "dart-open")
 
 
+def spanning(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of the symmetric matrix ``near``."""
+    new, i, j = np.ones(len(near), bool), [], []
+    for root in range(len(near)):
+        if not new[root]:
+            continue
+        new[root] = False
+        queue = [root]
+        while queue:
+            at = queue.pop()
+            seen = np.flatnonzero(near[at] & new)
+            new[seen] = False
+            i.append(np.full(len(seen), at))
+            j.append(seen)
+            queue.extend(seen.tolist())
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(i or none), np.concatenate(j or none)
+
+
 def _block_links(group, tenths: int):
-    """Links between the two blocks of a unit (or inside one), as (a, b) rows."""
+    """Spanning forest of the links between the two blocks of a unit (or inside one).
+
+    (a, b) rows: they reach what all links reach, with fewer rows than nodes.
+    """
     import pandas as pd
 
     nodes, comp = group["node"].to_numpy(), group["comp"].to_numpy()
@@ -319,7 +341,7 @@ def _block_links(group, tenths: int):
     near &= comp[:, None] != comp[None, :]
     if (side != side[0]).any():  # blocks meet themselves in a unit of their own
         near &= side[:, None] != side[None, :]
-    i, j = np.nonzero(np.triu(near, 1))
+    i, j = spanning(near)
     return pd.DataFrame({"a": np.minimum(nodes[i], nodes[j]), "b": np.maximum(nodes[i], nodes[j])})
 
 

@@ -163,6 +163,23 @@ def test_salt_of_open_entries_is_made_of_their_values(spark, monkeypatch):
     assert "__salt" in plan and "monotonically_increasing_id" not in plan
 
 
+def test_block_gives_fewer_links_than_nodes():
+    """Near copies that are all components of their own: no row for each pair."""
+    import pandas as pd
+
+    sets = [np.append(np.arange(100, dtype=np.int32), np.int32(1000 + k)) for k in range(40)]
+    sets += [np.append(np.arange(200, 300, dtype=np.int32), np.int32(1000 + k)) for k in range(40, 60)]
+    group = pd.DataFrame({"node": range(60), "comp": range(60), "block": 0, "regions": sets})
+    out = M._block_links(group, 8)
+    assert len(out) == 39 + 19 and (out.a < out.b).all()
+    assert set(zip(out.a >= 40, out.b >= 40, strict=True)) == {(False, False), (True, True)}
+    near = np.zeros((60, 60), bool)
+    near[out.a, out.b] = near[out.b, out.a] = True
+    assert len(M.spanning(near)[0]) == 58
+    two = group.assign(block=[k % 2 for k in range(60)])
+    assert len(M._block_links(two, 8)) == 58
+
+
 def test_signature_agreement_estimates_weighted_similarity():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 2**63, 300).astype(np.uint64)
