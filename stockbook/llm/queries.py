@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators: whole tables, production parameters."""
+"""The registered queries of the operators: whole tables, production parameters."""
 
 from __future__ import annotations
 
@@ -12,13 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stockbook.llm import (
     arc_warc,
+    ball_tree,
     dart_minhash,
     decontaminate,
     iforest,
     language,
     line_runs,
+    multi_index,
     pieces,
     radix_windows,
+    spelling,
     token_store,
     toxicity,
 )
@@ -129,3 +132,21 @@ def op9_isolation_forest(spark, sf_dir):
 def op10_radix_windows(spark, sf_dir):
     """Repeated 400-byte windows of all documents."""
     return radix_windows.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query
+def op11_ball_tree(spark, sf_dir):
+    """The ten best documents of every benchmark item."""
+    return ball_tree.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op12_multi_index(spark, sf_dir):
+    """The ten nearest vectors found of every hundredth one."""
+    return multi_index.nearest_neighbours(table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0)
+
+
+@query
+def op13_spelling_variants(spark, sf_dir):
+    """Near words, forms and roots of all words."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
