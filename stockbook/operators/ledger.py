@@ -3,8 +3,8 @@
 T1 turns each change of an order line into (product, location, delta);
 T2 writes one ledger row per non-zero delta; T3 applies the summed deltas to
 stock. Because addition commutes, T3 needs no ordering: a partial aggregation
-per (product, location) joined to the stock table; only the keys that the stock
-table lacks become new, numbered rows.
+per (product, location) joined to the stock table once; only the keys that the
+stock table lacks become new, numbered rows.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from stockbook.functions import expressions as X
 from stockbook.operators.joins import left_join_present
 from stockbook.operators.keys import allocate_keys
-from stockbook.session import scratch_path
+from stockbook.session import scratch_path, stored
 
 KEY = ["product_id", "location_id"]
 
@@ -97,22 +97,21 @@ def apply_deltas(inventory: DataFrame, deltas: DataFrame, assign_ids: bool = Tru
     delta is 0; new rows get inventory ids above the current maximum (left
     NULL with ``assign_ids=False`` when only quantities are needed).
     """
-    net = net_deltas(deltas)
-    if not assign_ids:  # nothing to number: one join gives the old and the new rows
-        both = inventory.join(net, KEY, "full")
-        qty = (F.coalesce(F.col("quantity").cast("bigint"), F.lit(0))
-               - F.coalesce(F.col("net_delta"), F.lit(0))).cast("int")
-        return both.select(*[qty.alias(c) if c == "quantity" else F.col(c) for c in INVENTORY_COLUMNS])
-    joined = inventory.join(net, KEY, "left")
-    qty = (F.col("quantity").cast("bigint") - F.coalesce(F.col("net_delta"), F.lit(0))).cast("int")
-    kept = joined.select(*[qty.alias(c) if c == "quantity" else F.col(c) for c in INVENTORY_COLUMNS])
-    text = F.lit(None).cast("string")
-    new = net.join(inventory.select(*KEY), KEY, "left_anti").select(
-        F.lit(None).cast("bigint").alias("inventory_id"), *KEY, text.alias("h_bin_num"),
-        text.alias("h_rack_num"), (-F.col("net_delta")).cast("int").alias("quantity"),
-        F.lit(None).cast("int").alias("parcel_qty"), text.alias("halstan_code"))
-    new = allocate_keys(new, "inventory_id", KEY, existing=inventory)
-    return kept.unionByName(new.select(*INVENTORY_COLUMNS))
+    both = with_matches(inventory, net_deltas(deltas))
+    qty = (F.coalesce(F.col("quantity").cast("bigint"), F.lit(0))
+           - F.coalesce(F.col("net_delta"), F.lit(0))).cast("int")
+    after = both.select(*[qty.alias(c) if c == "quantity" else F.col(c) for c in INVENTORY_COLUMNS],
+                        "_new")
+    if assign_ids:
+        after = allocate_keys(after, "inventory_id", KEY, where=F.col("_new"), above_kept=True)
+    return after.select(*INVENTORY_COLUMNS)
+
+
+def with_matches(inventory: DataFrame, fold: DataFrame) -> DataFrame:
+    """Stock with the fold of its key next to it, and the keys of ``fold`` that
+    it lacks as further rows (``_new``): one join, each side read once."""
+    marked = inventory.withColumn("_old", F.lit(True))
+    return marked.join(fold, KEY, "full").withColumn("_new", F.col("_old").isNull()).drop("_old")
 
 
 def reconcile(opening: DataFrame, ledger: DataFrame, inventory: DataFrame) -> DataFrame:
@@ -171,11 +170,12 @@ def _matching_titles(texts: DataFrame, titles: DataFrame) -> DataFrame:
                                ).parquet(path)
     before = Window.partitionBy("part").orderBy("text", "kind").rowsBetween(
         Window.unboundedPreceding, -1)
-    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = placed.groupBy("part").agg(F.sum("w").alias("_total")).select(
-        "part", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_start"))
-    ranked = placed.withColumn("_in", F.coalesce(F.sum("w").over(before), F.lit(0))).join(
-        totals, "part").withColumn("rank", F.col("_start") + F.col("_in"))
+    starts, seen = {}, 0
+    for r in placed.groupBy("part").agg(F.sum("w").alias("n")).orderBy("part").collect():
+        starts[r["part"]], seen = seen, seen + r["n"]  # one number per range partition
+    first = F.array(*[F.lit(starts.get(k, 0)).cast("bigint") for k in range(max(starts, default=0) + 1)])
+    ranked = placed.withColumn("rank", F.element_at(first, F.col("part") + 1)
+                               + F.coalesce(F.sum("w").over(before), F.lit(0)))
     spans = ranked.where(F.col("kind") != 1).groupBy("_norm").agg(
         F.min("rank").alias("rank"), (F.max("rank") - F.min("rank")).alias("_title_n"))
     single = spans.where(F.col("_title_n") == 1).join(
@@ -201,7 +201,7 @@ def resolve_staging(staging: DataFrame, products: DataFrame) -> DataFrame:
     norm = X.normalise_title("title_raw")
     staged = staging.withColumn("_code", code).withColumn(
         "_norm", F.when(F.length(norm) > 0, norm))
-    staged = left_join_present(staged, codes, "_code")
+    staged = stored(left_join_present(staged, codes, "_code"), "staged-codes")
     by_code = F.when(F.col("_code_n") == 1, F.col("_code_pid"))
     open_ = by_code.isNull()
     texts = staged.where(open_ & F.col("_norm").isNotNull()).select("_norm").distinct()

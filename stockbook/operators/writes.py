@@ -20,7 +20,7 @@ from stockbook.functions import expressions as X
 from stockbook.operators import validate as V
 from stockbook.operators.joins import left_join_present
 from stockbook.operators.keys import allocate_keys
-from stockbook.operators.ledger import INVENTORY_COLUMNS
+from stockbook.operators.ledger import INVENTORY_COLUMNS, with_matches
 from stockbook.sources import schemas as S
 
 KEY = ["product_id", "location_id"]
@@ -79,15 +79,11 @@ def add_order_lines(requests: DataFrame, lines: DataFrame, products: DataFrame,
     failure, or an order / product / location that does not exist.
     """
     checked = V.validate_order_lines(requests)
-    usable = checked.where(F.col("reason").isNull())  # their keys are not NULL
-    known = (usable.join(_known(orders, "order_id", "_ko"), "order_id", "left")
-                   .join(_known(products, "product_id", "_kp"), "product_id", "left")
-                   .join(_known(locations, "location_id", "_kl", "fulfilled_from_location_id"),
-                         "fulfilled_from_location_id", "left"))
-    flag = F.lit(None).cast("boolean")
-    rejected = checked.where(F.col("reason").isNotNull()).select(
-        "*", flag.alias("_ko"), flag.alias("_kp"), flag.alias("_kl"))
-    checked = known.unionByName(rejected)
+    place = "fulfilled_from_location_id"
+    usable = F.col("reason").isNull()  # whose keys are not NULL
+    checked = left_join_present(checked, _known(orders, "order_id", "_ko"), "order_id", usable)
+    checked = left_join_present(checked, _known(products, "product_id", "_kp"), "product_id", usable)
+    checked = left_join_present(checked, _known(locations, "location_id", "_kl", place), place, usable)
     fits = (F.col("product_price") * F.col("quantity")).try_cast(S.MONEY).isNotNull()
     checked = _add_reason(checked, [(~fits, "line total out of range"),
                                     (F.col("_ko").isNull(), "unknown order"),
@@ -229,10 +225,10 @@ def _upsert_stock(inventory: DataFrame, fold: DataFrame, overwrite_place: bool,
                   assign_ids: bool = True) -> DataFrame:
     """Stock with the folded requests of each (product, location) applied.
 
-    Existing rows keep their id (left join); only the requests that hit no row
-    become new rows, which alone are numbered, in order of their first request.
+    One join; existing rows keep their id, the requests that hit no row become
+    new rows, which alone are numbered, in order of their first request.
     """
-    f = fold.withColumn("_req", F.lit(True))
+    both = with_matches(inventory, fold.withColumn("_req", F.lit(True)))
     old = F.coalesce(F.col("quantity").cast("bigint"), F.lit(0))
     qty = (old + F.coalesce(F.col("_add"), F.lit(0))).cast("int")
     if overwrite_place:
@@ -241,19 +237,13 @@ def _upsert_stock(inventory: DataFrame, fold: DataFrame, overwrite_place: bool,
         code = F.coalesce(F.col("_code"), F.col("halstan_code"))
     else:
         bin_, rack, code = F.col("h_bin_num"), F.col("h_rack_num"), F.col("halstan_code")
-
-    def rows(joined: DataFrame, *more: str) -> DataFrame:
-        return joined.select("inventory_id", *KEY, bin_.alias("h_bin_num"), rack.alias("h_rack_num"),
-                             qty.alias("quantity"), "parcel_qty", code.alias("halstan_code"), *more)
-
-    if not assign_ids:  # nothing to number: one join gives the old and the new rows
-        return rows(inventory.join(f, KEY, "full")).select(*INVENTORY_COLUMNS)
-    blank = [F.lit(None).cast(x.dataType).alias(x.name) for x in inventory.schema.fields
-             if x.name not in KEY]
-    new = rows(f.join(inventory.select(*KEY), KEY, "left_anti").select("*", *blank), "_first")
-    new = allocate_keys(new, "inventory_id", ["_first", *KEY], existing=inventory)
-    return rows(inventory.join(f, KEY, "left")).select(*INVENTORY_COLUMNS).unionByName(
-        new.select(*INVENTORY_COLUMNS))
+    after = both.select("inventory_id", *KEY, bin_.alias("h_bin_num"), rack.alias("h_rack_num"),
+                        qty.alias("quantity"), "parcel_qty", code.alias("halstan_code"),
+                        "_first", "_new")
+    if assign_ids:
+        after = allocate_keys(after, "inventory_id", ["_first", *KEY], where=F.col("_new"),
+                              above_kept=True)
+    return after.select(*INVENTORY_COLUMNS)
 
 
 def replenish(requests: DataFrame, inventory: DataFrame, assign_ids: bool = True) -> DataFrame:
@@ -339,18 +329,50 @@ def deletable(ids: DataFrame, key: str,
 
     ``references`` = [(table name, table, referring column)]; a table may be
     named for several columns. Returns (key, referenced_by, deletable):
-    ``referenced_by`` lists the referring tables in the given order. All
-    references are reduced to one row per key before the single join.
+    ``referenced_by`` lists the referring tables in the given order.
+    """
+    return deletable_rows({key: (ids.select(F.col(key)), references)}).select(
+        F.col("key_value").alias(key), "referenced_by", "deletable")
+
+
+def deletable_rows(parents: Mapping[str, tuple[DataFrame, Sequence[tuple[str, DataFrame, str]]]]
+                   ) -> DataFrame:
+    """W13 for the keys of several parent tables in one aggregation and one join.
+
+    ``parents`` = {parent name: (one-column frame of keys, references as for
+    ``deletable``)}. Every referring table is read once: its referring columns
+    are unpivoted into (parent, key) pairs, which are reduced to one row per
+    key. Returns (table_name, key_value, referenced_by, deletable).
     """
-    names = list(dict.fromkeys(n for n, _, _ in references))
-    refs = None
-    for name, table, col in references:
-        part = table.where(F.col(col).isNotNull()).select(F.col(col).alias(key), F.lit(name).alias("_t"))
-        refs = part if refs is None else refs.unionByName(part)
-    hits = refs.groupBy(key).agg(*[F.max(F.when(F.col("_t") == n, F.lit(n))).alias(f"_r{i}")
-                                   for i, n in enumerate(names)])
-    out = ids.select(key).distinct().join(hits, key, "left").select(
-        key, F.concat_ws(",", *[F.col(f"_r{i}") for i in range(len(names))]).alias("referenced_by"))
+    columns: dict[str, tuple[DataFrame, list[tuple[str, str]]]] = {}
+    ordered: dict[str, list[str]] = {}
+    for parent, (_, refs) in parents.items():
+        ordered[parent] = list(dict.fromkeys(n for n, _, _ in refs))
+        for name, table, col in refs:
+            columns.setdefault(name, (table, []))[1].append((parent, col))
+    names = list(columns)
+    pairs = None
+    for name, (table, cols) in columns.items():
+        found = F.explode(F.array(*[F.struct(F.lit(parent).alias("table_name"),
+                                             F.col(col).cast("bigint").alias("key_value"))
+                                    for parent, col in cols]))
+        part = table.select(found.alias("r")).select("r.*", F.lit(name).alias("_t")).where(
+            F.col("key_value").isNotNull())
+        pairs = part if pairs is None else pairs.unionByName(part)
+    at = ["table_name", "key_value"]
+    hits = pairs.groupBy(*at).agg(*[F.max(F.when(F.col("_t") == n, F.lit(n))).alias(f"_r{i}")
+                                    for i, n in enumerate(names)])
+    keys = None
+    for parent, (ids, _) in parents.items():
+        part = ids.select(F.lit(parent).alias("table_name"),
+                          F.col(ids.columns[0]).cast("bigint").alias("key_value")).distinct()
+        keys = part if keys is None else keys.unionByName(part)
+    text = None
+    for parent, listed in ordered.items():
+        by = F.concat_ws(",", *[F.col(f"_r{names.index(n)}") for n in listed])
+        is_it = F.col("table_name") == parent
+        text = F.when(is_it, by) if text is None else text.when(is_it, by)
+    out = keys.join(hits, at, "left").select(*at, text.alias("referenced_by"))
     return out.withColumn("deletable", F.col("referenced_by") == "")
 
 

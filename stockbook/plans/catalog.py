@@ -22,6 +22,7 @@ from stockbook.operators import reads as R
 from stockbook.operators import validate as V
 from stockbook.operators import writes as W
 from stockbook.operators.keys import allocate_keys
+from stockbook.session import stored
 from stockbook.sources import bindings as B
 from stockbook.sources import schemas as S
 from stockbook.sources import sinks
@@ -406,6 +407,7 @@ def replace_categories_report(spark: SparkSession, d: str) -> DataFrame:
 def _replenished(t: Tables) -> tuple[DataFrame, DataFrame]:
     checked = V.validate_replenish(t.replenish_requests, t.music_product, t.location)
     ok, _ = V.split_valid(checked)
+    ok = stored(ok, "replenish-valid")  # read by the fold and by an undo
     return ok, W.replenish(ok, t.inventory)
 
 
@@ -488,13 +490,11 @@ def restrict_delete(spark: SparkSession, d: str) -> DataFrame:
     t = _t(spark, d)
     m = _model(t)
     m["inventory_movement"] = L.ledger_rows(deltas(t), MOVEMENT_DATE)  # its ids do not matter
-    parts = []
+    parents = {}
     for parent in ("music_product", "category", "location"):
         key = S.PRIMARY_KEYS[parent][0]
-        judged = W.deletable(m[parent].select(key), key, W.restricting_references(m, parent))
-        parts.append(judged.select(F.lit(parent).alias("table_name"), F.col(key).alias("key_value"),
-                                   "referenced_by", "deletable"))
-    return _union(parts)
+        parents[parent] = (m[parent].select(key), W.restricting_references(m, parent))
+    return W.deletable_rows(parents)
 
 
 # ------------------------------------------------------------- V

@@ -13,7 +13,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 _scratch: list[str] = []
@@ -101,6 +101,18 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once to the shared folder and read again.
+
+    For a frame that several branches of a job read: they scan the written
+    table instead of repeating its plan, and its row order in each file is
+    fixed, whatever executors are lost later.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def clear_scratch(spark: SparkSession) -> int:
     """Delete the scratch paths of this process; returns how many there were.
 
