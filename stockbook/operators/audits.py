@@ -12,6 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stockbook.session import stored
+
 
 def _key_text(cols: Sequence[str]):
     return F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("NULL")) for c in cols])
@@ -124,3 +126,78 @@ def audit_lengths(df: DataFrame, limits: Mapping[str, int], table: str) -> DataF
                        for c in cols])
     return row.select(F.explode(packed).alias("r")).select(
         F.lit(table).alias("table_name"), "r.*")
+
+
+# ------------------------------------------------------------------ after a change
+
+def audit_unique_changed(df: DataFrame, cols: Sequence[str], table: str, changed: DataFrame,
+                         nulls_distinct: bool = False) -> DataFrame:
+    """C1 / C2 for the keys in ``changed`` only (a frame with the columns ``cols``).
+
+    Rows of other keys are dropped by a semi-join before anything is shuffled
+    for counting (a runtime filter when the change is small). If the table
+    kept the rule before, this is all that ``audit_unique`` would find after
+    the rows of ``changed`` were added or altered.
+    """
+    keys = changed.select(*cols).distinct()
+    same = None
+    for c in cols:
+        one = df[c].eqNullSafe(keys[c])
+        same = one if same is None else same & one
+    return audit_unique(df.join(keys, same, "left_semi"), cols, table, nulls_distinct)
+
+
+def audit_foreign_keys_changed(tables: Mapping[str, DataFrame],
+                               fks: Sequence[tuple[str, str, str, str]],
+                               written: Mapping[str, DataFrame],
+                               deleted: Mapping[str, DataFrame]) -> DataFrame:
+    """C3 after a change: the orphans among ``written`` rows (child rows added or
+    altered) and among the rows that refer to ``deleted`` keys (parent rows gone).
+
+    ``tables`` are the tables after the change. If all references held before,
+    the keys are those that ``audit_foreign_keys`` finds; a key's row count is
+    that of the whole child table.
+    """
+    pairs = None
+    for child, col, parent, pcol in fks:
+        parts = []
+        if child in written:
+            parts.append(written[child].select(F.col(col).cast("bigint").alias("_k")))
+        if parent in deleted:
+            parts.append(deleted[parent].select(F.col(pcol).cast("bigint").alias("_k")))
+        for part in parts:
+            part = part.where(F.col("_k").isNotNull()).select(
+                F.lit(child).alias("child_table"), F.lit(col).alias("column_name"),
+                F.lit(parent).alias("parent_table"), "_k")
+            pairs = part if pairs is None else pairs.unionByName(part)
+    at = ["child_table", "column_name", "parent_table", "_k"]
+    if pairs is None:
+        some = next(iter(tables.values()))
+        return some.sparkSession.createDataFrame(
+            [], "child_table string, column_name string, parent_table string, key_value string, row_count bigint")
+    suspects = stored(pairs.distinct(), "audit-suspects")
+    keys = None
+    for parent, pcol in sorted({(parent, pcol) for _, _, parent, pcol in fks}):
+        part = tables[parent].select(F.lit(parent).alias("parent_table"), F.col(pcol).cast("bigint").alias("_k"))
+        keys = part if keys is None else keys.unionByName(part)
+    gone = suspects.join(keys, ["parent_table", "_k"], "left_anti").select(*at)
+    refs = None
+    for child in dict.fromkeys(c for c, _, _, _ in fks):
+        own = [(col, parent) for c, col, parent, _ in fks if c == child]
+        found = F.explode(F.array(*[F.struct(F.lit(col).alias("column_name"), F.lit(parent).alias("parent_table"),
+                                             F.col(col).cast("bigint").alias("_k")) for col, parent in own]))
+        part = tables[child].select(found.alias("r")).select(F.lit(child).alias("child_table"), "r.*")
+        refs = part if refs is None else refs.unionByName(part)
+    counted = refs.join(gone, at, "left_semi").groupBy(*at).agg(F.count(F.lit(1)).alias("row_count"))
+    return counted.select("child_table", "column_name", "parent_table",
+                          F.col("_k").cast("string").alias("key_value"),
+                          F.col("row_count").cast("bigint"))
+
+
+def audit_not_null_changed(tables: Mapping[str, DataFrame], required: Mapping[str, Sequence[str]]) -> DataFrame:
+    """C4 for written rows only: ``tables`` holds the rows added or altered."""
+    out = None
+    for name, rows in tables.items():
+        part = audit_not_null(rows, required[name], name)
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -21,6 +21,7 @@ from stockbook.operators import validate as V
 from stockbook.operators.joins import left_join_present
 from stockbook.operators.keys import allocate_keys
 from stockbook.operators.ledger import INVENTORY_COLUMNS, with_matches
+from stockbook.session import stored
 from stockbook.sources import schemas as S
 
 KEY = ["product_id", "location_id"]
@@ -71,12 +72,13 @@ def create_orders(requests: DataFrame, orders: DataFrame, customers: DataFrame,
 # ------------------------------------------------------------------ W3
 
 def add_order_lines(requests: DataFrame, lines: DataFrame, products: DataFrame,
-                    orders: DataFrame, locations: DataFrame
+                    orders: DataFrame, locations: DataFrame, numbered: DataFrame | None = None
                     ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Validated new order lines, their INSERT change feed, and a report.
 
     Returns (new lines with line_total, change feed, report). Rejected: any V1
-    failure, or an order / product / location that does not exist.
+    failure, or an order / product / location that does not exist. Ids go on
+    above ``numbered`` (default: ``lines``).
     """
     checked = V.validate_order_lines(requests)
     place = "fulfilled_from_location_id"
@@ -92,7 +94,7 @@ def add_order_lines(requests: DataFrame, lines: DataFrame, products: DataFrame,
     cols = ["order_id", "product_id", "product_price", "quantity", "fulfilled_from_location_id"]
     accepted = F.col("reason").isNull()
     keyed = allocate_keys(checked.select("seq", *cols, "reason"), "order_line_id", ["seq"],
-                          existing=lines, where=accepted)
+                          existing=lines if numbered is None else numbered, where=accepted)
     keyed = keyed.withColumn("line_total", F.when(accepted, X.line_total()))
     new = keyed.where(accepted)
     new_lines = new.select("order_line_id", *cols, "line_total")
@@ -277,6 +279,34 @@ def undo_replenish(undo_ids: DataFrame, replenish_log: DataFrame,
     return _upsert_stock(inventory, fold, overwrite_place=False)
 
 
+def undo_batch(requests: DataFrame, replenish_log: DataFrame, inventory: DataFrame,
+               undone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """W9 with a memory: each replenishment can be taken back once, ever.
+
+    ``requests`` has ``seq`` and ``replenish_seq``; ``undone`` is the log of the
+    replenishments taken back by earlier batches (``replenish_seq``). Returns
+    (stock after, report(seq, replenish_seq, status), the ids to add to the log). status: 'undone', 'already undone' (in an earlier batch, or by
+    an earlier request of this one), 'unknown replenishment' or 'nothing to
+    undo' (no id). To be published together (``sinks.publish_tables``).
+    """
+    ids = requests.select("seq", F.col("replenish_seq").cast("bigint").alias("replenish_seq"))
+    first = ids.where(F.col("replenish_seq").isNotNull()).groupBy("replenish_seq").agg(
+        F.min("seq").alias("_first"))
+    before = undone.select("replenish_seq").distinct().withColumn("_before", F.lit(True))
+    known = replenish_log.select(F.col("seq").alias("replenish_seq"), F.lit(True).alias("_known")).distinct()
+    judged = stored(first.join(before, "replenish_seq", "left")
+                    .join(known, "replenish_seq", "left"), "undo-judged")
+    good = judged.where(F.col("_known") & F.col("_before").isNull()).select("replenish_seq")
+    report = left_join_present(ids, judged, "replenish_seq")
+    status = (F.when(F.col("replenish_seq").isNull(), F.lit("nothing to undo"))
+              .when(F.col("_known").isNull(), F.lit("unknown replenishment"))
+              .when(F.col("_before") | (F.col("seq") > F.col("_first")), F.lit("already undone"))
+              .otherwise(F.lit("undone")))
+    report = report.select("seq", "replenish_seq", status.alias("status"))
+    after = undo_replenish(good, replenish_log, inventory)
+    return after, report, good
+
+
 # ------------------------------------------------------------------ W10-W13
 
 def delete_lines(ids: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -16,13 +16,15 @@ from pyspark.sql import functions as F
 
 from stockbook.functions import expressions as X
 from stockbook.operators import audits as C
+from stockbook.operators import changes as G
 from stockbook.operators import documents as D
+from stockbook.operators import gate as GT
 from stockbook.operators import ledger as L
 from stockbook.operators import reads as R
 from stockbook.operators import validate as V
 from stockbook.operators import writes as W
 from stockbook.operators.keys import allocate_keys
-from stockbook.session import stored
+from stockbook.session import scratch_path, stored
 from stockbook.sources import bindings as B
 from stockbook.sources import schemas as S
 from stockbook.sources import sinks
@@ -425,6 +427,21 @@ def undo_replenish(spark: SparkSession, d: str) -> DataFrame:
     return W.undo_replenish(t.undo_requests, ok, after)
 
 
+@query
+def undo_report(spark: SparkSession, d: str) -> DataFrame:
+    """W9 with a memory: the 'error' events ask twice; what became of each request.
+
+    A first batch takes back what every second request names; the second batch
+    has all requests, so those ids are undone already.
+    """
+    t = _t(spark, d)
+    ok, after = _replenished(t)
+    asked = t.undo_requests.select((F.col("replenish_seq") + 1).alias("seq"), "replenish_seq")
+    none = spark.createDataFrame([], "replenish_seq bigint")
+    after, _, undone = W.undo_batch(asked.where(F.col("seq") % 2 == 0), ok, after, none)
+    return W.undo_batch(asked, ok, after, undone)[1]
+
+
 @query
 def delete_lines(spark: SparkSession, d: str) -> DataFrame:
     """Delete the largest lines; their DELETE changes."""
@@ -497,6 +514,63 @@ def restrict_delete(spark: SparkSession, d: str) -> DataFrame:
     return W.deletable_rows(parents)
 
 
+# ------------------------------------------------------------- one change batch
+
+def _changed(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """W3, W10 and W11 with T1 to T3 as one published change, applied twice."""
+    t = _t(spark, d)
+    root = scratch_path(spark, "change-state")
+    lines = t.order_line.select(*S.ORDER_LINE.names)
+    ledger = spark.createDataFrame([], S.MOVEMENT)
+    G.open_state(spark, root, t.orders, lines, t.inventory, ledger)
+    batch = G.ChangeBatch(
+        "batch-1", new_lines=t.raw_order_line_requests,
+        deleted_lines=t.order_line.where(F.col("quantity") >= BIG_LINE_QTY).select("order_line_id"),
+        deleted_orders=t.orders.where(F.col("customer_id").isNull()).select("order_id"))
+    for _ in range(2):  # the second time is a replay, which changes nothing
+        G.apply_batch(spark, root, batch, t.music_product, t.location, MOVEMENT_DATE)
+    return sinks.current_tables(spark, root, ["order_line", "inventory", "inventory_movement"])
+
+
+@query
+def change_batch_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """The ledger after deleted orders, deleted lines and new lines in one batch."""
+    return _changed(spark, d)["inventory_movement"]
+
+
+@query
+def change_batch_stock(spark: SparkSession, d: str) -> DataFrame:
+    """Stock after the same batch."""
+    return _changed(spark, d)["inventory"]
+
+
+@query
+def change_batch_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Order lines after the same batch."""
+    return _changed(spark, d)["order_line"]
+
+
+# ------------------------------------------------------------- write gate
+
+def _stock_batch(t: Tables) -> DataFrame:
+    """Every replenishment as a stock row to be inserted as it is, unchecked."""
+    number = "CASE WHEN trim({0}) RLIKE '^[0-9]+$' THEN try_cast(trim({0}) AS {1}) END"
+    return t.replenish_requests.selectExpr(
+        "seq + 100000000 AS inventory_id", f"{number.format('product_id', 'BIGINT')} AS product_id",
+        f"{number.format('location_id', 'BIGINT')} AS location_id", "bin AS h_bin_num", "rack AS h_rack_num",
+        f"{number.format('quantity', 'INT')} AS quantity", "CAST(NULL AS INT) AS parcel_qty",
+        "concat(code, bin) AS halstan_code")
+
+
+@query
+def gate_stock_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Write gate: which rule of the stock table each row of a batch breaks."""
+    t = _t(spark, d)
+    tables = {"inventory": t.inventory, "music_product": t.music_product, "location": t.location}
+    return GT.judged(_stock_batch(t), "inventory", tables, "inventory_id").select(
+        "inventory_id", "product_id", "location_id", "quantity", "halstan_code", "refusal")
+
+
 # ------------------------------------------------------------- V
 
 @query
@@ -680,6 +754,31 @@ def audit_lengths(spark: SparkSession, d: str) -> DataFrame:
     return _union([C.audit_lengths(m[n], lim, n) for n, lim in S.VARCHAR_LIMITS.items()])
 
 
+def _deleted_products(t: Tables) -> DataFrame:
+    return t.music_product.where(F.col("product_id") % 10 == 0)
+
+
+@query
+def audit_foreign_keys_after_delete(spark: SparkSession, d: str) -> DataFrame:
+    """C3 for a change only: every tenth product is gone, the lines stay."""
+    t = _t(spark, d)
+    m = _model(t)
+    m["inventory_movement"] = L.ledger_rows(deltas(t), MOVEMENT_DATE)
+    gone = _deleted_products(t)
+    m["music_product"] = t.music_product.join(gone.select("product_id"), "product_id", "left_anti")
+    return C.audit_foreign_keys_changed(m, [fk[:4] for fk in S.FOREIGN_KEYS],
+                                        written={"order_line": t.order_line}, deleted={"music_product": gone})
+
+
+@query
+def audit_uniques_after_insert(spark: SparkSession, d: str) -> DataFrame:
+    """C2 for a change only: stock rows inserted without the gate."""
+    t = _t(spark, d)
+    batch = _stock_batch(t)
+    return C.audit_unique_changed(t.inventory.unionByName(batch), ["product_id", "location_id"],
+                                  "inventory", batch, nulls_distinct=True)
+
+
 # ------------------------------------------------------------- X
 
 def _stream_feed(spark: SparkSession, d: str) -> DataFrame:
@@ -690,7 +789,7 @@ def _stream_feed(spark: SparkSession, d: str) -> DataFrame:
 def stream_movement_ledger(spark: SparkSession, d: str) -> DataFrame:
     """Ledger of the event change stream (run to completion, then read)."""
     path = X_.run_ledger_stream(_stream_feed(spark, d), MOVEMENT_DATE)
-    return spark.read.parquet(path)
+    return X_.read_ledger_stream(spark, path)
 
 
 @query
