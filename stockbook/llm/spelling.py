@@ -7,14 +7,15 @@ come from products of blocks of such vectors (the Gram matrix, |a|^2 + |b|^2 -
 2ab), only between words of equal or adjacent lengths; pairs at most two apart
 are verified letter by letter.
 
-Which words meet in a block: the letters are in three sets, and an edit leaves
-the counts of at least one of them alone. So every word goes to three blocks,
-chosen by a hash of its counts in a set, and near words share one of them. The
-number of blocks follows the number of words (``BLOCK`` words each), so the
-products grow in proportion to them. A block of more than ``TILE`` words (a
-common signature) is cut into tiles, and each pair of tiles is a unit. A pair
-is given out only in the block of the first set in which its counts agree, so
-it is given out once.
+Which words meet in a block: the letters are dealt to three sets by frequency,
+and an edit leaves the counts of at least one of them alone. So every word goes
+to three blocks, chosen by a hash of its counts in a set, and near words share
+one of them. The number of blocks follows the number of words (``BLOCK`` words
+each), so the products grow in proportion to them. A block of more than
+``TILE`` words (a common signature) is dealt again by the same rule: its words
+agree in one set, so an edit leaves one of three sets of the other letters
+alone. What is still larger then is cut into tiles, and each pair of tiles is a
+unit. A pair is given out only where its first agreeing sets lead, so once.
 
 The form of a word has at least twice its count, so forms lead to a root in at
 most 63 steps; roots are found by pointer doubling.
@@ -49,7 +50,6 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 0xC0 els
 _LETTERS = [*range(97, 123), *range(0xC0, 0x100)]
 _PLACE = np.full(256, -1, np.int64)
 _PLACE[_LETTERS] = np.arange(len(_LETTERS))
-_SET = np.arange(len(_LETTERS)) % SETS
 _SEED = np.random.default_rng(20).integers(1, 2**63, len(_LETTERS), dtype=np.int64).view(np.uint64) | np.uint64(1)
 
 
@@ -109,17 +109,48 @@ def letter_counts(words: list[bytes]) -> np.ndarray:
     return np.bincount(flat, minlength=len(words) * len(_LETTERS)).reshape(len(words), len(_LETTERS))
 
 
-def signatures(counts: np.ndarray) -> np.ndarray:
+class LetterSets:
+    """Three sets of letters, and for each of them three sets of the others."""
+
+    def __init__(self, totals: np.ndarray):
+        order = np.lexsort((np.arange(len(totals)), -totals))
+        self.first = self._deal(order)
+        self.second = [self._deal(order[self.first[order] != s]) for s in range(SETS)]
+
+    @staticmethod
+    def _deal(order: np.ndarray) -> np.ndarray:
+        """Set of each letter (-1: none), dealt back and forth from the most frequent on."""
+        out = np.full(len(_LETTERS), -1)
+        turn = [*range(SETS), *reversed(range(SETS))]
+        out[order] = [turn[k % len(turn)] for k in range(len(order))]
+        return out
+
+    def levels(self, path: tuple[int, ...]) -> list[tuple[np.ndarray, int]]:
+        """The (sets, chosen set) that lead to a block: one pair, or two."""
+        return [(self.first if k == 0 else self.second[path[0]], s) for k, s in enumerate(path)]
+
+
+def signatures(counts: np.ndarray, sets: np.ndarray) -> np.ndarray:
     """(set, word) hashes of the counts in each set of letters."""
     out = []
     for s in range(SETS):
-        at = np.flatnonzero(_SET == s)
+        at = np.flatnonzero(sets == s)
         h = (counts[:, at].astype(np.uint64) * _SEED[at]).sum(axis=1, dtype=np.uint64)
         h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
         out.append(h ^ (h >> np.uint64(29)))
     return np.array(out)
 
 
+def first_agreeing(a: np.ndarray, b: np.ndarray, levels: list[tuple[np.ndarray, int]]) -> np.ndarray:
+    """Which rows of counts agree in the chosen set of each level and in no set before it."""
+    keep = np.ones(len(a), bool)
+    for sets, chosen in levels:
+        for s in range(chosen + 1):
+            same = (a[:, sets == s] == b[:, sets == s]).all(axis=1)
+            keep &= same if s == chosen else ~same
+    return keep
+
+
 def _letters(words: list[bytes], length: int) -> np.ndarray:
     return np.frombuffer(b"".join(words), np.uint8).reshape(len(words), length)
 
@@ -134,15 +165,15 @@ def one_edit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return head + tail >= a.shape[1]
 
 
-def near_pairs(words: list[bytes], tile: np.ndarray, letters: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of near words whose first agreeing letter set is ``letters``.
+def near_pairs(words: list[bytes], tile: np.ndarray | None,
+               levels: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of near words whose first agreeing sets are those of ``levels``.
 
-    Where ``tile`` holds two values, only pairs between the two are looked for.
+    With ``tile`` only pairs between words of different tiles are looked for.
     """
     size = np.array([len(w) for w in words], np.int64)
     order = np.argsort(size, kind="stable")
     left, right = [], []
-    two = len(tile) > 0 and bool((tile != tile[0]).any())
     groups = {int(n): order[lo:hi] for n, lo, hi in _runs_of(size[order])}
     for length, at in groups.items():
         mine = [words[i] for i in at.tolist()]
@@ -156,14 +187,12 @@ def near_pairs(words: list[bytes], tile: np.ndarray, letters: int) -> tuple[np.n
             i, j = _within_two(count, count2, length)
             if other == length:
                 i, j = i[i < j], j[i < j]
-            if two:
+            if tile is not None:
                 keep = tile[at[i]] != tile[to[j]]
                 i, j = i[keep], j[keep]
             if not len(i):
                 continue
-            same = np.stack([(count[i][:, _SET == s] == count2[j][:, _SET == s]).all(axis=1)
-                             for s in range(SETS)])
-            keep = same[letters] & ~same[:letters].any(axis=0)
+            keep = first_agreeing(count[i], count2[j], levels)
             i, j = i[keep], j[keep]
             a, b = _letters(mine, length), _letters(theirs, other)
             step = max(1, 4_000_000 // other)  # bounded copies of very long words
@@ -198,50 +227,104 @@ def _within_two(a: np.ndarray, b: np.ndarray, length: int) -> tuple[np.ndarray,
     return np.concatenate(rows), np.concatenate(cols)
 
 
-def _placed(words: DataFrame, blocks: int) -> DataFrame:
-    """(word, n, letters, block): each word once per set of letters."""
+def letter_sets(words: DataFrame) -> LetterSets:
+    """The sets for a written ``words``; one number per letter comes to the driver."""
+    def run(batches):
+        total = np.zeros(len(_LETTERS), np.int64)
+        for batch in batches:
+            text = b"".join(w.encode("latin-1") for w in batch.column(0).to_pylist())
+            total += np.bincount(_PLACE[np.frombuffer(text, np.uint8)], minlength=len(_LETTERS))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(_LETTERS))), pa.array(total)],
+                                         names=["letter", "n"])
+
+    totals = np.zeros(len(_LETTERS), np.int64)
+    counted = words.select("word").mapInArrow(run, "letter bigint, n bigint")
+    for r in counted.groupBy("letter").agg(F.sum("n").alias("n")).collect():
+        totals[r["letter"]] = r["n"]
+    return LetterSets(totals)
+
+
+def _placed(words: DataFrame, sets: LetterSets, blocks: int) -> DataFrame:
+    """(word, n, path, block): each word once per set of letters. ``words`` may
+    have a ``path`` of one set already; then the sets are those of the others."""
+    deeper = "path" in words.columns
+    rows = words.select("word", "n", *(["path"] if deeper else []))
     target = words.sparkSession.createDataFrame(
-        [], "word string, n bigint, letters int, block bigint").schema
+        [], "word string, n bigint, path int, block bigint").schema
+
+    def given(batch, words, path):
+        counts = letter_counts(words)
+        sign = signatures(counts, sets.second[path] if deeper else sets.first)
+        if deeper:  # words that agree in the first set only by the hash of their block need not meet
+            sign = sign ^ signatures(counts, sets.first)[path]
+        for s in range(SETS):
+            at = (sign[s] % np.uint64(blocks)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1),
+                 pa.array(np.full(len(words), path * SETS + s if deeper else s, np.int32)), pa.array(at)],
+                names=target.names)
 
     def run(batches):
         for batch in batches:
-            words = [w.encode("latin-1") for w in batch.column(0).to_pylist()]
-            sign = signatures(letter_counts(words)) % np.uint64(blocks) if words else None
-            for s in range(SETS if words else 0):
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(np.full(len(words), s, np.int32)),
-                     pa.array(sign[s].astype(np.int64))], names=target.names)
+            if not deeper:
+                words = [w.encode("latin-1") for w in batch.column(0).to_pylist()]
+                yield from given(batch, words, 0) if words else ()
+                continue
+            path = batch.column(2).to_numpy()
+            for first in np.unique(path).tolist():
+                part = batch.take(pa.array(np.flatnonzero(path == first)))
+                yield from given(part, [w.encode("latin-1") for w in part.column(0).to_pylist()], first)
 
-    return words.select("word", "n").mapInArrow(run, target)
+    return rows.mapInArrow(run, target)
 
 
-def near_words(words: DataFrame, block: int = BLOCK, tile: int = TILE) -> DataFrame:
-    """(word, n, other, other_n): each near pair of a written ``words`` (word, n), once."""
-    total = words.count()
-    placed = stored(_placed(words, max(1, -(-total // block))), "spell-block")
-    unit = ["letters", "block"]
-    large = stored(placed.groupBy(*unit).agg(F.count(F.lit(1)).alias("rows"))
-                   .where(F.col("rows") > 2 * tile)
-                   .withColumn("tiles", F.ceil(F.col("rows") / tile).cast("int")), "spell-large")
-    dealt = (hot_join(placed, large, unit).withColumn("tiles", F.coalesce("tiles", F.lit(1)))
-             .withColumn("tile", F.pmod(F.xxhash64("word"), "tiles").cast("int"))
-             .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))))
-    units = dealt.select(*unit, F.least("tile", "with").alias("x"), F.greatest("tile", "with").alias("y"),
-                         "tile", "word", "n")
-
+def _paired(units: DataFrame, sets: LetterSets, deep: bool) -> DataFrame:
+    """The near pairs of each unit (path, block, x, y): one block, or two tiles."""
     def compare(key, table):
+        path = key[0].as_py()
         word, n = table.column("word").to_pylist(), table.column("n").to_numpy()
-        i, j = near_pairs([w.encode("latin-1") for w in word], table.column("tile").to_numpy(),
-                          key[0].as_py())
+        tile = table.column("tile").to_numpy() if key[2].as_py() != key[3].as_py() else None
+        i, j = near_pairs([w.encode("latin-1") for w in word], tile,
+                          sets.levels(divmod(path, SETS) if deep else (path,)))
         return pa.table({"word": pa.array([word[a] for a in i.tolist()], pa.string()),
                          "n": pa.array(n[i], pa.int64()),
                          "other": pa.array([word[b] for b in j.tolist()], pa.string()),
                          "other_n": pa.array(n[j], pa.int64())})
 
-    return units.groupBy(*unit, "x", "y").applyInArrow(
+    return units.groupBy("path", "block", "x", "y").applyInArrow(
         compare, "word string, n bigint, other string, other_n bigint")
 
 
+def _large(placed: DataFrame, limit: int) -> DataFrame:
+    """(path, block, rows) of the blocks with more than ``limit`` words."""
+    sizes = placed.groupBy("path", "block").agg(F.count(F.lit(1)).alias("rows"))
+    return stored(sizes.where(F.col("rows") > limit), "spell-large")
+
+
+def near_words(words: DataFrame, block: int = BLOCK, tile: int = TILE) -> DataFrame:
+    """(word, n, other, other_n): each near pair of a written ``words`` (word, n), once."""
+    unit = ["path", "block"]
+    sets = letter_sets(words)
+    placed = stored(_placed(words, sets, max(1, -(-words.count() // block))), "spell-block")
+    large = _large(placed, tile)
+    marked = stored(hot_join(placed, large.withColumn("again", F.lit(True)), unit), "spell-marked")
+    zero = F.lit(0).alias
+    whole = marked.where(F.col("again").isNull()).select(*unit, zero("x"), zero("y"), zero("tile"), "word", "n")
+    pairs = _paired(whole, sets, False)
+    again = marked.where(F.col("again"))
+    n_again = again.count()
+    if not n_again:
+        return pairs
+    deeper = stored(_placed(again, sets, max(1, -(-n_again // (SETS * block)))), "spell-deeper")
+    tiles = _large(deeper, 2 * tile).withColumn("tiles", F.ceil(F.col("rows") / tile).cast("int"))
+    dealt = (hot_join(deeper, tiles, unit).withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+             .withColumn("tile", F.pmod(F.xxhash64("word"), "tiles").cast("int"))
+             .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))))
+    units = dealt.select(*unit, F.least("tile", "with").alias("x"), F.greatest("tile", "with").alias("y"),
+                         "tile", "word", "n")
+    return pairs.unionByName(_paired(units, sets, True))
+
+
 def roots(forms: DataFrame) -> DataFrame:
     """(word, root) from (word, form): where the forms of each word end."""
     at = stored(forms.select("word", F.col("form").alias("root")), "spell-root")
