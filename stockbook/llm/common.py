@@ -35,6 +35,18 @@ def stored(df: DataFrame, label: str, schema: StructType | None = None) -> DataF
     return spark.read.schema(schema or df.schema).parquet(path)
 
 
+def own_names(columns: Iterable[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores behind it as make it differ from
+    all ``columns`` (in any case), for helper columns next to a user's."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def word_bytes(data: bytes | None) -> list[bytes]:
     """Lower-cased words of UTF-8 ``data`` (none for null)."""
     return data.translate(WORD_TABLE).split() if data else []
@@ -120,12 +132,13 @@ def hot_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str = "ro
     if not hashes:
         return left.join(right.drop(rows), keys, how)
     hot = name.isin(hashes)
+    (salt,) = own_names([*left.columns, *right.columns], "__salt")
     told = F.xxhash64(*by) if by else F.xxhash64(F.monotonically_increasing_id())
-    salted = left.withColumn("__salt", F.when(hot, F.pmod(told, F.lit(salts)))
+    salted = left.withColumn(salt, F.when(hot, F.pmod(told, F.lit(salts)))
         .otherwise(F.lit(0)).cast("int"))
-    spread = right.withColumn("__salt", F.explode(F.when(
+    spread = right.withColumn(salt, F.explode(F.when(
         hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop(rows)
-    return salted.join(spread, [*keys, "__salt"], how).drop("__salt")
+    return salted.join(spread, [*keys, salt], how).drop(salt)
 
 
 def split_by_keys(rows: DataFrame, keys: DataFrame, cols: list[str],
@@ -136,11 +149,12 @@ def split_by_keys(rows: DataFrame, keys: DataFrame, cols: list[str],
     however many keys there are. The first part still has to be joined; it is
     small where few rows have a key. Read ``keys`` from a written table.
     """
+    (name,) = own_names(rows.columns, "__at")
     at = F.pmod(F.xxhash64(*cols), F.lit(buckets))
-    used = F.broadcast(keys.select(at.alias("__at")).distinct())
-    marked = rows.withColumn("__at", at)
-    return (marked.join(used, "__at", "left_semi").drop("__at"),
-            marked.join(used, "__at", "left_anti").drop("__at"))
+    used = F.broadcast(keys.select(at.alias(name)).distinct())
+    marked = rows.withColumn(name, at)
+    return (marked.join(used, name, "left_semi").drop(name),
+            marked.join(used, name, "left_anti").drop(name))
 
 
 def segments(lengths: np.ndarray) -> np.ndarray:

@@ -52,6 +52,7 @@ from pyspark.sql import functions as F
 from stockbook.llm.common import (
     hot_join,
     map_docs,
+    own_names,
     segments,
     split_by_keys,
     stored,
@@ -439,7 +440,8 @@ def keep_one(docs: DataFrame, tenths: int = THRESHOLD_TENTHS) -> DataFrame:
     classes = near_duplicates(docs, tenths)
     gone = stored(classes.where(F.col("class_id") < F.col("doc_id")).select("doc_id").distinct(),
                   "dart-gone")
-    typed = docs.withColumn("__id", F.col("doc_id").cast("bigint"))
-    gone = gone.withColumnRenamed("doc_id", "__id")
-    maybe, kept = split_by_keys(typed, gone, ["__id"])
-    return kept.unionByName(maybe.join(gone, "__id", "left_anti").select(*typed.columns)).drop("__id")
+    (name,) = own_names(docs.columns, "__id")
+    typed = docs.withColumn(name, F.col("doc_id").cast("bigint"))
+    gone = gone.withColumnRenamed("doc_id", name)
+    maybe, kept = split_by_keys(typed, gone, [name])
+    return kept.unionByName(maybe.join(gone, name, "left_anti").select(*typed.columns)).drop(name)

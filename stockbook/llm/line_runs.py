@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockbook.llm.common import hot_join, stored
+from stockbook.llm.common import hot_join, own_names, stored
 from stockbook.session import scratch_path
 
 # The white space [\x20\x09-\x0D] and letter case of a line's key.
@@ -132,31 +132,33 @@ def dropped_positions(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
             .agg(F.collect_set("pos").alias("drops")))
 
 
-def _with_kept(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with __n_lines, __n_dropped, __kept."""
-    drops = dropped_positions(docs, **options)
-    mine = (F.col("doc_id") == F.col("drop_id")) & (F.xxhash64("text") == F.col("drop_row"))
+def _with_kept(docs: DataFrame, **options) -> tuple[DataFrame, str, str, str]:
+    """``docs`` with three more columns, and their names: n_lines, n_dropped, kept."""
+    own = own_names(docs.columns, "drop_id", "drop_row", "drops", "lines", "n_lines", "n_dropped", "kept")
+    drop_id, drop_row, drops, split, n_lines, n_dropped, kept = own
+    found = dropped_positions(docs.select("doc_id", "text"), **options).toDF(drop_id, drop_row, drops)
+    mine = (F.col("doc_id") == F.col(drop_id)) & (F.xxhash64("text") == F.col(drop_row))
     # a column of its own: inside the lambda below the split must not run again
-    joined = (docs.join(drops, mine, "left").drop("drop_id", "drop_row")
-              .withColumn("__lines", lines_of(F.col("text"))))
-    lines = F.col("__lines")
+    joined = (docs.join(found, mine, "left").drop(drop_id, drop_row)
+              .withColumn(split, lines_of(F.col("text"))))
+    lines = F.col(split)
     last = F.size(lines) - 1
     # array_except is a hash set difference: linear in the number of lines
-    kept = F.when(F.col("drops").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(
-        F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), last), F.col("drops")),
+    text = F.when(F.col(drops).isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(
+        F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), last), F.col(drops)),
                                  lambda i: F.get(lines, i)), "\n"))
-    return (joined.withColumn("__n_lines", F.size(lines).cast("bigint"))
-            .withColumn("__n_dropped", F.coalesce(F.size("drops"), F.lit(0)).cast("bigint"))
-            .withColumn("__kept", kept).drop("drops", "__lines"))
+    out = (joined.withColumn(n_lines, F.size(lines).cast("bigint"))
+           .withColumn(n_dropped, F.coalesce(F.size(drops), F.lit(0)).cast("bigint"))
+           .withColumn(kept, text).drop(drops, split))
+    return out, n_lines, n_dropped, kept
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept_sha256, kept_text), one row per document."""
-    out = _with_kept(docs.select("doc_id", "text"), **options)
-    return out.select("doc_id", F.col("__n_lines").alias("n_lines"),
-                      F.col("__n_dropped").alias("n_dropped"),
-                      F.sha2(F.col("__kept").cast("binary"), 256).alias("kept_sha256"),
-                      F.col("__kept").alias("kept_text"))
+    out, n_lines, n_dropped, kept = _with_kept(docs.select("doc_id", "text"), **options)
+    return out.select("doc_id", F.col(n_lines).alias("n_lines"), F.col(n_dropped).alias("n_dropped"),
+                      F.sha2(F.col(kept).cast("binary"), 256).alias("kept_sha256"),
+                      F.col(kept).alias("kept_text"))
 
 
 def drop_lines(docs: DataFrame, **options) -> DataFrame:
@@ -165,14 +167,14 @@ def drop_lines(docs: DataFrame, **options) -> DataFrame:
     ``n_chars``, where present, follows the text. A document that loses no line
     is returned as it is, null text included.
     """
-    out = _with_kept(docs, **options)
-    changed = F.col("__n_dropped") > 0
+    out, _, n_dropped, kept = _with_kept(docs, **options)
+    changed = F.col(n_dropped) > 0
     cols = []
     for name in docs.columns:
         c = F.col(f"`{name}`")
         if name == "text":
-            c = F.when(changed, F.col("__kept")).otherwise(c)
+            c = F.when(changed, F.col(kept)).otherwise(c)
         elif name == "n_chars":
-            c = F.when(changed, F.length("__kept").cast(docs.schema[name].dataType)).otherwise(c)
+            c = F.when(changed, F.length(kept).cast(docs.schema[name].dataType)).otherwise(c)
         cols.append(c.alias(name))
     return out.select(*cols)

@@ -4,8 +4,6 @@ import hashlib
 import random
 import re
 
-import pytest
-
 from stockbook.llm import decontaminate as D
 from tests.llm import corpus
 
@@ -71,7 +69,7 @@ def test_spans_point_into_the_original(spark):
     assert text.encode()[a:b].decode() == "The  quick, BROWN fox!\njumps over the lazy dog today"
 
 
-def test_filter_empty_tables_and_bound(spark):
+def test_filter_and_empty_tables(spark):
     docs, items = data()
     frame = corpus.frame(spark, docs)
     kept = D.keep_clean(frame, bench(spark, items))
@@ -79,5 +77,29 @@ def test_filter_empty_tables_and_bound(spark):
     assert kept.count() == sum(not r[-1] for r in brute(docs, items))
     assert D.keep_clean(frame, bench(spark, [])).count() == len(docs)
     assert D.contamination(corpus.empty(spark), bench(spark, items)).count() == 0
-    with pytest.raises(ValueError):
-        D.read_patterns(bench(spark, items), max_bytes=10)
+
+
+def test_a_benchmark_in_many_blocks(spark):
+    """Blocks far smaller than the benchmark: hits and items of all blocks count."""
+    docs, items = data()
+    frame, items_df = corpus.frame(spark, docs), bench(spark, items)
+    assert len(D.write_windows(items_df, block_bytes=400)) > 5
+    out = D.contamination(frame, items_df, block_bytes=400)
+    got = sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated)
+                  for r in out.collect()), key=str)
+    assert got == brute(docs, items)
+    one = {r.doc_id: r.spans for r in D.contamination(frame, items_df).collect()}
+    assert {r.doc_id: r.spans for r in out.collect()} == one
+    kept = D.keep_clean(frame, items_df, block_bytes=2000)
+    assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(
+        str(r[0]) for r in brute(docs, items) if not r[-1])
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    words = [f"w{k % 977}x{k % 13}" for k in range(120_000)]
+    text, item = " ".join(words), " ".join(words[70_000:70_012])
+    rows = [(1, text), (1, text), (2, " ".join(words[:50_000]))]
+    frame = corpus.frame(spark, rows).selectExpr("*", "1 AS spans", "2 AS n_hit", "'x' AS items")
+    got = sorted((r.doc_id, r.n_words, r.n_hit > 0) for r in D.contamination(frame, bench(spark, [(5, item)])).collect())
+    assert got[0] == got[1] == (1, 120_000, True)
+    assert D.keep_clean(frame, bench(spark, [(5, item)])).columns == frame.columns

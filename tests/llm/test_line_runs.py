@@ -77,3 +77,23 @@ def test_drop_lines_keeps_columns_and_nulls(spark):
 
 def test_empty_table(spark):
     assert L.dedup_lines(corpus.empty(spark)).count() == 0
+
+
+def test_columns_named_like_helpers_pass_through(spark):
+    line = "a line of more than forty characters that many documents share"
+    rows = [(k, f"own {k}\n{line}", f"d{k}", k, "x", 1) for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, drops string, drop_id long, "
+                                       "drop_row string, n_lines int")
+    out = {r.doc_id: r for r in L.drop_lines(docs).collect()}
+    assert L.drop_lines(docs).columns == docs.columns
+    assert [out[k].text for k in range(6)] == [*(f"own {k}" for k in range(5)), f"own 5\n{line}"]
+    assert all((out[k].drops, out[k].drop_id, out[k].drop_row, out[k].n_lines) == (f"d{k}", k, "x", 1)
+               for k in range(6))
+
+
+def test_very_long_texts(spark):
+    line = "b" * 50
+    long = "\n".join([line, *(f"{k} " + "c" * 60 for k in range(20_000)), "x" * 300_000])
+    docs = spark.createDataFrame([(k, long if k == 0 else line) for k in range(5)], "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_lines, r.n_dropped) for r in L.dedup_lines(docs).collect()}
+    assert got == {0: (20_002, 1), 1: (1, 1), 2: (1, 1), 3: (1, 1), 4: (1, 0)}
