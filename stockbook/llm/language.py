@@ -10,7 +10,8 @@ bounded sample of the training rows (``sample`` documents by hash order). A
 result whose best two losses are close is flagged ``ambiguous``.
 
 Up to six languages get the exhaustive code (2^(k-1) - 1 bits), more get the
-best of some seeded random codes.
+best of some seeded random codes of about 10 log2(k) bits. The model grows with
+the number of bits; a table per language never comes to the driver.
 
 Defined results: ``und`` with score 0 if the text is null or has no letter, or
 if nothing could be learned; training skips rows with a null doc_id, lang or
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockbook.llm.common import crc32_mod, map_docs, segments
+from stockbook.llm.common import crc32_mod, map_docs, segments, stored
 
 BUCKETS = 1 << 15
 EVIDENCE = 60.0
@@ -61,15 +62,25 @@ def code_matrix(k: int, seed: int = 1) -> np.ndarray:
         rows = [(1, *bits) for bits in itertools.product((1, -1), repeat=k - 1)]
         return np.array([r for r in rows if -1 in r], np.int8).T
     rng, best, far = np.random.default_rng(seed), None, -1
-    for _ in range(60):
+    for _ in range(60 if k <= 1000 else 4):
         m = rng.choice(np.array([-1, 1], np.int8), (k, math.ceil(10 * math.log2(k))))
         m = m[:, (m != m[0]).any(axis=0)]
-        d = min(int((m[i] != m[j]).sum()) for i in range(k) for j in range(i))
+        d = least_distance(m)
         if d > far:
             best, far = m, d
     return best
 
 
+def least_distance(m: np.ndarray) -> int:
+    """Smallest number of bits in which two rows differ."""
+    x, least = m.astype(np.float32), m.shape[1]
+    for lo in range(0, len(x), 1024):
+        same = x[lo:lo + 1024] @ x.T
+        same[np.arange(len(same)), np.arange(lo, lo + len(same))] = -np.inf
+        least = min(least, int((m.shape[1] - same.max()) / 2))
+    return least
+
+
 @dataclass
 class Model:
     langs: list[str]
@@ -101,8 +112,9 @@ class Model:
 
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(language number, probability, ambiguous) by loss-weighted decoding."""
-        z = self.code[None, :, :] * margins[:, None, :]
-        loss = (np.logaddexp(0.0, -z) * self.weight).sum(axis=2)
+        one, zero = (self.code.T > 0).astype(float), (self.code.T < 0).astype(float)
+        loss = ((np.logaddexp(0.0, -margins) * self.weight) @ one
+                + (np.logaddexp(0.0, margins) * self.weight) @ zero)
         best = loss.argmin(axis=1)
         rel = np.exp(loss.min(axis=1, keepdims=True) - loss)
         score = rel.max(axis=1) / rel.sum(axis=1)
@@ -130,25 +142,59 @@ def _count(rows: DataFrame) -> DataFrame:
             .groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
 
 
-def train(rows: DataFrame, sample: int = 4000, max_langs: int = 400) -> Model | None:
+def _bit_odds(counted: DataFrame, langs: list[str], totals: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """(bits, buckets): log-odds of a trigram under the languages of either side.
+
+    Languages weigh the same: the shares of each are summed up per side on the
+    executors, and two numbers a bit and bucket come to the driver, whatever the
+    number of languages.
+    """
+    number = {lang: k for k, lang in enumerate(langs)}
+    mass = totals + PRIOR * BUCKETS
+
+    def run(batches):
+        total = np.zeros((2, code.shape[1], BUCKETS))
+        for b in batches:
+            at = np.array([number[x] for x in b.column(0).to_pylist()], np.int64)
+            bucket = b.column(1).to_numpy()
+            share = b.column(2).to_numpy() / mass[at]
+            for bit in range(code.shape[1]):
+                one = code[at, bit] > 0
+                for side, keep in ((0, one), (1, ~one)):
+                    total[side, bit] += np.bincount(bucket[keep], weights=share[keep], minlength=BUCKETS)
+        for side in (0, 1):
+            for bit in range(code.shape[1]):
+                at = np.flatnonzero(total[side, bit])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(at), side, np.int32)), pa.array(np.full(len(at), bit, np.int32)),
+                     pa.array(at.astype(np.int32)), pa.array(total[side, bit][at])],
+                    names=["side", "bit", "bucket", "p"])
+
+    summed = (counted.select("lang", "bucket", "n")
+              .mapInArrow(run, "side int, bit int, bucket int, p double")
+              .groupBy("side", "bit", "bucket").agg(F.sum("p").alias("p")).toArrow())
+    side, bit, bucket, p = (c.to_numpy() for c in summed.columns)
+    share = np.zeros((2, code.shape[1], BUCKETS))
+    share[side, bit, bucket] = p
+    odds = np.zeros((code.shape[1], BUCKETS))
+    for k in range(code.shape[1]):
+        one, zero = code[:, k] > 0, code[:, k] < 0
+        if zero.any():  # every language also has the prior's share of every bucket
+            odds[k] = (np.log((share[0, k] + (PRIOR / mass[one]).sum()) / one.sum())
+                       - np.log((share[1, k] + (PRIOR / mass[zero]).sum()) / zero.sum()))
+    return odds
+
+
+def train(rows: DataFrame, sample: int = 4000) -> Model | None:
     """Model from training rows (doc_id, text, lang), none of them null."""
-    counted = _count(rows).collect()  # languages x buckets at most
-    langs = sorted({r.lang for r in counted})
+    counted = stored(_count(rows), "lang-counts")  # languages x buckets at most
+    sizes = {r.lang: r.n for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    langs = sorted(sizes)
     if not langs:
         return None
-    if len(langs) > max_langs:
-        raise ValueError(f"{len(langs)} languages; the tables are made for {max_langs}")
     number = {lang: k for k, lang in enumerate(langs)}
-    freq = np.full((len(langs), BUCKETS), PRIOR)
-    for r in counted:
-        freq[number[r.lang], r.bucket] += r.n
-    freq /= freq.sum(axis=1, keepdims=True)  # languages weigh the same
     code = code_matrix(len(langs))
-    odds = []
-    for bit in code.T:
-        one, zero = freq[bit > 0], freq[bit < 0]
-        odds.append(np.log(one.mean(axis=0)) - np.log(zero.mean(axis=0)) if len(zero) else
-                    np.zeros(BUCKETS))
+    odds = _bit_odds(counted, langs, np.array([sizes[x] for x in langs], float), code)
     model = Model(langs, code, np.array(odds, np.float32), np.ones(code.shape[1]))
     if len(langs) > 1:
         model.weight = _bit_weights(rows, model, number, sample)
@@ -164,8 +210,10 @@ def _bit_weights(rows: DataFrame, model: Model, number: dict[str, int], sample:
     def run(batches):
         right = np.zeros((2, len(model.weight)), np.int64)
         for b in batches:
-            truth = model.code[[number[x] for x in b.column(1).to_pylist()]]
-            m = model.margins(b.column(0).to_pylist())
+            known = [k for k, x in enumerate(b.column(1).to_pylist()) if x in number]  # some have no trigram
+            part = b.take(pa.array(known, pa.int64()))
+            truth = model.code[np.array([number[x] for x in part.column(1).to_pylist()], np.int64)]
+            m = model.margins(part.column(0).to_pylist())
             right[0] += (np.sign(m) == truth).sum(axis=0)
             right[1] += len(truth)
         yield pa.RecordBatch.from_arrays(

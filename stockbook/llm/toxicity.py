@@ -10,14 +10,16 @@ text: no prefix or suffix of one is negative, and none can be extended.
 
 Under the null model the best segment of a clean text of n tokens follows an
 extreme-value law, P(S >= x) = 1 - exp(-K n e^(-lambda x)). lambda solves
-sum p e^(lambda s) = 1 over the clean tokens' scores, K is fitted on the clean
-training texts. Each segment has the expectation E = K n e^(-lambda S); a text
+sum p e^(lambda s) = 1 over the clean tokens' scores, with one token's mass on
+the positive scores of toxic texts (``null_model``); K is the maximum-likelihood
+value over the clean training texts, those without a segment included
+(``solve_k``). Each segment has the expectation E = K n e^(-lambda S); a text
 is summed up by -ln E of its best segment and of its significant segments
 together, and a logistic fit on the training rows turns them into a probability.
 
 The labels are learned from at most ``sample`` labelled documents (ids by hash
 order). Of near copies, which share the least hash of their shingles, one
-counts. Tokens and prefixes are hashed to tables of fixed size.
+counts, with the largest label of all. Tokens and prefixes are hashed to tables of fixed size.
 
 Defined results: null and empty texts have no segment and a score; without
 training rows of both kinds the score is 0; several labels of a document count
@@ -29,6 +31,7 @@ from __future__ import annotations
 import hashlib
 import math
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -144,7 +147,8 @@ def log_odds(toxic: np.ndarray, other: np.ndarray) -> np.ndarray:
 
 
 def solve_lambda(scores: np.ndarray, p: np.ndarray) -> float:
-    """The positive root of sum p e^(lambda s) = 1 (scores of negative mean)."""
+    """The positive root of sum p e^(lambda s) = 1 (scores of negative mean, some
+    of them positive; without any there is no segment and the value is not used)."""
     keep = p > 0
     s, p = scores[keep], p[keep] / p.sum()
     if not (s > 0).any() or float(s @ p) >= 0:
@@ -158,6 +162,35 @@ def solve_lambda(scores: np.ndarray, p: np.ndarray) -> float:
     return high
 
 
+def null_model(clean: dict[float, int], toxic: dict[float, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(scores, weights) of the tokens of clean texts, with a floor on what is positive.
+
+    One token more than were seen is spread over the positive scores of toxic
+    texts, so that scores which no clean token of the sample has are rare, not
+    impossible.
+    """
+    positive = sum(n for at, n in toxic.items() if at > 0)
+    weights = {at: float(n) for at, n in clean.items()}
+    for at, n in toxic.items():
+        if at > 0:
+            weights[at] = weights.get(at, 0.0) + n / positive
+    places = sorted(weights)
+    return np.array(places), np.array([weights[at] for at in places])
+
+
+def solve_k(lam: float, texts: list[tuple[int, float]], least: float) -> float:
+    """K of the extreme-value law, by maximum likelihood, from (tokens, best segment)
+    of clean texts.
+
+    A text's best segment is above x with probability 1 - exp(-K n e^(-lambda x)).
+    A text without a segment tells that its best is below ``least``, the smallest
+    positive score; half a text with a segment is added, so K is positive.
+    """
+    seen = sum(1 for _, best in texts if best > 0) + 0.5
+    mass = sum(n * math.exp(-lam * (best if best > 0 else least)) for n, best in texts)
+    return seen / mass if mass > 0 else 1.0
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(40):
@@ -171,7 +204,9 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, keep: Column | None, sample: int) -> DataFrame:
-    """(text, y) of the training documents, one of those with the same least shingle hash."""
+    """(text, y) of the training documents, one of those with the same least shingle
+    hash: that with the largest label (a labelled copy is toxic if one of them is),
+    the last text in byte order among equals."""
     def run(batches):
         for b in batches:
             keys = []
@@ -183,7 +218,7 @@ def _sample(docs: DataFrame, labels: DataFrame, keep: Column | None, sample: int
 
     part = labelled_sample(docs, labels, "toxic", sample, keep).select("text", "y")
     return stored(part.mapInArrow(run, "text binary, y int, key bigint").groupBy("key")
-                  .agg(F.min(F.struct("text", "y")).alias("r")).select("r.text", "r.y"), "toxic-sample")
+                  .agg(F.max(F.struct("y", "text")).alias("r")).select("r.text", "r.y"), "toxic-sample")
 
 
 def _frequencies(part: DataFrame) -> DataFrame:
@@ -207,8 +242,30 @@ def _frequencies(part: DataFrame) -> DataFrame:
             .groupBy("y", "kind", "bucket").agg(F.sum("n").alias("n")))
 
 
+def _histogram(part: DataFrame, model: Model) -> dict[int, dict[float, int]]:
+    """Label -> rounded token score -> tokens, summed up on the executors."""
+    shared = part.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        total: Counter = Counter()
+        for b in batches:
+            for data, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                at, n = np.unique(np.round(shared.value.scores(data), 2), return_counts=True)
+                for k, c in zip(at.tolist(), n.tolist(), strict=True):
+                    total[int(y > 0), k] += c
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([y for y, _ in total], pa.int32()), pa.array([k for _, k in total], pa.float64()),
+             pa.array(list(total.values()), pa.int64())], names=["y", "at", "n"])
+
+    out: dict[int, dict[float, int]] = {0: {}, 1: {}}
+    counted = part.select("text", "y").mapInArrow(run, "y int, at double, n bigint")
+    for r in counted.groupBy("y", "at").agg(F.sum("n").alias("n")).collect():  # a few thousand scores
+        out[r.y][r["at"]] = r.n
+    return out
+
+
 def _segments(part: DataFrame, model: Model) -> list:
-    """(y, n, segment scores, histogram of token scores) of the bounded sample."""
+    """(y, n, segment scores) of the bounded sample."""
     shared = part.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -216,15 +273,12 @@ def _segments(part: DataFrame, model: Model) -> list:
             rows = []
             for data in b.column(0).to_pylist():
                 s = shared.value.scores(data)
-                at, n = np.unique(np.round(s, 2), return_counts=True)
-                rows.append((len(s), [x for _, _, x in text_segments(s)], at.tolist(), n.tolist()))
-            kinds = [pa.int64(), *[pa.list_(pa.float64())] * 2, pa.list_(pa.int64())]
+                rows.append((len(s), [x for _, _, x in text_segments(s)]))
             yield pa.RecordBatch.from_arrays(
-                [b.column(1), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))],
-                names=["y", "n", "s", "at", "count"])
+                [b.column(1), pa.array([n for n, _ in rows], pa.int64()),
+                 pa.array([x for _, x in rows], pa.list_(pa.float64()))], names=["y", "n", "s"])
 
-    return part.select("text", "y").mapInArrow(
-        run, "y int, n bigint, s array<double>, at array<double>, count array<bigint>").collect()
+    return part.select("text", "y").mapInArrow(run, "y int, n bigint, s array<double>").collect()
 
 
 def train(docs: DataFrame, labels: DataFrame, keep: Column | None = None,
@@ -239,17 +293,13 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column | None = None,
         return None
     table = np.stack([log_odds(freq[1, i], freq[0, i]) for i in (0, 1)])
     model = Model(table, hashlib.sha256(table.tobytes()).hexdigest())
+    tokens = _histogram(part, model)
+    model.lam = solve_lambda(*null_model(tokens[0], tokens[1]))
     rows = sorted(_segments(part, model), key=lambda r: (r.y, r.n, r.s))
-    clean: dict[float, int] = {}
-    for r in rows:
-        if not r.y:
-            for at, count in zip(r.at, r["count"], strict=True):
-                clean[at] = clean.get(at, 0) + count
-    model.lam = solve_lambda(np.array(sorted(clean)), np.array([clean[k] for k in sorted(clean)], float))
-    # lambda S - ln n of clean texts: a Gumbel variate plus ln K
-    drawn = [model.lam * max(r.s) - math.log(r.n) for r in rows if not r.y and r.s]
-    if drawn:
-        model.k = math.exp(max(min(float(np.mean(drawn)) - 0.5772156649015329, 20.0), -20.0))
+    positive = [at for found in tokens.values() for at in found if at > 0]
+    if positive:
+        model.k = solve_k(model.lam, [(r.n, max(r.s, default=0.0)) for r in rows if not r.y and r.n],
+                          min(positive))
     x = np.array([model.features(r.n, r.s) for r in rows])
     model.weights = logistic(x, np.array([float(r.y > 0) for r in rows]))
     return model

@@ -74,3 +74,39 @@ def test_nothing_to_learn(spark):
     assert {r.lang_pred for r in out} == {"und"} and {r.score for r in out} == {0.0}
     assert L.identify_held_out(docs(spark).limit(0)).count() == 0
     assert corpus.SCHEMA
+
+
+def test_more_than_four_hundred_languages(spark):
+    """The model has some ninety bits, whatever the number of languages."""
+    rng = random.Random(8)
+    own = [["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)]
+           for _ in range(430)]
+    rows = [(k * 430 + i, " ".join(rng.choice(own[i]) for _ in range(15)), f"l{i}")
+            for k in range(4) for i in range(430)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    out = {r.doc_id: r for r in L.identify_held_out(docs).collect()}
+    held = [i for i, r in out.items() if r.held_out]
+    right = sum(out[i].lang_pred == f"l{i % 430}" for i in held)
+    assert len(held) > 400 and right >= 0.95 * len(held)
+
+
+def test_loss_weighted_decoding_equals_the_sum_over_bits():
+    rng = np.random.default_rng(2)
+    code = L.code_matrix(9)
+    m = L.Model([str(k) for k in range(9)], code, np.zeros((code.shape[1], 4), np.float32),
+                rng.random(code.shape[1]) + 0.5)
+    margins = rng.normal(size=(50, code.shape[1])) * 4
+    z = code[None, :, :] * margins[:, None, :]
+    loss = (np.log1p(np.exp(-z)) * m.weight).sum(axis=2)
+    best, score, _ = m.decode(margins)
+    assert (best == loss.argmin(axis=1)).all() and ((0 < score) & (score <= 1)).all()
+
+
+def test_ties_long_texts_and_a_language_without_letters(spark):
+    rows = [(i, f"alpha beta {i}" if i % 2 else f"gamma delta {i}", "a" if i % 2 else "b") for i in range(60)]
+    rows += [(i, "123 456", "c") for i in range(60, 70)]
+    rows += [(100, "alpha beta gamma delta", None), (101, "alpha " * 200_000, None), (102, "789", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    out = {r.doc_id: r for r in L.identify_held_out(docs).collect()}
+    assert out[101].lang_pred == "a" and out[102].lang_pred == "und" and out[100].lang_pred in "ab"
+    assert {r.lang_pred for r in out.values()} == {"a", "b", "und"}
