@@ -92,3 +92,95 @@ SELECT page_id, octet_length(encode(h)) AS payload_bytes, digest AS payload_dige
   CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id < top THEN top END AS refers_to
 FROM d"""
+
+# Every repeated 400-byte window as hexadecimal text (800 digits), then the runs they cover.
+ORACLE["op10_radix_windows"] = """
+WITH docs AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h FROM documents),
+blocks AS (  -- of 512 windows: a substring of a short text is found sooner
+  SELECT r, 512 * b AS base, substring(h, 1024 * b + 1, 2 * 911) AS x
+  FROM docs, generate_series(0, (length(h) // 2 - 400) // 512) AS g(b) WHERE length(h) >= 800),
+windows AS (
+  SELECT r, base + i AS i, md5_number(substring(x, 2 * i + 1, 800)) AS m
+  FROM blocks, generate_series(0, length(x) // 2 - 400) AS g(i)),
+again AS (SELECT m FROM windows GROUP BY m HAVING count(*) > 1),
+hits AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS p FROM windows SEMI JOIN again USING (m)),
+runs AS (
+  SELECT r, min(i) AS a, max(i) + 400 AS b
+  FROM (SELECT r, i, sum(CASE WHEN p IS NULL OR i > p + 400 THEN 1 ELSE 0 END)
+          OVER (PARTITION BY r ORDER BY i) AS k FROM hits)
+  GROUP BY r, k),
+gaps AS (  -- what stays: before each run, and behind the last
+  SELECT r, coalesce(lag(b) OVER w, 0) AS a, runs.a AS b FROM runs WINDOW w AS (PARTITION BY r ORDER BY runs.a)
+  UNION ALL SELECT r, max(b), 1000000000 FROM runs GROUP BY r),
+kept AS (
+  SELECT r, string_agg(substring(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS k
+  FROM gaps JOIN docs USING (r) GROUP BY r),
+sums AS (SELECT r, sum(b - a) AS n, count(*) AS spans FROM runs GROUP BY r)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+       coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM docs LEFT JOIN sums USING (r) LEFT JOIN kept USING (r)"""
+
+# Integer scores of all documents that share a term with an item.
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+ORACLE["op11_ball_tree"] = rf"""
+WITH dw AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM}') AS w FROM documents),
+total AS (SELECT count(*) FILTER (len(w) > 0) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM dw),
+iw AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM}')) AS t FROM benchmark),
+tf AS (
+  SELECT doc_id, r, n, t, count(*) AS tf
+  FROM (SELECT doc_id, r, len(w) AS n, unnest(w) AS t FROM dw) SEMI JOIN iw USING (t) GROUP BY ALL),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+weights AS (SELECT t, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM df, total),
+scores AS (
+  SELECT item_id, r, doc_id,
+    CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM iw JOIN tf USING (t) JOIN weights USING (t), total GROUP BY ALL),
+ranked AS (
+  SELECT item_id, doc_id, score,
+    row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10"""
+
+# crc32 by its table, words that share a deletion or a hole, and forms followed to the last.
+ORACLE["op13_spelling_variants"] = """
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+runs AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents WHERE text IS NOT NULL)
+  GROUP BY ALL),
+hashed AS (
+  SELECT run, n, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)],
+      flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''),
+        lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)]
+                       ELSE [195, CAST(unicode(c) AS BIGINT) - 64] END))),
+    lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS h
+  FROM runs, crc),
+altered AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substring(run, 1, h % length(run)) || substring(run, h % length(run) + 2)
+              ELSE run END AS word, n FROM hashed),
+words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM altered WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+holes AS (
+  SELECT word, n, i, substring(word, 1, i - 1) AS a, substring(word, i + 1) AS b
+  FROM words, generate_series(1, length(word)) AS g(i)),
+pairs AS (
+  SELECT x.word, y.word AS other FROM holes x JOIN holes y USING (i, a, b) WHERE x.word <> y.word
+  UNION SELECT h.word, w.word FROM holes h JOIN words w ON w.word = h.a || h.b
+  UNION SELECT w.word, h.word FROM holes h JOIN words w ON w.word = h.a || h.b),
+best AS (
+  SELECT p.word, count(*) AS n_near, arg_min(other, struct_pack(m := -w.n, o := other)) AS other, max(w.n) AS m
+  FROM pairs p JOIN words w ON w.word = p.other GROUP BY p.word),
+judged AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n THEN other END AS form,
+    CASE WHEN m >= 2 * n THEN m END AS form_n FROM words LEFT JOIN best USING (word)),
+steps AS (
+  SELECT word, word AS at FROM judged
+  UNION ALL SELECT s.word, j.form FROM steps s JOIN judged j ON j.word = s.at WHERE j.form IS NOT NULL)
+SELECT j.word, j.form, s.at AS root, j.n, j.n_near, j.form_n
+FROM judged j JOIN steps s USING (word) JOIN judged e ON e.word = s.at WHERE e.form IS NULL"""
