@@ -1,22 +1,27 @@
 """Operator 8, SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-Three machines are compiled from a BPE model with byte fallback:
+Three machines are compiled from a BPE model with byte fallback, all weights in
+the tropical semiring (paths add, alternatives take the least):
 
-* the normaliser writes U+2581 for a blank and puts one in front of the text;
-* the piece machine reads the normalised text and writes pieces; a character
-  outside the vocabulary is written as its bytes, at weight 1 a byte;
-* the pair machine accepts a sequence of pieces if every neighbouring pair is
-  what the merge rules make of the two pieces' text (weight 0, else infinite).
+* the normaliser: one arc from the start that writes U+2581, an arc that writes
+  U+2581 for a blank, and an arc of weight 0 that copies any other character;
+* the piece machine, a trie: an arc of weight 0 for each piece, and for a
+  character without a piece an arc that writes its bytes, ``BYTE`` each;
+* the pair machine, whose states are pieces: the arc from piece to piece has
+  weight 0 if the merge rules leave the two side by side, else it is infinite.
 
 A sequence is the model's encoding exactly if each piece and each pair of
-neighbours is its own encoding, so the tropical shortest path through the
-composition is the encoding that the merge rules define. The state after each
-character is the last piece, and states of infinite weight are not kept; the
-shortest distance is therefore found in one pass, linear in the text.
+neighbours is its own encoding, so the shortest path through the composition of
+the three with an input is the encoding that the merge rules define. Distances
+are relaxed position by position (all arcs lead forward); arcs of infinite
+weight lead to no state, and of the states at a position the nearest is kept:
+a prefix has one encoding, so at most one has a finite distance.
 
-No piece holds U+2581 behind another character, so the composition has a
-single state before every run of blanks: the text is cut there and each
-distinct chunk is solved once per worker (the last ``CACHE_CHUNKS`` or more are remembered).
+Where no piece holds two neighbouring characters, the composition has a single
+state, and the text may be cut: before every run of U+2581, and between letters
+and other characters as far as the model's pieces allow (``cuts``). Each
+distinct chunk is solved and decoded once per worker (the last ``CACHE_CHUNKS``
+or more are remembered).
 
 Defined results: null and empty texts have no ids and decode to ""; U+2581 in
 a text is read as a blank, so such a text does not round-trip; repeated rows
@@ -28,19 +33,39 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from stockbook.llm.common import RecentCache, map_docs, segments
+from stockbook.llm.common import RecentCache, kept, map_docs, segments
 
 MARK = "▁"
-CACHE_CHUNKS, CACHE_PAIRS = 300_000, 500_000
+BYTE = 1.0  # weight of a byte in place of a piece
+CACHE_CHUNKS, CACHE_PAIRS = 80_000, 300_000
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 INF = float("inf")
+_SPAN = 1 << 32
 
-_loaded: dict[str, PieceTransducer] = {}
+
+def cuts(pieces: list[str]) -> re.Pattern:
+    """Chunks of a text that no piece reaches across.
+
+    Letters are parted from other characters. A character next to which a piece
+    holds the other kind does not count as a letter; if that does not help,
+    texts are cut before runs of U+2581 only.
+    """
+    other = ""
+    for _ in range(2):
+        letter = f"[^\\W\\d_{re.escape(other)}]" if other else r"[^\W\d_]"
+        rest = rf"(?:(?!{letter})[^{MARK}])"
+        chunk = re.compile(f"{MARK}*{letter}+|{MARK}+{rest}*|{rest}+")
+        across = [p for p in pieces if len(chunk.findall(p)) > 1]
+        if not across:
+            return chunk
+        other = "".join(sorted({c for p in across for c in p if re.match(r"[^\W\d_]", c)}))
+    return CHUNK
 
 
 class PieceTransducer:
@@ -52,15 +77,22 @@ class PieceTransducer:
         plain = [i for i in range(n) if not (
             model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         self.text = {i: model.id_to_piece(i) for i in plain}
-        self.ids = {t: i for i, t in self.text.items()}
         self.score = {t: model.get_score(i) for i, t in self.text.items()}
         # an arc is a piece that the merge rules make of its own text
-        self.ids = {t: i for t, i in self.ids.items() if self.merged(t) == [t]}
-        self.heads = {t[:k] for t in self.ids for k in range(1, len(t) + 1)}
+        self.ids = {t: i for i, t in self.text.items() if self.merged(t) == [t]}
         self.byte = {int(model.id_to_piece(i)[3:5], 16): i for i in range(n) if model.is_byte(i)}
         self.byte_of = {i: b for b, i in self.byte.items()}
         self.marked = {t for t in self.ids if MARK in t.lstrip(MARK)}
-        self.pairs: dict[tuple[str, str], float] = {}
+        self.normal = {" ": MARK}  # the normaliser's arcs that do not copy
+        self.trie: dict = {}  # character -> (id of the piece that ends here or -1, next characters)
+        for t, i in self.ids.items():
+            at, node = self.trie, None
+            for c in t:
+                node = at.setdefault(c, [-1, {}])
+                at = node[1]
+            node[0] = i
+        self.chunk = cuts(list(self.ids))
+        self.pairs: dict[int, float] = {}
         self.chunks = RecentCache(CACHE_CHUNKS)
 
     def merged(self, text: str) -> list[str]:
@@ -77,65 +109,101 @@ class PieceTransducer:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def pair(self, a: str, b: str) -> float:
-        """Weight of piece ``b`` behind piece ``a``."""
-        w = self.pairs.get((a, b))
+    def pair(self, a: int, b: int) -> float:
+        """Weight of the pair machine's arc from piece ``a`` to piece ``b``."""
+        key = a * _SPAN + b
+        w = self.pairs.get(key)
         if w is None:
             if len(self.pairs) > CACHE_PAIRS:
                 self.pairs.clear()
-            w = self.pairs[a, b] = 0.0 if self.merged(a + b) == [a, b] else INF
+            left, right = self.text[a], self.text[b]
+            w = self.pairs[key] = 0.0 if self.merged(left + right) == [left, right] else INF
         return w
 
-    def solve(self, chunk: str) -> list[int]:
-        """Ids on the shortest path that reads ``chunk``.
+    def solve(self, chunk: str) -> tuple[list[int], float]:
+        """Ids on the shortest path that reads ``chunk``, and its length.
 
-        A prefix of the chunk has one encoding, so one finite arc enters a
-        position and the first found is the shortest.
+        Best-first: arcs leave the heap by distance, then by how far they reach;
+        an arc whose pair arc is infinite leads nowhere (the others add 0). No
+        weight is negative, so the first path that is taken up at a position is
+        the shortest one to it.
         """
-        n, ids, heads, pairs = len(chunk), self.ids, self.heads, self.pairs
-        last, back = [""] * (n + 1), [-1] * (n + 1)
-        back[0] = 0
-        for start in range(n):
-            if back[start] < 0:
-                continue
-            left = last[start]
-            known = left in ids
-            if chunk[start] not in ids:  # byte arcs: nothing merges with such a character
-                last[start + 1], back[start + 1] = chunk[start], start
-                continue
-            for end in range(start + 1, n + 1):
-                piece = chunk[start:end]
-                if piece not in heads:
-                    break
-                if back[end] < 0 and piece in ids:
-                    w = pairs.get((left, piece)) if known else 0.0
-                    if (self.pair(left, piece) if w is None else w) == 0.0:
-                        last[end], back[end] = piece, start
+        n, pairs, trie = len(chunk), self.pairs, self.trie
+        back: list = [None] * (n + 1)  # (start, piece) of the arc on the shortest path to a position
+        back[0] = (0, -1)
+        length = [0.0] * (n + 1)
+        heap: list = []
+        at, d = 0, 0.0
+        while at < n:
+            arcs = trie
+            if chunk[at] not in arcs:  # byte arcs; nothing merges with such a character
+                heappush(heap, (d + BYTE * len(chunk[at].encode()), -(at + 1), at, -1))
+            else:
+                for end in range(at, n):
+                    node = arcs.get(chunk[end])
+                    if node is None:
+                        break
+                    piece, arcs = node
+                    if piece >= 0 and back[end + 1] is None:
+                        heappush(heap, (d, -(end + 1), at, piece))
+            while True:
+                d, end, start, piece = heappop(heap)
+                if back[-end] is not None:
+                    continue
+                left = back[start][1]
+                if left >= 0 and piece >= 0:
+                    w = pairs.get(left * _SPAN + piece)
+                    if w is None:
+                        w = self.pair(left, piece)
+                    if w == INF:
+                        continue
+                at = -end
+                back[at] = (start, piece)
+                length[at] = d
+                break
         out: list[int] = []
-        at = n
         while at > 0:
-            piece = last[at]
-            if piece in ids:
-                out.append(ids[piece])
+            start, piece = back[at]
+            if piece >= 0:
+                out.append(piece)
             else:
-                out.extend(self.byte[b] for b in reversed(piece.encode()))
-            at = back[at]
-        return out[::-1]
+                out.extend(self.byte[b] for b in reversed(chunk[start:at].encode()))
+            at = start
+        return out[::-1], length[n]
 
-    def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian 32-bit integers."""
-        if not text:
-            return b""
+    def _solved(self, text: str) -> list[tuple[bytes, str]]:
+        """(ids, their text) of each chunk of a normalised text."""
         cache = self.chunks
-        chunks = CHUNK.findall(MARK + text.replace(" ", MARK))
+        chunks = self.chunk.findall(text)
         for c in cache.missing(chunks):
-            cache.young[c] = array("i", self.solve(c)).tobytes()
-        out = b"".join(map(cache.young.__getitem__, chunks))
+            ids, _ = self.solve(c)
+            written = self._written(ids)
+            cache.young[c] = array("i", ids).tobytes(), c if written == c else written  # nearly always c
+        out = list(map(cache.young.__getitem__, chunks))
         cache.trim()
         return out
 
-    def decode(self, ids) -> str:
-        """Text of the ids: the inverse machine; broken byte runs give U+FFFD."""
+    def normalise(self, text: str) -> str:
+        """What the normaliser writes for ``text``."""
+        for read, written in self.normal.items():
+            text = text.replace(read, written)
+        return MARK + text
+
+    def encode(self, text: str | None) -> bytes:
+        """Ids as little-endian 32-bit integers."""
+        return b"".join([ids for ids, _ in self._solved(self.normalise(text))]) if text else b""
+
+    def encode_and_decode(self, text: str | None) -> tuple[bytes, str]:
+        """Ids, and the text that they decode to, chunk by chunk: a chunk's byte
+        runs are whole characters, so they are read without their neighbours."""
+        if not text:
+            return b"", ""
+        found = self._solved(self.normalise(text))
+        return (b"".join([ids for ids, _ in found]),
+                "".join([t for _, t in found]).removeprefix(MARK).replace(MARK, " "))
+
+    def _written(self, ids) -> str:
+        """What the inverse of the piece machine writes; broken byte runs give U+FFFD."""
         out, run = [], bytearray()
         for i in ids:
             b = self.byte_of.get(i)
@@ -148,16 +216,21 @@ class PieceTransducer:
             out.append(self.text.get(i, ""))
         if run:
             out.append(run.decode("utf-8", "replace"))
-        text = "".join(out)
-        return text.removeprefix(MARK).replace(MARK, " ")
+        return "".join(out)
+
+    def decode(self, ids) -> str:
+        """Text of the ids: the inverse machines."""
+        return self._written(ids).removeprefix(MARK).replace(MARK, " ")
 
 
 def transducer(path: str) -> PieceTransducer:
-    if path not in _loaded:
-        _loaded[path] = PieceTransducer(path)
-        if _loaded[path].marked:
+    def load() -> PieceTransducer:
+        made = PieceTransducer(path)
+        if made.marked:
             raise ValueError("pieces with an inner word mark: the text can't be cut at blanks")
-    return _loaded[path]
+        return made
+
+    return kept(f"pieces {path}", load)
 
 
 def encode_documents(docs: DataFrame, model: str) -> DataFrame:
@@ -166,12 +239,12 @@ def encode_documents(docs: DataFrame, model: str) -> DataFrame:
     ``round_trip`` tells whether decoding the ids gives the text again.
     """
     def run(ids, texts, t):
-        packed = [t.encode(x) for x in texts]
+        both = [t.encode_and_decode(x) for x in texts]
+        packed = [ids for ids, _ in both]
         flat = np.frombuffer(b"".join(packed), "<i4")
         counts = np.array([len(p) // 4 for p in packed], np.int64)
         lists = pa.ListArray.from_arrays(segments(counts).astype(np.int32), pa.array(flat))
-        same = [t.decode(np.frombuffer(p, "<i4").tolist()) == (x or "")
-                for p, x in zip(packed, texts, strict=True)]
+        same = [back == (x or "") for (_, back), x in zip(both, texts, strict=True)]
         return {"doc_id": ids, "ids": lists, "n_ids": counts.tolist(),
                 "ids_crc32": [zlib.crc32(p) for p in packed], "round_trip": same}
 
