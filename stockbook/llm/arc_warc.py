@@ -4,8 +4,9 @@
 field names come from the archive's own definition line) by their declared
 lengths. ``write_warc`` synthesises the WARC fields an ARC lacks: record ids,
 ISO timestamps, record types and SHA-1 digests. Of the records with equal
-payloads the one with the largest page_id is the ``response``, the others are
-``revisit`` records that name it. Files have one gzip member per record, so a
+payloads the one with the largest page_id is the ``response`` (in archives
+without page ids the latest by date, then by URL), the others are ``revisit``
+records that name it and keep the length of the full payload in a field. Files have one gzip member per record, so a
 reader can start at any record. ``read_warc`` parses the files back by
 Content-Length.
 
@@ -16,8 +17,8 @@ Tasks write files under names of their own and list them in a manifest; a file
 that is not listed (of a lost or repeated task) is ignored.
 
 Defined results: null html is an empty payload; a null url is ``urn:unknown``;
-a null page_id counts as smallest; records that repeat the largest page_id of
-a payload are all responses; a declared length beyond the archive's end is an
+a null page_id counts as smallest; records that repeat the response's page_id
+(or, without one, its date and URL) are all responses; a declared length beyond the archive's end is an
 error; other columns are ignored; an empty table gives no files.
 """
 
@@ -39,6 +40,8 @@ from stockbook.session import scratch_path
 
 MIN_PAYLOAD = 0  # smaller payloads are never revisits
 GZIP_LEVEL = 3
+#: Extension field of revisits: bytes of the payload that is not repeated.
+FULL_LENGTH = "X-Full-Payload-Length"
 RECORDS = ("page_id bigint, url string, ip string, date string, mime string, http binary, "
            "payload binary, digest string")
 # The definition lines of the two ARC versions.
@@ -209,28 +212,36 @@ def _member(data: bytes) -> bytes:
 
 
 def assign_types(records: DataFrame, min_payload: int = MIN_PAYLOAD) -> DataFrame:
-    """``records`` with refers_to, refers_url, refers_date: set for revisits only."""
+    """``records`` with is_revisit, refers_to, refers_url, refers_date (for revisits only).
+
+    Of equal payloads the response is the record with the largest page id; where
+    no record has one (archives of others), the latest by date, then by URL.
+    """
     big = F.octet_length("payload") >= min_payload
-    groups = stored(records.where(big & F.col("page_id").isNotNull()).groupBy("digest").agg(
+    groups = stored(records.where(big).groupBy("digest").agg(
         F.count(F.lit(1)).alias("n"),
-        F.max(F.struct("page_id", "url", "date")).alias("r")).where(F.col("n") > 1)
+        F.max(F.struct("page_id", "date", "url")).alias("r")).where(F.col("n") > 1)
         .select("digest", "n", F.col("r.page_id").alias("refers_to"), F.col("r.url").alias("refers_url"),
                 F.col("r.date").alias("refers_date")), "warc-payload")
     joined = hot_join(records, groups, ["digest"], rows="n", how="left")
-    revisit = big & (F.coalesce("page_id", F.lit(-2**63)) < F.col("refers_to"))
-    return joined.withColumns({c: F.when(revisit, F.col(c))
-                               for c in ("refers_to", "refers_url", "refers_date")})
+    none = F.lit(-2**63)
+    earlier = F.struct("date", "url") < F.struct("refers_date", "refers_url")
+    older = (F.coalesce("page_id", none) < F.coalesce("refers_to", none)) | (
+        F.col("page_id").isNull() & F.col("refers_to").isNull() & earlier)
+    revisit = F.coalesce(big & F.col("refers_date").isNotNull() & older, F.lit(False))
+    return joined.withColumns({"is_revisit": revisit} | {
+        c: F.when(revisit, F.col(c)) for c in ("refers_to", "refers_url", "refers_date")})
 
 
 def write_warc(typed: DataFrame, path: str) -> DataFrame:
     """Write the records as .warc.gz files below ``path``; the manifest (file, records)."""
-    columns = ["page_id", "url", "ip", "date", "http", "payload", "digest", "refers_to", "refers_url",
-               "refers_date"]
+    columns = ["page_id", "url", "ip", "date", "http", "payload", "digest", "is_revisit", "refers_to",
+               "refers_url", "refers_date"]
 
     def run(batches):
         out, n = None, 0
         for b in batches:
-            for page, url, ip, date, http, payload, digest, ref, ref_url, ref_date in zip(
+            for page, url, ip, date, http, payload, digest, again, ref, ref_url, ref_date in zip(
                     *(c.to_pylist() for c in b.columns), strict=True):
                 if out is None:
                     fs, base = file_system(path)
@@ -242,19 +253,20 @@ def write_warc(typed: DataFrame, path: str) -> DataFrame:
                         ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Filename", name),
                         ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")))
                 fields = [
-                    ("WARC-Type", "response" if ref is None else "revisit"),
+                    ("WARC-Type", "revisit" if again else "response"),
                     ("WARC-Record-ID", f"<{record_id(page, url, date)}>"),
                     ("WARC-Target-URI", url), ("WARC-Date", iso(date)), ("WARC-IP-Address", ip),
                     ("WARC-Payload-Digest", f"sha1:{digest}")]
                 block = http
-                if ref is None:
+                if not again:
                     block = http + payload
                     fields.append(("WARC-Block-Digest", f"sha1:{sha1_base32(block)}"))
                 else:
                     fields += [
                         ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
                         ("WARC-Refers-To", f"<{record_id(ref, ref_url, ref_date)}>"),
-                        ("WARC-Refers-To-Target-URI", ref_url), ("WARC-Refers-To-Date", iso(ref_date))]
+                        ("WARC-Refers-To-Target-URI", ref_url), ("WARC-Refers-To-Date", iso(ref_date)),
+                        (FULL_LENGTH, str(len(payload)))]
                 fields.append(("Content-Type", "application/http; msgtype=response"))
                 out.write(_member(warc_record(fields, block)))
                 n += 1
@@ -316,7 +328,7 @@ def read_warc(manifest: DataFrame, path: str) -> DataFrame:
                         ref = fields.get("WARC-Refers-To")
                         size = len(payload)
                         if ref is not None:  # the full payload is in the record it names
-                            size = int(http_field(http, b"content-length") or 0)
+                            size = int(fields[FULL_LENGTH])
                         elif sha1_base32(payload) != digest:
                             raise ValueError(f"payload digest of {fields['WARC-Record-ID']}")
                         rows.append((page_of(fields["WARC-Record-ID"].strip("<>")), size, digest,

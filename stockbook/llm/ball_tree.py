@@ -242,7 +242,8 @@ class BallTree:
         lean = first - to(int(first.argmax()))
         turn = np.argsort(lean, kind="stable")
         cut = int(np.count_nonzero(lean < 0))
-        if not len(turn) // 8 <= cut <= len(turn) - len(turn) // 8:
+        least = max(1, len(turn) // 8)
+        if not least <= cut <= len(turn) - least:
             cut = len(turn) // 2  # also equal rows: a lopsided cut would make a deep tree
         return cut, turn
 

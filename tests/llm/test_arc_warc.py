@@ -92,3 +92,34 @@ def test_a_cut_file_is_noticed():
 
 def test_empty_table(spark):
     assert A.round_trip(A.arc_of_pages(pages(spark, []))).count() == 0
+
+
+def foreign_arc(records):
+    """A version 1 archive of another crawler: no page ids, no HTTP lengths."""
+    head = b"1 0 Elsewhere\nURL IP-address Archive-date Content-type Archive-length\n\n"
+    out = b"filedesc://other.arc 0.0.0.0 20010101000000 text/plain %d\n" % len(head) + head
+    for url, date, payload in records:
+        body = b"HTTP/1.0 200 OK\r\nServer: x\r\n\r\n" + payload
+        out += f"{url} 10.0.0.1 {date} text/html {len(body)}\n".encode() + body + b"\n"
+    return out
+
+
+def test_archives_of_others_get_revisits(spark):
+    same = b"<p>an equal payload</p>" * 40
+    records = [("http://a.org/", "20010203040506", same), ("http://b.org/", "20020203040506", same),
+               ("http://c.org/", "20020203040506", same), ("http://d.org/", "20030203040506", b"own"),
+               ("http://c.org/", "20020203040506", same)]
+    arcs = spark.createDataFrame([("other.arc", bytearray(foreign_arc(records)))], "name string, arc binary")
+    path = scratch_path(spark, "warc-foreign")
+    manifest = A.write_warc(A.assign_types(A.convert(arcs)), path)
+    out = sorted((r.record_type, r.payload_bytes, r.page_id, r.refers_to) for r in A.read_warc(manifest, path).collect())
+    n = len(same)
+    # the latest by date, then by URL, is the response (and what repeats it); lengths are of the full payload
+    assert out == [("response", 3, None, None), ("response", n, None, None), ("response", n, None, None),
+                   ("revisit", n, None, None), ("revisit", n, None, None)]
+    named = []
+    fs, base = A.file_system(path)
+    for r in manifest.collect():
+        with fs.open_input_stream(f"{base}/{r.file}", compression=None) as src:
+            named += [f["WARC-Refers-To-Target-URI"] for f, _ in A.parse_warc(src) if f["WARC-Type"] == "revisit"]
+    assert named == ["http://c.org/"] * 2
