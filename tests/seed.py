@@ -1,5 +1,4 @@
-"""Hand-typed seed fixtures (ids, prices and quantities of the catalogue's
-sample data; people's names and addresses are invented)."""
+"""Seed fixtures: ``ORDERS`` and ``LINES`` are fixed values, the rest is invented."""
 
 from __future__ import annotations
 
@@ -10,7 +9,7 @@ from stockbook.sources import schemas as S
 
 D = Decimal
 
-# (order_id, order_date, customer_id)
+# Fixed values (golden totals depend on them): (order_id, order_date, customer_id)
 ORDERS = [
     (3, "2025-12-03", 1), (4, "2025-12-03", 2), (5, "2025-12-03", 1), (6, "2025-12-04", 3),
     (7, "2025-12-04", 3), (8, "2025-12-04", 3), (9, "2025-12-04", 3), (10, "2025-12-04", 1),
@@ -19,7 +18,7 @@ ORDERS = [
     (19, "2025-12-05", 5), (20, "2025-12-05", 5), (21, "2025-12-05", 3), (22, "2025-12-05", 3),
 ]
 
-# (order_line_id, order_id, product_id, product_price, quantity, location)
+# Fixed values: (order_line_id, order_id, product_id, product_price, quantity, location)
 LINES = [
     (6, 6, 59, D("19.95"), 1, 1), (7, 7, 54, D("21.37"), 1, 1), (8, 12, 44, D("9.50"), 1, 1),
     (9, 13, 76, D("18.00"), 1, 1), (10, 13, 44, D("18.00"), 1, 1), (11, 14, 44, D("9.50"), 1, 1),
