@@ -211,3 +211,13 @@ def test_keep_one_and_empty_table(spark):
     assert kept.columns == docs.columns and set(ids) - {None} == want and ids.count(None) == 1
     assert M.near_duplicates(corpus.empty(spark)).count() == 0
     assert M.keep_one(corpus.empty(spark)).count() == 0
+
+
+def test_columns_named_like_helpers_pass_through(spark):
+    text = " ".join(f"word{k}" for k in range(60))
+    rows = [(k, text if k < 3 else f"own text number {k} with more words", f"i{k}", k, "s") for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, __id string, __at long, __salt string")
+    kept = M.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r["__id"], r["__at"], r["__salt"]) for r in kept.collect()) == [
+        (k, f"i{k}", k, "s") for k in (0, 3, 4, 5)]
