@@ -68,8 +68,9 @@ def map_docs(docs: DataFrame, fn: Callable[[Iterable[tuple]], dict], schema: str
              text: str = "binary", setup: Callable[[], object] | None = None) -> DataFrame:
     """Run ``fn(ids, texts, state) -> {column: values}`` on Arrow batches of documents.
 
-    ``setup`` runs once per task and its result is given to ``fn``. Values may
-    be lists or Arrow arrays.
+    ``setup`` runs once per task and its result is given to ``fn``; a worker that
+    runs a task without one lets go of what it kept. Values may be lists or
+    Arrow arrays.
     """
     base = id_and_text(docs, text)
     target = base.sparkSession.createDataFrame([], schema).schema
@@ -78,6 +79,8 @@ def map_docs(docs: DataFrame, fn: Callable[[Iterable[tuple]], dict], schema: str
         from pyspark.sql.pandas.types import to_arrow_schema
 
         out_schema = to_arrow_schema(target)
+        if setup is None:
+            forget()
         state = setup() if setup else None
         for batch in batches:
             out = fn(batch.column(0).to_pylist(), batch.column(1).to_pylist(), state)
@@ -164,6 +167,26 @@ def segments(lengths: np.ndarray) -> np.ndarray:
     return out
 
 
+_kept: dict[str, object] = {}  # tables of this Python worker, by the operator that uses them
+
+
+def kept(owner: str, make: Callable[[], object]):
+    """The object that ``make`` gave for ``owner`` in this worker.
+
+    A worker is used again for other operators; what those kept is let go, so
+    it holds the tables and caches of one operator at a time.
+    """
+    if owner not in _kept:
+        forget()
+        _kept[owner] = make()
+    return _kept[owner]
+
+
+def forget() -> None:
+    """Let go of what operators before kept in this worker."""
+    _kept.clear()
+
+
 class RecentCache:
     """Bounded memory of a worker in two generations.
 

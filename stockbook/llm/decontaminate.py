@@ -35,6 +35,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from stockbook.llm.common import (
     WORD_TABLE,
     id_and_text,
+    kept,
     map_docs,
     record_batch,
     stored,
@@ -47,8 +48,6 @@ WINDOW = 10
 
 BLOCK_BYTES = 2 << 20  # of window text in an automaton (which takes some fifty times as much)
 
-_built: dict[str, Patterns] = {}  # the block that this worker scans for, by its folder
-
 
 def windows_of(text: bytes | None, n: int = WINDOW) -> list[bytes]:
     """The windows of an item, blanks between words."""
@@ -124,12 +123,12 @@ def write_windows(benchmark: DataFrame, n: int = WINDOW, block_bytes: int = BLOC
 
 def block_patterns(folder: str) -> Patterns:
     """The patterns of a block, read by the worker that needs them (one at a time)."""
-    if folder not in _built:
-        _built.clear()
+    def load() -> Patterns:
         fs, path = file_system(folder)
         table = dataset.dataset(path, filesystem=fs, format="parquet").to_table(["window", "item"])
-        _built[folder] = Patterns(zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True))
-    return _built[folder]
+        return Patterns(zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True))
+
+    return kept(f"patterns {folder}", load)
 
 
 def word_spans(data: bytes) -> list[tuple[int, int]]:

@@ -31,6 +31,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 _shipped: set[str] = set()
+#: Bytes of an Arrow batch of documents; a longer text is a batch of its own.
+ARROW_BYTES = "4m"
 
 
 def tokenizer_path(name: str) -> str:
@@ -44,8 +46,10 @@ def tokenizer_path(name: str) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give this package to the executors, once per application."""
+    """Give this package to the executors, once per application, and bound what a
+    Python worker holds at once by bytes (10,000 texts may be any number of them)."""
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     if sc.applicationId in _shipped:
         return
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

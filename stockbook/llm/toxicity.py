@@ -43,6 +43,7 @@ from stockbook.llm.common import (
     WORD_TABLE,
     RecentCache,
     crc32_mod,
+    kept,
     labelled_sample,
     map_docs,
     stored,
@@ -59,8 +60,6 @@ SIGNIFICANT = 0.05  # expectation below which a segment counts
 THRESHOLD = 0.3
 CACHE_WORDS = 200_000
 
-_scores: dict[str, RecentCache] = {}  # of this worker, by model
-
 
 def buckets(word: bytes) -> tuple[int, int]:
     """Places of a token and of its prefix in the two tables."""
@@ -112,10 +111,7 @@ class Model:
     def scores(self, data: bytes | None) -> np.ndarray:
         """Score of every token of a text."""
         words = word_bytes(data)
-        if self.name not in _scores:
-            _scores.clear()
-            _scores[self.name] = RecentCache(CACHE_WORDS)
-        cache = _scores[self.name]
+        cache = kept(f"scores {self.name}", lambda: RecentCache(CACHE_WORDS))
         for w in cache.missing(words):
             a, b = (float(self.table[i][at]) for i, at in enumerate(buckets(w)))
             cache.young[w] = (a if abs(a) >= abs(b) else b) - DRIFT
@@ -323,8 +319,7 @@ def score_toxicity(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, score, predicted, passages) of every document, from its text alone."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(ids, texts, _):
-        m = shared.value
+    def run(ids, texts, m):
         if m is None or not texts:
             return {"doc_id": ids, "score": [0.0] * len(ids), "predicted": [0] * len(ids),
                     "passages": [[] for _ in ids]}
@@ -336,7 +331,8 @@ def score_toxicity(docs: DataFrame, model: Model | None) -> DataFrame:
                 "passages": [passages(t, f, m) if f else [] for t, f in zip(texts, found, strict=True)]}
 
     return map_docs(docs, run, "doc_id bigint, score double, predicted int, "
-                    "passages array<struct<start: bigint, end: bigint, expected: double>>")
+                    "passages array<struct<start: bigint, end: bigint, expected: double>>",
+                    setup=lambda: shared.value)
 
 
 def score_held_out(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2,
