@@ -129,3 +129,30 @@ def test_long_texts_repeated_rows_and_clashing_columns(spark):
     assert sorted(out)[2] == (9002, 100_000, False)
     kept = Q.keep_good(docs, labels)
     assert kept.columns == docs.columns and {r.kept for r in kept.collect()} == {"k"}
+
+
+def test_all_labelled_rows_count(spark, monkeypatch):
+    """Counts, ranges and the threshold follow every labelled row, however many there are."""
+    rng = np.random.default_rng(2)
+    n = 30_000  # more than any fixed sample took
+    good = np.arange(n) % 5 > 0
+    x = rng.normal(size=(n, 9)) * 0.1 + np.where(good, 0.0, 1.0)[:, None]
+    x[777] = 50.0  # one far row of all: it makes the range
+    failed = np.arange(n) % 11 == 0
+    stats = spark.createDataFrame([(i, *[1] * 5, bool(failed[i]), *map(float, x[i])) for i in range(n)], Q._STATS)
+    labels = spark.createDataFrame([(i, int(good[i])) for i in range(n)], "doc_id bigint, quality int")
+    seen = []
+    monkeypatch.setattr(Q, "weigh", lambda cuts, counts, psi, made=Q.weigh: (
+        seen.append((cuts, counts)), made(cuts, counts, psi))[1])
+    forest = Q.train(stats.repartition(5), labels, trees=10)
+    cuts, counts = seen[0]
+    assert (counts == cuts.counts(x[good & ~failed])).all()
+    assert (counts.sum(axis=1) == (good & ~failed).sum()).all()
+    again = Q.draw(x.min(axis=0), x.max(axis=0), 10, cuts.depth, 9)
+    assert (again.split == cuts.split).all() and (again.feature == cuts.feature).all()
+    step = Q.steps(forest.score(x[~failed]))
+    at = np.unique(step)
+    g, b = (np.array([np.sum((step == s) & (good[~failed] == y)) for s in at]) for y in (True, False))
+    assert forest.threshold == Q.calibrate(at, g, b, 0.01)
+    more = Q.train(stats, labels, trees=10)  # any partitions, the same forest
+    assert more.threshold == forest.threshold and (more.path == forest.path).all()
