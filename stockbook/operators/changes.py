@@ -63,13 +63,14 @@ def open_state(spark: SparkSession, root: str, orders: DataFrame, order_line: Da
 def change_feed(batch: ChangeBatch, state: dict[str, DataFrame], products: DataFrame,
                 locations: DataFrame) -> dict[str, DataFrame | None]:
     """The tables after the deletions, the new lines, the feed of all changes in
-    order (``seq`` dense from 1) and the report of the add-line requests."""
+    order of ``seq`` (read from written tables) and the report of the add-line requests."""
     orders, lines = state["orders"], state["order_line"]
     parts: list[DataFrame] = []
     gone_orders = batch.deleted_orders is not None
     gone_lines = gone_orders or batch.deleted_lines is not None
     if gone_orders:
-        orders, lines, feed = W.delete_orders(batch.deleted_orders, orders, lines)
+        orders, lines, feed = W.delete_orders(batch.deleted_orders, orders, lines,
+                                              by_line=batch.deleted_lines is not None)
         parts.append(feed.withColumn("_part", F.lit(0)))
     if batch.deleted_lines is not None:
         lines, feed = W.delete_lines(batch.deleted_lines, lines)
@@ -81,11 +82,21 @@ def change_feed(batch: ChangeBatch, state: dict[str, DataFrame], products: DataF
                                               numbered=state["order_line"])
         new = new.select(*lines.columns)  # line_total is derived on read
         parts.append(feed.withColumn("_part", F.lit(2)))
+    feed = None
+    if gone_lines:  # written once; the feed of the new lines reads a written table already
+        feed = stored(_union(parts[:-1] if batch.new_lines is not None else parts), "change-feed")
+    if batch.new_lines is not None:
+        feed = parts[-1] if feed is None else feed.unionByName(parts[-1])
+    feed = feed.withColumn("seq", F.col("seq") + F.col("_part") * F.lit(_PART)).drop("_part")
+    return {"orders": orders if gone_orders else None, "order_line": lines if gone_lines else None,
+            "new_lines": new, "feed": feed, "report": report}
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)
-    return {"orders": orders if gone_orders else None, "order_line": lines if gone_lines else None,
-            "new_lines": new, "feed": whole, "report": report}
+    return whole
 
 
 def apply_batch(spark: SparkSession, root: str, batch: ChangeBatch, products: DataFrame,
@@ -105,10 +116,9 @@ def apply_batch(spark: SparkSession, root: str, batch: ChangeBatch, products: Da
         if all(x is None for x in (batch.new_lines, batch.deleted_lines, batch.deleted_orders)):
             return False
         made = change_feed(batch, state, products, locations)
-        feed = stored(made["feed"].withColumn("seq", F.col("seq") + F.col("_part") * F.lit(_PART)).drop("_part"),
-                      "change-feed")  # read by the ledger, the stock and the count
+        feed = made["feed"]
         deltas = L.change_delta(feed)
-        ledger = L.movement_ledger(deltas, movement_date, existing=state["inventory_movement"])
+        ledger = L.movement_ledger(deltas, movement_date, existing=state["inventory_movement"], written=True)
         replaced = {"inventory": L.apply_deltas(state["inventory"], deltas)}
         replaced |= {n: made[n] for n in ("orders", "order_line") if made[n] is not None}
         added = {"inventory_movement": ledger,

@@ -4,7 +4,8 @@
 row into one task. Instead:
 
 1. the rows are written once to the shared folder, so that the steps below
-   scan a table and do not repeat the plan that made it;
+   scan a table and do not repeat the plan that made it (unless the caller says
+   that they are read from written tables);
 2. one aggregate counts the rows to be numbered and takes quantiles of the
    leading order column: ``MIN_BUCKETS`` parts, or one per ``rows_per_bucket``
    rows where that is more (without an upper bound);
@@ -73,7 +74,8 @@ def bucket_of(lead: Column, bounds: Sequence[int]) -> Column:
 def allocate_keys(rows: DataFrame, key: str, order_by: Sequence[str],
                   existing: DataFrame | None = None, base: int | None = None,
                   where: Column | None = None, buckets: int | None = None,
-                  rows_per_bucket: int = 1_000_000, above_kept: bool = False) -> DataFrame:
+                  rows_per_bucket: int = 1_000_000, above_kept: bool = False,
+                  written: bool = False) -> DataFrame:
     """Number rows ``base + 1, base + 2, ...`` into ``key`` in ``order_by`` order.
 
     ``order_by`` must be a total order of the rows (ties would make the
@@ -83,12 +85,15 @@ def allocate_keys(rows: DataFrame, key: str, order_by: Sequence[str],
     that get no number. With ``where`` only the rows satisfying it are
     numbered; the others are returned too, keeping their own ``key`` value if
     they have that column (else NULL). ``buckets`` overrides their number.
+    ``written`` rows are projections of written tables and not written again.
     """
     lead = F.col(order_by[0]).cast("bigint")
     own = F.col(key) if key in rows.columns else F.lit(None).cast("bigint")
     chosen = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
     cols = [c for c in rows.columns if c != key]
-    rows = stored(rows.select(*cols, own.cast("bigint").alias(key), chosen.alias("_take")), f"keys-{key}")
+    rows = rows.select(*cols, own.cast("bigint").alias(key), chosen.alias("_take"))
+    if not written:
+        rows = stored(rows, f"keys-{key}")
     kept = rows.where(~F.col("_take"))
     picked = rows.where(F.col("_take"))
     if base is None:

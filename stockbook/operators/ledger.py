@@ -56,12 +56,12 @@ def _ts(value: _dt.datetime | str | Column) -> Column:
     return F.to_timestamp_ntz(F.lit(value))
 
 
-def ledger_rows(deltas: DataFrame, movement_date: _dt.datetime | str | Column) -> DataFrame:
-    """T2 without keys: one row per change with delta != 0 (keeps ``seq``)."""
+def ledger_rows(deltas: DataFrame, movement_date: _dt.datetime | str | Column, keep: str = "seq") -> DataFrame:
+    """T2 without keys: one row per change with delta != 0 (keeps ``seq``, or the column ``keep``)."""
     moved = deltas.where(F.col("delta") != 0)
     reference = F.concat(F.lit("order "), F.coalesce(F.col("order_id").cast("string"), F.lit("")))
     return moved.select(
-        "seq",
+        keep,
         "product_id",
         F.col("location_id").alias("from_location_id"),
         F.lit(None).cast("bigint").alias("to_location_id"),
@@ -72,13 +72,14 @@ def ledger_rows(deltas: DataFrame, movement_date: _dt.datetime | str | Column) -
 
 
 def movement_ledger(deltas: DataFrame, movement_date: _dt.datetime | str | Column,
-                    existing: DataFrame | None = None) -> DataFrame:
+                    existing: DataFrame | None = None, written: bool = False) -> DataFrame:
     """Ledger rows with movement ids allocated above the existing ledger,
-    in change order (``seq``)."""
-    rows = ledger_rows(deltas, movement_date)
-    keyed = allocate_keys(rows, "movement_id", ["seq"], existing=existing)
-    return keyed.select("movement_id", "product_id", "from_location_id", "to_location_id",
-                        "quantity", "movement_type", "movement_date", "reference")
+    in change order (``seq``). The deltas are numbered, so that no text travels;
+    ``written`` as for ``allocate_keys``."""
+    moved = deltas.where(F.col("delta") != 0).select(
+        "seq", "op", "order_id", "product_id", "location_id", "delta")
+    keyed = allocate_keys(moved, "movement_id", ["seq"], existing=existing, written=written)
+    return ledger_rows(keyed, movement_date, "movement_id")
 
 
 def net_deltas(deltas: DataFrame) -> DataFrame:

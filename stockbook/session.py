@@ -109,7 +109,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     fixed, whatever executors are lost later.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

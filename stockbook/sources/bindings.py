@@ -195,9 +195,23 @@ def line_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
               .withColumn("first_partkey", F.first("l_partkey").over(w)))
 
 
-def order_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every lineitem row is a line of its own."""
-    return line_versions(spark, sf_dir).selectExpr(
+_NUMBERED = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+
+
+def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``line_versions`` for lines and requests: the columns those need.
+
+    Versions that agree in the first five order columns agree in all of these,
+    so the other order columns, which would only settle such ties, stay out of
+    the shuffle.
+    """
+    w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*_VERSION_ORDER[:5])
+    return _read(spark, sf_dir, "lineitem").select(*_NUMBERED, F.row_number().over(w).alias("version"))
+
+
+def order_line(spark: SparkSession, sf_dir: str, numbered: DataFrame | None = None) -> DataFrame:
+    """Every lineitem row is a line of its own (``numbered``: ``numbered_lines``, written before)."""
+    return (numbered_lines(spark, sf_dir) if numbered is None else numbered).selectExpr(
         "(l_orderkey * 10 + l_linenumber) * 16 + version AS order_line_id",
         "l_orderkey AS order_id",
         "l_partkey AS product_id",
@@ -285,9 +299,9 @@ def undo_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select((F.col("event_id") - 1).alias("replenish_seq"))
 
 
-def raw_order_line_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_order_line_requests(spark: SparkSession, sf_dir: str, numbered: DataFrame | None = None) -> DataFrame:
     """One raw (all text) add-line request per lineitem row, some malformed."""
-    return line_versions(spark, sf_dir).selectExpr(
+    return (numbered_lines(spark, sf_dir) if numbered is None else numbered).selectExpr(
         "(l_orderkey * 10 + l_linenumber) * 16 + version AS seq",
         """CASE l_partkey % 40 WHEN 0 THEN '' WHEN 1 THEN 'abc' WHEN 2 THEN '12.5'
              WHEN 3 THEN concat(' ', CAST(l_orderkey AS STRING), ' ')

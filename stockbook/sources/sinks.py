@@ -242,7 +242,7 @@ def publish_tables(tables: Mapping[str, DataFrame], root: str,
     spark = next(iter([*tables.values(), *added.values()])).sparkSession
     version = f"{root.rstrip('/')}/v-{uuid.uuid4().hex}"
     for name, df in [*tables.items(), *added.items()]:
-        df.write.mode("error").parquet(f"{version}/{name}")
+        df.write.mode("error").option("compression", "zstd").parquet(f"{version}/{name}")
 
     def folders(before: dict) -> dict:
         now = dict(before.get("tables", {}))

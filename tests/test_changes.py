@@ -233,3 +233,39 @@ def test_stock_keys_are_numbered_above_the_kept_ones(spark):
     out = L.apply_deltas(inv, L.change_delta(feed))
     assert sorted((r.inventory_id, r.product_id, r.location_id, r.quantity) for r in out.collect()) == [
         (7, 44, 1, 4), (8, 44, 2, -1), (9, 45, 1, -2)]
+
+
+def test_a_batch_writes_and_moves_each_row_a_bounded_number_of_times(spark, tmp_dir, monkeypatch):
+    """The parts of a batch are planned once: the caller's frames are read a single
+    time each, refused requests never reach a join, and ledger rows are not written twice."""
+    root = f"{tmp_dir}/state"
+    products, locations = _opened(spark, root)
+    from stockbook import session
+    from stockbook.operators import keys, writes
+
+    labels, columns = [], {}
+
+    def noted(df, label):
+        labels.append(label)
+        columns[label] = df.columns
+        return session.stored(df, label)
+
+    for module in (G, W, keys, writes):
+        monkeypatch.setattr(module, "stored", noted)
+    requests = _requests(spark, [(1, "3", "44", "4", "1.5", "2"), (2, "77", "44", "1", "1", "1"),
+                                 (3, "1", "45", "x", "1", "1"), (4, "1", "45", "6", "$3", "2")])
+    batch = G.ChangeBatch("b1", new_lines=requests,
+                          deleted_lines=spark.createDataFrame([(13,), (11,)], "order_line_id bigint"),
+                          deleted_orders=spark.createDataFrame([(2,)], "order_id bigint"))
+    assert G.apply_batch(spark, root, batch, products, locations, DAY)
+    assert sorted(labels) == ["change-feed", "gone-lines", "judged-lines", "keys-inventory_id", "keys-order_line_id"]
+    assert columns["gone-lines"] == ["order_line_id"]
+    now = sinks.current_tables(spark, root, [*G.TABLES, G.REFUSED, G.APPLIED])
+    assert sorted((r.order_line_id, r.quantity) for r in now["order_line"].collect()) == [(10, 5), (14, 4), (15, 6)]
+    # line 11 went with its order: one change, not two
+    assert [(r.movement_id, r.reference, r.quantity) for r in
+            now["inventory_movement"].orderBy("movement_id").collect()] == [
+        (1, "order 2", 3), (2, "order 2", 2), (3, "order 3", 9), (4, "order 3", 4), (5, "order 1", 6)]
+    assert sorted((r.seq, r.reason) for r in now[G.REFUSED].collect()) == [
+        (2, "unknown order"), (3, "quantity not an integer")]
+    assert now[G.APPLIED].first().changes == 5
