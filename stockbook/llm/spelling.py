@@ -7,10 +7,10 @@ come from products of blocks of such vectors (the Gram matrix, |a|^2 + |b|^2 -
 2ab), only between words of equal or adjacent lengths; pairs at most two apart
 are verified letter by letter.
 
-Which words meet in a block: the letters are dealt to three sets by frequency,
+Which words meet: the letters are dealt to three sets by frequency,
 and an edit leaves the counts of at least one of them alone. So every word goes
 to three blocks, chosen by a hash of its counts in a set, and near words share
-one of them. The number of blocks follows the number of words (``BLOCK`` words
+one of them. In a block only words of equal counts in the set are compared. The number of blocks follows the number of words (``BLOCK`` words
 each), so the products grow in proportion to them. A block of more than
 ``TILE`` words (a common signature) is dealt again by the same rule: its words
 agree in one set, so an edit leaves one of three sets of the other letters
@@ -43,6 +43,7 @@ LEAST_LETTERS, LEAST_COUNT = 5, 3
 DROP = 97  # a run loses a letter if this divides its hash
 SETS = 3
 BLOCK, TILE = 1024, 2048
+GROUP, PAIRS = 128, 100_000  # words of a small group; its pairs compared at once
 KEPT_WORDS = 200_000  # words that a counting task keeps before it gives them out
 
 # The letters of a run are A-Z, a-z and U+00C0 to U+00FF; only A-Z are lower-cased.
@@ -169,42 +170,73 @@ def near_pairs(words: list[bytes], tile: np.ndarray | None,
                levels: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
     """Places (i, j) of near words whose first agreeing sets are those of ``levels``.
 
-    With ``tile`` only pairs between words of different tiles are looked for.
+    Words meet that have the same counts in these sets: a block holds many such
+    groups. With ``tile`` only pairs between words of different tiles are looked for.
     """
     size = np.array([len(w) for w in words], np.int64)
-    order = np.argsort(size, kind="stable")
+    counts = letter_counts(words)
+    sign = np.zeros(len(words), np.uint64)
+    for sets, chosen in levels:
+        sign = sign * _SEED[0] + signatures(counts, sets)[chosen]
+    order = np.lexsort((size, sign))
+    words, size, counts = [words[i] for i in order.tolist()], size[order], counts[order]
+    group = np.cumsum(np.diff(sign[order], prepend=sign[order[:1]]) != 0)
+    differ = counts.any(axis=0)  # letters whose counts may differ in a group
+    for sets, chosen in levels:
+        differ &= sets != chosen
     left, right = [], []
-    groups = {int(n): order[lo:hi] for n, lo, hi in _runs_of(size[order])}
-    for length, at in groups.items():
-        mine = [words[i] for i in at.tolist()]
-        count = letter_counts(mine)
-        for other in (length, length + 1):
-            if other not in groups:
-                continue
-            to = groups[other]
-            theirs = mine if other == length else [words[i] for i in to.tolist()]
-            count2 = count if other == length else letter_counts(theirs)
-            i, j = _within_two(count, count2, length)
-            if other == length:
-                i, j = i[i < j], j[i < j]
-            if tile is not None:
-                keep = tile[at[i]] != tile[to[j]]
-                i, j = i[keep], j[keep]
-            if not len(i):
-                continue
-            keep = first_agreeing(count[i], count2[j], levels)
+    for i, j in _candidates(counts[:, differ], group, size):
+        if tile is not None:
+            keep = tile[order[i]] != tile[order[j]]
             i, j = i[keep], j[keep]
-            a, b = _letters(mine, length), _letters(theirs, other)
+        keep = first_agreeing(counts[i], counts[j], levels)
+        i, j = i[keep], j[keep]
+        shape = np.lexsort((size[j], size[i]))
+        i, j = i[shape], j[shape]
+        for _, lo, hi in _runs_of(2 * size[i] + (size[j] > size[i])):
+            length, other = int(size[i[lo]]), int(size[j[lo]])
             step = max(1, 4_000_000 // other)  # bounded copies of very long words
-            for lo in range(0, len(i), step):
-                p, q = i[lo:lo + step], j[lo:lo + step]
-                ok = one_edit(a[p], b[q])
-                left.append(at[p[ok]])
-                right.append(to[q[ok]])
+            for at in range(lo, hi, step):
+                u, v = i[at:min(at + step, hi)], j[at:min(at + step, hi)]
+                ok = one_edit(_letters([words[k] for k in u.tolist()], length),
+                              _letters([words[k] for k in v.tolist()], other))
+                left.append(order[u[ok]])
+                right.append(order[v[ok]])
     none = [np.zeros(0, np.int64)]
     return np.concatenate(left or none), np.concatenate(right or none)
 
 
+def _candidates(counts: np.ndarray, group: np.ndarray, size: np.ndarray):
+    """Parts of the pairs (i, j) of rows of one group, ``j`` as long as ``i`` or one
+    letter longer, at squared distance two or less. Rows are in order of group and
+    size. Small groups are compared together, row by row of their Gram matrices."""
+    longest = int(size.max(initial=0))
+    key = group * (longest + 2) + size
+    till = np.searchsorted(key, key + 1, side="right")
+    large = np.bincount(group, minlength=1)[group] > GROUP
+    kind = np.float32 if longest < 1000 else np.float64  # exact: whole numbers below 2^24 or 2^53
+    x = counts.astype(kind)
+    norm = (x * x).sum(axis=1)
+    rows = np.flatnonzero(~large)
+    many = np.maximum(till[rows] - rows - 1, 0)
+    ends = np.cumsum(many)
+    lo = 0
+    while lo < len(rows):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, side="right")))
+        n = many[lo:hi]
+        i = np.repeat(rows[lo:hi], n)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        ok = norm[i] + norm[j] - 2 * np.einsum("ij,ij->i", x[i], x[j]) <= 2
+        yield i[ok], j[ok]
+        lo = hi
+    rows = np.flatnonzero(large)
+    for _, lo, hi in _runs_of(key[rows]):
+        first, last = int(rows[lo]), int(rows[hi - 1]) + 1  # the words of a group and a length
+        i, j = _within_two(x[first:last], x[first:int(till[first])], longest)
+        keep = j > i
+        yield i[keep] + first, j[keep] + first
+
+
 def _runs_of(ascending: np.ndarray):
     edges = np.flatnonzero(np.diff(ascending)) + 1
     bounds = [0, *edges.tolist(), len(ascending)]

@@ -120,3 +120,29 @@ def test_one_edit():
     assert spelling.one_edit(at("abc", "abc", "abc"), at("abd", "abc", "bac")).tolist() == [True, False, False]
     assert spelling.one_edit(at("abc", "abc", "aab", "abc"), at("xabc", "abcx", "aaab", "acbx")).tolist() == [
         True, True, True, False]
+
+
+@pytest.mark.parametrize("group", [0, 5, 10**6])
+def test_groups_compare_only_words_that_can_be_near(monkeypatch, group):
+    """Every near pair is found at any group size, and few others are compared."""
+    rng = np.random.default_rng(5)
+    words = sorted({bytes(rng.choice(list(b"abcdefgh"), rng.integers(5, 9)).tolist()) for _ in range(1500)})
+    monkeypatch.setattr(spelling, "GROUP", group)
+    made, compared = spelling._candidates, []
+    monkeypatch.setattr(spelling, "_candidates", lambda counts, at, size: (
+        compared.append(int((np.bincount(at) ** 2).sum())), made(counts, at, size))[1])
+    sets = spelling.LetterSets(spelling.letter_counts(words).sum(axis=0))
+    got = set()
+    for s in range(spelling.SETS):
+        i, j = spelling.near_pairs(words, None, sets.levels((s,)))
+        pairs = {frozenset((words[a], words[b])) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
+        assert len(pairs) == len(i) and not pairs & got
+        got |= pairs
+    known = set(words)
+    want = set()
+    for w in words:
+        edits = {w[:k] + w[k + 1:] for k in range(len(w))}
+        edits |= {w[:k] + bytes([c]) + w[k + 1:] for k in range(len(w)) for c in b"abcdefgh"}
+        want |= {frozenset((w, e)) for e in edits & known if e != w}
+    assert got == want and want
+    assert sum(compared) < 0.3 * spelling.SETS * len(words) ** 2
