@@ -7,15 +7,17 @@ come from products of blocks of such vectors (the Gram matrix, |a|^2 + |b|^2 -
 2ab), only between words of equal or adjacent lengths; pairs at most two apart
 are verified letter by letter.
 
-Which words meet: the letters are dealt to three sets by frequency,
-and an edit leaves the counts of at least one of them alone. So every word goes
-to three blocks, chosen by a hash of its counts in a set, and near words share
-one of them. In a block only words of equal counts in the set are compared. The number of blocks follows the number of words (``BLOCK`` words
-each), so the products grow in proportion to them. A block of more than
-``TILE`` words (a common signature) is dealt again by the same rule: its words
-agree in one set, so an edit leaves one of three sets of the other letters
-alone. What is still larger then is cut into tiles, and each pair of tiles is a
-unit. A pair is given out only where its first agreeing sets lead, so once.
+Which words meet: an edit leaves the first or the second half of a word alone.
+A pair is halved by its shorter word (of l letters: the first l // 2, and the
+last of the rest), so a word goes to three blocks: two lengths have it as the
+shorter or the longer one, with a first half of the same length or a second one.
+In a block only words of the same half are compared. The number of blocks
+follows the number of words (``BLOCK`` rows each), so the products grow in
+proportion to them. A block of more than ``TILE`` rows (a common half) is dealt
+again: the letters are dealt to three sets by frequency, and an edit leaves the
+counts of at least one of them alone, so its words meet by their counts in a set.
+What is still larger then is cut into tiles, and each pair of tiles is a unit. A
+pair is given out only where its first agreeing half and set lead, so once.
 
 The form of a word has at least twice its count, so forms lead to a root in at
 most 63 steps; roots are found by pointer doubling.
@@ -42,8 +44,9 @@ from stockbook.llm.common import hot_join, id_and_text, segments, stored
 LEAST_LETTERS, LEAST_COUNT = 5, 3
 DROP = 97  # a run loses a letter if this divides its hash
 SETS = 3
-BLOCK, TILE = 1024, 2048
-GROUP, PAIRS = 128, 100_000  # words of a small group; its pairs compared at once
+HALVES = 2  # the first and the second
+BLOCK, TILE = 4096, 8192
+GROUP, PRODUCTS = 128, 1 << 20  # words of a small group; entries of Gram matrices made at once
 KEPT_WORDS = 200_000  # words that a counting task keeps before it gives them out
 
 # The letters of a run are A-Z, a-z and U+00C0 to U+00FF; only A-Z are lower-cased.
@@ -111,24 +114,18 @@ def letter_counts(words: list[bytes]) -> np.ndarray:
 
 
 class LetterSets:
-    """Three sets of letters, and for each of them three sets of the others."""
+    """Three sets of letters."""
 
     def __init__(self, totals: np.ndarray):
-        order = np.lexsort((np.arange(len(totals)), -totals))
-        self.first = self._deal(order)
-        self.second = [self._deal(order[self.first[order] != s]) for s in range(SETS)]
-
-    @staticmethod
-    def _deal(order: np.ndarray) -> np.ndarray:
-        """Set of each letter (-1: none), dealt back and forth from the most frequent on."""
-        out = np.full(len(_LETTERS), -1)
+        """Letters are dealt back and forth from the most frequent on."""
         turn = [*range(SETS), *reversed(range(SETS))]
-        out[order] = [turn[k % len(turn)] for k in range(len(order))]
-        return out
+        self.first = np.zeros(len(_LETTERS), np.int64)
+        self.first[np.lexsort((np.arange(len(totals)), -totals))] = [
+            turn[k % len(turn)] for k in range(len(totals))]
 
     def levels(self, path: tuple[int, ...]) -> list[tuple[np.ndarray, int]]:
-        """The (sets, chosen set) that lead to a block: one pair, or two."""
-        return [(self.first if k == 0 else self.second[path[0]], s) for k, s in enumerate(path)]
+        """The (sets, chosen set) that lead to a block: none, or one pair."""
+        return [(self.first, s) for s in path]
 
 
 def signatures(counts: np.ndarray, sets: np.ndarray) -> np.ndarray:
@@ -152,10 +149,6 @@ def first_agreeing(a: np.ndarray, b: np.ndarray, levels: list[tuple[np.ndarray,
     return keep
 
 
-def _letters(words: list[bytes], length: int) -> np.ndarray:
-    return np.frombuffer(b"".join(words), np.uint8).reshape(len(words), length)
-
-
 def one_edit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Which rows of ``a`` become those of ``b`` by one replaced letter, or, where
     ``b`` is one letter longer, by one inserted letter."""
@@ -166,31 +159,56 @@ def one_edit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return head + tail >= a.shape[1]
 
 
-def near_pairs(words: list[bytes], tile: np.ndarray | None,
-               levels: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of near words whose first agreeing sets are those of ``levels``.
+class _ByLength:
+    """The letters of words as one matrix for each length."""
+
+    def __init__(self, words: list[bytes], size: np.ndarray):
+        self.row = np.zeros(len(words), np.int64)
+        self.of = {}
+        for length, lo, hi in _runs_of(np.sort(size)):
+            at = np.flatnonzero(size == length)
+            self.row[at] = np.arange(hi - lo)
+            self.of[int(length)] = np.frombuffer(
+                b"".join([words[k] for k in at.tolist()]), np.uint8).reshape(hi - lo, int(length))
+
+    def __call__(self, at: np.ndarray, length: int) -> np.ndarray:
+        return self.of[length][self.row[at]]
+
+
+def near_pairs(words: list[bytes], tile: np.ndarray | None, levels: list[tuple[np.ndarray, int]],
+               half: int | None = None, part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of near words whose first agreeing half and sets are ``half`` and those of ``levels``.
 
-    Words meet that have the same counts in these sets: a block holds many such
-    groups. With ``tile`` only pairs between words of different tiles are looked for.
+    Words meet that have the same first (``half`` 0) or last ``part`` letters and
+    the same counts in the chosen sets: a block holds many such groups. Without
+    ``half`` only the sets count. With ``tile`` only pairs between words of
+    different tiles are looked for.
     """
     size = np.array([len(w) for w in words], np.int64)
     counts = letter_counts(words)
     sign = np.zeros(len(words), np.uint64)
     for sets, chosen in levels:
         sign = sign * _SEED[0] + signatures(counts, sets)[chosen]
-    order = np.lexsort((size, sign))
+    same = np.zeros(len(words), np.int64)
+    if half is not None:
+        known: dict[bytes, int] = {}
+        same[:] = [known.setdefault(w[:p] if half == 0 else w[len(w) - p:], len(known))
+                   for w, p in zip(words, part.tolist(), strict=True)]
+    order = np.lexsort((size, sign, same))
     words, size, counts = [words[i] for i in order.tolist()], size[order], counts[order]
-    group = np.cumsum(np.diff(sign[order], prepend=sign[order[:1]]) != 0)
+    group = np.cumsum((np.diff(sign[order], prepend=sign[order[:1]]) != 0)
+                      | (np.diff(same[order], prepend=same[order[:1]]) != 0))
     differ = counts.any(axis=0)  # letters whose counts may differ in a group
     for sets, chosen in levels:
         differ &= sets != chosen
+    # with halves, the longest words of a group meet there only shorter ones
+    shorter = () if half is None else (size // 2 <= part[order] if half == 0 else (size + 1) // 2 <= part[order],)
+    letters = _ByLength(words, size)
     left, right = [], []
-    for i, j in _candidates(counts[:, differ], group, size):
+    for i, j in _candidates(counts[:, differ], group, size, *shorter):
         if tile is not None:
             keep = tile[order[i]] != tile[order[j]]
             i, j = i[keep], j[keep]
-        keep = first_agreeing(counts[i], counts[j], levels)
-        i, j = i[keep], j[keep]
         shape = np.lexsort((size[j], size[i]))
         i, j = i[shape], j[shape]
         for _, lo, hi in _runs_of(2 * size[i] + (size[j] > size[i])):
@@ -198,43 +216,64 @@ def near_pairs(words: list[bytes], tile: np.ndarray | None,
             step = max(1, 4_000_000 // other)  # bounded copies of very long words
             for at in range(lo, hi, step):
                 u, v = i[at:min(at + step, hi)], j[at:min(at + step, hi)]
-                ok = one_edit(_letters([words[k] for k in u.tolist()], length),
-                              _letters([words[k] for k in v.tolist()], other))
-                left.append(order[u[ok]])
-                right.append(order[v[ok]])
+                a, b = letters(u, length), letters(v, other)
+                ok = one_edit(a, b)
+                if half:
+                    ok &= (a[:, :length // 2] != b[:, :length // 2]).any(axis=1)
+                u, v = u[ok], v[ok]
+                if levels:
+                    ok = first_agreeing(counts[u], counts[v], levels)
+                    u, v = u[ok], v[ok]
+                left.append(order[u])
+                right.append(order[v])
     none = [np.zeros(0, np.int64)]
     return np.concatenate(left or none), np.concatenate(right or none)
 
 
-def _candidates(counts: np.ndarray, group: np.ndarray, size: np.ndarray):
+def _candidates(counts: np.ndarray, group: np.ndarray, size: np.ndarray, shorter: np.ndarray | None = None):
     """Parts of the pairs (i, j) of rows of one group, ``j`` as long as ``i`` or one
-    letter longer, at squared distance two or less. Rows are in order of group and
-    size. Small groups are compared together, row by row of their Gram matrices."""
+    letter longer, at squared distance two or less; only rows of ``shorter`` are an
+    ``i``. Rows are in order of group and size. The rows of a group and a size and
+    those behind them, one letter longer, make a Gram matrix; small ones are made together."""
     longest = int(size.max(initial=0))
     key = group * (longest + 2) + size
-    till = np.searchsorted(key, key + 1, side="right")
-    large = np.bincount(group, minlength=1)[group] > GROUP
-    kind = np.float32 if longest < 1000 else np.float64  # exact: whole numbers below 2^24 or 2^53
+    kind = np.float32 if longest < 1000 else np.float64  # exact: halves of whole numbers below 2^24 or 2^53
     x = counts.astype(kind)
-    norm = (x * x).sum(axis=1)
-    rows = np.flatnonzero(~large)
-    many = np.maximum(till[rows] - rows - 1, 0)
-    ends = np.cumsum(many)
-    lo = 0
-    while lo < len(rows):
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, side="right")))
-        n = many[lo:hi]
-        i = np.repeat(rows[lo:hi], n)
-        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
-        ok = norm[i] + norm[j] - 2 * np.einsum("ij,ij->i", x[i], x[j]) <= 2
-        yield i[ok], j[ok]
-        lo = hi
-    rows = np.flatnonzero(large)
-    for _, lo, hi in _runs_of(key[rows]):
-        first, last = int(rows[lo]), int(rows[hi - 1]) + 1  # the words of a group and a length
-        i, j = _within_two(x[first:last], x[first:int(till[first])], longest)
-        keep = j > i
-        yield i[keep] + first, j[keep] + first
+    norm = (x * x).sum(axis=1, keepdims=True) / 2
+    one = np.ones_like(norm)
+    a, b = np.hstack([x, one, -norm]), np.hstack([x, -norm, one])  # a row of a by one of b: -1/2 of the distance
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    rows = np.diff(first, append=len(key))
+    wide = np.searchsorted(key, key[first] + 1, side="right") - first
+    use = wide > 1
+    if shorter is not None:
+        use &= shorter[first]
+    first, rows, wide = first[use], rows[use], wide[use]
+    small = np.flatnonzero(wide <= GROUP)
+    pad = np.zeros(len(wide), np.int64)
+    pad[small] = 1 << np.ceil(np.log2(wide[small])).astype(np.int64)
+    for width in np.unique(pad[small]).tolist():
+        these = np.flatnonzero(pad == width)
+        step = max(1, PRODUCTS // (width * max(width, a.shape[1])))
+        ahead = np.triu(np.ones((width, width), bool), 1)
+        place = np.arange(width)
+        for lo in range(0, len(these), step):
+            at = these[lo:lo + step]
+            where = np.minimum(first[at, None] + place, len(x) - 1)
+            near = a[where] @ b[where].transpose(0, 2, 1) >= -1
+            near &= ahead
+            near &= (place < rows[at, None])[:, :, None]
+            near &= (place < wide[at, None])[:, None, :]
+            c, i, j = np.nonzero(near)
+            yield first[at[c]] + i, first[at[c]] + j
+    for at in np.flatnonzero(wide > GROUP).tolist():
+        lo, end, last = int(first[at]), int(first[at] + rows[at]), int(first[at] + wide[at])
+        while lo < end:
+            till = min(end, lo + max(1, PRODUCTS // (last - lo)))
+            i, j = np.nonzero(a[lo:till] @ b[lo:last].T >= -1)
+            keep = j > i
+            yield i[keep] + lo, j[keep] + lo
+            lo = till
 
 
 def _runs_of(ascending: np.ndarray):
@@ -245,20 +284,6 @@ def _runs_of(ascending: np.ndarray):
             yield ascending[lo], lo, hi
 
 
-def _within_two(a: np.ndarray, b: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j) of the rows at squared distance two or less, from Gram blocks."""
-    kind = np.float32 if length < 1000 else np.float64  # exact: whole numbers below 2^24 or 2^53
-    x, y = a.astype(kind), b.astype(kind)
-    nx, ny = (x * x).sum(axis=1), (y * y).sum(axis=1)
-    rows, cols = [], []
-    for lo in range(0, len(x), TILE):
-        square = nx[lo:lo + TILE, None] + ny[None, :] - 2 * (x[lo:lo + TILE] @ y.T)
-        i, j = np.nonzero(square <= 2)
-        rows.append(i + lo)
-        cols.append(j)
-    return np.concatenate(rows), np.concatenate(cols)
-
-
 def letter_sets(words: DataFrame) -> LetterSets:
     """The sets for a written ``words``; one number per letter comes to the driver."""
     def run(batches):
@@ -276,52 +301,51 @@ def letter_sets(words: DataFrame) -> LetterSets:
     return LetterSets(totals)
 
 
-def _placed(words: DataFrame, sets: LetterSets, blocks: int) -> DataFrame:
-    """(word, n, path, block): each word once per set of letters. ``words`` may
-    have a ``path`` of one set already; then the sets are those of the others."""
-    deeper = "path" in words.columns
-    rows = words.select("word", "n", *(["path"] if deeper else []))
-    target = words.sparkSession.createDataFrame(
-        [], "word string, n bigint, path int, block bigint").schema
-
-    def given(batch, words, path):
-        counts = letter_counts(words)
-        sign = signatures(counts, sets.second[path] if deeper else sets.first)
-        if deeper:  # words that agree in the first set only by the hash of their block need not meet
-            sign = sign ^ signatures(counts, sets.first)[path]
-        for s in range(SETS):
-            at = (sign[s] % np.uint64(blocks)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1),
-                 pa.array(np.full(len(words), path * SETS + s if deeper else s, np.int32)), pa.array(at)],
-                names=target.names)
+def _halved(words: DataFrame, blocks: int) -> DataFrame:
+    """(word, n, part, path, block): each word with its halves, ``part`` letters
+    of the first (path 0) or the second, as the shorter word of a pair or the longer."""
+    size = F.length("word")
+    first = F.array_distinct(F.array((size / 2).cast("int"), ((size - 1) / 2).cast("int")))
+    second = F.array_distinct(F.array(((size + 1) / 2).cast("int"), (size / 2).cast("int")))
+    rows = words.select("word", "n", F.explode(F.concat(
+        F.transform(first, lambda p: F.struct(p.alias("part"), F.lit(0).alias("path"))),
+        F.transform(second, lambda p: F.struct(p.alias("part"), F.lit(1).alias("path"))))).alias("h"))
+    rows = rows.select("word", "n", "h.part", "h.path")
+    half = F.when(F.col("path") == 0, F.expr("left(word, part)")).otherwise(F.expr("right(word, part)"))
+    return rows.withColumn("block", F.pmod(F.xxhash64(half), F.lit(blocks)))
+
+
+def _dealt(rows: DataFrame, sets: LetterSets, blocks: int) -> DataFrame:
+    """Rows of halves once per set of letters: (word, n, part, path, block), the
+    path now of half and set, the block by the half and the counts in the set."""
+    target = rows.sparkSession.createDataFrame(
+        [], "word string, n bigint, part int, path int, block bigint").schema
 
     def run(batches):
         for batch in batches:
-            if not deeper:
-                words = [w.encode("latin-1") for w in batch.column(0).to_pylist()]
-                yield from given(batch, words, 0) if words else ()
-                continue
-            path = batch.column(2).to_numpy()
-            for first in np.unique(path).tolist():
-                part = batch.take(pa.array(np.flatnonzero(path == first)))
-                yield from given(part, [w.encode("latin-1") for w in part.column(0).to_pylist()], first)
+            words = [w.encode("latin-1") for w in batch.column(0).to_pylist()]
+            part, path = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            same = [crc32(w[:p] if h == 0 else w[len(w) - p:])
+                    for w, p, h in zip(words, part.tolist(), path.tolist(), strict=True)]
+            sign = signatures(letter_counts(words), sets.first) ^ (np.array(same, np.uint64) * _SEED[0])
+            for s in range(SETS):
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:3], pa.array((path * SETS + s).astype(np.int32)),
+                     pa.array((sign[s] % np.uint64(blocks)).astype(np.int64))], names=target.names)
 
-    return rows.mapInArrow(run, target)
+    return rows.select("word", "n", "part", "path").mapInArrow(run, target)
 
 
-def _paired(units: DataFrame, sets: LetterSets, deep: bool) -> DataFrame:
+def _paired(units: DataFrame, sets: LetterSets | None = None) -> DataFrame:
     """The near pairs of each unit (path, block, x, y): one block, or two tiles."""
     def compare(key, table):
-        path = key[0].as_py()
-        word, n = table.column("word").to_pylist(), table.column("n").to_numpy()
+        half, *path = divmod(key[0].as_py(), SETS) if sets else (key[0].as_py(),)
+        word, n = table.column("word").combine_chunks(), table.column("n").combine_chunks()
         tile = table.column("tile").to_numpy() if key[2].as_py() != key[3].as_py() else None
-        i, j = near_pairs([w.encode("latin-1") for w in word], tile,
-                          sets.levels(divmod(path, SETS) if deep else (path,)))
-        return pa.table({"word": pa.array([word[a] for a in i.tolist()], pa.string()),
-                         "n": pa.array(n[i], pa.int64()),
-                         "other": pa.array([word[b] for b in j.tolist()], pa.string()),
-                         "other_n": pa.array(n[j], pa.int64())})
+        i, j = near_pairs([w.encode("latin-1") for w in word.to_pylist()], tile,
+                          sets.levels(tuple(path)) if sets else [], half, table.column("part").to_numpy())
+        return pa.table({"word": word.take(pa.array(i)), "n": n.take(pa.array(i)),
+                         "other": word.take(pa.array(j)), "other_n": n.take(pa.array(j))})
 
     return units.groupBy("path", "block", "x", "y").applyInArrow(
         compare, "word string, n bigint, other string, other_n bigint")
@@ -335,26 +359,26 @@ def _large(placed: DataFrame, limit: int) -> DataFrame:
 
 def near_words(words: DataFrame, block: int = BLOCK, tile: int = TILE) -> DataFrame:
     """(word, n, other, other_n): each near pair of a written ``words`` (word, n), once."""
-    unit = ["path", "block"]
-    sets = letter_sets(words)
-    placed = stored(_placed(words, sets, max(1, -(-words.count() // block))), "spell-block")
+    unit, row = ["path", "block"], ["part", "word", "n"]
+    placed = stored(_halved(words, max(1, -(-3 * words.count() // (HALVES * block)))), "spell-block")
     large = _large(placed, tile)
     marked = stored(hot_join(placed, large.withColumn("again", F.lit(True)), unit), "spell-marked")
     zero = F.lit(0).alias
-    whole = marked.where(F.col("again").isNull()).select(*unit, zero("x"), zero("y"), zero("tile"), "word", "n")
-    pairs = _paired(whole, sets, False)
+    whole = marked.where(F.col("again").isNull()).select(*unit, zero("x"), zero("y"), zero("tile"), *row)
+    pairs = _paired(whole)
     again = marked.where(F.col("again"))
     n_again = again.count()
     if not n_again:
         return pairs
-    deeper = stored(_placed(again, sets, max(1, -(-n_again // (SETS * block)))), "spell-deeper")
+    sets = letter_sets(words)
+    deeper = stored(_dealt(again, sets, max(1, -(-n_again // (HALVES * block)))), "spell-deeper")
     tiles = _large(deeper, 2 * tile).withColumn("tiles", F.ceil(F.col("rows") / tile).cast("int"))
     dealt = (hot_join(deeper, tiles, unit).withColumn("tiles", F.coalesce("tiles", F.lit(1)))
              .withColumn("tile", F.pmod(F.xxhash64("word"), "tiles").cast("int"))
              .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))))
     units = dealt.select(*unit, F.least("tile", "with").alias("x"), F.greatest("tile", "with").alias("y"),
-                         "tile", "word", "n")
-    return pairs.unionByName(_paired(units, sets, True))
+                         "tile", *row)
+    return pairs.unionByName(_paired(units, sets))
 
 
 def roots(forms: DataFrame) -> DataFrame:

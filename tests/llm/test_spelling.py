@@ -146,3 +146,29 @@ def test_groups_compare_only_words_that_can_be_near(monkeypatch, group):
         want |= {frozenset((w, e)) for e in edits & known if e != w}
     assert got == want and want
     assert sum(compared) < 0.3 * spelling.SETS * len(words) ** 2
+
+
+@pytest.mark.parametrize("group", [0, 128])
+def test_halves_compare_few_words_of_common_letter_counts(spark, monkeypatch, group):
+    """Words of the same few letters: every near pair is found once, few others are compared."""
+    rng = np.random.default_rng(8)
+    words = sorted({bytes(rng.choice(list(b"abcdefgh"), rng.integers(5, 10)).tolist()) for _ in range(1500)})
+    rows = spark.createDataFrame([(w.decode(), 3) for w in words], "word string, n bigint")
+    placed = spelling._halved(rows, 1).collect()
+    assert len(placed) == 3 * len(words) and {r.block for r in placed} == {0}
+    monkeypatch.setattr(spelling, "GROUP", group)
+    made, compared = spelling._candidates, []
+    monkeypatch.setattr(spelling, "_candidates", lambda counts, at, *rest: (
+        compared.append(int((np.bincount(at) ** 2).sum())), made(counts, at, *rest))[1])
+    got = []
+    for half in range(spelling.HALVES):
+        here = [(r.word.encode(), r.part) for r in placed if r.path == half]
+        i, j = spelling.near_pairs([w for w, _ in here], None, [], half, np.array([p for _, p in here]))
+        got += [frozenset((here[a][0], here[b][0])) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
+    known, want = set(words), set()
+    for w in words:
+        edits = {w[:k] + w[k + 1:] for k in range(len(w))}
+        edits |= {w[:k] + bytes([c]) + w[k + 1:] for k in range(len(w)) for c in b"abcdefgh"}
+        want |= {frozenset((w, e)) for e in edits & known if e != w}
+    assert len(got) == len(set(got)) and set(got) == want and want
+    assert sum(compared) < 0.1 * len(words) ** 2
